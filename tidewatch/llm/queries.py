@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import line_dedup
+from tidewatch.llm import line_dedup, piece_bpe
 
 
 def queries() -> dict:
     return {
         "op7_line_dedup": line_dedup.op7_line_dedup,
+        "op8_piece_bpe": piece_bpe.op8_piece_bpe,
     }
 
 
