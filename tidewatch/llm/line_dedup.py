@@ -18,8 +18,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tidewatch.llm.tables import cut
+from tidewatch.llm.tables import cut, table
 from tidewatch.llm.text import digest, line_keys, mix
 
 MIN_CHARS = 40
@@ -216,9 +217,7 @@ def _by_routing(docs: DataFrame, packed: DataFrame, shards: int, min_chars: int)
     return docs.join(lost, "doc_id", "left").select(*docs.columns, "_lost").mapInArrow(rewrite, _out(schema))
 
 
-def _out(schema) -> object:
-    from pyspark.sql.types import LongType, StructField, StructType
-
+def _out(schema: StructType) -> StructType:
     return StructType([f for f in schema.fields if f.name not in ("n_lines", "n_dropped")] + [StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
 
 
@@ -231,8 +230,6 @@ def _with(batch: pa.RecordBatch, done: list[tuple[str, int, int]]) -> pa.RecordB
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
-    from tidewatch.llm.tables import table
-
     done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import line_dedup, piece_bpe
+from tidewatch.llm import line_dedup, piece_bpe, topk, url_filter
 
 
 def queries() -> dict:
     return {
+        "op4_url_filter": url_filter.op4_url_filter,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_piece_bpe": piece_bpe.op8_piece_bpe,
+        "op9_topk": topk.op9_topk,
     }
 
 
 def oracle_sql() -> dict:
     return {
+        "op4_url_filter": url_filter.OP4_SQL,
         "op7_line_dedup": line_dedup.OP7_SQL,
+        "op9_topk": topk.OP9_SQL,
     }
