@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import line_dedup, piece_bpe, topk, url_filter
+from tidewatch.llm import line_dedup, piece_bpe, quality, topk, url_filter
 
 
 def queries() -> dict:
     return {
+        "op3_quality": quality.op3_quality,
         "op4_url_filter": url_filter.op4_url_filter,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_piece_bpe": piece_bpe.op8_piece_bpe,
