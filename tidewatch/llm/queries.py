@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import line_dedup, piece_bpe, quality, topk, url_filter
+from tidewatch.llm import line_dedup, piece_bpe, quality, topk, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_piece_bpe": piece_bpe.op8_piece_bpe,
         "op9_topk": topk.op9_topk,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
