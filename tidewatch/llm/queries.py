@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import line_dedup, piece_bpe, quality, topk, toxicity, url_filter
+from tidewatch.llm import chat_format, line_dedup, piece_bpe, quality, sharding, topk, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_preference_format": chat_format.op1_preference_format,
         "op3_quality": quality.op3_quality,
         "op4_url_filter": url_filter.op4_url_filter,
+        "op6_bounded_ring": sharding.op6_bounded_ring,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_piece_bpe": piece_bpe.op8_piece_bpe,
         "op9_topk": topk.op9_topk,
@@ -18,6 +20,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op1_preference_format": chat_format.OP1_SQL,
         "op4_url_filter": url_filter.OP4_SQL,
         "op7_line_dedup": line_dedup.OP7_SQL,
         "op9_topk": topk.OP9_SQL,

@@ -85,11 +85,17 @@ class Words:
 
 
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range, from one running sum over the buffer."""
-    up, down = powers(len(data))
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start])
+    """A 64-bit hash of each byte range, from running sums over the buffer; starts ascend."""
+    out, i = np.empty(len(start), np.uint64), 0
+    while i < len(start):  # a block of ranges at a time, so that long buffers need no long tables
+        j = max(i + 1, int(np.searchsorted(start, start[i] + CHUNK_BYTES)))
+        base, top = int(start[i]), int(end[i:j].max())
+        up, down = powers(top - base)
+        total = np.zeros(top - base + 1, dtype=np.uint64)
+        np.cumsum((data[base:top].astype(np.uint64) + np.uint64(1)) * up[: top - base], out=total[1:])
+        out[i:j] = mix((total[end[i:j] - base] - total[start[i:j] - base]) * down[start[i:j] - base])
+        i = j
+    return out
 
 
 def batches(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, int, Words]]:

@@ -42,15 +42,15 @@ def word_inputs(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np
     buckets, owners = [], []
     for n in _GRAMS:
         many = np.maximum(width - n + 1, 0)
-        owner = np.repeat(np.arange(len(start)), many)
+        owner = np.repeat(np.arange(len(start), dtype=np.int32), many)
         at = np.repeat(start - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
         gram = np.full(len(at), np.uint64(n), np.uint64)
         for k in range(n):
             gram = gram * np.uint64(257) + data[at + k]
-        buckets.append((mix(gram * _MARK) >> np.uint64(64 - BITS)).astype(np.int64))
+        buckets.append((mix(gram * _MARK) >> np.uint64(64 - BITS)).astype(np.int32))
         owners.append(owner)
-    short = np.flatnonzero(width < _GRAMS[0])
-    buckets.append((mix(hashes[short]) >> np.uint64(64 - BITS)).astype(np.int64))
+    short = np.flatnonzero(width < _GRAMS[0]).astype(np.int32)
+    buckets.append((mix(hashes[short]) >> np.uint64(64 - BITS)).astype(np.int32))
     owners.append(short)
     gram, owner = np.concatenate(buckets), np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
@@ -97,8 +97,12 @@ class Network:
         n = len(word)
         if not n:
             return np.zeros((0, 2 * EMBED), np.float32)
-        held = np.add.reduceat(self.p["gram"][gram], starts[:-1], axis=0) / np.sqrt(np.diff(starts))[:, None]
-        return np.concatenate([self.p["word"][word], held], axis=1).astype(np.float32)
+        out = np.empty((n, 2 * EMBED), np.float32)
+        out[:, :EMBED] = self.p["word"][word]
+        for k in range(0, n, 1 << 15):
+            own = starts[k : k + (1 << 15) + 1]
+            out[k : k + len(own) - 1, EMBED:] = np.add.reduceat(self.p["gram"][gram[own[0] : own[-1]]], own[:-1] - own[0], axis=0) / np.sqrt(np.diff(own))[:, None]
+        return out
 
     def run(self, x: np.ndarray, windows: np.ndarray, keep: bool = False):
         """Logits of windows over the word vectors x; with keep, also what the backward pass needs."""
@@ -192,18 +196,18 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def _odds(batch: Batch, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log odds of the documents that hold a bucket, for words and n-grams: where the embeddings begin."""
-    doc = np.repeat(np.arange(len(y)), np.diff(batch.first))
-    pairs = np.unique(np.stack([np.repeat(doc, WINDOW), batch.windows.ravel()], axis=1)[batch.windows.ravel() >= 0], axis=0)
-    out = []
-    for bucket, starts in ((batch.word, np.arange(len(batch.word) + 1)), (batch.gram, batch.starts)):
-        many = np.diff(starts)[pairs[:, 1]]
+    held = np.zeros((2, 2, 1 << BITS))
+    for k in range(len(y)):
+        words = np.unique(batch.windows[batch.first[k] : batch.first[k + 1]])
+        words = words[words >= 0]
+        many = np.diff(batch.starts)[words]
         begin = np.concatenate([[0], np.cumsum(many)])
-        at = np.repeat(starts[pairs[:, 1]] - begin[:-1], many) + np.arange(begin[-1])
-        held = np.unique((np.repeat(pairs[:, 0], many) << BITS) | bucket[at])
-        toxic = y[held >> BITS] > 0
-        yes, no = (np.bincount(held[k] & ((1 << BITS) - 1), minlength=1 << BITS) for k in (toxic, ~toxic))
-        out.append(np.log((yes + 0.3) / (y.sum() + 1)) - np.log((no + 0.3 * max(1.0, (len(y) - y.sum()) / max(1, y.sum()))) / (len(y) - y.sum() + 1)))
-    return out[0].astype(np.float32), out[1].astype(np.float32)
+        grams = batch.gram[np.repeat(batch.starts[words] - begin[:-1], many) + np.arange(begin[-1])]
+        for kind, buckets in enumerate((batch.word[words], grams)):
+            held[kind, int(y[k] > 0), np.unique(buckets)] += 1
+    n = y.sum()
+    odds = np.log((held[:, 1] + 0.3) / (n + 1)) - np.log((held[:, 0] + 0.3 * max(1.0, (len(y) - n) / max(1, n))) / (len(y) - n + 1))
+    return odds[0].astype(np.float32), odds[1].astype(np.float32)
 
 
 def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> Network:
@@ -228,7 +232,7 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -
     for epoch in range(epochs):
         if epoch:
             x = net.inputs(batch.word, batch.gram, batch.starts)
-            lead = net.run(x, batch.windows[held])
+            lead = _run(net, x, batch.windows[held])
         order = np.lexsort((-lead, doc_of))
         rank = np.arange(len(order)) - begin_of[doc_of[order]]
         chosen = held[order[(rank < 1) | ((rank < 2) & (y[doc_of[order]] == 0))]]
@@ -256,10 +260,14 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -
                 rate = 0.01 if name not in ("word", "gram") else 0.003
                 net.p[name] -= rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-7)
     x = net.inputs(batch.word, batch.gram, batch.starts)
-    _scale(net, np.maximum.reduceat(net.run(x, batch.windows[held]), begin_of).astype(float), y)
+    _scale(net, np.maximum.reduceat(_run(net, x, batch.windows[held]), begin_of).astype(float), y)
     return net
 
 
+def _run(net: Network, x: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    return np.concatenate([net.run(x, windows[k : k + 4096]) for k in range(0, len(windows), 4096)])
+
+
 def _scale(net: Network, most: np.ndarray, y: np.ndarray) -> None:
     """Slope and shift of document logits by Newton steps on a damped logistic loss."""
     a = np.stack([most, np.ones(len(y))], axis=1)
