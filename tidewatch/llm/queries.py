@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import chat_format, line_dedup, piece_bpe, quality, sharding, topk, toxicity, url_filter
+from tidewatch.llm import chat_format, decontaminate, line_dedup, piece_bpe, quality, sharding, topk, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_preference_format": chat_format.op1_preference_format,
+        "op2_decontamination": decontaminate.op2_decontamination,
         "op3_quality": quality.op3_quality,
         "op4_url_filter": url_filter.op4_url_filter,
         "op6_bounded_ring": sharding.op6_bounded_ring,
