@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import chat_format, decontaminate, line_dedup, piece_bpe, quality, sharding, topk, toxicity, url_filter
+from tidewatch.llm import chat_format, decontaminate, line_dedup, ngram_join, piece_bpe, quality, sharding, topk, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_decontamination": decontaminate.op2_decontamination,
         "op3_quality": quality.op3_quality,
         "op4_url_filter": url_filter.op4_url_filter,
+        "op5_ngram_join": ngram_join.op5_ngram_join,
         "op6_bounded_ring": sharding.op6_bounded_ring,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_piece_bpe": piece_bpe.op8_piece_bpe,
@@ -23,6 +24,7 @@ def oracle_sql() -> dict:
     return {
         "op1_preference_format": chat_format.OP1_SQL,
         "op4_url_filter": url_filter.OP4_SQL,
+        "op5_ngram_join": ngram_join.OP5_SQL,
         "op7_line_dedup": line_dedup.OP7_SQL,
         "op9_topk": topk.OP9_SQL,
     }
