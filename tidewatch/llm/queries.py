@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tidewatch.llm import chat_format, decontaminate, line_dedup, ngram_join, piece_bpe, quality, sharding, topk, toxicity, url_filter
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op8_piece_bpe": piece_bpe.op8_piece_bpe,
         "op9_topk": topk.op9_topk,
         "op10_toxicity": toxicity.op10_toxicity,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,3 +28,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def sized(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Keys of a few bytes a row, counted: to be broadcast up to most rows, and joined by shuffle beyond."""
+    keys = cut(keys)
+    return F.broadcast(keys) if keys.count() <= most else keys
