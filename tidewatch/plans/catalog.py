@@ -2,10 +2,132 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidewatch.functions import zones
+from tidewatch.functions.grading import public_id
+from tidewatch.operators import detect, downsample, evaluate, fusion, intervals, matching, tracks, upkeep
+from tidewatch.plans import fixtures, oracles
+from tidewatch.sources import lens
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_NOW = oracles._NOW
+
+
+def _outages(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(fixtures.OUTAGES, "key string, opened_us long, closed_us long")
+
+
+def _runs(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(fixtures.RUNS, "key string, started_us long, stopped_us long, last_message_us long")
+
+
+def _events(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(fixtures.EVENTS, "event_id string, kind string, mmsi string, ts_us long, lat double, lon double")
+
+
+def _kinematic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings of the two detectors that need no scan in order."""
+    p = lens.positions(spark, sf_dir)
+    return detect.gaps(p, _outages(spark)).unionByName(detect.spoofs(p))
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.select(*[F.round(c, 9).alias(c) if c in ("lat", "lon") else F.array_join(c, ",").alias(c) if c == "techniques" else F.col(c) for c in detect.COLUMNS if c not in ("counterpart_mmsi", "region")])
+
+
+def _threat(rows: DataFrame) -> DataFrame:
+    return fusion.fuse(rows).select("mmsi", "n_incidents", "n_detectors", "detectors", "techniques", "max_score", "best_reliability", "risk", "severity")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Risk of each vessel, fused from all detectors, the riskiest first."""
+    return fusion.fuse(detect.all_incidents(lens.positions(spark, sf_dir), _outages(spark))).orderBy(F.desc("risk"), "mmsi")
+
+
+def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracks.summaries(lens.positions(spark, sf_dir))
+
+
+def _dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = lens.positions(spark, sf_dir).select("id", "mmsi", F.expr("us div 7200000000").alias("us"))
+    return upkeep.new_positions(p.where("id % 4 <> 0"), p.where("id % 4 = 0"))
+
+
+def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = spark.createDataFrame([("gap",), ("spoof",), ("loiter",), ("rendezvous",), ("anomaly",)], "detector string")
+    counts = _kinematic(spark, sf_dir).groupBy("detector").agg(F.count("*").alias("incidents"), F.count_distinct("mmsi").alias("vessels"))
+    return names.join(counts, "detector", "left").fillna(0)
+
+
+def _truth(spark: SparkSession) -> DataFrame:
+    return _events(spark).select(F.col("event_id").alias("truth_id"), "kind", "mmsi", F.col("ts_us").alias("ts_start_us"), F.col("ts_us").alias("ts_end_us"))
+
+
+def _wilson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.precision_intervals(_kinematic(spark, sf_dir).withColumn("confirmed", F.expr("ts_start_us div 1000000 % 3 = 0")))
+
+
+def _auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _kinematic(spark, sf_dir).select("score", (F.col("detector") == "spoof").alias("positive"), (F.lit(1.0) + F.expr("ts_start_us div 1000000 % 4")).alias("weight"))
+    return evaluate.weighted_auc(rows, "score", "positive", "weight")
+
+
+def _attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.incident_tracks(_kinematic(spark, sf_dir), _tracks(spark, sf_dir))
+
+
+def _strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _kinematic(spark, sf_dir)
+    return evaluate.review_strata(_tracks(spark, sf_dir), matching.incident_tracks(found, _tracks(spark, sf_dir)).select("incident_id", "track_id"), found, 0.7)
+
+
+def queries() -> dict[str, Query]:
+    pos = lens.positions
+    return {
+        "position_reports": lambda s, d: pos(s, d).select("id", "mmsi", "us", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), F.round("sog", 6).alias("sog")),
+        "haversine_steps": lambda s, d: tracks.steps(pos(s, d)).where("prev_us IS NOT NULL").select("id", "mmsi", "us", "seconds", F.round("km", 6).alias("km"), F.round("knots", 4).alias("knots")),
+        "voyage_segments": lambda s, d: tracks.voyages(pos(s, d)).select("id", "mmsi", "us", "voyage"),
+        "track_summary": lambda s, d: _tracks(s, d).select("track_id", "mmsi", "voyage", "start_us", "end_us", "point_count", F.round("distance_km", 6).alias("distance_km"), F.round("max_implied_kn", 4).alias("max_implied_kn"), F.round("start_lat", 9).alias("start_lat"), F.round("end_lon", 9).alias("end_lon"), F.round("mean_sog", 6).alias("mean_sog")),
+        "track_shapes": lambda s, d: tracks.shapes(pos(s, d)),
+        "polyline_simplify": lambda s, d: tracks.polylines(pos(s, d)),
+        "gap_coverage": lambda s, d: detect.coverage(detect.gap_segments(pos(s, d), _outages(s)), pos(s, d)).select("id", "mmsi", "witnessed", "witnesses", F.round("support", 6).alias("support"), "verdict"),
+        "gap_incidents": lambda s, d: _shown(detect.gaps(pos(s, d), _outages(s))),
+        "spoof_incidents": lambda s, d: _shown(detect.spoofs(pos(s, d))),
+        "loiter_incidents": lambda s, d: _shown(detect.loiters(pos(s, d))),
+        "rendezvous_candidates": lambda s, d: detect.meeting_candidates(pos(s, d)),
+        "rendezvous_incidents": lambda s, d: _shown(detect.rendezvous(pos(s, d))),
+        "partner_degree": lambda s, d: detect.partner_degree(detect.meetings(pos(s, d))),
+        "zone_attribution": lambda s, d: pos(s, d).select("id", zones.zone_of(F.col("lat"), F.col("lon")).alias("zone_id"), zones.in_kind(F.col("lat"), F.col("lon"), "port").alias("in_port")),
+        "witness_index": lambda s, d: detect.witness_index(pos(s, d)),
+        "footprint_profile": lambda s, d: evaluate.footprint(pos(s, d)),
+        "observed_intervals": lambda s, d: intervals.observed(_runs(s), _outages(s), _NOW),
+        "observed_vessel_hours": lambda s, d: intervals.overlap_hours(_tracks(s, d), intervals.observed(_runs(s), _outages(s), _NOW)),
+        "incident_track_attribution": _attributed,
+        "event_track_match": lambda s, d: matching.event_matches(_events(s), _tracks(s, d)),
+        "corroborated_incidents": lambda s, d: matching.corroborated(_kinematic(s, d), _events(s)).select("incident_id"),
+        "position_dedup": _dedup,
+        "vessel_dimension": lambda s, d: upkeep.vessel_dimension(pos(s, d)),
+        "dirty_backlog": lambda s, d: upkeep.dirty_backlog(pos(s, d), _tracks(s, d).where("voyage < 6")),
+        "retention": lambda s, d: upkeep.pruned(pos(s, d), lens.EPOCH_US + 43_200_000_000, days=0).select("id"),
+        "downsample_positions": lambda s, d: downsample.downsampled(pos(s, d), seconds=1800.0, turn=120.0, speed=5.0).select("id", "mmsi"),
+        "vessel_threat_kinematic": lambda s, d: _threat(_kinematic(s, d)),
+        "vessel_threat_rollup": flagship,
+        "incident_topk": lambda s, d: fusion.ranked(_kinematic(s, d), 50).select("incident_id", "score"),
+        "score_drift": lambda s, d: evaluate.drift(_kinematic(s, d)),
+        "detector_pr": lambda s, d: evaluate.detector_scores(_kinematic(s, d), _truth(s)),
+        "wilson_precision": _wilson,
+        "roc_auc": _auc,
+        "cohort_select": lambda s, d: evaluate.cohort(pos(s, d), _events(s).where("mmsi IS NOT NULL").select("mmsi"), 20, 6),
+        "stats_by_detector": _stats,
+        "geoint_evidence": lambda s, d: fusion.evidence(_kinematic(s, d)).select("incident_id", "mmsi", "detector", "severity", "reliability", "credibility", public_id(F.col("incident_id")).alias("public_id")),
+        "review_strata": _strata,
+        "review_queue": lambda s, d: evaluate.review_queue(_strata(s, d), {"ais-artifact-candidate": 60, "near-threshold": 60, "alert": 100, "rest": 40}),
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(oracles.ORACLES)
