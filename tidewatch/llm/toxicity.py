@@ -71,7 +71,7 @@ class Batch:
         _, once, which = np.unique(words.hash[fresh], return_index=True, return_inverse=True)
         start, end, hashes = (x[fresh][once] for x in (words.start, words.end, words.hash))
         self.word, self.gram, self.starts = word_inputs(words.data, start, end, hashes)
-        count = np.diff(ends)
+        self.count = count = np.diff(ends)
         many = np.maximum(1, -(-(count - WINDOW) // STRIDE) + 1)
         self.first = np.concatenate([[0], np.cumsum(many)])
         row = np.repeat(np.arange(len(count)), many)
@@ -91,7 +91,7 @@ class Network:
         self.p = {"word": draw(1 << BITS, EMBED, s=0.02), "gram": draw(1 << BITS, EMBED, s=0.02), "att_w": draw(2 * h, h, s=0.3), "att_v": draw(h, s=0.3), "out": draw(2 * h, s=0.3), "out_b": np.zeros(1, np.float32)}
         for way in "fb":
             self.p |= {f"{way}_w": draw(d, 3 * h, s=0.4), f"{way}_u": draw(h, 3 * h, s=0.3), f"{way}_b": np.zeros(3 * h, np.float32)}
-        self.slope, self.shift = 1.0, 0.0
+        self.slope, self.shift, self.floor = 1.0, 0.0, 0.0
 
     def inputs(self, word: np.ndarray, gram: np.ndarray, starts: np.ndarray) -> np.ndarray:
         n = len(word)
@@ -184,6 +184,7 @@ class Network:
         if len(batch.first) < 2:
             return np.zeros(0)
         most = np.maximum.reduceat(self.logits(batch), batch.first[:-1]).astype(float)
+        most[batch.count == 0] = self.floor  # nothing said is as little toxic as anything the sample held
         return 1 / (1 + np.exp(-np.clip(self.slope * most + self.shift, -30, 30)))
 
 
@@ -206,7 +207,7 @@ def _odds(batch: Batch, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for kind, buckets in enumerate((batch.word[words], grams)):
             held[kind, int(y[k] > 0), np.unique(buckets)] += 1
     n = y.sum()
-    odds = np.log((held[:, 1] + 0.3) / (n + 1)) - np.log((held[:, 0] + 0.3 * max(1.0, (len(y) - n) / max(1, n))) / (len(y) - n + 1))
+    odds = np.log((held[:, 1] + 0.3) / (n + 1)) - np.log((held[:, 0] + 0.8 * max(1.0, (len(y) - n) / max(1, n))) / (len(y) - n + 1))
     return odds[0].astype(np.float32), odds[1].astype(np.float32)
 
 
@@ -275,7 +276,7 @@ def _scale(net: Network, most: np.ndarray, y: np.ndarray) -> None:
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         w -= np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + damp, a.T @ (p - y) + damp @ (w - [1.0, 0.0]))
-    net.slope, net.shift = max(float(w[0]), 1e-3), float(w[1])
+    net.slope, net.shift, net.floor = max(float(w[0]), 1e-3), float(w[1]), float(most.min())
 
 
 def _parts(column: pa.Array) -> Iterator[Batch]:
@@ -295,7 +296,7 @@ def train(docs: DataFrame, labels: DataFrame, usable, label: str = "toxic", most
 def score(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
     """All columns of docs, score (0 to 1, higher: more likely toxic) and predicted (1 from threshold on).
 
-    A null text, and one without words, is scored as a window of padding. Rows are scored
+    A null text, and one without words, scores as low as the least toxic document of the sample. Rows are scored
     one by one, so repeated rows agree; columns that clash with the results are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(net)
