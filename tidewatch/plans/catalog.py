@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import zones
 from tidewatch.functions.grading import public_id
-from tidewatch.operators import detect, downsample, evaluate, fusion, intervals, matching, tracks, upkeep
+from tidewatch.operators import anomaly, detect, downsample, evaluate, fusion, intervals, matching, publish, tracks, upkeep
 from tidewatch.plans import fixtures, oracles
 from tidewatch.sources import lens
 
@@ -85,6 +85,24 @@ def _strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.review_strata(_tracks(spark, sf_dir), matching.incident_tracks(found, _tracks(spark, sf_dir)).select("incident_id", "track_id"), found, 0.7)
 
 
+def _model(shapes: DataFrame) -> anomaly.SequenceModel:
+    x = anomaly.training_sample(shapes, "sequence", 2_000)
+    return anomaly.SequenceModel().fit(x, epochs=60).calibrate(x)
+
+
+def _anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = tracks.shapes(lens.positions(spark, sf_dir))
+    return _shown(anomaly.anomalies(made, _tracks(spark, sf_dir), _model(made)))
+
+
+def _baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = tracks.shapes(lens.positions(spark, sf_dir))
+    x = anomaly.training_sample(made, "features", 2_000)
+    pca = anomaly.scored(made, anomaly.Components(x), "features").withColumnRenamed("error", "pca_error")
+    forest = anomaly.scored(made, anomaly.Forest(x, trees=100), "features").withColumnRenamed("error", "forest_error")
+    return pca.join(forest.drop("start_us"), ["mmsi", "voyage"])
+
+
 def queries() -> dict[str, Query]:
     pos = lens.positions
     return {
@@ -101,6 +119,10 @@ def queries() -> dict[str, Query]:
         "rendezvous_candidates": lambda s, d: detect.meeting_candidates(pos(s, d)),
         "rendezvous_incidents": lambda s, d: _shown(detect.rendezvous(pos(s, d))),
         "partner_degree": lambda s, d: detect.partner_degree(detect.meetings(pos(s, d))),
+        "anomaly_incidents": _anomalies,
+        "anomaly_baselines": _baselines,
+        "track_lines": lambda s, d: publish.lines(tracks.voyages(pos(s, d))),
+        "public_incidents": lambda s, d: publish.public_incidents(_kinematic(s, d), _NOW),
         "zone_attribution": lambda s, d: pos(s, d).select("id", zones.zone_of(F.col("lat"), F.col("lon")).alias("zone_id"), zones.in_kind(F.col("lat"), F.col("lon"), "port").alias("in_port")),
         "witness_index": lambda s, d: detect.witness_index(pos(s, d)),
         "footprint_profile": lambda s, d: evaluate.footprint(pos(s, d)),

@@ -122,6 +122,7 @@ ORACLES = {
           SELECT mmsi, count(*) AS n_incidents, count(DISTINCT detector) AS n_detectors, string_agg(DISTINCT detector, ',' ORDER BY detector) AS detectors,
                  array_to_string(list_sort(list_distinct(flatten(list(string_split(techniques, ','))))), ',') AS techniques, max(score) AS max_score, min(reliability) AS best_reliability, max(CASE WHEN {_sensitive('zone_id')} THEN 1 ELSE 0 END) AS sensitive FROM found GROUP BY mmsi))""",
     "incident_topk": _with(*_INCIDENTS) + "SELECT incident_id, score FROM found ORDER BY score DESC, incident_id LIMIT 50",
+    "public_incidents": _with(*_INCIDENTS) + f"SELECT CAST(sha256(incident_id)[1:12] AS VARCHAR) AS id, detector, severity, reliability, score, floor(lat * 10000 + 0.5) / 10000.0::DOUBLE AS lat, floor(lon * 10000 + 0.5) / 10000.0::DOUBLE AS lon, ts_start_us, zone_id FROM found WHERE ts_end_us <= {_NOW} - 900000000 ORDER BY ts_start_us DESC, score DESC, incident_id LIMIT 200",
     "score_drift": _with(*_INCIDENTS) + "SELECT ts_start_us // 86400000000 AS day, detector, count(*) AS n, round(quantile_cont(score, 0.5), 6) AS p50, round(quantile_cont(score, 0.95), 6) AS p95 FROM found GROUP BY 1, 2",
     "detector_pr": _with(*_INCIDENTS, _EVENTS) + """, hits AS (SELECT f.detector, count(DISTINCT event_id) AS found, count(DISTINCT incident_id) AS hits FROM found f JOIN ext e ON e.kind = f.detector AND e.mmsi = f.mmsi AND greatest(ts_start_us, ts_us) <= least(ts_end_us, ts_us) + 1800000000 GROUP BY 1)
         SELECT detector, coalesce(i.n, 0) AS incidents, coalesce(t.n, 0) AS truths, coalesce(found, 0) AS found, coalesce(hits, 0) AS hits, CASE WHEN i.n > 0 THEN round(coalesce(hits, 0) / i.n, 6) ELSE 1.0 END AS "precision", CASE WHEN t.n > 0 THEN round(coalesce(found, 0) / t.n, 6) ELSE 1.0 END AS recall
