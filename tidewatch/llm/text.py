@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 _LOWER = np.arange(256, dtype=np.uint8)
