@@ -82,3 +82,28 @@ def review_queue(strata: DataFrame, caps: dict[str, int], seed: str = "queue-v1"
         cap = F.when(F.col("stratum") == s, n).otherwise(cap)
     every = every.join(F.broadcast(sizes), "stratum").withColumn("probability", F.round(F.least(F.lit(1.0), cap / F.col("size")), 6))
     return every.withColumn("queue_order", F.row_number().over(W.orderBy("digest"))).select("track_id", "stratum", "probability", "queue_order")
+
+
+def pilot_figures(runs: DataFrame, outages: DataFrame, spans: DataFrame, hours: DataFrame, incidents: DataFrame, now_us: int) -> DataFrame:
+    """One row: hours of outage, reconnects, share of time observed, vessel-hours observed and alerts per 100 of them."""
+    hour = F.lit(3.6e9)
+    out = outages.agg(F.round(F.sum(F.greatest(F.lit(0), F.least(F.coalesce("closed_us", F.lit(now_us)), F.lit(now_us)) - F.col("opened_us"))) / hour, 6).alias("outage_hours"))
+    ran = runs.agg((F.count("*") - 1).alias("reconnects"), F.min("started_us").alias("since"))
+    seen = spans.agg(F.sum(F.col("end_us") - F.col("start_us")).alias("seen"))
+    vessel = hours.agg(F.round(F.sum("observed_hours"), 4).alias("vessel_hours"))
+    alerts = incidents.agg(F.count("*").alias("alerts"))
+    one = out.crossJoin(ran).crossJoin(seen).crossJoin(vessel).crossJoin(alerts)  # single rows
+    rate = F.when(F.col("vessel_hours") > 0, F.round(100 * F.col("alerts") / F.col("vessel_hours"), 4))
+    return one.select("outage_hours", "reconnects", F.round(F.col("seen") / (F.lit(now_us) - F.col("since")), 6).alias("uptime"), "vessel_hours", "alerts", rate.alias("alerts_per_100_hours"))
+
+
+def agreement(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Per label of the first review: how many tracks were reviewed again and how many labels agreed."""
+    both = first.select("track_id", F.col("label").alias("label")).join(second.select("track_id", F.col("label").alias("again")), "track_id")
+    return both.groupBy("label").agg(F.count("*").alias("n"), F.sum((F.col("label") == F.col("again")).cast("long")).alias("agreed"))
+
+
+def external_rates(incidents: DataFrame, borne_out: DataFrame) -> DataFrame:
+    """Per detector: incidents, how many an external event bears out, and their share."""
+    rows = incidents.select("incident_id", "detector").join(borne_out.select("incident_id").distinct().withColumn("hit", F.lit(1)), "incident_id", "left")
+    return rows.groupBy("detector").agg(F.count("*").alias("n"), F.count("hit").alias("k")).withColumn("rate", F.round(F.col("k") / F.col("n"), 6))

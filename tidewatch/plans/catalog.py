@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import zones
 from tidewatch.functions.grading import public_id
-from tidewatch.operators import anomaly, detect, downsample, evaluate, fusion, intervals, matching, publish, tracks, upkeep
+from tidewatch.operators import anomaly, detect, downsample, evaluate, fusion, incremental, intervals, matching, publish, tracks, upkeep
 from tidewatch.plans import fixtures, oracles
 from tidewatch.sources import lens
 
@@ -103,6 +103,29 @@ def _baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pca.join(forest.drop("start_us"), ["mmsi", "voyage"])
 
 
+_CUT = lens.EPOCH_US + 20 * 3_600_000_000
+
+
+def _refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks built from the first hours and refreshed with the rest."""
+    p = lens.positions(spark, sf_dir)
+    stored = tracks.summaries(p.where(F.col("us") < _CUT))
+    done = incremental.refreshed_tracks(p, stored, upkeep.dirty_backlog(p, stored))
+    return done.select("track_id", "mmsi", "voyage", "start_us", "end_us", "point_count")
+
+
+def _refreshed_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = lens.positions(spark, sf_dir)
+    before = p.where(F.col("us") < _CUT)
+    dirty = upkeep.dirty_backlog(p, tracks.summaries(before))
+    return _shown(incremental.refreshed_incidents(p, detect.all_incidents(before, _outages(spark)), dirty, _outages(spark)))
+
+
+def _pilot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = intervals.observed(_runs(spark), _outages(spark), _NOW)
+    return evaluate.pilot_figures(_runs(spark), _outages(spark), spans, intervals.overlap_hours(_tracks(spark, sf_dir), spans), _kinematic(spark, sf_dir), _NOW)
+
+
 def queries() -> dict[str, Query]:
     pos = lens.positions
     return {
@@ -134,6 +157,10 @@ def queries() -> dict[str, Query]:
         "position_dedup": _dedup,
         "vessel_dimension": lambda s, d: upkeep.vessel_dimension(pos(s, d)),
         "dirty_backlog": lambda s, d: upkeep.dirty_backlog(pos(s, d), _tracks(s, d).where("voyage < 6")),
+        "incremental_tracks": _refreshed,
+        "incremental_incidents": _refreshed_incidents,
+        "pilot_figures": _pilot,
+        "external_agreement": lambda s, d: evaluate.external_rates(_kinematic(s, d), matching.corroborated(_kinematic(s, d), _events(s))),
         "retention": lambda s, d: upkeep.pruned(pos(s, d), lens.EPOCH_US + 43_200_000_000, days=0).select("id"),
         "downsample_positions": lambda s, d: downsample.downsampled(pos(s, d), seconds=1800.0, turn=120.0, speed=5.0).select("id", "mmsi"),
         "vessel_threat_kinematic": lambda s, d: _threat(_kinematic(s, d)),

@@ -111,6 +111,11 @@ ORACLES = {
     "position_dedup": _with() + "SELECT id, mmsi, us FROM (SELECT id, mmsi, us // 7200000000 AS us, row_number() OVER (PARTITION BY mmsi, us // 7200000000 ORDER BY id DESC) AS k FROM positions WHERE id % 4 <> 0) b WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM positions s WHERE s.id % 4 = 0 AND s.mmsi = b.mmsi AND s.us // 7200000000 = b.us)",
     "vessel_dimension": _with() + "SELECT mmsi, min(us) AS first_us, max(us) AS last_us, arg_min(nav_status, (us, id)) AS first_status, count(*) AS reports FROM positions GROUP BY mmsi",
     "dirty_backlog": _with(*_BASE) + "SELECT p.mmsi, last_us, built_us FROM (SELECT mmsi, max(us) AS last_us FROM positions GROUP BY mmsi) p LEFT JOIN (SELECT mmsi, max(end_us) AS built_us FROM tracks WHERE voyage < 6 GROUP BY mmsi) t ON t.mmsi = p.mmsi WHERE built_us IS NULL OR last_us > built_us",
+    "incremental_tracks": _with(*_BASE) + "SELECT track_id, mmsi, voyage, start_us, end_us, point_count FROM tracks",
+    "pilot_figures": _with(STEPS, VOYAGES, TRACKS, SILENT.replace("outages(", "outages_(").replace("FROM outages o", "FROM outages_ o"), COVERED, FOUND, _OBSERVED) + f""", vh AS (SELECT round(sum(h), 4) AS vessel_hours FROM (SELECT round(sum(greatest(0, least(t.end_us, o.end_us) - greatest(t.start_us, o.start_us))) / 3.6e9, 6) AS h FROM tracks t JOIN observed o ON t.start_us < o.end_us AND t.end_us > o.start_us GROUP BY t.track_id))
+        SELECT (SELECT round(sum(greatest(0, least(coalesce(closed_us, {_NOW}), {_NOW}) - opened_us)) / 3.6e9, 6) FROM outs) AS outage_hours, (SELECT count(*) - 1 FROM runs) AS reconnects,
+               (SELECT round(sum(end_us - start_us) / ({_NOW} - (SELECT min(started_us) FROM runs)), 6) FROM observed) AS uptime, vessel_hours, (SELECT count(*) FROM found) AS alerts, round(100 * (SELECT count(*) FROM found) / vessel_hours, 4) AS alerts_per_100_hours FROM vh""",
+    "external_agreement": _with(*_INCIDENTS, _EVENTS) + f"SELECT detector, count(*) AS n, count(*) FILTER (WHERE hit) AS k, round(count(*) FILTER (WHERE hit) / count(*), 6) AS rate FROM (SELECT detector, EXISTS (SELECT 1 FROM ext e WHERE e.kind = f.detector AND (e.mmsi IS NULL OR e.mmsi = f.mmsi) AND greatest(0, f.ts_start_us - e.ts_us, e.ts_us - f.ts_end_us) <= 86400000000 AND {_km('f.lat', 'f.lon', 'e.lat', 'e.lon')} <= 25) AS hit FROM found f) GROUP BY 1",
     "retention": _with() + "SELECT id FROM positions WHERE us >= 1704067200000000 + 43200000000",
     "downsample_positions": _with("ordered AS (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY us, id) AS rn FROM positions)", """walk AS (
         SELECT mmsi, rn, id, us AS l_us, heading AS l_h, sog AS l_s, nav_status AS l_n, true AS ok FROM ordered WHERE rn = 1
