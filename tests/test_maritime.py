@@ -297,3 +297,25 @@ def test_publishing(spark, tmp_path):
     (line,) = publish.lines(tracks.voyages(p), 10).collect()
     points = json.loads(line["feature"])["geometry"]["coordinates"]
     assert len(points) == 10 and points[0] == [103.0, 1.0] and points[-1] == [103.0, 1.039]
+
+
+def test_refreshed_tables_equal_a_full_build(spark):
+    from tidewatch.operators import incremental
+
+    rows = [(m, t, 1.2, 103.6 + t / 4000, 9) for m in ("1", "2") for t in (0, 10, 20, 200, 210, 330, 340)] + [("3", 5, 1.2, 103.6, 9)]
+    p = _reports(spark, rows)
+    early = p.where(F.col("us") < T0 + 205 * MIN)
+    stored = tracks.summaries(early)
+    dirty = upkeep.dirty_backlog(p, stored)
+    assert sorted(r["mmsi"] for r in dirty.collect()) == ["1", "2"]
+    shown = lambda df: sorted((r["track_id"], r["voyage"], r["point_count"]) for r in df.collect())
+    assert shown(incremental.refreshed_tracks(p, stored, dirty)) == shown(tracks.summaries(p))
+    ids = lambda df: sorted(r["incident_id"] for r in df.collect())
+    assert ids(incremental.refreshed_incidents(p, detect.all_incidents(early), dirty)) == ids(detect.all_incidents(p))
+
+
+def test_agreement_and_external_rates(spark):
+    a, b = (spark.createDataFrame(x, "track_id string, label string") for x in ([("1", "odd"), ("2", "odd"), ("3", "fine")], [("1", "odd"), ("2", "fine")]))
+    assert [tuple(r) for r in evaluate.agreement(a, b).collect()] == [("odd", 2, 1)]
+    i = spark.createDataFrame([("a", "gap"), ("b", "gap"), ("c", "spoof")], "incident_id string, detector string")
+    assert sorted(tuple(r) for r in evaluate.external_rates(i, i.where("incident_id = 'a'")).collect()) == [("gap", 2, 1, 0.5), ("spoof", 1, 0, 0.0)]
