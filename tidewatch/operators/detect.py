@@ -110,6 +110,18 @@ def _km(lat1, lon1, lat2, lon2) -> np.ndarray:
     return 2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1, h)))
 
 
+def _reach(lat: np.ndarray, lon: np.ndarray, i: int, radius_km: float) -> int:
+    """The first report after i that is out of i's reach, looking ahead in widening steps."""
+    ahead, n = 32, len(lat)
+    while True:
+        away = _km(lat[i], lon[i], lat[i : i + ahead], lon[i : i + ahead]) > radius_km
+        if away.any():
+            return i + int(np.argmax(away))
+        if i + ahead >= n:
+            return n
+        ahead *= 4
+
+
 def dwell_spans(us, lat, lon, sog, port, radius_km: float = 2, minutes: float = 60, slow: tuple[float, float] = (0.5, 2.0)) -> list[tuple]:
     """(first, last, lat, lon, mean speed, in port) of spans around an anchor report, found greedily.
 
@@ -117,9 +129,12 @@ def dwell_spans(us, lat, lon, sog, port, radius_km: float = 2, minutes: float =
     returned marked; a span that fails advances the anchor by one report.
     """
     out, i, n = [], 0, len(us)
+    leaves = np.append(_km(lat[:-1], lon[:-1], lat[1:], lon[1:]) > radius_km, True)
     while i < n:
-        away = _km(lat[i], lon[i], lat[i:], lon[i:]) > radius_km
-        j = i + (int(np.argmax(away)) if away.any() else n - i)
+        if leaves[i]:  # the next report is out of reach already
+            i += 1
+            continue
+        j = _reach(lat, lon, i, radius_km)
         known = sog[i:j][~np.isnan(sog[i:j])]
         mean = float(known.mean()) if len(known) else 0.0
         if j - i >= 2 and us[j - 1] - us[i] >= minutes * 60e6 and slow[0] <= mean <= slow[1]:
