@@ -319,3 +319,15 @@ def test_agreement_and_external_rates(spark):
     assert [tuple(r) for r in evaluate.agreement(a, b).collect()] == [("odd", 2, 1)]
     i = spark.createDataFrame([("a", "gap"), ("b", "gap"), ("c", "spoof")], "incident_id string, detector string")
     assert sorted(tuple(r) for r in evaluate.external_rates(i, i.where("incident_id = 'a'")).collect()) == [("gap", 2, 1, 0.5), ("spoof", 1, 0, 0.0)]
+
+
+def test_threshold_comes_from_all_voyages(spark):
+    from tidewatch.plans import catalog
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, (2600, 2, 4)) * rng.gamma(1, 1, (2600, 1, 1))
+    rows = [(f"{k:04d}", 0, T0, [], v.tolist()) for k, v in enumerate(x)]
+    shapes = spark.createDataFrame(rows, "mmsi string, voyage long, start_us long, features array<double>, sequence array<array<double>>")
+    model = catalog._model(shapes)
+    errors = model.errors(x)
+    assert abs(model.threshold - np.percentile(errors, 99)) < 1e-9 and anomaly.scored(shapes, model).where(F.col("error") > model.threshold).count() == 26

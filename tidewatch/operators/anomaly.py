@@ -1,7 +1,7 @@
 """Unusual trajectories: a recurrent autoencoder over voyage steps, with PCA and isolation forest as baselines.
 
 Models are fitted in numpy on a bounded sample of voyages and broadcast; all voyages are
-scored inside the executors, batch by batch.
+scored inside the executors, batch by batch, and the threshold comes from all scores.
 """
 
 from __future__ import annotations
@@ -204,17 +204,23 @@ def training_sample(shapes: DataFrame, column: str, most: int = MAX_TRAIN) -> np
 
 
 def scored(shapes: DataFrame, model, column: str = "sequence") -> DataFrame:
-    """(mmsi, voyage, start_us, error) of every voyage."""
+    """(mmsi, voyage, start_us, error) of every voyage; rounded, so that the size of a batch doesn't show."""
     sent = shapes.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = np.array([[list(step) for step in v] if column == "sequence" else list(v) for v in batch["x"]], float)
-            yield batch[["mmsi", "voyage", "start_us"]].assign(error=sent.value.errors(x) if len(x) else np.zeros(0))
+            yield batch[["mmsi", "voyage", "start_us"]].assign(error=sent.value.errors(x).round(12) if len(x) else np.zeros(0))
 
     return shapes.select("mmsi", "voyage", "start_us", F.col(column).alias("x")).mapInPandas(run, "mmsi string, voyage long, start_us long, error double")
 
 
+def calibrated(shapes: DataFrame, model: SequenceModel, percentile: float = 99.0) -> SequenceModel:
+    """The model with its threshold at that percentile of the errors of all voyages, fitted on or not."""
+    model.threshold = float(scored(shapes, model).agg(F.percentile("error", F.lit(percentile / 100))).first()[0])
+    return model
+
+
 def anomalies(shapes: DataFrame, tracks: DataFrame, model: SequenceModel) -> DataFrame:
     """Incidents of voyages whose error exceeds the model's threshold, placed where they start."""
     rows = scored(shapes, model).where(F.col("error") > model.threshold).join(tracks.select("mmsi", "voyage", "end_us", F.col("start_lat").alias("lat"), F.col("start_lon").alias("lon"), "region"), ["mmsi", "voyage"])

@@ -86,8 +86,7 @@ def _strata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _model(shapes: DataFrame) -> anomaly.SequenceModel:
-    x = anomaly.training_sample(shapes, "sequence", 2_000)
-    return anomaly.SequenceModel().fit(x, epochs=60).calibrate(x)
+    return anomaly.calibrated(shapes, anomaly.SequenceModel().fit(anomaly.training_sample(shapes, "sequence")))
 
 
 def _anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,9 +96,9 @@ def _anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = tracks.shapes(lens.positions(spark, sf_dir))
-    x = anomaly.training_sample(made, "features", 2_000)
+    x = anomaly.training_sample(made, "features")
     pca = anomaly.scored(made, anomaly.Components(x), "features").withColumnRenamed("error", "pca_error")
-    forest = anomaly.scored(made, anomaly.Forest(x, trees=100), "features").withColumnRenamed("error", "forest_error")
+    forest = anomaly.scored(made, anomaly.Forest(x), "features").withColumnRenamed("error", "forest_error")
     return pca.join(forest.drop("start_us"), ["mmsi", "voyage"])
 
 
