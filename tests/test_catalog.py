@@ -28,3 +28,22 @@ def test_query_equals_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_query_without_sql_runs(spark, name):
     assert catalog.queries()[name](spark, SF).count() >= 0
+
+
+def test_readers_take_the_findings_of_all_detectors(spark, monkeypatch):
+    rows = catalog._findings(spark, SF)
+    found = rows.toPandas()
+    assert set(found["detector"]) == {"gap", "spoof", "loiter", "rendezvous", "anomaly"} and found["incident_id"].is_unique
+    readers = catalog._readers(lambda s, d: rows)
+    assert {f"{name}_all" for name in readers} <= set(catalog.queries())
+    got = {k: readers[k](spark, SF).toPandas() for k in ("stats_by_detector", "incident_topk", "detector_pr", "geoint_evidence", "pilot_figures")}
+    assert dict(zip(got["stats_by_detector"]["detector"], got["stats_by_detector"]["incidents"], strict=True)) == found["detector"].value_counts().to_dict()
+    assert dict(zip(got["stats_by_detector"]["detector"], got["stats_by_detector"]["vessels"], strict=True)) == found.groupby("detector")["mmsi"].nunique().to_dict()
+    best = found.sort_values(["score", "incident_id"], ascending=[False, True])["incident_id"].head(50)
+    assert got["incident_topk"]["incident_id"].tolist() == best.tolist()
+    assert set(got["detector_pr"]["detector"]) == set(found["detector"]) and set(got["geoint_evidence"]["incident_id"]) == set(found["incident_id"])
+    assert got["pilot_figures"]["alerts"].tolist() == [len(found)]
+    monkeypatch.setattr(catalog, "_findings", lambda s, d: rows)
+    fused = catalog.flagship(spark, SF).toPandas()
+    assert set(fused["mmsi"]) == set(found["mmsi"]) and fused["n_incidents"].sum() == len(found)
+    assert any("anomaly" in d.split(",") for d in fused["detectors"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,9 @@ from tidewatch.plans import fixtures, oracles
 from tidewatch.sources import lens
 
 Query = Callable[[SparkSession, str], DataFrame]
+Found = Callable[[SparkSession, str], DataFrame]
 _NOW = oracles._NOW
+MIN_VOYAGES = 4  # fewer can't fit a model
 
 
 def _outages(spark: SparkSession) -> DataFrame:
@@ -35,6 +38,25 @@ def _kinematic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.gaps(p, _outages(spark)).unionByName(detect.spoofs(p))
 
 
+def _written(rows: DataFrame) -> DataFrame:
+    """The same rows from files of the checkpoint folder, so that what reads them twice computes them once."""
+    context = rows.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        named = rows.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return rows.checkpoint()
+
+
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings of all five detectors, written once."""
+    p = lens.positions(spark, sf_dir)
+    made = _written(tracks.shapes(p))
+    found = detect.all_incidents(p, _outages(spark))
+    if made.limit(MIN_VOYAGES).count() == MIN_VOYAGES:
+        found = found.unionByName(anomaly.anomalies(made, tracks.summaries(p), _model(made)))
+    return _written(found)
+
+
 def _shown(rows: DataFrame) -> DataFrame:
     return rows.select(*[F.round(c, 9).alias(c) if c in ("lat", "lon") else F.array_join(c, ",").alias(c) if c == "techniques" else F.col(c) for c in detect.COLUMNS if c not in ("counterpart_mmsi", "region")])
 
@@ -45,7 +67,7 @@ def _threat(rows: DataFrame) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Risk of each vessel, fused from all detectors, the riskiest first."""
-    return fusion.fuse(detect.all_incidents(lens.positions(spark, sf_dir), _outages(spark))).orderBy(F.desc("risk"), "mmsi")
+    return fusion.fuse(_findings(spark, sf_dir)).orderBy(F.desc("risk"), "mmsi")
 
 
 def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,9 +79,9 @@ def _dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upkeep.new_positions(p.where("id % 4 <> 0"), p.where("id % 4 = 0"))
 
 
-def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _stats(spark: SparkSession, sf_dir: str, found: Found = _kinematic) -> DataFrame:
     names = spark.createDataFrame([("gap",), ("spoof",), ("loiter",), ("rendezvous",), ("anomaly",)], "detector string")
-    counts = _kinematic(spark, sf_dir).groupBy("detector").agg(F.count("*").alias("incidents"), F.count_distinct("mmsi").alias("vessels"))
+    counts = found(spark, sf_dir).groupBy("detector").agg(F.count("*").alias("incidents"), F.count_distinct("mmsi").alias("vessels"))
     return names.join(counts, "detector", "left").fillna(0)
 
 
@@ -67,17 +89,17 @@ def _truth(spark: SparkSession) -> DataFrame:
     return _events(spark).select(F.col("event_id").alias("truth_id"), "kind", "mmsi", F.col("ts_us").alias("ts_start_us"), F.col("ts_us").alias("ts_end_us"))
 
 
-def _wilson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.precision_intervals(_kinematic(spark, sf_dir).withColumn("confirmed", F.expr("ts_start_us div 1000000 % 3 = 0")))
+def _wilson(spark: SparkSession, sf_dir: str, found: Found = _kinematic) -> DataFrame:
+    return evaluate.precision_intervals(found(spark, sf_dir).withColumn("confirmed", F.expr("ts_start_us div 1000000 % 3 = 0")))
 
 
-def _auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _kinematic(spark, sf_dir).select("score", (F.col("detector") == "spoof").alias("positive"), (F.lit(1.0) + F.expr("ts_start_us div 1000000 % 4")).alias("weight"))
+def _auc(spark: SparkSession, sf_dir: str, found: Found = _kinematic) -> DataFrame:
+    rows = found(spark, sf_dir).select("score", (F.col("detector") == "spoof").alias("positive"), (F.lit(1.0) + F.expr("ts_start_us div 1000000 % 4")).alias("weight"))
     return evaluate.weighted_auc(rows, "score", "positive", "weight")
 
 
-def _attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.incident_tracks(_kinematic(spark, sf_dir), _tracks(spark, sf_dir))
+def _attributed(spark: SparkSession, sf_dir: str, found: Found = _kinematic) -> DataFrame:
+    return matching.incident_tracks(found(spark, sf_dir), _tracks(spark, sf_dir))
 
 
 def _strata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,12 +142,38 @@ def _refreshed_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(incremental.refreshed_incidents(p, detect.all_incidents(before, _outages(spark)), dirty, _outages(spark)))
 
 
-def _pilot(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pilot(spark: SparkSession, sf_dir: str, found: Found = _kinematic) -> DataFrame:
     spans = intervals.observed(_runs(spark), _outages(spark), _NOW)
-    return evaluate.pilot_figures(_runs(spark), _outages(spark), spans, intervals.overlap_hours(_tracks(spark, sf_dir), spans), _kinematic(spark, sf_dir), _NOW)
+    return evaluate.pilot_figures(_runs(spark), _outages(spark), spans, intervals.overlap_hours(_tracks(spark, sf_dir), spans), found(spark, sf_dir), _NOW)
+
+
+def _external(spark: SparkSession, sf_dir: str, found: Found) -> DataFrame:
+    rows = found(spark, sf_dir)
+    return evaluate.external_rates(rows, matching.corroborated(rows, _events(spark)))
+
+
+def _readers(found: Found) -> dict[str, Query]:
+    """The queries that read findings, by the source of these."""
+    return {
+        "public_incidents": lambda s, d: publish.public_incidents(found(s, d), _NOW),
+        "incident_track_attribution": lambda s, d: _attributed(s, d, found),
+        "corroborated_incidents": lambda s, d: matching.corroborated(found(s, d), _events(s)).select("incident_id"),
+        "pilot_figures": lambda s, d: _pilot(s, d, found),
+        "external_agreement": lambda s, d: _external(s, d, found),
+        "incident_topk": lambda s, d: fusion.ranked(found(s, d), 50).select("incident_id", "score"),
+        "score_drift": lambda s, d: evaluate.drift(found(s, d)),
+        "detector_pr": lambda s, d: evaluate.detector_scores(found(s, d), _truth(s)),
+        "wilson_precision": lambda s, d: _wilson(s, d, found),
+        "roc_auc": lambda s, d: _auc(s, d, found),
+        "stats_by_detector": lambda s, d: _stats(s, d, found),
+        "geoint_evidence": lambda s, d: fusion.evidence(found(s, d)).select("incident_id", "mmsi", "detector", "severity", "reliability", "credibility", public_id(F.col("incident_id")).alias("public_id")),
+    }
 
 
 def queries() -> dict[str, Query]:
+    """Every query. Those that read findings exist twice: over the two detectors that their SQL
+    can follow, and, named NAME_all, over all five.
+    """
     pos = lens.positions
     return {
         "position_reports": lambda s, d: pos(s, d).select("id", "mmsi", "us", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), F.round("sog", 6).alias("sog")),
@@ -144,37 +192,25 @@ def queries() -> dict[str, Query]:
         "anomaly_incidents": _anomalies,
         "anomaly_baselines": _baselines,
         "track_lines": lambda s, d: publish.lines(tracks.voyages(pos(s, d))),
-        "public_incidents": lambda s, d: publish.public_incidents(_kinematic(s, d), _NOW),
         "zone_attribution": lambda s, d: pos(s, d).select("id", zones.zone_of(F.col("lat"), F.col("lon")).alias("zone_id"), zones.in_kind(F.col("lat"), F.col("lon"), "port").alias("in_port")),
         "witness_index": lambda s, d: detect.witness_index(pos(s, d)),
         "footprint_profile": lambda s, d: evaluate.footprint(pos(s, d)),
         "observed_intervals": lambda s, d: intervals.observed(_runs(s), _outages(s), _NOW),
         "observed_vessel_hours": lambda s, d: intervals.overlap_hours(_tracks(s, d), intervals.observed(_runs(s), _outages(s), _NOW)),
-        "incident_track_attribution": _attributed,
         "event_track_match": lambda s, d: matching.event_matches(_events(s), _tracks(s, d)),
-        "corroborated_incidents": lambda s, d: matching.corroborated(_kinematic(s, d), _events(s)).select("incident_id"),
         "position_dedup": _dedup,
         "vessel_dimension": lambda s, d: upkeep.vessel_dimension(pos(s, d)),
         "dirty_backlog": lambda s, d: upkeep.dirty_backlog(pos(s, d), _tracks(s, d).where("voyage < 6")),
         "incremental_tracks": _refreshed,
         "incremental_incidents": _refreshed_incidents,
-        "pilot_figures": _pilot,
-        "external_agreement": lambda s, d: evaluate.external_rates(_kinematic(s, d), matching.corroborated(_kinematic(s, d), _events(s))),
         "retention": lambda s, d: upkeep.pruned(pos(s, d), lens.EPOCH_US + 43_200_000_000, days=0).select("id"),
         "downsample_positions": lambda s, d: downsample.downsampled(pos(s, d), seconds=1800.0, turn=120.0, speed=5.0).select("id", "mmsi"),
         "vessel_threat_kinematic": lambda s, d: _threat(_kinematic(s, d)),
         "vessel_threat_rollup": flagship,
-        "incident_topk": lambda s, d: fusion.ranked(_kinematic(s, d), 50).select("incident_id", "score"),
-        "score_drift": lambda s, d: evaluate.drift(_kinematic(s, d)),
-        "detector_pr": lambda s, d: evaluate.detector_scores(_kinematic(s, d), _truth(s)),
-        "wilson_precision": _wilson,
-        "roc_auc": _auc,
         "cohort_select": lambda s, d: evaluate.cohort(pos(s, d), _events(s).where("mmsi IS NOT NULL").select("mmsi"), 20, 6),
-        "stats_by_detector": _stats,
-        "geoint_evidence": lambda s, d: fusion.evidence(_kinematic(s, d)).select("incident_id", "mmsi", "detector", "severity", "reliability", "credibility", public_id(F.col("incident_id")).alias("public_id")),
         "review_strata": _strata,
         "review_queue": lambda s, d: evaluate.review_queue(_strata(s, d), {"ais-artifact-candidate": 60, "near-threshold": 60, "alert": 100, "rest": 40}),
-    }
+    } | _readers(_kinematic) | {f"{name}_all": query for name, query in _readers(_findings).items()}
 
 
 def oracle_sql() -> dict[str, str]:
