@@ -49,6 +49,19 @@ def test_conversations_order_and_repeats(spark):
     assert chat_format.format_pairs(chat_format.replies_swapped(turns.limit(0))).count() == 0
 
 
+def test_every_conversation_makes_a_pair(spark):
+    rows = [(k, i, role, f"{role} {k}") for k in (2, 4, 5, 8, None) for i, role in enumerate(("user", "assistant"))] + [(6, 0, "user", "alone")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat_format.format_pairs(chat_format.replies_borrowed(turns)).collect()}
+    assert set(got) == {2, 4, 5, 6, 8, None}
+    assert "assistant 5" in got[4]["rejected"] and "assistant 4" in got[5]["rejected"]
+    for k in (2, 8, None):
+        assert got[k]["chosen"] == f"<|assistant|>\nassistant {k}<|end|>\n" and got[k]["rejected"].startswith("<|assistant|>\nassistant ") and got[k]["rejected"] != got[k]["chosen"]
+    assert got[6]["chosen"] == got[6]["rejected"] == "" and got[6]["n_prompt_turns"] == 1
+    (one,) = chat_format.format_pairs(chat_format.replies_borrowed(turns.where("conv_id = 2"))).collect()
+    assert one["chosen"] and one["rejected"] == "" and one["n_prompt_turns"] == 1
+
+
 # 2 -------------------------------------------------------------------------------------
 
 

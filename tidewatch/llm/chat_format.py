@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidewatch.llm.tables import table
 
 TRAINED = "assistant"
 END = "<|end|>"
+RING = 500
 
 
 def conversations(turns: DataFrame, by: str = "conv_id") -> DataFrame:
@@ -82,12 +84,44 @@ def replies_swapped(turns: DataFrame) -> DataFrame:
     return held.join(reply, "conv_id").select("conv_id", F.col("turns").alias("chosen"), swapped.alias("rejected"))
 
 
-def op1_preference_format(spark, sf_dir: str) -> DataFrame:
-    done = format_pairs(replies_swapped(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+def replies_borrowed(turns: DataFrame) -> DataFrame:
+    """Preference pairs of all conversations: each is chosen; rejected is the same with its last
+    assistant reply replaced by that of the neighbour conv_id xor 1 or, where that is missing or
+    has none, of the next conversation with a reply (of the last: the one before) in the order
+    of a hash within buckets of about RING conversations.
+
+    Without a reply of one's own or any donor, rejected ends before the last reply: its
+    completion is empty.
+    """
+    held = conversations(turns)
+    held = held.withColumn("last", F.array_max(F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: F.element_at("turns", i)["role"] == TRAINED)))
+    held = held.withColumns({"own": F.element_at("turns", F.col("last"))["text"], "h": F.xxhash64("conv_id")})
+    near = held.where("conv_id IS NOT NULL AND last IS NOT NULL").select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("own").alias("near"))
+    buckets = max(1, turns.select("conv_id").distinct().count() // RING)
+    ring = W.partitionBy(F.pmod("h", F.lit(buckets)), F.col("last").isNotNull()).orderBy("h", "conv_id")
+    held = held.withColumn("far", F.coalesce(F.lead("own").over(ring), F.lag("own").over(ring))).join(near, "conv_id", "left")
+    reply = F.coalesce("near", "far")
+    swapped = F.transform("turns", lambda t, i: F.struct(t["role"].alias("role"), F.when(i + 1 == F.col("last"), reply).otherwise(t["text"]).alias("text")))
+    ended = F.when(F.col("last").isNull(), F.col("turns")).when(reply.isNull(), F.slice("turns", F.lit(1), F.col("last") - 1)).otherwise(swapped)
+    return held.select("conv_id", F.col("turns").alias("chosen"), ended.alias("rejected"))
+
+
+def _op1(spark, sf_dir: str, pairs) -> DataFrame:
+    done = format_pairs(pairs(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
     written = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
     return done.select("conv_id", "n_prompt_turns", "prompt", "chosen", written("chosen_spans").alias("chosen_mask"), "rejected", written("rejected_spans").alias("rejected_mask"))
 
 
+def op1_preference_format(spark, sf_dir: str) -> DataFrame:
+    """The pairs that OP1_SQL makes: conversations whose neighbour has a reply."""
+    return _op1(spark, sf_dir, replies_swapped)
+
+
+def op1_preference_format_all(spark, sf_dir: str) -> DataFrame:
+    """One row for every conversation."""
+    return _op1(spark, sf_dir, replies_borrowed)
+
+
 OP1_SQL = """
 WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 o AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM t),
