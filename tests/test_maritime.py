@@ -331,3 +331,17 @@ def test_threshold_comes_from_all_voyages(spark):
     model = catalog._model(shapes)
     errors = model.errors(x)
     assert abs(model.threshold - np.percentile(errors, 99)) < 1e-9 and anomaly.scored(shapes, model).where(F.col("error") > model.threshold).count() == 26
+
+
+def test_events_match_the_whole_path(spark):
+    p = _reports(spark, [("1", t, 1.2, 103 + t / 60, 9) for t in range(0, 181, 10)] + [("2", t, 40, 10, 9) for t in range(0, 60, 10)]).withColumn("imo", F.when(F.col("mmsi") == "2", "I2"))
+    rows = [("mid", None, None, T0 + 90 * MIN, 1.2, 104.5), ("nobody", "9", None, T0, 1.2, 103.0), ("imo", None, "I2", T0, 1.2, 103.0), ("late", None, None, T0 + 2000 * MIN, 1.2, 104.5), ("strange", None, "I9", T0, 1.2, 104.0)]
+    e = spark.createDataFrame(rows, "event_id string, mmsi string, imo string, ts_us long, lat double, lon double").withColumn("kind", F.lit("gap"))
+    seen = spark.createDataFrame([("sg", T0, T0 + 600 * MIN)], "key string, start_us long, end_us long")
+    t = tracks.summaries(p)
+    got = {r["event_id"]: r for r in matching.event_matches_by_path(e, t, p, seen).collect()}
+    assert {k: (r["status"], (r["track_id"] or "")[:1], r["in_observed_coverage"]) for k, r in got.items()} == {
+        "mid": ("matched", "1", True), "nobody": ("unmatched", "", True), "imo": ("matched", "2", True), "late": ("unmatched", "", False), "strange": ("matched", "1", True),
+    }
+    assert got["mid"]["rank_value"] == 0.0
+    assert {r["event_id"]: r["status"] for r in matching.event_matches(e.drop("imo"), t).collect()}["mid"] == "unmatched"

@@ -45,6 +45,44 @@ def event_matches(events: DataFrame, tracks: DataFrame, hours: int = 24, km: flo
     return kept.unionByName(rest)
 
 
+def event_matches_by_path(events: DataFrame, tracks: DataFrame, positions: DataFrame, observed: DataFrame, hours: int = 24, km: float = 25, ratio: float = 2.0, lasts: int = 6) -> DataFrame:
+    """event_id, track_id, rank_value, status, in_observed_coverage of each event.
+
+    As event_matches, but an event lasts some hours, its distance to a track is the least to the
+    vessel's reports in the window around it or the track's end points, events outside all
+    observed spans (start_us, end_us) match nothing, and a named vessel's events match no other.
+    Events may name a vessel by imo alone, where positions carry one. Reports, tracks and events
+    meet by day; only the least distance of an event and vessel is kept.
+    """
+    limit = hours * 3_600_000_000
+    e = events if "imo" in events.columns else events.withColumn("imo", F.lit(None).cast("string"))
+    e = e.select("event_id", "mmsi", "imo", F.col("ts_us").alias("from_us"), (F.col("ts_us") + lasts * 3_600_000_000).alias("to_us"), F.col("lat").alias("e_lat"), F.col("lon").alias("e_lon"))
+    spans = F.broadcast(observed.select(F.col("start_us").alias("s_us"), F.col("end_us").alias("t_us")))
+    seen = e.join(spans, (F.col("from_us") < F.col("t_us")) & (F.col("to_us") > F.col("s_us")), "left_semi")
+    by_day = lambda df, a, b: df.withColumn("day", F.explode(F.sequence(F.floor(F.col(a) / DAY_US), F.floor(F.col(b) / DAY_US))))
+    windows = by_day(seen.withColumns({"lo": F.col("from_us") - limit, "hi": F.col("to_us") + limit}), "lo", "hi")
+    p = positions if "imo" in positions.columns else positions.withColumn("imo", F.lit(None).cast("string"))
+    heard = windows.select("event_id", "e_lat", "e_lon", "lo", "hi", "day", F.col("imo").alias("e_imo")).join(p.select(F.col("mmsi").alias("t_mmsi"), "us", "lat", "lon", "imo", F.floor(F.col("us") / DAY_US).alias("day")), "day").where(F.col("us").between(F.col("lo"), F.col("hi")))
+    paths = heard.groupBy("event_id", "t_mmsi").agg(F.min(haversine_km(F.col("e_lat"), F.col("e_lon"), F.col("lat"), F.col("lon"))).alias("path_km"), F.max(F.coalesce(F.col("imo") == F.col("e_imo"), F.lit(False))).alias("by_imo"))
+    ids = paths.where("by_imo").join(seen.where("mmsi IS NULL").select("event_id"), "event_id", "left_semi").select("event_id", "t_mmsi").union(seen.where("mmsi IS NOT NULL").select("event_id", "mmsi")).withColumn("named", F.lit(True))
+    known = ids.select("event_id").distinct().withColumn("known", F.lit(True))
+    t = by_day(tracks.select("track_id", F.col("mmsi").alias("t_mmsi"), "start_us", "end_us", "start_lat", "start_lon", "end_lat", "end_lon"), "start_us", "end_us")
+    rows = windows.drop("mmsi", "imo").join(t, "day").where("end_us >= lo AND start_us <= hi").drop("day").dropDuplicates(["event_id", "track_id"])
+    rows = rows.join(paths, ["event_id", "t_mmsi"], "left").join(ids, ["event_id", "t_mmsi"], "left").join(known, "event_id", "left")
+    ends = [haversine_km(F.col("e_lat"), F.col("e_lon"), F.col(f"{x}_lat"), F.col(f"{x}_lon")) for x in ("start", "end")]
+    away = F.greatest(F.lit(0), F.col("start_us") - F.col("to_us"), F.col("from_us") - F.col("end_us"))
+    rows = rows.withColumn("km", F.least("path_km", *ends)).where(F.col("named") | (F.col("known").isNull() & (F.col("km") <= km)))
+    rows = rows.withColumn("rank_value", F.round(away / F.lit(limit) + F.coalesce(F.col("km") / km, F.lit(0.0)), 6))
+    w = W.partitionBy("event_id").orderBy("rank_value", "track_id")
+    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    rows = rows.withColumns({"first": F.first("rank_value").over(whole), "second": F.nth_value("rank_value", 2).over(whole), "k": F.row_number().over(w)})
+    unclear = F.coalesce(F.col("second") <= ratio * F.greatest("first", F.lit(1e-9)), F.lit(False))
+    kept = rows.withColumn("status", F.when(unclear, "ambiguous").otherwise("matched")).where("status = 'ambiguous' OR k = 1").select("event_id", "track_id", "rank_value", "status")
+    covered = seen.select("event_id").distinct().withColumn("in_observed_coverage", F.lit(True))
+    found = events.select("event_id").join(kept, "event_id", "left").join(covered, "event_id", "left")
+    return found.fillna("unmatched", ["status"]).fillna(False, ["in_observed_coverage"])
+
+
 def corroborated(incidents: DataFrame, events: DataFrame, hours: int = 24, km: float = 25) -> DataFrame:
     """The incidents that an external event of the same detector, vessel, time and place bears out."""
     e = events.select(F.col("kind").alias("detector"), F.col("mmsi").alias("e_mmsi"), F.col("ts_us").alias("e_us"), F.col("lat").alias("e_lat"), F.col("lon").alias("e_lon"))

@@ -124,6 +124,11 @@ def _baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pca.join(forest.drop("start_us"), ["mmsi", "voyage"])
 
 
+def _path_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = lens.positions(spark, sf_dir)
+    return matching.event_matches_by_path(_events(spark), tracks.summaries(p), p, intervals.observed(_runs(spark), _outages(spark), _NOW))
+
+
 _CUT = lens.EPOCH_US + 20 * 3_600_000_000
 
 
@@ -197,6 +202,7 @@ def queries() -> dict[str, Query]:
         "footprint_profile": lambda s, d: evaluate.footprint(pos(s, d)),
         "observed_intervals": lambda s, d: intervals.observed(_runs(s), _outages(s), _NOW),
         "observed_vessel_hours": lambda s, d: intervals.overlap_hours(_tracks(s, d), intervals.observed(_runs(s), _outages(s), _NOW)),
+        "event_track_match_by_path": _path_matches,
         "event_track_match": lambda s, d: matching.event_matches(_events(s), _tracks(s, d)),
         "position_dedup": _dedup,
         "vessel_dimension": lambda s, d: upkeep.vessel_dimension(pos(s, d)),
