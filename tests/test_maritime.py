@@ -345,3 +345,13 @@ def test_events_match_the_whole_path(spark):
     }
     assert got["mid"]["rank_value"] == 0.0
     assert {r["event_id"]: r["status"] for r in matching.event_matches(e.drop("imo"), t).collect()}["mid"] == "unmatched"
+
+
+def test_review_pools_in_order(spark):
+    t = spark.createDataFrame([(k, k, 0) for k in "abcdefg"], "track_id string, mmsi string, voyage long")
+    found = spark.createDataFrame([("1", "spoof", 0.7, 99.0), ("2", "loiter", 0.7, 1.0), ("3", "gap", 0.5, 9.0), ("4", "spoof", 0.9, 99.0), ("5", "anomaly", 0.7, None)], "incident_id string, detector string, score double, knots double")
+    of = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", "c"), ("4", "d"), ("5", "e")], "incident_id string, track_id string")
+    m = spark.createDataFrame([("x", "d", "ambiguous"), ("y", None, "unmatched")], "event_id string, track_id string, status string")
+    errors = spark.createDataFrame([("b", 0, 1.0), ("f", 0, 0.8), ("g", 0, 1.3)], "mmsi string, voyage long, error double")
+    got = dict(map(tuple, evaluate.review_pools(t, of, found, m, errors, 1.0).collect()))
+    assert got == {"a": "ais-artifact-candidate", "b": "alert", "c": "ais-artifact-candidate", "d": "external-event", "e": "alert", "f": "near-threshold", "g": "rest"}

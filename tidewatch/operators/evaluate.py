@@ -69,6 +69,22 @@ def review_strata(tracks: DataFrame, incident_tracks: DataFrame, scored: DataFra
     return rows.select("track_id", stratum.alias("stratum"))
 
 
+def review_pools(tracks: DataFrame, incident_tracks: DataFrame, findings: DataFrame, matches: DataFrame, errors: DataFrame, threshold: float | None) -> DataFrame:
+    """Each track's one stratum, the first that fits: matched by an external event, artifact (a
+    spoof or a gap with an implied speed), other alert, a model error of 0.8 to 1.2 of the
+    threshold, rest.
+
+    errors are (mmsi, voyage, error) of scored voyages; without a threshold none is near.
+    """
+    speedy = (F.col("detector") == "spoof") | ((F.col("detector") == "gap") & F.col("knots").isNotNull())
+    alerts = incident_tracks.select("incident_id", "track_id").join(findings.select("incident_id", speedy.cast("int").alias("artifact"), "score"), "incident_id").groupBy("track_id").agg(F.max("artifact").alias("artifact"), F.max("score").alias("alert"))
+    external = matches.where(F.col("track_id").isNotNull() & F.col("status").isin("matched", "ambiguous")).select("track_id").distinct().withColumn("external", F.lit(True))
+    near = F.col("error").between(0.8 * threshold, 1.2 * threshold) if threshold is not None else F.lit(False)
+    rows = tracks.select("track_id", "mmsi", "voyage").join(errors.select("mmsi", "voyage", "error"), ["mmsi", "voyage"], "left").join(alerts, "track_id", "left").join(external, "track_id", "left")
+    stratum = F.when(F.col("external"), "external-event").when(F.col("artifact") == 1, "ais-artifact-candidate").when(F.col("alert").isNotNull(), "alert").when(near, "near-threshold").otherwise("rest")
+    return rows.select("track_id", stratum.alias("stratum"))
+
+
 def review_queue(strata: DataFrame, caps: dict[str, int], seed: str = "queue-v1") -> DataFrame:
     """A seeded sample of each stratum, with its inclusion probability and place in the queue; the caps are the sampling design."""
     digest = F.sha2(F.concat(F.lit(seed), "track_id"), 256)

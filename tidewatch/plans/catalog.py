@@ -47,14 +47,19 @@ def _written(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
-def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The findings of all five detectors, written once."""
+def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, anomaly.SequenceModel | None]:
+    """The findings of all five detectors, written once, the shapes of voyages and the model, if there are enough to fit one."""
     p = lens.positions(spark, sf_dir)
     made = _written(tracks.shapes(p))
-    found = detect.all_incidents(p, _outages(spark))
+    found, model = detect.all_incidents(p, _outages(spark)), None
     if made.limit(MIN_VOYAGES).count() == MIN_VOYAGES:
-        found = found.unionByName(anomaly.anomalies(made, tracks.summaries(p), _model(made)))
-    return _written(found)
+        model = _model(made)
+        found = found.unionByName(anomaly.anomalies(made, tracks.summaries(p), model))
+    return _written(found), made, model
+
+
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir)[0]
 
 
 def _shown(rows: DataFrame) -> DataFrame:
@@ -129,6 +134,13 @@ def _path_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.event_matches_by_path(_events(spark), tracks.summaries(p), p, intervals.observed(_runs(spark), _outages(spark), _NOW))
 
 
+def _pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, made, model = _judged(spark, sf_dir)
+    made_tracks = _tracks(spark, sf_dir)
+    errors = anomaly.scored(made, model) if model else made.select("mmsi", "voyage", F.lit(None).cast("double").alias("error"))
+    return evaluate.review_pools(made_tracks, matching.incident_tracks(found, made_tracks), found, _path_matches(spark, sf_dir), errors, model and model.threshold)
+
+
 _CUT = lens.EPOCH_US + 20 * 3_600_000_000
 
 
@@ -215,7 +227,8 @@ def queries() -> dict[str, Query]:
         "vessel_threat_rollup": flagship,
         "cohort_select": lambda s, d: evaluate.cohort(pos(s, d), _events(s).where("mmsi IS NOT NULL").select("mmsi"), 20, 6),
         "review_strata": _strata,
-        "review_queue": lambda s, d: evaluate.review_queue(_strata(s, d), {"ais-artifact-candidate": 60, "near-threshold": 60, "alert": 100, "rest": 40}),
+        "review_pools": _pools,
+        "review_queue": lambda s, d: evaluate.review_queue(_written(_pools(s, d)), {"external-event": 100, "ais-artifact-candidate": 60, "near-threshold": 60, "alert": 100, "rest": 40}),
     } | _readers(_kinematic) | {f"{name}_all": query for name, query in _readers(_findings).items()}
 
 
