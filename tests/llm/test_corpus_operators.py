@@ -241,6 +241,14 @@ def test_ngram_join_edges(spark):
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == [("4", 0, "4"), ("5", 2, "5"), ("5", 2, "5"), ("None", 2, "None")]
 
 
+def test_ngram_join_tells_texts_of_one_doc_id_apart(spark):
+    one, two = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(5, one), (5, two), (7, one + " more"), (6, two + " more")]
+    for order in (rows, rows[::-1]):
+        got = ngram_join.near_duplicates(_docs(spark, order)).collect()
+        assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(5, 5), (5, 5), (6, 5), (7, 5)]
+
+
 def test_components_of_long_chains(spark):
     rows = [(k, k + 1) for k in range(40)] + [(100, 101), (103, 101), (7, 7)]
     got = {r["node"]: r["root"] for r in ngram_join.components(spark.createDataFrame(rows, "a long, b long")).collect()}
