@@ -249,6 +249,12 @@ def test_ngram_join_tells_texts_of_one_doc_id_apart(spark):
         assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(5, 5), (5, 5), (6, 5), (7, 5)]
 
 
+def test_every_ngram_is_counted(spark):
+    text = " ".join(f"w{k}" for k in range(100))
+    grams, _ = ngram_join.frequent(_docs(spark, [(k, f"{text} x{k}") for k in range(10)]), 4)
+    assert len(grams) == 96
+
+
 def test_components_of_long_chains(spark):
     rows = [(k, k + 1) for k in range(40)] + [(100, 101), (103, 101), (7, 7)]
     got = {r["node"]: r["root"] for r in ngram_join.components(spark.createDataFrame(rows, "a long, b long")).collect()}
