@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.tables import cut, partitions, table
+from tidewatch.llm.tables import partitions, pinned, table
 from tidewatch.llm.text import mix
 
 SHARDS = 24
@@ -84,7 +84,7 @@ def bounded_shards(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES,
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + EXTRA_BYTES).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("place"))
     n = partitions(docs.sparkSession)
-    rows = cut(rows.repartitionByRange(n, "place", "doc_id").sortWithinPartitions("place", "doc_id"))
+    rows = pinned(rows.repartitionByRange(n, "place", "doc_id").sortWithinPartitions("place", "doc_id"))
     ring, context = Ring(shards, vnodes), docs.sparkSession.sparkContext
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 1_000_000
 BATCH_ROWS = 1_000
+HOT_ROWS = 20_000  # rows of one key that a task takes before the key is salted
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -21,15 +23,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Only a session on this one machine may do without and gets one of its own."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not named and context._jsc.sc().getCheckpointDir().isDefined():
+        named = context._jsc.sc().getCheckpointDir().get()
+    if not named and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not named:
+        named = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        context.setCheckpointDir(named)
+    return named
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows from reliable files in the cluster's shared checkpoint folder.
+    """The same rows from a table written once in the cluster's shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
-    Only where the session names none (tests on one machine) is a folder of our own set.
-    """
+def pinned(df: DataFrame) -> DataFrame:
+    """The same rows in the same partitions and order, from a reliable checkpoint."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -41,3 +60,24 @@ def sized(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Keys of a few bytes a row, counted: to be broadcast up to most rows, and joined by shuffle beyond."""
     keys = cut(keys)
     return F.broadcast(keys) if keys.count() <= most else keys
+
+
+def hot(rows: DataFrame, key: str, most: int = HOT_ROWS) -> DataFrame:
+    """(key, parts) of the keys that more than most rows have; there are at most the rows by most of them."""
+    return cut(rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(key, F.ceil(F.col("_n") / most).cast("int").alias("_parts")))
+
+
+def salted(rows: DataFrame, lookup: DataFrame, key: str, spread: Column, parts: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined to lookup by key. A key of parts (see hot) is dealt to so many tasks by the hash of spread,
+    and its row of lookup goes to each of them."""
+    parts = F.broadcast(parts)
+    left = rows.join(parts, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), "_parts"), F.lit(0))).drop("_parts")
+    right = lookup.join(parts, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)).cast("long") - 1))).drop("_parts")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
+def looked_up(rows: DataFrame, lookup: DataFrame, key: str, spread: Column, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
+    """rows joined to lookup, a written table of a few bytes a row with one row a key: broadcast if counted small, salted beyond."""
+    if lookup.count() <= most:
+        return rows.join(F.broadcast(lookup), key, how)
+    return salted(rows, lookup, key, spread, hot(rows, key), how)
