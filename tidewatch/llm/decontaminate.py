@@ -1,12 +1,12 @@
 """Benchmark decontamination: BM25 with block-max WAND, then question and answer overlap.
 
 Benchmark items form an inverted index whose postings carry BM25 impacts as shares of the
-item's own score. Items stand in blocks; every term knows its largest share in each block.
-Each training passage (overlapping windows of the whole text) is a query for all items with
-a share of at least ``THRESHOLD``. Its terms of least weight, which together can't reach the
-threshold, open no block; a block opened by another term is scored only where the sum of
-the passage's block maxima reaches it. Hits are verified by the overlap of the question's
-word shingles and of the answer's words.
+item's own score. Items stand in blocks; every term knows its largest share overall and in
+each block. Each training passage (overlapping windows of the whole text) is a query for all
+items with a share of at least ``THRESHOLD``: cursors in item order, a pivot by the sum of
+the terms' maxima, a shallow check against block maxima, and a skip to the next block that
+can hold a hit. Hits are verified by the overlap of the question's word shingles and of the
+answer's words.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ OVERLAP = 0.75
 BLOCK = 8
 PASSAGE = 128
 SLICE_ITEMS = 20_000
+SLICE_BYTES = 1 << 25
+_EPS, _CELLS = 1e-9, 1 << 20
 _OUT = "doc_id long, item_id long, bm25_share double, question_overlap double, answer_overlap double"
 
 
@@ -76,18 +78,20 @@ class Index:
             owners.append(np.full(len(t), j))
             shares.append(impact / impact.sum())
         self.blocks = -(-len(kept) // BLOCK)
+        self.work = 0
         term, owner, share = (np.concatenate(x) if kept else np.zeros(0, int) for x in (terms, owners, shares))
+        self.wide = max(1, len(kept))
+        order = np.argsort(term * self.wide + owner)
+        term, owner, share = term[order].astype(np.int64), owner[order].astype(np.int64), share[order].astype(float)
+        self.posting, self.owner, self.share = term * self.wide + owner, owner, share  # each term's items in order
+        self.lists = np.searchsorted(term, np.arange(len(vocab) + 1))
         key = term * max(1, self.blocks) + owner // BLOCK
-        self.pair, where = np.unique(key, return_inverse=True)  # (term, block) in order: each term's block list
+        self.pair, where = np.unique(key, return_inverse=True)  # (term, block) in order: each term's blocks
         self.block_max = np.zeros(len(self.pair))
         np.maximum.at(self.block_max, where, share)
-        self.list = np.searchsorted(self.pair, np.arange(len(vocab) + 1) * max(1, self.blocks))
+        self.block_lists = np.searchsorted(self.pair, np.arange(len(vocab) + 1) * max(1, self.blocks))
         self.term_max = np.zeros(len(vocab))
         np.maximum.at(self.term_max, term, share)
-        item_key = owner.astype(np.int64) * max(1, len(vocab)) + term
-        order = np.argsort(item_key)
-        self.item_key, self.share = item_key[order], share[order]
-        self.item_starts = np.searchsorted(self.item_key, np.arange(len(kept) + 1) * max(1, len(vocab)))
 
     def _fill(self) -> None:
         left = np.arange(len(self.vocab))
@@ -115,43 +119,84 @@ class Index:
 
     def retrieve(self, passage: np.ndarray, term: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(passage, item, share) of all at or above threshold; (passage, term) pairs are distinct and ordered."""
-        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        bound = np.bincount(passage, self.term_max[term]) if len(passage) else np.zeros(0)
-        keep = bound[passage] >= threshold if len(passage) else np.zeros(0, bool)
-        passage, term = passage[keep], term[keep]
-        if not len(passage):
-            return none
-        starts = np.searchsorted(passage, np.arange(len(bound) + 1))
-        order = np.lexsort((self.term_max[term], passage))
-        running = np.cumsum(self.term_max[term[order]])
-        before = np.concatenate([[0], running])[starts[passage[order]]]
-        essential = order[running - before >= threshold - 1e-9]  # the lightest terms can't reach it by themselves
-        many = np.diff(self.list)[term[essential]]
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(passage) and self.blocks:
+            bound = np.bincount(passage, self.term_max[term])
+            keep = bound[passage] >= threshold - _EPS
+            passage, term = passage[keep], term[keep]
+            names, passage = np.unique(passage, return_inverse=True)
+            edges = np.searchsorted(passage, np.arange(0, len(names) + 1, max(1, _CELLS // self.blocks)))
+            for i, j in zip(edges, np.append(edges[1:], len(passage)), strict=True):
+                if i < j:
+                    first = passage[i]
+                    out += [(names[p + first], item, share) for p, item, share in self._wand(passage[i:j] - first, term[i:j], threshold)]
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def _live(self, passage: np.ndarray, term: np.ndarray, least: float) -> np.ndarray:
+        """For each passage and block the first block from there on whose maxima reach least; self.blocks where none does."""
+        n = int(passage[-1]) + 1
+        many = np.diff(self.block_lists)[term]
         begin = np.concatenate([[0], np.cumsum(many)])
-        at = np.repeat(self.list[term[essential]] - begin[:-1], many) + np.arange(begin[-1])
-        opened = np.unique(np.repeat(passage[essential], many) * self.blocks + self.pair[at] % self.blocks)
-        who, block = opened // self.blocks, opened % self.blocks
-        top = self._sums(who, block, starts, term, self.pair, self.block_max, lambda t, b: t.astype(np.int64) * self.blocks + b)
-        live = top >= threshold - 1e-9
-        who, block = np.repeat(who[live], BLOCK), np.repeat(block[live] * BLOCK, BLOCK) + np.tile(np.arange(BLOCK), int(live.sum()))
-        who, item = who[block < len(self.items)], block[block < len(self.items)]
-        share = self._sums(who, item, starts, term, self.item_key, self.share, lambda t, i: i * len(self.vocab) + t)
-        good = share >= threshold - 1e-9
-        return who[good], item[good], share[good]
-
-    def _sums(self, who, what, starts, term, keys, values, key) -> np.ndarray:
-        """For each (passage, block or item) the sum of the values that its passage's terms have there."""
-        out = np.zeros(len(who))
-        for k in range(0, len(who), 1 << 14):
-            w, x = who[k : k + (1 << 14)], what[k : k + (1 << 14)]
-            many = starts[w + 1] - starts[w]
-            begin = np.concatenate([[0], np.cumsum(many)])
-            t = term[np.repeat(starts[w] - begin[:-1], many) + np.arange(begin[-1])]
-            wanted = key(t, np.repeat(x, many))
-            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            hit = keys[at] == wanted
-            out[k : k + len(w)] = np.bincount(np.repeat(np.arange(len(w)), many)[hit], values[at[hit]], minlength=len(w))
-        return out
+        at = np.repeat(self.block_lists[term] - begin[:-1], many) + np.arange(begin[-1])
+        top = np.bincount(np.repeat(passage, many) * self.blocks + self.pair[at] % self.blocks, self.block_max[at], n * self.blocks).reshape(n, self.blocks)
+        ahead = np.where(top >= least, np.arange(self.blocks), self.blocks)
+        return np.minimum.accumulate(ahead[:, ::-1], axis=1)[:, ::-1]
+
+    def _wand(self, passage: np.ndarray, term: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Block-max WAND for many passages at once: each round takes one step of every passage that isn't done.
+
+        A passage's cursors stand in the order of their items; the pivot is the first item at
+        which the terms' maxima sum up to the threshold. Where the maxima of the pivot's
+        block don't, the cursors go on to the next block in which all terms' maxima do, or
+        to the item of the cursor behind the pivot, if that is nearer. Else the cursors
+        before the pivot go up to it, and once all stand there, the item is scored.
+        """
+        least = threshold - _EPS
+        live = np.concatenate([self._live(passage, term, least), np.full((int(passage[-1]) + 1, 1), self.blocks)], axis=1)
+        some = live[passage, 0] < self.blocks
+        passage, term = passage[some], term[some]
+        at = self._from(term, live[passage, 0] * BLOCK)
+        while len(passage):
+            item = np.where(at < self.lists[term + 1], self.owner[np.minimum(at, len(self.owner) - 1)], self.wide)
+            order = np.lexsort((item, passage))
+            passage, term, at, item = passage[order], term[order], at[order], item[order]
+            self.work += len(passage)
+            first = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
+            group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(passage))))
+            running = np.cumsum(self.term_max[term])
+            running -= (running[first] - self.term_max[term[first]])[group]
+            reaches = np.flatnonzero((running >= least) & (item < self.wide))
+            pivot = np.full(len(first), self.wide)
+            pivot[group[reaches[::-1]]] = item[reaches[::-1]]  # the first that reaches
+            upto = item <= pivot[group]
+            block = pivot // BLOCK
+            top = np.bincount(group[upto], self._block_max(term[upto], block[group[upto]]), len(first))
+            there = item[first] == pivot
+            good = (top >= least) & (pivot < self.wide) & (live[passage[first], np.minimum(block, self.blocks)] == block)
+            scored = good & there
+            on = upto & scored[group]
+            share = np.bincount(group[on], self.share[np.minimum(at[on], len(self.share) - 1)], len(first))
+            hit = np.flatnonzero(scored & (share >= least))
+            yield passage[first][hit], pivot[hit], share[hit]
+            behind = np.full(len(first), self.wide)
+            np.minimum.at(behind, group[~upto], item[~upto])
+            beyond = live[passage[first], np.minimum(block + 1, self.blocks)] * BLOCK
+            own = live[passage[first], np.minimum(block, self.blocks)] != block  # the block itself is dead
+            target = np.where(scored, pivot + 1, np.where(good, pivot, np.where(own, beyond, np.maximum(np.minimum(behind, beyond), pivot + 1))))
+            target = np.where(pivot < self.wide, target, self.wide)
+            move = item < target[group]
+            at[move] = np.maximum(at[move], self._from(term[move], target[group[move]]))
+            stay = (target < self.wide)[group]
+            passage, term, at = passage[stay], term[stay], at[stay]
+
+    def _from(self, term: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Where each term's list goes on from an item; its end where nothing follows."""
+        return np.searchsorted(self.posting, term.astype(np.int64) * self.wide + np.minimum(item, self.wide - 1)) + (item >= self.wide) * len(self.posting)
+
+    def _block_max(self, term: np.ndarray, block: np.ndarray) -> np.ndarray:
+        key = term.astype(np.int64) * max(1, self.blocks) + np.minimum(block, self.blocks - 1)
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        return np.where(self.pair[at] == key, self.block_max[at], 0.0)
 
     def leaks(self, words: Words, threshold: float, overlap: float) -> Iterator[tuple[int, int, float, float, float]]:
         """(text, item_id, share, question overlap, answer overlap) of verified hits, each passage's alone."""
@@ -197,32 +242,44 @@ def _statistics(items: DataFrame) -> tuple[DataFrame, int, float]:
     return words, max(1, total[0]), max(1.0, total[1] / max(1, total[0]))
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, slice_items: int = SLICE_ITEMS) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, slice_items: int = SLICE_ITEMS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """doc_id, item_id, bm25_share, question_overlap, answer_overlap of every document that holds an item.
 
     items has item_id, question, answer (equal ones stand for a text that isn't divided).
     Each pair comes once, with its best passage's figures; documents with one doc_id count as
     one. Null or empty texts hold nothing, items without words are in nothing, an empty table
-    on either side gives no rows. Items are indexed slice_items at a time, so that what
-    is sent to the executors is bounded; every slice meets all passages.
+    on either side gives no rows. Items are indexed in slices of about slice_items and
+    slice_bytes, so that what is sent to the executors is bounded; every slice meets all
+    passages. A passage is twice as long as the items it is held against may be, PASSAGE
+    words at least; long items have an index, and passages, of their own.
     """
     items = cut(items.select("item_id", F.coalesce("question", F.lit("")).alias("question"), F.coalesce("answer", F.lit("")).alias("answer")).where(F.col("item_id").isNotNull()).distinct())
     stats, n, average = _statistics(items)
-    slices = max(1, -(-items.count() // slice_items))
-    found = [_slice(docs, items.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k), stats, n, average, threshold, overlap) for k in range(slices)]
+    count, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("question") + F.octet_length("answer")), F.lit(0))).first()
+    slices = max(1, -(-count // slice_items), -(-size // slice_bytes))
+    place = F.pmod(F.xxhash64("item_id", "question", "answer"), F.lit(slices))
+    found = [_slice(docs, items.where(place == k), stats, n, average, threshold, overlap) for k in range(slices)]
     every = found[0]
     for part in found[1:]:
         every = every.unionByName(part)
     return every.groupBy("doc_id", "item_id").agg(F.max("bm25_share").alias("bm25_share"), F.max("question_overlap").alias("question_overlap"), F.max("answer_overlap").alias("answer_overlap"))
 
 
+def indexes(rows: list[tuple[int, str, str]], df: dict[int, int], n: int, average: float) -> list[Index]:
+    """An index for each class of items, by their number of words: up to a passage, twice that, and so on."""
+    classes: dict[int, list] = {}
+    for row, q, a in zip(rows, _hashes([r[1] for r in rows]), _hashes([r[2] for r in rows]), strict=True):
+        classes.setdefault(max(PASSAGE // 2, len(q) + len(a) - 1).bit_length(), []).append(row)
+    return [Index(part, df, n, average) for _, part in sorted(classes.items())]
+
+
 def _slice(docs: DataFrame, items: DataFrame, stats: DataFrame, n: int, average: float, threshold: float, overlap: float) -> DataFrame:
     rows = [tuple(r) for r in items.collect()]
     words = np.unique(np.concatenate([np.zeros(0, np.uint64), *_hashes([r[1] for r in rows]), *_hashes([r[2] for r in rows])])).view(np.int64)
     spark = docs.sparkSession
     mine = spark.createDataFrame(pa.table({"h": pa.array(words)})) if len(words) else spark.createDataFrame([], "h long")
-    index = Index(rows, {r["h"]: r["df"] for r in stats.join(mine, "h").select("h", "df").collect()}, n, average)
-    sent = spark.sparkContext.broadcast(index)
+    held = indexes(rows, {r["h"]: r["df"] for r in stats.join(mine, "h").select("h", "df").collect()}, n, average)
+    sent = spark.sparkContext.broadcast(held)
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
@@ -230,7 +287,7 @@ def _slice(docs: DataFrame, items: DataFrame, stats: DataFrame, n: int, average:
             data, offsets = flat(batch["text"])
             for i, j in chunks(offsets):
                 words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                out += [(ids[i + t], *rest) for t, *rest in sent.value.leaks(words, threshold, overlap)]
+                out += [(ids[i + t], *rest) for index in sent.value for t, *rest in index.leaks(words, threshold, overlap)]
             columns = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)], ["doc_id", "item_id", "bm25_share", "question_overlap", "answer_overlap"])
 
