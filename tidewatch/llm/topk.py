@@ -1,12 +1,14 @@
 """Exact top-k inner products with MaxScore over shards.
 
 A dimension of a vector plays the part of a term: its posting holds the vectors' integer
-components. For each query and shard a dimension's largest possible contribution follows
-from the component's range in the shard. Dimensions are taken in the order of their spread
-for that query. The leading, essential ones are traversed for all vectors of the shard;
-the others are only probed for vectors whose score so far and the bound of what is left can
-still reach the query's k-th best. Query blocks and vector shards meet pairwise; every pair
-returns at most k rows a query, and a last aggregation merges them.
+components. In a shard a dimension adds at most |q| times the width of its components'
+range to what all vectors have at least. Dimensions are ordered by this bound. The lightest
+ones which, all together, can't lift a vector to the query's k-th best score so far are
+non-essential. The essential ones are traversed for the shard's vectors; the others are
+probed, heaviest first, only for vectors that can still compete. The k-th best is carried
+from shard to shard of a task, so the split moves as it rises, up to shards that hold
+nothing essential and are passed over. Queries are broadcast in slices of bounded size; every
+task returns at most k rows a query, and a last aggregation merges them.
 """
 
 from __future__ import annotations
@@ -14,125 +16,159 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidewatch.llm.tables import cut, table
-from tidewatch.llm.text import mix
 
 K = 5
 EVERY = 50
 SCALE = 256
-SHARD_ROWS = 16_384
-BLOCK_ROWS = 1_024
-_OUT = "query_id long, vec_id long, score long"
+SHARD_ROWS = 2_048
+SLICE_BYTES = 1 << 25
+SEED_ROWS = 1_024
+PROBE = 8
+_EXACT, _NONE = float(1 << 53), -(1 << 62)
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id and components floor(scale * x) of the vectors in which all are finite, one row per vec_id.
+    """vec_id and components floor(scale * x) of the vectors in which all are finite, row by row.
 
     Vectors that are null or empty, or hold a null, NaN or infinite component, and rows
-    with a null vec_id take no part. Of repeated vec_ids the least vector stays.
+    with a null vec_id take no part. Rows that repeat a vec_id all stay.
     """
     x = F.transform("embedding", lambda v: v.cast("double"))
     whole = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     good = vectors.select("vec_id", x.alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0)).where(F.coalesce(whole, F.lit(False)))
-    return good.groupBy("vec_id").agg(F.min(F.transform("x", lambda v: F.floor(v * scale))).alias("q"))
-
-
-def _blocks(rows: DataFrame, n: int, name: str) -> DataFrame:
-    """Rows packed as (dims, name, ids, components): one per task and block, in a compact binary form."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: dict[str, list] = {"dims": [], name: [], "ids": [], "x": []}
-        for batch in batches:
-            ids, lists = batch["vec_id"].to_numpy(zero_copy_only=False), batch["q"]
-            dims = lists.value_lengths().to_numpy(zero_copy_only=False)
-            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(dims)])
-            block = (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(n)).astype(np.int64)
-            for d in np.unique(dims).tolist():
-                for b in np.unique(block[dims == d]).tolist():
-                    mine = np.flatnonzero((dims == d) & (block == b))
-                    out["dims"].append(d)
-                    out[name].append(b)
-                    out["ids"].append(ids[mine].astype(np.int64).tobytes())
-                    out["x"].append(flat[ends[mine][:, None] + np.arange(d)].astype(np.int64).tobytes())
-        types = {"dims": pa.int32(), name: pa.int32(), "ids": pa.binary(), "x": pa.binary()}
-        yield pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in types.items()], list(types))
-
-    return rows.mapInArrow(run, f"dims int, {name} int, ids binary, x binary")
-
-
-def _stacked(part: pd.DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(b"".join(part["ids"]), np.int64)
-    x = np.frombuffer(b"".join(part["x"]), np.int64).reshape(-1, dims)
-    order = np.argsort(ids, kind="stable")
-    return ids[order], x[order]
-
-
-def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query, vector, score) of each query's k best vectors in one shard, by MaxScore; ids ascend."""
-    out = []
-    high, low = x.max(axis=0), x.min(axis=0)
-    columns = np.ascontiguousarray(x.T)
-    for query_id, q in zip(query_ids.tolist(), queries, strict=True):
-        most = np.maximum(q * high, q * low)
-        spread = np.abs(q) * (high - low)
-        order = np.argsort(-spread, kind="stable")
-        left = np.concatenate([np.cumsum(most[order][::-1])[::-1], [0]])  # left[j]: the bound of order[j:]
-        essential = _split(spread[order])
-        score = q[order[:essential]] @ columns[order[:essential]]
-        alive = np.flatnonzero(ids != query_id)
-        score, j = score[alive], essential
-        least = np.concatenate([np.cumsum(np.minimum(q * high, q * low)[order][::-1])[::-1], [0]])
-        while j < len(q) and len(alive):
-            if len(alive) > k:
-                floor = np.partition(score, -k)[-k] + least[j]  # k vectors reach this whatever is left
-                keep = score + left[j] >= floor
-                alive, score = alive[keep], score[keep]
-            step = order[j : j + 8]
+    return good.select("vec_id", F.transform("x", lambda v: F.floor(v * scale)).alias("q"))
+
+
+class Search:
+    """The k best vectors so far of each query of one number of dimensions; work counts component products."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
+        self.ids, self.q, self.k, self.work = ids, q, k, 0
+        self.none = q.dtype.type(_NONE)
+        self.score = np.full((len(ids), k), self.none)
+        self.held = np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.least = np.full(len(ids), self.none)  # no worse vector than this is among the best
+
+    def seed(self, rows: int = SEED_ROWS) -> Search:
+        """Starts from the k-th best among some of the queries, which are candidates themselves."""
+        if len(self.ids) > self.k:
+            some = np.arange(min(rows, len(self.ids)))
+            score = self.q @ self.q[some].T
+            score[self.ids[:, None] == self.ids[some][None, :]] = self.none
+            if len(some) > self.k:
+                self.least = np.partition(score, -self.k, axis=1)[:, -self.k]
+        return self
+
+    def shard(self, ids: np.ndarray, x: np.ndarray) -> None:
+        high, low = x.max(axis=0), x.min(axis=0)
+        spread = np.abs(self.q) * (high - low)
+        base = np.minimum(self.q * high, self.q * low).sum(axis=1)
+        order = np.argsort(spread, axis=1, kind="stable")
+        bound = base[:, None] + np.cumsum(np.take_along_axis(spread, order, axis=1), axis=1)  # bound[:, j]: with the j + 1 lightest
+        light = (bound < self.least[:, None]).sum(axis=1)
+        columns = np.ascontiguousarray(x.T)
+        for i in np.flatnonzero(light < x.shape[1]).tolist():
+            self._query(i, ids, columns, order[i], int(light[i]), np.maximum(self.q[i] * high, self.q[i] * low))
+
+    def _query(self, i: int, ids: np.ndarray, columns: np.ndarray, order: np.ndarray, light: int, most: np.ndarray) -> None:
+        q, least = self.q[i], self.least[i]
+        essential = order[light:]
+        score = q[essential] @ columns[essential]
+        alive = np.flatnonzero((score + most[order[:light]].sum() >= least) & (ids != self.ids[i]))
+        score = score[alive]
+        self.work += len(essential) * len(ids)
+        for j in range(light, 0, -PROBE):
+            step = order[max(0, j - PROBE) : j]
             score = score + q[step] @ columns[np.ix_(step, alive)]
-            j += len(step)
-        top = np.lexsort((ids[alive], -score))[:k]
-        out += [(query_id, int(ids[alive[t]]), int(score[t])) for t in top]
-    return out
-
-
-def _split(spread: np.ndarray) -> int:
-    """How many leading dimensions are essential: those that hold two thirds of the whole spread."""
-    total = np.cumsum(spread)
-    return max(1, int(np.searchsorted(total, total[-1] * 2 / 3)) + 1) if len(total) and total[-1] else min(1, len(spread))
-
-
-def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+            self.work += len(step) * len(alive)
+            keep = score + most[order[: max(0, j - PROBE)]].sum() >= least
+            alive, score = alive[keep], score[keep]
+            if not len(alive):
+                return
+        score, held = np.concatenate([self.score[i], score]), np.concatenate([self.held[i], ids[alive]])
+        top = np.lexsort((held, -score))[: self.k]
+        self.score[i], self.held[i] = score[top], held[top]
+        self.least[i] = max(self.least[i], self.score[i, -1])
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, vector, score) of what is held."""
+        i, j = np.nonzero(self.score > self.none)
+        return self.ids[i], self.held[i, j], self.score[i, j].astype(np.int64)
+
+
+def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dimensions, ids, components) of a batch's vectors, by number of dimensions."""
+    ids, lists = batch["vec_id"].to_numpy(), batch["q"]
+    dims = lists.value_lengths().to_numpy()
+    values, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(dims)])
+    for d in np.unique(dims).tolist():
+        mine = np.flatnonzero(dims == d)
+        yield d, ids[mine], values[ends[mine][:, None] + np.arange(d)]
+
+
+def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, shard_rows: int = SHARD_ROWS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: the k vectors with the largest integer inner product with each query.
 
-    Queries are the vectors whose vec_id is divisible by every, candidates all others of the
-    same number of dimensions; ties go to the smaller vec_id; with fewer than k candidates
-    all are returned. Rows that quantised() leaves out, and an empty table, return nothing.
+    Queries are the rows whose vec_id is divisible by every, candidates all rows with another
+    vec_id and the same number of dimensions; ties go to the smaller vec_id; with fewer than
+    k candidates all are returned. Rows that repeat a vec_id are candidates one by one, and
+    as queries they share one ranking. Rows that quantised() leaves out, and an empty
+    table, return nothing.
     """
-    rows = cut(quantised(vectors, scale))
+    rows = cut(quantised(vectors, scale).withColumn("slot", F.monotonically_increasing_id()))
     asked = rows.where(F.col("vec_id") % every == 0)
-    shards, blocks = max(1, -(-rows.count() // shard_rows)), max(1, -(-asked.count() // block_rows))
-    left = _blocks(asked, blocks, "block").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    right = _blocks(rows, shards, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def meet(key: tuple, queries: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(held):
-            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_id", "vec_id", "score")})
-        query_ids, q = _stacked(queries, int(key[0]))
-        ids, x = _stacked(held, int(key[0]))
-        return pd.DataFrame(best(query_ids, q, ids, x, k), columns=["query_id", "vec_id", "score"])
-
-    keys = ("dims", "block", "shard")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, _OUT)
+    n, wide = asked.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(1))).first()
+    large = rows.agg(F.coalesce(F.max(F.aggregate("q", F.lit(0.0), lambda m, v: F.greatest(m, F.abs(v.cast("double"))))), F.lit(0.0))).first()[0]
+    kind = np.float64 if large * large * wide < _EXACT else np.int64  # doubles are exact up to 2^53
+    slices = max(1, -(-n * wide * 8 // slice_bytes))
+    parts = [_slice(rows, asked.where(F.pmod(F.xxhash64("slot"), F.lit(slices)) == s), k, shard_rows, kind) for s in range(slices)]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _slice(rows: DataFrame, asked: DataFrame, k: int, shard_rows: int, kind: type) -> DataFrame:
+    queries: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for batch in asked.select("vec_id", "q").toArrow().to_batches():
+        for d, ids, q in _matrices(batch):
+            before = queries.get(d, (ids[:0], q[:0].astype(kind)))
+            queries[d] = np.concatenate([before[0], ids]), np.concatenate([before[1], q.astype(kind)])
+    sent = rows.sparkSession.sparkContext.broadcast(queries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searches: dict[int, Search] = {}
+        waiting: dict[int, list] = {}
+
+        def search(d: int) -> None:
+            if d not in searches:
+                searches[d] = Search(*sent.value[d], k).seed()
+            parts = waiting.pop(d)
+            searches[d].shard(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+
+        for batch in batches:
+            for d, ids, x in _matrices(batch):
+                if d in sent.value:
+                    waiting.setdefault(d, []).append((ids, x.astype(kind)))
+                    if sum(len(p[0]) for p in waiting[d]) >= shard_rows:
+                        search(d)
+        for d in list(waiting):
+            search(d)
+        for s in searches.values():
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in s.best()], ["query_id", "vec_id", "score"])
+
+    found = cut(rows.select("vec_id", "q").mapInArrow(run, "query_id long, vec_id long, score long"))
+    sent.unpersist()
+    return found
+
+
 def op9_topk(spark, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
