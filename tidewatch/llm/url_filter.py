@@ -2,9 +2,10 @@
 
 Each URL is expanded into the expressions that a rule could be stored under: the last
 labels of its host, as many as any rule has, with the path's prefixes of the lengths that
-rules have. Expressions and rules meet in an equi-join on a short prefix of their digests;
-the full digests confirm a hit and the longest confirmed rule decides. Only DataFrame
-functions are used.
+rules have. Expressions and rules meet by equality of a short prefix of their digests; the
+full digests confirm a hit and the longest confirmed rule decides. Up to ``MAP_RULES`` rules
+are a map from short digest to rules that each row probes where it stands, without a
+shuffle; more are a table, joined by the short digest. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.tables import table
+from tidewatch.llm.tables import cut, hot, salted, table
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+MAP_RULES = 1_000
 BROADCAST_RULES = 100_000
 PREFIX_HEX = 8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -36,7 +38,7 @@ def _digest(host, path):
     return F.sha2(F.concat(host, F.lit("\n"), path).cast("binary"), 256)
 
 
-def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url", broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url", map_rules: int = MAP_RULES, broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
     """page_id, host, path, rule, verdict for each row of pages; rules has rule_host, rule_path, verdict.
 
     The host stands after the first "://" up to "/", "?" or "#", A-Z lower-cased; the path
@@ -45,7 +47,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     subdomains where the path starts with the rule's. The rule with the most characters
     wins; of equally long ones the longer host, and of the same host and path "block".
     Repeated rows each get their verdict; null page_ids are kept. Rules with a null part fit
-    nothing. Up to broadcast_rules rules are broadcast, more are joined by shuffle.
+    nothing. Up to broadcast_rules rules of a table are broadcast, more are joined by shuffle.
     """
     rules = (
         rules.where(F.col("rule_host").isNotNull() & F.col("rule_path").isNotNull() & F.col("verdict").isNotNull())
@@ -57,25 +59,39 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     )
     found = rules.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size(F.split("rule_host", r"\."))), F.lit(0)).alias("labels"), F.sort_array(F.collect_set(F.length("rule_path"))).alias("lengths")).first()
     urls = pages.select("page_id", F.coalesce(_host(F.col(url)), F.lit("")).alias("host"), F.coalesce(_path(F.col(url)), F.lit("")).alias("path"))
-    each = urls.groupBy("page_id", "host", "path").agg(F.count("*").alias("copies"))
     if not found["n"]:
-        return _done(each.withColumn("best", F.lit(None).cast("struct<n:int,h:int,rule:string,verdict:string>")), default)
+        return urls.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     labels = F.split("host", r"\.")
     some = F.slice(labels, F.greatest(F.lit(1), F.size(labels) - F.lit(found["labels"] - 1)), F.least(F.size(labels), F.lit(found["labels"])))
     suffixes = F.transform(F.sequence(F.lit(1), F.size(some)), lambda i: F.array_join(F.slice(some, i, F.size(some)), "."))
     lengths = F.filter(F.array(*[F.lit(x) for x in found["lengths"]]), lambda n: n <= F.length("path"))
     prefixes = F.transform(lengths, lambda n: F.substring(F.col("path"), F.lit(1), n))
-    pairs = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: _digest(h, p))))
-    expressions = each.withColumn("full", F.explode_outer(pairs)).withColumn("short", F.substring("full", 1, PREFIX_HEX))
+    digests = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: _digest(h, p))))
+    if found["n"] <= map_rules:
+        best = _by_map(urls.withColumn("digests", digests), rules)
+    else:
+        best = _by_join(urls.withColumn("digests", digests), rules, found["n"] <= broadcast_rules)
+    return best.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+
+
+def _by_map(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """urls with best, the rank of the longest confirmed rule; the few rules are a literal map by short digest."""
+    groups: dict[str, list] = {}
+    for r in rules.select("short", "full", "rank.*").collect():
+        groups.setdefault(r["short"], []).append(F.struct(F.lit(r["full"]).alias("full"), F.struct(F.lit(r["n"]).alias("n"), F.lit(r["h"]).alias("h"), F.lit(r["rule"]).alias("rule"), F.lit(r["verdict"]).alias("verdict")).alias("rank")))
+    held = F.create_map(*[x for short, group in sorted(groups.items()) for x in (F.lit(short), F.array(*group))])
+    met = F.transform("digests", lambda d: F.filter(F.try_element_at(held, F.substring(d, 1, PREFIX_HEX)), lambda r: r["full"] == d))
+    return urls.withColumn("best", F.array_max(F.transform(F.flatten(F.filter(met, lambda m: m.isNotNull())), lambda r: r["rank"])))
+
+
+def _by_join(urls: DataFrame, rules: DataFrame, small: bool) -> DataFrame:
+    """The same by an equi-join on the short digest; each row has a key of its own, so that no group is large."""
+    urls = cut(urls.withColumn("row", F.monotonically_increasing_id()))
+    asked = urls.select("row", F.explode("digests").alias("full")).withColumn("short", F.substring("full", 1, PREFIX_HEX))
     held = rules.select("short", F.col("full").alias("rule_full"), "rank")
-    held = F.broadcast(held) if found["n"] <= broadcast_rules else held
-    hits = expressions.join(held, "short", "left").withColumn("hit", F.when(F.col("full") == F.col("rule_full"), F.col("rank")))
-    return _done(hits.groupBy("page_id", "host", "path", "copies").agg(F.max("hit").alias("best")), default)
-
-
-def _done(best: DataFrame, default: str) -> DataFrame:
-    one = best.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy"))
-    return one.drop("_copy")
+    met = asked.join(F.broadcast(held), "short") if small else salted(asked, held, "short", F.col("row"), hot(asked, "short"))
+    best = met.where("full = rule_full").groupBy("row").agg(F.max("rank").alias("best"))
+    return urls.join(best, "row", "left")
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
