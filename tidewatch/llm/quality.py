@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from tidewatch.llm.fitting import remainder, sample_ids
+from tidewatch.llm.fitting import MAX_BYTES, remainder, sample
 from tidewatch.llm.tables import table
 from tidewatch.llm.text import Words, chunks, flat, mix
 
@@ -158,9 +158,8 @@ def _chunked(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
         yield features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
-def train(docs: DataFrame, labels: DataFrame, usable, label: str = "quality", most: int = MAX_TRAIN) -> Machine:
-    """Fits on about most labelled documents for which usable holds; features are made by the executors."""
-    ids = sample_ids(labels, label, usable, most)
+def train(docs: DataFrame, labels: DataFrame, usable, label: str = "quality", most: int = MAX_TRAIN, most_bytes: int = MAX_BYTES) -> Machine:
+    """Fits on about most labelled documents for which usable holds, of most_bytes at most; features are made by the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,8 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, usable, label: str = "quality", mo
                 out += [(index[a:b].tobytes(), value[a:b].tobytes()) for a, b in zip(starts[:-1], starts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["y"], pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["doc_id", "y", "i", "x"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInArrow(run, "doc_id long, y int, i binary, x binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["i"]))
+    rows = sample(docs, labels, label, usable, most, most_bytes).mapInArrow(run, "doc_id long, y int, i binary, x binary").collect()
+    rows.sort(key=lambda r: r["doc_id"])
     index, value = np.frombuffer(b"".join(r["i"] for r in rows), np.int32), np.frombuffer(b"".join(r["x"] for r in rows), np.float32)
     return fit(index, value, np.concatenate([[0], np.cumsum([len(r["i"]) // 4 for r in rows])]).astype(np.int64), np.array([r["y"] for r in rows], np.float32))
 

@@ -2,10 +2,11 @@
 
 A word enters as the sum of two learned vectors' halves: one of its hashed whole form, one
 the mean of its hashed character n-grams. A GRU reads each window forwards, another
-backwards (immediate repeats of a word count as one); attention pools their states into one logit, and a document's logit is its
-largest window's. The network is fitted in numpy on a bounded sample of labelled rows
-(labels mark documents, so each step trains on the windows that the network itself finds
-most telling); all windows of all whole texts are scored inside the executors.
+backwards; attention pools their states into one logit, and a document's logit is its
+largest window's. The network is fitted in numpy on a bounded sample of labelled rows:
+labels mark documents, so each epoch trains on the windows that the network itself finds
+most telling among all of a document's. All windows of all whole texts are scored inside
+the executors.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from tidewatch.llm.fitting import remainder, sample_ids
+from tidewatch.llm.fitting import MAX_BYTES, remainder, sample
 from tidewatch.llm.tables import table
 from tidewatch.llm.text import Words, chunks, flat, mix
 
@@ -29,7 +30,6 @@ WINDOW = 32
 STRIDE = 24
 MAX_TRAIN = 3_000
 EPOCHS = 6
-CANDIDATES = 6
 THRESHOLD = 0.7
 CHUNK = 1 << 19
 _GRAMS = (3, 4, 5)
@@ -63,13 +63,9 @@ class Batch:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         words = Words(data, offsets)
-        fresh = np.ones(len(words.hash) + 1, bool)  # a word said again and again counts once, so that windows see what is around
-        fresh[1:-1] = words.hash[1:] != words.hash[:-1]
-        fresh[words.offsets] = True
-        fresh = fresh[:-1]
-        ends = np.concatenate([[0], np.cumsum(fresh)])[words.offsets]
-        _, once, which = np.unique(words.hash[fresh], return_index=True, return_inverse=True)
-        start, end, hashes = (x[fresh][once] for x in (words.start, words.end, words.hash))
+        ends = words.offsets
+        _, once, which = np.unique(words.hash, return_index=True, return_inverse=True)
+        start, end, hashes = (x[once] for x in (words.start, words.end, words.hash))
         self.word, self.gram, self.starts = word_inputs(words.data, start, end, hashes)
         self.count = count = np.diff(ends)
         many = np.maximum(1, -(-(count - WINDOW) // STRIDE) + 1)
@@ -211,44 +207,44 @@ def _odds(batch: Batch, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return odds[0].astype(np.float32), odds[1].astype(np.float32)
 
 
-def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> Network:
+def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 11, odds: bool = True) -> Network:
     """Adam on the logistic loss of the leading windows, then a scaling of document logits."""
     net, rng = Network(seed), np.random.default_rng(seed)
     if not len(y) or y.min() == y.max():
         net.shift, net.slope = (0.0 if not len(y) else 4.0 * (2 * float(y[0]) - 1)), 0.0
         return net
     batch = Batch(*flat(pa.array(texts, pa.string())))
-    word, gram = _odds(batch, y)
-    net.p["word"][:, 0], net.p["gram"][:, 0] = word / 2, gram / 2
-    doc = np.repeat(np.arange(len(y)), np.diff(batch.first))
+    if odds:  # embeddings that begin with what single words and n-grams tell
+        word, gram = _odds(batch, y)
+        net.p["word"][:, 0], net.p["gram"][:, 0] = word / 2, gram / 2
+    doc, calm = np.repeat(np.arange(len(y)), np.diff(batch.first)), np.flatnonzero(np.repeat(y == 0, np.diff(batch.first)))
+    calm_words = np.unique(batch.windows[calm])
+    calm_words = calm_words[calm_words >= 0]
     x = net.inputs(batch.word, batch.gram, batch.starts)
-    guess = np.append(x[:, 0] + x[:, EMBED], -1e3)[batch.windows].max(axis=1)  # the first choice of windows, before any training
-    order = np.lexsort((-guess, doc))
-    held = np.sort(order[np.arange(len(order)) - batch.first[doc[order]] < CANDIDATES])  # each document's likeliest windows
-    doc_of, calm = doc[held], np.flatnonzero(y[doc] == 0)
-    begin_of = np.searchsorted(doc_of, np.arange(len(y)))
-    lead = guess[held]
+    lead = np.append(x[:, 0] + x[:, EMBED], -1e3)[batch.windows].max(axis=1)  # the first choice of windows, before any training
     first, second = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
     step = 0
     for epoch in range(epochs):
         if epoch:
             x = net.inputs(batch.word, batch.gram, batch.starts)
-            lead = _run(net, x, batch.windows[held])
-        order = np.lexsort((-lead, doc_of))
-        rank = np.arange(len(order)) - begin_of[doc_of[order]]
-        chosen = held[order[(rank < 1) | ((rank < 2) & (y[doc_of[order]] == 0))]]
+            lead = _run(net, x, batch.windows)
+        order = np.lexsort((-lead, doc))
+        rank = np.arange(len(order)) - batch.first[doc[order]]
+        chosen = order[(rank < 1) | ((rank < 2) & (y[doc[order]] == 0))]
         chosen = np.concatenate([chosen, rng.choice(calm, min(len(y), len(calm)), replace=False)])
-        rng.shuffle(chosen)
-        for k in range(0, len(chosen), 256):
-            rows = chosen[k : k + 256]
-            used, inverse = np.unique(np.append(-1, batch.windows[rows].ravel()), return_inverse=True)
+        alone = np.repeat(rng.choice(calm_words, len(y) // 2 if len(calm_words) else 0)[:, None], WINDOW, axis=1)  # a calm word stays calm, however often it is said
+        seen, wanted = np.concatenate([batch.windows[chosen], alone]), np.concatenate([y[doc[chosen]], np.zeros(len(alone), np.float32)])
+        order = rng.permutation(len(seen))
+        for k in range(0, len(order), 256):
+            rows = order[k : k + 256]
+            used, inverse = np.unique(np.append(-1, seen[rows].ravel()), return_inverse=True)
             used, windows = used[1:], (inverse[1:] - 1).reshape(len(rows), WINDOW).astype(np.int32)
             many = np.diff(batch.starts)[used]
             begin = np.concatenate([[0], np.cumsum(many)])
             grams = batch.gram[np.repeat(batch.starts[used] - begin[:-1], many) + np.arange(begin[-1])]
             part = net.inputs(batch.word[used], grams, begin)
             logits, kept = net.run(part, windows, keep=True)
-            target = y[doc[rows]]
+            target = wanted[rows]
             err = ((1 / (1 + np.exp(-np.clip(logits, -30, 30)))) - target).astype(np.float32) * np.where(target > 0, 2.0, 1.0).astype(np.float32) / len(rows)
             grads, dx = net.gradients(part, windows, kept, err)
             grads["word"], grads["gram"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["gram"])
@@ -261,7 +257,7 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -
                 rate = 0.01 if name not in ("word", "gram") else 0.003
                 net.p[name] -= rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-7)
     x = net.inputs(batch.word, batch.gram, batch.starts)
-    _scale(net, np.maximum.reduceat(_run(net, x, batch.windows[held]), begin_of).astype(float), y)
+    _scale(net, np.maximum.reduceat(_run(net, x, batch.windows), batch.first[:-1]).astype(float), y)
     return net
 
 
@@ -285,12 +281,11 @@ def _parts(column: pa.Array) -> Iterator[Batch]:
         yield Batch(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
-def train(docs: DataFrame, labels: DataFrame, usable, label: str = "toxic", most: int = MAX_TRAIN) -> Network:
-    """Fits on about most labelled documents for which usable holds."""
-    ids = sample_ids(labels, label, usable, most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    return fit([r["text"] or "" for r in rows], np.array([r["y"] for r in rows], np.float32))
+def train(docs: DataFrame, labels: DataFrame, usable, label: str = "toxic", most: int = MAX_TRAIN, most_bytes: int = MAX_BYTES) -> Network:
+    """Fits on about most labelled documents for which usable holds, of most_bytes at most."""
+    rows = sample(docs, labels, label, usable, most, most_bytes).collect()
+    rows.sort(key=lambda r: r["doc_id"])
+    return fit([r["text"] for r in rows], np.array([r["y"] for r in rows], np.float32))
 
 
 def score(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
