@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat_format, decontaminate, line_dedup, ngram_join, piece_bpe, quality, sharding, topk, toxicity, url_filter
+from tidewatch.llm import chat_format, decontaminate, line_dedup, ngram_join, piece_bpe, quality, sharding, tables, topk, toxicity, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -150,15 +150,15 @@ def test_quality_without_labels(spark):
 # 4 -------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("limit", [100_000, 0])
-def test_url_rules_equal_brute_force(spark, limit):
+@pytest.mark.parametrize("limits", [{}, {"map_rules": 0}, {"map_rules": 0, "broadcast_rules": 0}])
+def test_url_rules_equal_brute_force(spark, limits):
     rng = random.Random(2)
     hosts = ["example.org", "a.b.example.ORG", "org", "x.com", "badexample.org", "de.com", "com", "", "a..org", "org.", ".".join("abcdefghij")]
     paths = ["/", "", "/es/x", "/en/1", "/en/12?q=/de/", "/fr/a#b", "/de/", "/de", "/en/\n1", "//fr/"]
     urls = [f"{s}://{h}{p}" for s in ("http", "ab://c") for h in hosts for p in paths] + [None, "", "example.org/es/", "http:/example.org/", "x://org?u=://com/fr/", "http://example.org/es/" + "y" * 5000]
     urls += [rng.choice(urls) for _ in range(10)]
     pages = spark.createDataFrame([(k % 50 if k % 7 else None, u, "x") for k, u in enumerate(urls)], "page_id long, url string, rule string")
-    got = sorted(((str(r["page_id"]), r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(pages, url_filter.rules_table(spark), broadcast_rules=limit).collect()), key=str)
+    got = sorted(((str(r["page_id"]), r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(pages, url_filter.rules_table(spark), **limits).collect()), key=str)
     want = []
     for k, u in enumerate(urls):
         rest = u.split("://", 1)[1] if u and "://" in u else ""
@@ -261,6 +261,48 @@ def test_components_of_long_chains(spark):
     assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100, 103: 100}
 
 
+def test_components_by_levels(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LAST_EDGES", 3)
+    monkeypatch.setattr(ngram_join, "FOREST_EDGES", 5)
+    rng = random.Random(3)
+    rows = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000, 1001 + k) for k in range(150)]
+    root = {x: x for r in rows for x in r}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in rows:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = {r["node"]: r["root"] for r in ngram_join.components(spark.createDataFrame(rows, "a long, b long").repartition(7)).collect()}
+    assert got == {x: find(x) for x in root}
+
+
+def test_sets_of_one_name_stay_apart(spark, monkeypatch):
+    import hashlib
+
+    def names(grams):
+        d = hashlib.blake2b(grams.tobytes(), digest_size=8).digest()
+        return len(grams) % 3, int.from_bytes(d, "little", signed=True)
+
+    monkeypatch.setattr(ngram_join, "_names", names)
+    monkeypatch.setattr(ngram_join, "_node", lambda grams, clashes: names(grams)[names(grams)[0] in clashes])
+    rows = _corpus(5, 12)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(_docs(spark, rows)).collect()}
+    assert got == _components(rows)
+
+
+def test_hot_keys_are_salted(spark):
+    rows = spark.range(100).selectExpr("id as v", "if(id < 70, 1, id) as k")
+    lookup = spark.createDataFrame([(1, "a"), (80, "b")], "k long, w string")
+    parts = tables.hot(rows, "k", 20)
+    assert [tuple(r) for r in parts.collect()] == [(1, 4)]
+    got = {r["v"]: r["w"] for r in tables.salted(rows, lookup, "k", F.col("v"), parts, "left").collect()}
+    assert got == {v: "a" if v < 70 else "b" if v == 80 else None for v in range(100)}
+
+
 # 6 -------------------------------------------------------------------------------------
 
 
@@ -378,21 +420,46 @@ def test_decoding_of_any_ids(library):
 # 9 -------------------------------------------------------------------------------------
 
 
+def _inner(x, y):
+    q = [[floor(256 * float(np.float32(v))) for v in w] for w in (x, y)]
+    return sum(a * b for a, b in zip(*q, strict=True))
+
+
+def test_top_k_keeps_rows_that_repeat_a_vec_id(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.5, 0.0]), (3, [0.1, 5e9])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == [(0, 1, 1, 65536), (0, 2, 1, 32768), (0, 3, 3, 6400)]
+
+
+def test_max_score_passes_over_what_cannot_compete():
+    rng = np.random.default_rng(8)
+    x = rng.integers(-40, 40, (4000, 32)) * (np.arange(32) < 6) + rng.integers(-3, 4, (4000, 32))
+    for kind in (np.float64, np.int64):
+        search = topk.Search(np.arange(20), x[:20].astype(kind), 5).seed()
+        for k in range(0, len(x), 500):
+            search.shard(np.arange(k, k + 500), x[k : k + 500].astype(kind))
+        score = x[:20] @ x.T
+        score[np.arange(20), np.arange(20)] = -(10**9)
+        want = [sorted(zip(-row, range(4000), strict=True))[:5] for row in score]
+        assert [[(-s, v) for s, v in zip(search.score[k].astype(int), search.held[k], strict=True)] for k in range(20)] == want
+        assert search.work < 0.5 * 20 * x.size  # most components are never looked at
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(4)
     rows = [(k, rng.normal(0, 0.2, 12).astype(np.float32).tolist()) for k in range(400)] + [(k, [0.5] * 12) for k in range(400, 460)]
     bad = [(600, None), (650, [float("nan")] * 12), (700, [None] + [0.1] * 11), (750, [float("inf")] * 12), (None, [0.1] * 12), (800, []), (850, [1.0, 2.0])]
     vectors = spark.createDataFrame(rows + bad + rows[:3], "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
-    got = {}
-    for r in topk.top_k(vectors, shard_rows=150, block_rows=4).collect():
-        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    q = {k: [floor(256 * float(np.float32(x))) for x in v] for k, v in rows}
+    every = rows + rows[:3]
     want = {}
-    for a in q:
-        if a % 50 == 0:
-            order = sorted(((-sum(x * y for x, y in zip(q[a], q[b], strict=True)), b) for b in q if b != a))[:5]
-            want[a] = [(k + 1, b, -s) for k, (s, b) in enumerate(order)]
-    assert {k: sorted(v) for k, v in got.items()} == want
+    for a in {a for a, _ in every if a % 50 == 0}:
+        pairs = sorted((-_inner(x, y), b) for i, x in every if i == a for b, y in every if b != a)[:5]
+        want[a] = [(k + 1, b, -s) for k, (s, b) in enumerate(pairs)]
+    for limits in ({}, {"shard_rows": 7, "slice_bytes": 300}):
+        got = {}
+        for r in topk.top_k(vectors, **limits).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+        assert {k: sorted(v) for k, v in got.items()} == want
     assert topk.top_k(vectors.limit(0)).count() == 0 and topk.top_k(vectors.where("vec_id = 0")).count() == 0
 
 
