@@ -4,7 +4,9 @@ Documents stand on the ring at the hash of their text, so equal texts stand toge
 the order of doc_id. Each shard owns the arcs before its virtual nodes and fills with its
 own documents, clockwise, up to a capacity in bytes; what overflows continues clockwise to
 the next shard with room. The walk works on the byte totals of arcs, a table whose size is
-fixed by the ring; documents look their shard up by their running byte offset.
+fixed by the ring; documents look their shard up by their running byte offset. Where a
+shard's end falls inside a group of equal texts, the whole group goes to the first shard
+clockwise that takes it with a little slack; only a group that fits nowhere is divided.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from tidewatch.llm.text import mix
 SHARDS = 24
 VNODES = 64
 SLACK = 0.001
+GROUP_SLACK = 0.02
 EXTRA_BYTES = 8
 _OUT = "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int"
 
@@ -71,15 +74,37 @@ def walk(ring: Ring, loads: np.ndarray, capacity: int) -> list[tuple[int, int, i
     return sorted(pieces)
 
 
-def bounded_shards(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, slack: float = SLACK) -> DataFrame:
+def keep_groups(pieces: list[tuple[int, int, int]], room: np.ndarray, groups: list[tuple[int, int, int]]) -> dict[int, int]:
+    """The shard of each group (begin, end, place) that pieces divide and some shard has room for as a whole, the
+    largest groups first; room is what each shard may still take, and is kept up to date."""
+    edges, owners = np.array([p[0] for p in pieces], np.int64), np.array([p[2] for p in pieces], np.int64)
+    out = {}
+    for begin, end, place in sorted(groups, key=lambda g: (g[0] - g[1], g[0])):
+        first, last = int(np.searchsorted(edges, begin, side="right")) - 1, int(np.searchsorted(edges, end, side="left")) - 1
+        if first == last:
+            continue
+        held = np.zeros(len(room), np.int64)
+        for a, b, s in pieces[first : last + 1]:
+            held[s] += min(b, end) - max(a, begin)
+        ahead = [int(owners[(first + j) % len(owners)]) for j in range(len(owners))]
+        whole = next((s for s in ahead if room[s] + held[s] >= end - begin), None)
+        if whole is not None:
+            room += held
+            room[whole] -= end - begin
+            out[place] = whole
+    return out
+
+
+def bounded_shards(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, slack: float = SLACK, group_slack: float = GROUP_SLACK) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row of docs.
 
-    The law is "bytes": a row's size is its text's UTF-8 bytes (none for null) plus 8, and no
-    shard is filled above (1 + slack) times the mean, but by at most the one document that
-    fits nowhere whole. Slots count a shard's rows from 0 in ring order. Equal texts share a
-    shard unless it overflows. Repeated rows are placed one by one; rows with a null doc_id
-    come first among equal texts; grown_shard is null under this law. An empty table gives
-    no rows.
+    The law is "bytes": a row's size is its text's UTF-8 bytes (none for null) plus 8. The ring
+    fills no shard above (1 + slack) times the mean; to keep equal texts together a shard
+    takes up to (1 + group_slack) times the mean, and gives up no more than others so take.
+    A group that no shard has room for is divided, and then a document that fits nowhere
+    whole exceeds the bound alone. Slots count a shard's rows from 0 in ring order.
+    Repeated rows are placed one by one; rows with a null doc_id come first among equal
+    texts; grown_shard is null under this law. An empty table gives no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + EXTRA_BYTES).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("place"))
@@ -100,21 +125,57 @@ def bounded_shards(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES,
         loads[r["arc"]] += r["bytes"]
         before[r["part"] + 1] += r["bytes"]
     before, total = np.cumsum(before), int(loads.sum())
-    capacity = max(1, ceil(total / shards * (1 + slack)))
-    pieces = walk(ring, loads, capacity)
+    pieces = walk(ring, loads, max(1, ceil(total / shards * (1 + slack))))
     edges, owners = np.array([p[0] for p in pieces] or [0], np.int64), np.array([p[2] for p in pieces] or [0], np.int64)
-    moved: dict[tuple[int, int], int] = {}
+    room = np.full(shards, max(1, ceil(total / shards * (1 + group_slack))), np.int64)
+    for a, b, s in pieces:
+        room[s] -= b - a
     sent = context.broadcast((before, edges, owners))
 
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(place, begin, end) of this partition's part of the groups that a piece's end lies in, and of its first and last group."""
+        before, edges, _ = sent.value
+        at = start = int(before[TaskContext.get().partitionId()])
+        last, out = None, []
+
+        def done(end: int, final: bool) -> None:
+            inside = np.searchsorted(edges, start, side="right") < np.searchsorted(edges, end, side="left")
+            if last is not None and (inside or final or not out):
+                out.append((last, start, end))
+
+        for batch in batches:
+            place, size = batch["place"].to_numpy(), batch["size"].to_numpy()
+            ends = at + np.cumsum(size)
+            for k in np.flatnonzero(np.append(True, place[1:] != place[:-1])).tolist():
+                if place[k] != last:
+                    here = int(ends[k] - size[k])
+                    done(here, False)
+                    last, start = int(place[k]), here
+            at = int(ends[-1]) if len(ends) else at
+        done(at, True)
+        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in range(3)], ["place", "begin", "end"])
+
+    spans: dict[int, tuple[int, int]] = {}
+    for r in rows.mapInArrow(runs, "place long, begin long, end long").collect():  # a few for each partition and piece
+        a, b = spans.get(r["place"], (r["begin"], r["end"]))
+        spans[r["place"]] = min(a, r["begin"]), max(b, r["end"])
+    kept = keep_groups(pieces, room, [(a, b, place) for place, (a, b) in spans.items()])
+    groups = context.broadcast((np.array(sorted(kept), np.int64), np.array([kept[p] for p in sorted(kept)], np.int64)))
+    moved: dict[tuple[int, int], int] = {}
+
     def placed(batches: Iterator[pa.RecordBatch], moved: dict) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-        before, edges, owners = sent.value
+        (before, edges, owners), (whole, target) = sent.value, groups.value
         at = int(before[TaskContext.get().partitionId()])
         for batch in batches:
-            size = batch["size"].to_numpy()
+            size, place = batch["size"].to_numpy(), batch["place"].to_numpy()
             begin = at + np.concatenate([[0], np.cumsum(size)])
             k = np.searchsorted(edges, begin[:-1], side="right") - 1
             shard = owners[k].copy()
             over = np.searchsorted(edges, begin[1:], side="left") - 1 > k  # the document goes on behind its piece's end
+            if len(whole):
+                g = np.minimum(np.searchsorted(whole, place), len(whole) - 1)
+                own = whole[g] == place
+                shard[own], over = target[g[own]], over & ~own
             for i in np.flatnonzero(over):
                 shard[i] = moved.get((int(begin[i]), int(size[i])), shard[i])
             yield batch, begin[:-1], shard, over
@@ -124,9 +185,6 @@ def bounded_shards(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES,
         for batch, begin, shard, over in placed(batches, {}):
             yield pa.RecordBatch.from_arrays([pa.array(begin[over]), pa.array(batch["size"].to_numpy()[over]), pa.array(shard[over])], ["begin", "size", "shard"])
 
-    room = np.full(shards, capacity, np.int64)
-    for a, b, s in pieces:
-        room[s] -= b - a
     across = sorted((r["begin"], r["size"]) for r in rows.mapInArrow(astride, "begin long, size long, shard long").collect())
     for begin, size in across:  # their bytes come off the pieces they touch
         for k in range(int(np.searchsorted(edges, begin, side="right")) - 1, int(np.searchsorted(edges, begin + size, side="left"))):
