@@ -321,10 +321,31 @@ def test_bounded_ring(spark):
             assert r["size"] == len(raw) + 8 and r["text_crc32"] == zlib.crc32(raw) and r["law"] == "bytes" and r["grown_shard"] is None
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     mean = sum(loads) / 6
-    assert max(loads) <= mean * 1.001 + 4008 and min(loads) >= mean * 0.9
+    assert max(loads) <= mean * 1.02 + 4008 and min(loads) >= mean * 0.9
     assert sharding.bounded_shards(_docs(spark, [])).count() == 0
 
 
+def test_equal_texts_stay_together_where_a_shard_has_room(spark):
+    rng = random.Random(6)
+    texts = [_words(rng, 40, 3000) for _ in range(700)]
+    rows = [(20 * k + j, t) for k, t in enumerate(texts) for j in range(rng.choice([1, 2, 3]))]
+    got = sharding.bounded_shards(_docs(spark, rows), shards=8, vnodes=16).collect()
+    where, loads = {}, [0] * 8
+    for r in got:
+        where.setdefault(r["doc_id"] // 20, set()).add(r["shard"])
+        loads[r["shard"]] += r["size"]
+    assert len(got) == len(rows) and all(len(s) == 1 for s in where.values())
+    assert max(loads) <= sum(loads) / 8 * 1.02 + 1 and min(loads) >= sum(loads) / 8 * 0.9
+
+
+def test_groups_move_whole_or_not_at_all():
+    pieces = [(0, 100, 0), (100, 200, 1), (200, 300, 2)]
+    room = np.array([5, 20, 0])
+    assert sharding.keep_groups(pieces, room, [(90, 110, 7)]) == {7: 1} and room.tolist() == [15, 10, 0]  # the shard of its head has no room
+    room = np.array([0, 0, 0])
+    assert sharding.keep_groups(pieces, room, [(90, 110, 7), (120, 140, 8)]) == {} and room.tolist() == [0, 0, 0]
+
+
 def test_walk_keeps_capacity_and_order():
     ring = sharding.Ring(4, 8)
     loads = np.random.default_rng(2).integers(0, 1000, len(ring.owner))
