@@ -9,16 +9,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 1_000_000
-BATCH_ROWS = 1_000
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
 HOT_ROWS = 20_000  # rows of one key that a task takes before the key is salted
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts are long, so Arrow takes fewer rows at a time than by default: what a worker holds stays small."""
+    """Texts are long, so Arrow takes fewer rows and bytes at a time than by default: what a worker holds stays small.
+
+    A setting of the session, made by the registered queries and the pipeline's stages alone.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the input, for a registered query."""
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
