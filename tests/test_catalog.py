@@ -25,9 +25,55 @@ def test_query_equals_sql(spark, name):
     assert _plain(got) == _plain(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
-def test_query_without_sql_runs(spark, name):
-    assert catalog.queries()[name](spark, SF).count() >= 0
+def test_fitted_models_agree_with_their_definition(spark):
+    """Model queries against a direct computation on the driver: every voyage scored, the 99th percentile, what lies beyond."""
+    import numpy as np
+
+    from tidewatch.operators import anomaly, tracks
+    from tidewatch.sources import lens
+
+    shapes = tracks.shapes(lens.positions(spark, SF)).toPandas().sort_values(["mmsi", "voyage"])
+    x = np.array([[list(step) for step in v] for v in shapes["sequence"]], float)
+    model = anomaly.SequenceModel().fit(x)
+    errors = model.errors(x).round(12)
+    want = {f"{m}" for m, e in zip(shapes["mmsi"] + "-" + (shapes["start_us"] // 1_000_000).astype(str), errors, strict=True) if e > np.percentile(errors, 99)}
+    got = catalog.queries()["anomaly_incidents"](spark, SF).toPandas()
+    assert {i.removeprefix("anomaly-") for i in got["incident_id"]} == want
+    f = np.array([list(v) for v in shapes["features"]], float)
+    both = catalog.queries()["anomaly_baselines"](spark, SF).toPandas().sort_values(["mmsi", "voyage"])
+    assert np.allclose(both["pca_error"], anomaly.Components(f).errors(f), atol=1e-9) and np.allclose(both["forest_error"], anomaly.Forest(f).errors(f), atol=1e-9)
+
+
+def test_shapes_and_lines_agree_with_plain_loops(spark):
+    import numpy as np
+
+    from tidewatch.operators import tracks
+    from tidewatch.sources import lens
+
+    v = tracks.voyages(lens.positions(spark, SF)).toPandas().sort_values(["mmsi", "us", "id"])
+    shapes = {(r["mmsi"], r["voyage"]): r for r in catalog.queries()["track_shapes"](spark, SF).collect()}
+    lines = {(r["mmsi"], r["voyage"]): r for r in catalog.queries()["polyline_simplify"](spark, SF).collect()}
+    for key, g in v.groupby(["mmsi", "voyage"]):
+        us, lat, lon, ids = (g[c].to_numpy() for c in ("us", "lat", "lon", "id"))
+        assert (key in shapes) == (len(g) >= 6) and lines[key]["n_points"] == len(g)
+        if key in shapes:
+            moved = np.hypot(*np.diff(np.array(shapes[key]["features"][:-1]).reshape(-1, 2), axis=0).T)
+            assert np.allclose(moved, [s[2] for s in shapes[key]["sequence"]], atol=3e-4)
+        kept = lines[key]["kept"]
+        assert kept[0] == ids[0] and kept[-1] == ids[-1] and set(kept) <= set(ids)
+        at = [list(ids).index(i) for i in kept]
+        x, y = lon * 111.19 * np.cos(np.radians(lat.mean())), lat * 111.19
+        for a, b in zip(at, at[1:], strict=False):  # what is left out lies within the tolerance of the line that replaces it
+            d = np.hypot(x[b] - x[a], y[b] - y[a])
+            for k in range(a + 1, b):
+                away = abs((x[b] - x[a]) * (y[k] - y[a]) - (y[b] - y[a]) * (x[k] - x[a])) / d if d else np.hypot(x[k] - x[a], y[k] - y[a])
+                assert away <= 0.05 + 1e-9
+
+
+def test_candidates_hold_every_meeting(spark):
+    q = catalog.queries()
+    near = {(r["a"], r["b"]) for r in q["near_moments"](spark, SF).collect()}
+    assert near and near <= {(r["a"], r["b"]) for r in q["rendezvous_candidates"](spark, SF).collect()}
 
 
 def test_readers_take_the_findings_of_all_detectors(spark, monkeypatch):

@@ -120,6 +120,25 @@ def test_dwell_spans_are_greedy():
     assert detect.dwell_spans(us, lat, lon, np.full(14, 1.0), lambda a, b: True)[0][5]
 
 
+def _meeting(a, b, range_km, speed_kn, minutes, step_min):
+    """The longest run of grid times at which two whole interpolated paths are both slow and near."""
+    lo, hi = max(a["us"][0], b["us"][0]), min(a["us"][-1], b["us"][-1])
+    if hi - lo < minutes * 60e6:
+        return None
+    grid = np.arange(lo, hi + 1, step_min * 60e6)
+    x, y = ({c: np.interp(grid, p["us"], p[c]) for c in ("lat", "lon", "sog")} for p in (a, b))
+    away = detect._km(x["lat"], x["lon"], y["lat"], y["lon"])
+    good = np.concatenate([[False], (x["sog"] <= speed_kn) & (y["sog"] <= speed_kn) & (away <= range_km), [False]])
+    starts, ends = np.flatnonzero(~good[:-1] & good[1:]), np.flatnonzero(good[:-1] & ~good[1:])
+    if not len(starts):
+        return None
+    k = int(np.argmax(ends - starts))
+    s, e = int(starts[k]), int(ends[k])
+    if (e - s - 1) * step_min < minutes:
+        return None
+    return int(grid[s]), int(grid[e - 1]), float(x["lat"][s:e].mean()), float(x["lon"][s:e].mean()), (e - s - 1) * step_min, float(away[s:e].min())
+
+
 def test_meetings_equal_all_pairs(spark):
     rng = np.random.default_rng(5)
     rows = []
@@ -131,13 +150,44 @@ def test_meetings_equal_all_pairs(spark):
     p = _reports(spark, rows)
     paths = {m: {c: g.sort_values("us")[c].to_numpy(float) for c in ("us", "lat", "lon", "sog")} for m, g in p.toPandas().groupby("mmsi")}
     moving = [m for m, x in paths.items() if x["sog"].max() >= 3]
-    want = {(a, b): detect.meeting(paths[a], paths[b], 0.5, 1.0, 30, 5) for a in moving for b in moving if a < b}
+    want = {(a, b): _meeting(paths[a], paths[b], 0.5, 1.0, 30, 5) for a in moving for b in moving if a < b}
     want = {k: v for k, v in want.items() if v}
     assert want and set(want) <= {(r["a"], r["b"]) for r in detect.meeting_candidates(p).collect()}
     degree = pd.Series([x for k in want for x in k]).value_counts()
     got = {(r["a"], r["b"]): r["minutes"] for r in detect.meetings(p).collect()}
     assert got == {k: v[4] for k, v in want.items() if degree[k[0]] <= 2 and degree[k[1]] <= 2}
-    assert detect.rendezvous(p).count() == 2 * len(got)
+    every = detect.rendezvous(p).collect()
+    assert len(every) == 2 * len(got)
+    one = sorted(got)[0][0]
+    focused = detect.rendezvous(p, spark.createDataFrame([(one,)], "mmsi string")).collect()
+    pick = lambda rows: sorted((r["incident_id"], r["score"]) for r in rows if one in (r["mmsi"], r["counterpart_mmsi"]))
+    assert pick(focused) == pick(every) and len(pick(focused)) == len(focused)
+
+
+@pytest.mark.parametrize("lon", [179.9995, -179.9995, 20.0])
+def test_meetings_across_the_meridian(spark, lon):
+    other = {179.9995: -179.9995, -179.9995: 179.9995, 20.0: 20.001}[lon]
+    rows = [(v, t, 0.0, x, 5 if t == 0 else 0.2) for v, x in (("a", lon), ("b", other)) for t in range(0, 121, 10)]
+    p = _reports(spark, rows)
+    assert [(r["a"], r["b"]) for r in detect.meeting_candidates(p).collect()] == [("a", "b")]
+    (m,) = detect.meetings(p).collect()
+    assert m["minutes"] >= 60 and abs(m["lon"]) <= 180 and m["km"] < 0.2
+    # a path that crosses the meridian between two reports stays there, it doesn't sweep the globe
+    q = _reports(spark, [("a", t, 0.0, 179.9995 if t % 20 else -179.9995, 5 if t == 0 else 0.2) for t in range(0, 121, 10)] + [("b", t, 0.0, 10.0, 5 if t == 0 else 0.2) for t in range(0, 121, 10)])
+    assert detect.meeting_candidates(q).count() == 0
+
+
+def test_pieces_change_no_dwelling(spark):
+    rng = np.random.default_rng(2)
+    rows, lat = [], 5.0
+    for t in range(0, 3000, 10):
+        lat += float(rng.choice([0.0, 0.001, 0.05], p=[0.7, 0.25, 0.05]))
+        rows.append(("1", t, lat, 80.0, float(rng.uniform(0.3, 2.2))))
+    p = _reports(spark, rows)
+    us, la, lo, sog = (np.array(x, float) for x in zip(*[(T0 + int(t * MIN), a, o, s) for _, t, a, o, s in rows], strict=True))
+    want = [(int(us[i]), int(us[j])) for i, j, *_ in detect.dwell_spans(us, la, lo, sog, lambda a, b: False)]
+    got = sorted((r["ts_start_us"], r["ts_end_us"]) for r in detect.loiters(p).collect())
+    assert want and got == want and detect.pieces(p).select("piece").distinct().count() > 3
 
 
 def test_intervals(spark):
@@ -322,13 +372,11 @@ def test_agreement_and_external_rates(spark):
 
 
 def test_threshold_comes_from_all_voyages(spark):
-    from tidewatch.plans import catalog
-
     rng = np.random.default_rng(2)
     x = rng.normal(0, 1, (2600, 2, 4)) * rng.gamma(1, 1, (2600, 1, 1))
     rows = [(f"{k:04d}", 0, T0, [], v.tolist()) for k, v in enumerate(x)]
     shapes = spark.createDataFrame(rows, "mmsi string, voyage long, start_us long, features array<double>, sequence array<array<double>>")
-    model = catalog._model(shapes)
+    model = anomaly.fitted(shapes)
     errors = model.errors(x)
     assert abs(model.threshold - np.percentile(errors, 99)) < 1e-9 and anomaly.scored(shapes, model).where(F.col("error") > model.threshold).count() == 26
 
@@ -349,9 +397,13 @@ def test_events_match_the_whole_path(spark):
 
 def test_review_pools_in_order(spark):
     t = spark.createDataFrame([(k, k, 0) for k in "abcdefg"], "track_id string, mmsi string, voyage long")
-    found = spark.createDataFrame([("1", "spoof", 0.7, 99.0), ("2", "loiter", 0.7, 1.0), ("3", "gap", 0.5, 9.0), ("4", "spoof", 0.9, 99.0), ("5", "anomaly", 0.7, None)], "incident_id string, detector string, score double, knots double")
+    found = spark.createDataFrame([("1", "spoof", 0.7, (99.0,)), ("2", "loiter", 0.7, (None,)), ("3", "gap", 0.5, (9.0,)), ("4", "spoof", 0.9, (99.0,)), ("5", "anomaly", 0.7, (None,))], "incident_id string, detector string, score double, evidence struct<implied_speed_kn:double>")
     of = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", "c"), ("4", "d"), ("5", "e")], "incident_id string, track_id string")
     m = spark.createDataFrame([("x", "d", "ambiguous"), ("y", None, "unmatched")], "event_id string, track_id string, status string")
     errors = spark.createDataFrame([("b", 0, 1.0), ("f", 0, 0.8), ("g", 0, 1.3)], "mmsi string, voyage long, error double")
-    got = dict(map(tuple, evaluate.review_pools(t, of, found, m, errors, 1.0).collect()))
+    pools = evaluate.review_pools(t, of, found, m, errors, 1.0)
+    got = {r["track_id"]: r["stratum"] for r in pools.collect()}
+    queue = evaluate.review_queue(pools, {"alert": 1, "ais-artifact-candidate": 1, "external-event": 1, "near-threshold": 1}, 5, 1).collect()
+    assert sorted(r["stratum"] for r in queue) == ["ais-artifact-candidate", "alert", "external-event", "near-threshold", "rest"]
+    assert {r["stratum"]: r["probability"] for r in queue}["ais-artifact-candidate"] == 0.5 and sorted(r["queue_order"] for r in queue) == [1, 2, 3, 4, 5]
     assert got == {"a": "ais-artifact-candidate", "b": "alert", "c": "ais-artifact-candidate", "d": "external-event", "e": "alert", "f": "near-threshold", "g": "rest"}

@@ -40,7 +40,11 @@ def heading_delta(left: Column, right: Column) -> Column:
     return F.abs(F.pmod(left - right + 180, F.lit(360.0)) - 180)
 
 
-def destination(lat: Column, lon: Column, course: Column, km: Column) -> tuple[Column, Column]:
-    """The point reached after km on a course in degrees, on a local flat grid."""
-    north, east = km * F.cos(F.radians(course)), km * F.sin(F.radians(course))
-    return lat + north / FEATURE_KM_PER_DEGREE, lon + east / (F.lit(FEATURE_KM_PER_DEGREE) * F.cos(F.radians(lat)))
+def short_way(degrees: Column) -> Column:
+    """A difference of longitudes taken the short way around, -180 to 180."""
+    return F.when(degrees > 180, degrees - 360).when(degrees < -180, degrees + 360).otherwise(degrees)
+
+
+def to_180(lon: Column) -> Column:
+    """A longitude that may lie beyond the 180th meridian, brought back."""
+    return F.when(lon > 180, lon - 360).when(lon < -180, lon + 360).otherwise(lon)

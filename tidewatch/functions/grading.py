@@ -53,6 +53,7 @@ def anomaly_score(error: Column, threshold: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.5 * error / (threshold + 1e-12)))
 
 
+# What a reason tells, in order, and its category.
 def outage_category(reason: Column) -> Column:
     text = F.lower(reason)
     of_source = text.contains("timeout") | text.contains("connection")

@@ -40,6 +40,7 @@ def coordinate(x: Column, low: float, high: float) -> Column:
     return F.when(~F.isnan(x) & x.between(low, high), x)
 
 
+# Ranges of type codes and their categories.
 def ship_type(code: Column) -> Column:
     n = code.try_cast("double").cast("int")
     by_decade = F.when(n == 30, "fishing").when(n.between(31, 39), "special").when(n.between(60, 69), "passenger").when(n.between(70, 79), "cargo").when(n.between(80, 89), "tanker")

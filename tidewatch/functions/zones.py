@@ -44,6 +44,11 @@ def in_kind(lat: Column, lon: Column, kind: str) -> Column:
     return out
 
 
+def name_of(zone_id: Column) -> Column:
+    """A zone's readable name: its id in words, each with a capital."""
+    return F.initcap(F.replace(zone_id, F.lit("-"), F.lit(" ")))
+
+
 def is_sensitive(zone_id: Column) -> Column:
     return F.coalesce(zone_id.isin([z[0] for z in ZONES if z[2]]), F.lit(False))
 

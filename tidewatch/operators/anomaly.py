@@ -21,6 +21,7 @@ from tidewatch.functions.grading import anomaly_score
 from tidewatch.operators.detect import incidents
 
 MAX_TRAIN = 10_000
+MIN_VOYAGES = 4  # fewer can't fit a model
 
 
 def _gate(x: np.ndarray) -> np.ndarray:
@@ -203,6 +204,13 @@ def training_sample(shapes: DataFrame, column: str, most: int = MAX_TRAIN) -> np
     return np.array([r[0] for r in rows.orderBy("mmsi", "voyage").select(column).collect()], float)
 
 
+def fitted(shapes: DataFrame, most: int = MAX_TRAIN, epochs: int = 300) -> SequenceModel | None:
+    """A model fitted on a bounded sample, its threshold from the errors of all voyages; none where there are fewer than MIN_VOYAGES."""
+    if shapes.limit(MIN_VOYAGES).count() < MIN_VOYAGES:
+        return None
+    return calibrated(shapes, SequenceModel().fit(training_sample(shapes, "sequence", most), epochs))
+
+
 def scored(shapes: DataFrame, model, column: str = "sequence") -> DataFrame:
     """(mmsi, voyage, start_us, error) of every voyage; rounded, so that the size of a batch doesn't show."""
     sent = shapes.sparkSession.sparkContext.broadcast(model)
@@ -221,8 +229,34 @@ def calibrated(shapes: DataFrame, model: SequenceModel, percentile: float = 99.0
     return model
 
 
-def anomalies(shapes: DataFrame, tracks: DataFrame, model: SequenceModel) -> DataFrame:
-    """Incidents of voyages whose error exceeds the model's threshold, placed where they start."""
-    rows = scored(shapes, model).where(F.col("error") > model.threshold).join(tracks.select("mmsi", "voyage", "end_us", F.col("start_lat").alias("lat"), F.col("start_lon").alias("lon"), "region"), ["mmsi", "voyage"])
+def anomalies(shapes: DataFrame, tracks: DataFrame, model: SequenceModel | None) -> DataFrame:
+    """Incidents of voyages whose error exceeds the model's threshold, placed where they start; none without a model."""
+    if model is None:
+        model = SequenceModel(threshold=0.0)
+        errors = shapes.where(F.lit(False)).select("mmsi", "voyage", "start_us", F.lit(0.0).alias("error"))
+    else:
+        errors = scored(shapes, model).where(F.col("error") > model.threshold)
+    rows = errors.join(tracks.select("mmsi", "voyage", "end_us", F.col("start_lat").alias("lat"), F.col("start_lon").alias("lon"), "region"), ["mmsi", "voyage"])
     rows = rows.withColumns({"score": anomaly_score(F.col("error"), F.lit(model.threshold)), "confidence": F.lit(0.45), "ts_start_us": F.col("start_us"), "ts_end_us": F.col("end_us"), "minutes": F.lit(None).cast("double"), "km": F.lit(None).cast("double"), "knots": F.lit(None).cast("double")})
-    return incidents(rows, "anomaly", F.lit("trajectory anomaly"), F.array(F.lit("trajectory-anomaly"), F.lit("pattern-of-life-deviation")))
+    held = {"reconstruction_error": F.round("error", 5), "threshold": F.round(F.lit(model.threshold), 5), "caveat": F.lit("unusual isn't unlawful")}
+    return incidents(rows, "anomaly", F.lit("trajectory anomaly"), F.array(F.lit("trajectory-anomaly"), F.lit("pattern-of-life-deviation")), evidence=held)
+
+
+def scored_points(points: DataFrame, model: SequenceModel, least: int = 6) -> DataFrame:
+    """One row on the one track that the points (lat, lon, ts, sog; all text) are: its score, or what is wrong with them.
+
+    A time may be seconds since 1970 or an ISO form; points without one stand five minutes apart, in the order of at.
+    """
+    from tidewatch.functions import parsing
+    from tidewatch.operators import tracks
+
+    lat, lon = parsing.coordinate(parsing.number(F.col("lat")), -90, 90), parsing.coordinate(parsing.number(F.col("lon")), -180, 180)
+    seconds = F.coalesce(parsing.number(F.col("ts")), F.unix_micros(F.try_to_timestamp(F.regexp_replace("ts", "Z$", "+00:00"))) / F.lit(1e6), F.col("at") * 300.0)
+    rows = points.select(F.lit("query").alias("mmsi"), F.col("at").cast("long").alias("id"), (seconds * 1e6).cast("long").alias("us"), lat.alias("lat"), lon.alias("lon"), parsing.coordinate(parsing.number(F.col("sog")), -1e6, 1e6).alias("sog"), F.lit("query").alias("region"), F.col("sog").isNotNull().alias("has_sog"))
+    state = rows.agg(F.count("*").alias("n"), F.sum((F.col("lat").isNull() | F.col("lon").isNull()).cast("int")).alias("bad"), F.sum((F.col("has_sog") & F.col("sog").isNull()).cast("int")).alias("bad_sog"))
+    error = F.when(F.col("n") < least, f"need at least {least} points").when(F.col("bad") > 0, "a point lacks a finite place").when(F.col("bad_sog") > 0, "a point's speed is no number")
+    whole = rows.where("lat IS NOT NULL AND lon IS NOT NULL")
+    result = scored(tracks.shapes(whole, min_points=least, gap_minutes=1 << 30), model).select("error")
+    one = state.select("n", error.alias("problem")).crossJoin(result.withColumnRenamed("error", "raw").agg(F.max("raw").alias("raw")))  # single rows
+    ok = lambda c: F.when(F.col("problem").isNull(), c)
+    return one.select("problem", ok(F.round(anomaly_score(F.col("raw"), F.lit(model.threshold)), 4)).alias("anomaly_score"), ok(F.round("raw", 6)).alias("reconstruction_error"), ok(F.col("raw") > model.threshold).alias("is_anomalous"), F.col("n").alias("points_scored"))

@@ -2,34 +2,43 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidewatch.functions import zones
-from tidewatch.functions.geo import EARTH_KM, haversine_km
+from tidewatch.functions.geo import EARTH_KM, haversine_km, short_way, to_180
 from tidewatch.functions.grading import clip1, grade, severity
+from tidewatch.operators.overlap import overlapping
 from tidewatch.operators.tracks import by_time, steps
 
 HOUR_US, BIN_US = 3_600_000_000, 1_800_000_000
 CELL = 0.25
 SAMPLES = 12
-COLUMNS = ("incident_id", "mmsi", "detector", "incident_type", "score", "severity", "reliability", "confidence", "ts_start_us", "ts_end_us", "lat", "lon", "zone_id", "counterpart_mmsi", "techniques", "minutes", "km", "knots", "region")
+COLUMNS = ("incident_id", "mmsi", "detector", "incident_type", "score", "severity", "reliability", "confidence", "ts_start_us", "ts_end_us", "lat", "lon", "zone_id", "counterpart_mmsi", "techniques", "minutes", "km", "knots", "region", "evidence")
+#: What findings rest on; a detector fills its own fields.
+EVIDENCE = {
+    "gap_minutes": "double", "displacement_km": "double", "implied_speed_kn": "double", "jump_km": "double", "interval_s": "double", "physical_ceiling_kn": "double", "duration_minutes": "double",
+    "radius_km": "double", "mean_speed_kn": "double", "points": "long", "min_range_km": "double", "counterpart": "string", "reconstruction_error": "double", "threshold": "double",
+    "coverage_verdict": "string", "corridor_support": "double", "corridor_samples": "int", "corridor_witnessed": "int", "witness_vessels": "int", "endpoint_witnessed": "int", "caveat": "string",
+}
 
 
-def incidents(rows: DataFrame, detector: str, kind: Column, techniques: Column, counterpart: Column | None = None) -> DataFrame:
+def incidents(rows: DataFrame, detector: str, kind: Column, techniques: Column, counterpart: Column | None = None, evidence: dict[str, Column] | None = None) -> DataFrame:
     """The shared shape of findings; rows bring mmsi, score, confidence, ts_start_us, ts_end_us, lat, lon, minutes, km, knots, region.
 
-    The zone is the point's; a sensitive one adds 0.1 to the confidence, up to 1.
+    The zone is the point's; a sensitive one adds 0.1 to the confidence, up to 1. Evidence
+    has a field for everything in EVIDENCE, null where the detector gives none, and the zone's name.
     """
     rows = rows.withColumn("zone_id", zones.zone_of(F.col("lat"), F.col("lon")))
     confidence = F.least(F.lit(1.0), F.col("confidence") + F.when(zones.is_sensitive(F.col("zone_id")), 0.1).otherwise(0.0))
     partner = F.lit(None).cast("string") if counterpart is None else counterpart
     second = F.floor(F.col("ts_start_us") / 1_000_000).cast("long").cast("string")
-    rows = rows.withColumns({"confidence": F.round(confidence, 4), "score": F.round("score", 4), "counterpart_mmsi": partner, "detector": F.lit(detector), "incident_type": kind, "techniques": techniques})
+    given = evidence or {}
+    held = F.struct(*[given.get(name, F.lit(None)).cast(kind_).alias(name) for name, kind_ in EVIDENCE.items()], zones.name_of(F.col("zone_id")).alias("zone"))
+    rows = rows.withColumns({"evidence": held, "confidence": F.round(confidence, 4), "score": F.round("score", 4), "counterpart_mmsi": partner, "detector": F.lit(detector), "incident_type": kind, "techniques": techniques})
     return rows.withColumns({"severity": severity(F.col("score")), "reliability": grade(F.col("confidence")), "incident_id": F.substring(F.concat_ws("-", "detector", "mmsi", "counterpart_mmsi", second), 1, 96)}).select(*COLUMNS)
 
 
@@ -39,13 +48,13 @@ def incidents(rows: DataFrame, detector: str, kind: Column, techniques: Column,
 def gap_segments(positions: DataFrame, outages: DataFrame | None = None, minutes: float = 120, km: float = 5) -> DataFrame:
     """Silences of at least minutes in which a vessel moved at least km, less those that an outage overlaps.
 
-    Outages (opened_us, closed_us; open-ended where null) are few: a ledger of one collector.
+    Outages are (opened_us, closed_us), open-ended where null.
     """
     rows = steps(positions).where((F.col("seconds") >= minutes * 60) & (F.col("km") >= km))
     if outages is None:
         return rows
-    o = F.broadcast(outages.select("opened_us", "closed_us"))
-    return rows.join(o, (F.col("opened_us") < F.col("us")) & (F.col("closed_us").isNull() | (F.col("closed_us") > F.col("prev_us"))), "left_anti")
+    hidden = overlapping(rows.select("id", "prev_us", "us"), outages.select(F.col("opened_us").alias("from_us"), F.col("closed_us").alias("to_us")), "prev_us", "us", "id")
+    return rows.join(hidden.select("id"), "id", "left_anti").select(*rows.columns)
 
 
 def witness_index(positions: DataFrame) -> DataFrame:
@@ -54,7 +63,7 @@ def witness_index(positions: DataFrame) -> DataFrame:
 
 
 def coverage(segments: DataFrame, positions: DataFrame) -> DataFrame:
-    """segments with support, witnessed, witnesses and verdict: who else was heard along the silent corridor.
+    """segments with support, witnessed, witnesses, ends and verdict: who else was heard along the silent corridor.
 
     Twelve points along the straight line, all hours touched; a point counts with two other
     vessels. Points meet the witness index by cell and hour; distinct vessels are counted
@@ -67,9 +76,9 @@ def coverage(segments: DataFrame, positions: DataFrame) -> DataFrame:
         "hour": F.explode(F.sequence(F.floor(F.col("prev_us") / HOUR_US), F.floor(F.col("us") / HOUR_US))),
     }).select("id", F.col("mmsi").alias("own"), "sample", "cell_lat", "cell_lon", "hour")
     met = keyed.join(witness_index(positions), ["cell_lat", "cell_lon", "hour"]).where("mmsi <> own").select("id", "sample", "mmsi").distinct()
-    points = met.groupBy("id", "sample").agg(F.count("*").alias("n")).groupBy("id").agg(F.sum((F.col("n") >= 2).cast("int")).alias("witnessed"))
+    points = met.groupBy("id", "sample").agg(F.count("*").alias("n")).groupBy("id").agg(F.sum((F.col("n") >= 2).cast("int")).alias("witnessed"), F.sum(((F.col("n") >= 2) & F.col("sample").isin(0, SAMPLES - 1)).cast("int")).alias("ends"))
     others = met.select("id", "mmsi").distinct().groupBy("id").agg(F.count("*").alias("witnesses"))
-    rows = segments.join(points, "id", "left").join(others, "id", "left").fillna(0, ["witnessed", "witnesses"])
+    rows = segments.join(points, "id", "left").join(others, "id", "left").fillna(0, ["witnessed", "witnesses", "ends"])
     rows = rows.withColumn("support", F.col("witnessed") / F.lit(float(SAMPLES)))
     return rows.withColumn("verdict", F.when(F.col("support") >= 0.75, "vessel-attributed").when(F.col("support") >= 0.25, "partial").otherwise("coverage-explained"))
 
@@ -84,7 +93,11 @@ def gaps(positions: DataFrame, outages: DataFrame | None = None, whole: DataFram
         "score": F.lit(0.4) + 0.3 * clip1(minutes / 360) + 0.3 * clip1(F.col("km") / 25), "confidence": F.least(F.lit(1.0), (F.lit(0.35) + F.when(sensitive, 0.15).otherwise(0.0)) * factor),
         "ts_start_us": F.col("prev_us"), "ts_end_us": F.col("us"), "minutes": F.round(minutes, 1), "km": F.round("km", 2), "knots": F.round("knots", 1), "lat": F.col("prev_lat"), "lon": F.col("prev_lon"),
     })
-    return incidents(rows, "gap", F.lit("dark ship (AIS gap)"), F.array(F.lit("ais-gap"), F.lit("going-dark")))
+    held = {
+        "gap_minutes": F.col("minutes"), "displacement_km": F.col("km"), "implied_speed_kn": F.col("knots"), "coverage_verdict": F.col("verdict"), "corridor_support": F.round("support", 3), "corridor_samples": F.lit(SAMPLES),
+        "corridor_witnessed": F.col("witnessed"), "witness_vessels": F.col("witnesses"), "endpoint_witnessed": F.col("ends"), "caveat": F.lit("silence may come from lost coverage"),
+    }
+    return incidents(rows, "gap", F.lit("dark ship (AIS gap)"), F.array(F.lit("ais-gap"), F.lit("going-dark")), evidence=held)
 
 
 # -- kinematics -------------------------------------------------------------------------
@@ -98,7 +111,8 @@ def spoofs(positions: DataFrame, ceiling_kn: float = 60) -> DataFrame:
         "minutes": F.round(F.col("seconds") / 60, 1), "km": F.round("km", 1), "knots": F.round("knots", 1),
     })
     kind = F.when(F.col("seconds") < 60, "duplicate identity").otherwise("impossible kinematics")
-    return incidents(rows, "spoof", kind, F.array(F.lit("ais-spoof"), F.lit("impossible-kinematics")))
+    held = {"implied_speed_kn": F.col("knots"), "jump_km": F.col("km"), "interval_s": F.round("seconds", 1), "physical_ceiling_kn": F.lit(float(ceiling_kn)), "caveat": F.lit("two vessels may share one identity by mistake")}
+    return incidents(rows, "spoof", kind, F.array(F.lit("ais-spoof"), F.lit("impossible-kinematics")), evidence=held)
 
 
 # -- loitering --------------------------------------------------------------------------
@@ -136,9 +150,9 @@ def dwell_spans(us, lat, lon, sog, port, radius_km: float = 2, minutes: float =
             continue
         j = _reach(lat, lon, i, radius_km)
         known = sog[i:j][~np.isnan(sog[i:j])]
-        mean = float(known.mean()) if len(known) else 0.0
+        mean = round(float(known.mean()), 9) if len(known) else 0.0
         if j - i >= 2 and us[j - 1] - us[i] >= minutes * 60e6 and slow[0] <= mean <= slow[1]:
-            centre = float(lat[i:j].mean()), float(lon[i:j].mean())
+            centre = round(float(lat[i:j].mean()), 11), round(float(lon[i:j].mean()), 11)
             out.append((i, j - 1, *centre, mean, port(*centre)))
             i = j
         else:
@@ -156,8 +170,15 @@ def in_port(lat: float, lon: float) -> bool:
     return any(z[1] == "port" and holds(z[3]) for z in zones.ZONES)
 
 
+def pieces(positions: DataFrame, radius_km: float = 2) -> DataFrame:
+    """positions with piece, counted per vessel: a step of more than twice the radius begins another, since no span can hold both its ends."""
+    rows = positions.withColumns({f"prev_{c}": F.lag(c).over(by_time()) for c in ("lat", "lon")})
+    far = F.coalesce(haversine_km(F.col("prev_lat"), F.col("prev_lon"), F.col("lat"), F.col("lon")) > 2 * radius_km, F.lit(False))
+    return rows.withColumn("piece", F.sum(far.cast("long")).over(by_time())).drop("prev_lat", "prev_lon")
+
+
 def loiters(positions: DataFrame, radius_km: float = 2, minutes: float = 60) -> DataFrame:
-    """Incidents of dwelling. The greedy scan depends on order, so a vessel's reports meet in one group."""
+    """Incidents of dwelling. The greedy scan depends on order, so the reports of one piece of a vessel's path meet in a group."""
     cols = ["mmsi", "ts_start_us", "ts_end_us", "lat", "lon", "knots", "points", "region"]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -167,91 +188,129 @@ def loiters(positions: DataFrame, radius_km: float = 2, minutes: float = 60) ->
         at = rows["us"].to_numpy()
         return pd.DataFrame([(rows["mmsi"].iloc[0], at[a], at[b], y, x, v, b - a + 1, rows["region"].iloc[a]) for a, b, y, x, v, _ in spans], columns=cols)
 
-    found = positions.select("id", "mmsi", "us", "lat", "lon", "sog", "region").groupBy("mmsi").applyInPandas(run, "mmsi string, ts_start_us long, ts_end_us long, lat double, lon double, knots double, points long, region string")
+    cut = pieces(positions.select("id", "mmsi", "us", "lat", "lon", "sog", "region"), radius_km)
+    found = cut.groupBy("mmsi", "piece").applyInPandas(run, "mmsi string, ts_start_us long, ts_end_us long, lat double, lon double, knots double, points long, region string")
     minutes_ = (F.col("ts_end_us") - F.col("ts_start_us")) / F.lit(60e6)
     zone = zones.zone_of(F.col("lat"), F.col("lon"))
     extra = F.when(zones.is_sensitive(zone), 0.2).otherwise(0.0)
     found = found.withColumns({"score": clip1(F.lit(0.4) + 0.3 * clip1(minutes_ / 180) + extra), "confidence": F.lit(0.5) + extra, "minutes": F.round(minutes_, 1), "km": F.lit(float(radius_km)), "knots": F.round("knots", 2)})
     base = F.array(F.lit("loitering"))
-    return incidents(found, "loiter", F.when(zone.isNotNull(), "zone incursion / loitering").otherwise("loitering"), F.when(zone.isNotNull(), F.concat(base, F.array(F.lit("zone-incursion")))).otherwise(base))
+    held = {"duration_minutes": F.col("minutes"), "radius_km": F.col("km"), "mean_speed_kn": F.col("knots"), "points": F.col("points"), "caveat": F.lit("waiting for a berth looks the same")}
+    return incidents(found, "loiter", F.when(zone.isNotNull(), "zone incursion / loitering").otherwise("loitering"), F.when(zone.isNotNull(), F.concat(base, F.array(F.lit("zone-incursion")))).otherwise(base), evidence=held)
 
 
 # -- meetings ---------------------------------------------------------------------------
 
 
-def meeting_candidates(positions: DataFrame, range_km: float = 0.5, speed_kn: float = 1.0, transit_kn: float = 3.0) -> DataFrame:
-    """(a, b): pairs of vessels that may have been slow and near at the same time.
+def _under_way(positions: DataFrame, transit_kn: float) -> DataFrame:
+    """Vessels of at least two reports that were seen under way, with the ends of their paths."""
+    order = F.struct("us", "id")
+    rows = positions.groupBy("mmsi").agg(F.max(F.coalesce("sog", F.lit(0.0))).alias("top"), F.count("*").alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.min_by("region", order).alias("region"))
+    return rows.where((F.col("top") >= transit_kn) & (F.col("n") >= 2)).drop("top", "n")
+
+
+def slow_legs(positions: DataFrame, speed_kn: float) -> DataFrame:
+    """Legs between consecutive reports, and a vessel's first report as one of a microsecond, by the
+    half hours in which the interpolated speed is at most speed_kn; slow_from and slow_to bound that part."""
+    rows = positions.select("mmsi", "id", "us", "lat", "lon", F.coalesce("sog", F.lit(0.0)).alias("v"))
+    rows = rows.withColumns({f"prev_{c}": F.coalesce(F.lag(c).over(by_time()), F.col(c) - 1 if c == "us" else F.col(c)) for c in ("us", "lat", "lon", "v")})
+    rows = rows.where((F.col("us") > F.col("prev_us")) & (F.least("v", "prev_v") <= speed_kn)).withColumn("lon", F.col("prev_lon") + short_way(F.col("lon") - F.col("prev_lon")))
+    share = lambda fast, slow: (F.col(fast) - speed_kn) / (F.col(fast) - F.col(slow))
+    span = F.col("us") - F.col("prev_us")
+    rows = rows.withColumns({
+        "slow_from": F.when(F.col("prev_v") <= speed_kn, F.col("prev_us")).otherwise(F.col("prev_us") + F.greatest(F.lit(0), F.floor(span * share("prev_v", "v")) - 1)),
+        "slow_to": F.when(F.col("v") <= speed_kn, F.col("us")).otherwise(F.col("us") - F.greatest(F.lit(0), F.floor(span * share("v", "prev_v")) - 1)),
+    })
+    return rows.withColumn("bin", F.explode(F.sequence(F.floor(F.col("slow_from") / BIN_US), F.floor(F.col("slow_to") / BIN_US))))
+
+
+def _at(c: str, us: Column) -> Column:
+    return F.col(f"prev_{c}") + (F.col(c) - F.col(f"prev_{c}")) * ((us - F.col("prev_us")) / (F.col("us") - F.col("prev_us")))
 
-    Each slow stretch of a vessel's interpolated path is boxed per half hour, widened by the
-    range and dealt to the cells it touches; vessels meet where they share a half hour and a
-    cell. A pair that truly met always does. Only vessels seen under way take part.
+
+def _shared_bins(positions: DataFrame, legs: DataFrame, range_km: float, transit_kn: float) -> DataFrame:
+    """(a, b, bin): the half hours in which two vessels may have been slow and near.
+
+    The slow part of each leg is boxed per half hour, widened by the range and dealt to the
+    cells it touches, all around the globe near a pole and on both sides of the 180th
+    meridian. Vessels meet where they share a half hour and a cell.
     """
-    moving = positions.groupBy("mmsi").agg(F.max(F.coalesce("sog", F.lit(0.0))).alias("top"), F.count("*").alias("n")).where((F.col("top") >= transit_kn) & (F.col("n") >= 2)).select("mmsi")
-    legs = positions.withColumn("v", F.coalesce("sog", F.lit(0.0)))
-    legs = legs.withColumns({f"prev_{c}": F.lag(c).over(by_time()) for c in ("us", "lat", "lon", "v")}).where(F.col("prev_us").isNotNull() & (F.least("v", "prev_v") <= speed_kn)).join(moving, "mmsi", "left_semi")
-    legs = legs.withColumn("bin", F.explode(F.sequence(F.floor(F.col("prev_us") / BIN_US), F.floor(F.col("us") / BIN_US))))
-    span = F.greatest(F.col("us") - F.col("prev_us"), F.lit(1))
-    at = lambda c, edge: F.col(f"prev_{c}") + (F.col(c) - F.col(f"prev_{c}")) * ((edge - F.col("prev_us")) / span)
-    lo, hi = F.greatest(F.col("prev_us"), F.col("bin") * BIN_US), F.least(F.col("us"), (F.col("bin") + 1) * BIN_US)
-    box = {f"{f}_{c}": (F.least if f == "min" else F.greatest)(at(c, lo), at(c, hi)) for c in ("lat", "lon") for f in ("min", "max")}
-    boxes = legs.withColumns(box).groupBy("mmsi", "bin").agg(F.min("min_lat").alias("s"), F.max("max_lat").alias("n"), F.min("min_lon").alias("w"), F.max("max_lon").alias("e"))
-    pad = F.lit(float(np.degrees(range_km / EARTH_KM)) * 1.01)
-    wide = pad / F.greatest(F.cos(F.radians(F.greatest(F.abs("s"), F.abs("n")) + pad)), F.lit(1e-3))
-    cells = boxes.withColumn("cy", F.explode(F.sequence(F.floor((F.col("s") - pad) / CELL), F.floor((F.col("n") + pad) / CELL)))).withColumn("cx", F.explode(F.sequence(F.floor((F.col("w") - wide) / CELL), F.floor((F.col("e") + wide) / CELL))))
+    moving = _under_way(positions, transit_kn).select("mmsi")
+    lo, hi = F.greatest("slow_from", F.col("bin") * BIN_US), F.least("slow_to", (F.col("bin") + 1) * BIN_US)
+    box = {f"{f}_{c}": (F.least if f == "min" else F.greatest)(_at(c, lo), _at(c, hi)) for c in ("lat", "lon") for f in ("min", "max")}
+    pad = float(np.degrees(range_km / EARTH_KM)) * 1.01
+    pole = F.greatest(F.abs("min_lat"), F.abs("max_lat")) + pad
+    wide = F.lit(pad) / F.cos(F.radians(pole))
+    around = int(360 / CELL)
+    columns = F.when((pole >= 89) | (F.col("max_lon") - F.col("min_lon") + 2 * wide >= 360), F.sequence(F.lit(0).cast("long"), F.lit(around - 1).cast("long"))).otherwise(F.sequence(F.floor((F.col("min_lon") - wide) / CELL), F.floor((F.col("max_lon") + wide) / CELL)))
+    cells = legs.join(moving, "mmsi", "left_semi").withColumns(box).withColumn("cy", F.explode(F.sequence(F.floor((F.col("min_lat") - pad) / CELL), F.floor((F.col("max_lat") + pad) / CELL)))).withColumn("cx", F.explode(columns))
+    cells = cells.groupBy("mmsi", "bin", "cy", F.pmod("cx", F.lit(around)).alias("cx")).agg(F.min("min_lat").alias("s"), F.max("max_lat").alias("n"))
     left, right = cells.alias("l"), cells.alias("r")
     near = (F.col("l.s") - 2 * pad <= F.col("r.n")) & (F.col("r.s") - 2 * pad <= F.col("l.n"))
-    return left.join(right, (F.col("l.bin") == F.col("r.bin")) & (F.col("l.cy") == F.col("r.cy")) & (F.col("l.cx") == F.col("r.cx")) & (F.col("l.mmsi") < F.col("r.mmsi")) & near).select(F.col("l.mmsi").alias("a"), F.col("r.mmsi").alias("b")).distinct()
-
-
-def meeting(a: dict, b: dict, range_km: float, speed_kn: float, minutes: float, step_min: float) -> tuple | None:
-    """The longest run of grid times at which two interpolated paths are both slow and near, if it lasts long enough."""
-    lo, hi = max(a["us"][0], b["us"][0]), min(a["us"][-1], b["us"][-1])
-    if hi - lo < minutes * 60e6:
-        return None
-    grid = np.arange(lo, hi + 1, step_min * 60e6)
-    pa_, pb = ({c: np.interp(grid, p["us"], p[c]) for c in ("lat", "lon", "sog")} for p in (a, b))
-    away = _km(pa_["lat"], pa_["lon"], pb["lat"], pb["lon"])
-    good = np.concatenate([[False], (pa_["sog"] <= speed_kn) & (pb["sog"] <= speed_kn) & (away <= range_km), [False]])
-    starts, ends = np.flatnonzero(~good[:-1] & good[1:]), np.flatnonzero(good[:-1] & ~good[1:])
-    if not len(starts):
-        return None
-    k = int(np.argmax(ends - starts))
-    s, e = int(starts[k]), int(ends[k])
-    if (e - s - 1) * step_min < minutes:
-        return None
-    return int(grid[s]), int(grid[e - 1]), float(pa_["lat"][s:e].mean()), float(pa_["lon"][s:e].mean()), (e - s - 1) * step_min, float(away[s:e].min())
-
-
-def meetings(positions: DataFrame, range_km: float = 0.5, speed_kn: float = 1.0, minutes: float = 30, partners: int = 2, step_min: float = 5) -> DataFrame:
-    """(a, b, ts_start_us, ts_end_us, lat, lon, minutes, km, region): verified meetings of vessels with few partners."""
-    path = F.sort_array(F.collect_list(F.struct("us", "id", "lat", "lon", F.coalesce("sog", F.lit(0.0)).alias("sog"))))
-    paths = positions.groupBy("mmsi").agg(path.alias("p"), F.min_by("region", F.struct("us", "id")).alias("region"))
-    side = lambda k: paths.select(F.col("mmsi").alias(k), *[F.col(f"p.{c}").alias(f"{k}_{c}") for c in ("us", "lat", "lon", "sog")], *([F.col("region")] if k == "a" else []))
-    pairs = meeting_candidates(positions, range_km, speed_kn).join(side("a"), "a").join(side("b"), "b")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                a, b = ({c: np.asarray(getattr(r, f"{k}_{c}"), float) for c in ("us", "lat", "lon", "sog")} for k in "ab")
-                if (m := meeting(a, b, range_km, speed_kn, minutes, step_min)) and not in_port(m[2], m[3]):
-                    out.append((r.a, r.b, *m, r.region))
-            yield pd.DataFrame(out, columns=["a", "b", "ts_start_us", "ts_end_us", "lat", "lon", "minutes", "km", "region"])
-
-    found = pairs.mapInPandas(run, "a string, b string, ts_start_us long, ts_end_us long, lat double, lon double, minutes double, km double, region string")
-    degree = partner_degree(found).where(F.col("degree") <= partners).select("mmsi")
-    return found.join(degree.withColumnRenamed("mmsi", "a"), "a", "left_semi").join(degree.withColumnRenamed("mmsi", "b"), "b", "left_semi")
+    return left.join(right, (F.col("l.bin") == F.col("r.bin")) & (F.col("l.cy") == F.col("r.cy")) & (F.col("l.cx") == F.col("r.cx")) & (F.col("l.mmsi") < F.col("r.mmsi")) & near).select(F.col("l.mmsi").alias("a"), F.col("r.mmsi").alias("b"), F.col("l.bin").alias("bin")).distinct()
+
+
+def meeting_candidates(positions: DataFrame, range_km: float = 0.5, speed_kn: float = 1.0, transit_kn: float = 3.0) -> DataFrame:
+    """(a, b): pairs of vessels that may have been slow and near at the same time. A pair that truly met always does; only vessels seen under way take part."""
+    return _shared_bins(positions, slow_legs(positions, speed_kn), range_km, transit_kn).select("a", "b").distinct()
+
+
+def near_moments(positions: DataFrame, range_km: float = 0.5, speed_kn: float = 1.0, minutes: float = 30, step_min: float = 5, transit_kn: float = 3.0, focus: DataFrame | None = None) -> DataFrame:
+    """(a, b, k, us, lat, lon, km, region): times of a pair's grid at which both interpolated paths are slow and near.
+
+    A pair's grid runs from when both are known, in steps of step_min. Only grid times in the
+    half hours that two vessels share are looked at, and only legs of those half hours; a
+    vessel's whole path never travels. With focus (mmsi), only pairs of these vessels and
+    of the vessels that they share a half hour with are kept.
+    """
+    legs, step = slow_legs(positions, speed_kn), int(step_min * 60_000_000)
+    shared = _shared_bins(positions, legs, range_km, transit_kn)
+    if focus is not None:
+        wanted = focus.select("mmsi").distinct()
+        near = shared.join(wanted.withColumnRenamed("mmsi", "a"), "a", "left_semi").select(F.col("b").alias("mmsi")).union(shared.join(wanted.withColumnRenamed("mmsi", "b"), "b", "left_semi").select("a"))
+        hood = wanted.union(near).distinct()
+        shared = shared.join(hood.withColumnRenamed("mmsi", "a"), "a", "left_semi").unionByName(shared.join(hood.withColumnRenamed("mmsi", "b"), "b", "left_semi")).distinct()
+    ends = _under_way(positions, transit_kn)
+    side = lambda k: ends.select(F.col("mmsi").alias(k), F.col("first_us").alias(f"{k}0"), F.col("last_us").alias(f"{k}1"), *([F.col("region")] if k == "a" else []))
+    rows = shared.join(side("a"), "a").join(side("b"), "b").withColumns({"t0": F.greatest("a0", "b0"), "t1": F.least("a1", "b1")}).where(F.col("t1") - F.col("t0") >= minutes * 60e6)
+    first, last = F.greatest(F.col("bin") * BIN_US, F.col("t0")), F.least((F.col("bin") + 1) * BIN_US - 1, F.col("t1"))
+    k0, k1 = F.ceil((first - F.col("t0")) / step), F.floor((last - F.col("t0")) / step)
+    rows = rows.where(first <= last).withColumn("k", F.explode(F.when(k0 <= k1, F.sequence(k0, k1)).otherwise(F.array().cast("array<bigint>")))).withColumn("t", F.col("t0") + F.col("k") * step).select("a", "b", "bin", "k", "t", "region")
+    for k in "ab":
+        own = legs.select(F.col("mmsi").alias(k), "bin", "us", "lat", "lon", "v", "prev_us", "prev_lat", "prev_lon", "prev_v")
+        rows = rows.join(own, [k, "bin"]).where((F.col("t") > F.col("prev_us")) & (F.col("t") <= F.col("us")) & (_at("v", F.col("t")) <= speed_kn))
+        rows = rows.withColumns({f"{k}_lat": _at("lat", F.col("t")), f"{k}_lon": _at("lon", F.col("t"))}).drop("us", "lat", "lon", "v", "prev_us", "prev_lat", "prev_lon", "prev_v")
+    away = haversine_km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
+    return rows.withColumn("km", away).where(F.col("km") <= range_km).select("a", "b", "k", F.col("t").alias("us"), F.col("a_lat").alias("lat"), F.col("a_lon").alias("lon"), "km", "region")
+
+
+def meetings(positions: DataFrame, range_km: float = 0.5, speed_kn: float = 1.0, minutes: float = 30, partners: int = 2, step_min: float = 5, focus: DataFrame | None = None) -> DataFrame:
+    """(a, b, ts_start_us, ts_end_us, lat, lon, minutes, km, region): a pair's longest run of near moments, the first of equal ones,
+    if it lasts long enough and not in a port, for vessels with few partners."""
+    moments = near_moments(positions, range_km, speed_kn, minutes, step_min, focus=focus)
+    island = F.col("k") - F.row_number().over(W.partitionBy("a", "b").orderBy("k"))
+    east = F.when(F.max("lon") - F.min("lon") > 180, F.avg(F.when(F.col("lon") < 0, F.col("lon") + 360).otherwise(F.col("lon")))).otherwise(F.avg("lon"))
+    runs = moments.withColumn("island", island).groupBy("a", "b", "island").agg(F.count("*").alias("n"), F.min("us").alias("ts_start_us"), F.max("us").alias("ts_end_us"), F.avg("lat").alias("lat"), east.alias("lon"), F.min("km").alias("km"), F.first("region").alias("region"))
+    best = runs.groupBy("a", "b").agg(F.max_by(F.struct("n", "ts_start_us", "ts_end_us", "lat", "lon", "km", "region"), F.struct(F.col("n"), -F.col("ts_start_us"))).alias("r")).select("a", "b", "r.*")
+    best = best.withColumns({"minutes": (F.col("n") - 1) * F.lit(float(step_min)), "lon": to_180(F.col("lon"))}).where((F.col("minutes") >= minutes) & ~zones.in_kind(F.col("lat"), F.col("lon"), "port"))
+    found = best.select("a", "b", "ts_start_us", "ts_end_us", "lat", "lon", "minutes", "km", "region")
+    busy = partner_degree(found).where(F.col("degree") > partners).select("mmsi")
+    return found.join(busy.withColumnRenamed("mmsi", "a"), "a", "left_anti").join(busy.withColumnRenamed("mmsi", "b"), "b", "left_anti")
 
 
 def partner_degree(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("mmsi")).groupBy("mmsi").agg(F.count("*").alias("degree"))
 
 
-def rendezvous(positions: DataFrame) -> DataFrame:
-    """Incidents of meetings, one for each side."""
-    found = meetings(positions).withColumn("side", F.explode(F.array(F.struct(F.col("a").alias("mmsi"), F.col("b").alias("other")), F.struct(F.col("b").alias("mmsi"), F.col("a").alias("other")))))
+def rendezvous(positions: DataFrame, focus: DataFrame | None = None) -> DataFrame:
+    """Incidents of meetings, one for each side. With focus (mmsi), those of these vessels; their partners' degrees stay exact."""
+    found = meetings(positions, focus=focus).withColumn("side", F.explode(F.array(F.struct(F.col("a").alias("mmsi"), F.col("b").alias("other")), F.struct(F.col("b").alias("mmsi"), F.col("a").alias("other")))))
+    if focus is not None:
+        own = focus.select("mmsi").distinct()
+        found = found.join(own.withColumnRenamed("mmsi", "a"), "a", "left_semi").unionByName(found.join(own.withColumnRenamed("mmsi", "b"), "b", "left_semi")).distinct()
     rows = found.select(F.col("side.mmsi").alias("mmsi"), F.col("side.other").alias("other"), "ts_start_us", "ts_end_us", "lat", "lon", F.round("minutes", 1).alias("minutes"), F.round("km", 3).alias("km"), "region", F.lit(None).cast("double").alias("knots"), (F.lit(0.55) + 0.35 * clip1(F.col("minutes") / 90)).alias("score"), F.lit(0.6).alias("confidence"))
-    return incidents(rows, "rendezvous", F.lit("ship-to-ship transfer"), F.array(F.lit("sts-transfer"), F.lit("rendezvous")), F.col("other"))
+    held = {"duration_minutes": F.col("minutes"), "min_range_km": F.col("km"), "counterpart": F.col("other"), "caveat": F.lit("pilots, tugs and bunkering look the same")}
+    return incidents(rows, "rendezvous", F.lit("ship-to-ship transfer"), F.array(F.lit("sts-transfer"), F.lit("rendezvous")), F.col("other"), held)
 
 
 def all_incidents(positions: DataFrame, outages: DataFrame | None = None) -> DataFrame:

@@ -22,9 +22,9 @@ def detector_scores(incidents: DataFrame, truth: DataFrame, tolerance_us: int =
 def weighted_auc(rows: DataFrame, score: str, positive: str, weight: str) -> DataFrame:
     """One row: weighted ROC AUC (ties half) and average precision (a step sum); null where a class is empty.
 
-    Only weights per distinct score are ordered in one place, never rows.
+    Scores count to four places, so that at most some ten thousand weights are ordered in one place, never rows.
     """
-    by_score = rows.groupBy(score).agg(F.sum(F.when(F.col(positive), F.col(weight)).otherwise(0.0)).alias("p"), F.sum(F.when(~F.col(positive), F.col(weight)).otherwise(0.0)).alias("n"))
+    by_score = rows.withColumn(score, F.round(score, 4)).groupBy(score).agg(F.sum(F.when(F.col(positive), F.col(weight)).otherwise(0.0)).alias("p"), F.sum(F.when(~F.col(positive), F.col(weight)).otherwise(0.0)).alias("n"))
     up, down = W.orderBy(score).rowsBetween(W.unboundedPreceding, -1), W.orderBy(F.desc(score))
     swept = by_score.withColumns({"below": F.coalesce(F.sum("n").over(up), F.lit(0.0)), "tp": F.sum("p").over(down), "fp": F.sum("n").over(down)})
     total = swept.agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"), F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("wins"), F.sum(F.when(F.col("tp") > 0, F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)).alias("steps"))
@@ -39,11 +39,12 @@ def precision_intervals(reviews: DataFrame, least: int = 5) -> DataFrame:
     return rows.select("detector", "n", "k", F.round(F.col("k") / F.col("n"), 6).alias("precision"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"), (F.col("k") >= least).alias("estimable"))
 
 
-def drift(incidents: DataFrame) -> DataFrame:
-    """Median and 95th percentile of scores by day and detector."""
+def drift(incidents: DataFrame, vessels: DataFrame) -> DataFrame:
+    """Median and 95th percentile of scores by day and type of vessel."""
     day = F.floor(F.col("ts_start_us") / F.lit(86_400_000_000)).alias("day")
     q = lambda p: F.round(F.percentile("score", F.lit(p)), 6)
-    return incidents.groupBy(day, "detector").agg(F.count("*").alias("n"), q(0.5).alias("p50"), q(0.95).alias("p95"))
+    rows = incidents.join(vessels.select("mmsi", "ship_type"), "mmsi", "left").withColumn("vessel_type", F.coalesce("ship_type", F.lit("unknown")))
+    return rows.groupBy(day, "vessel_type").agg(F.count("*").alias("n"), q(0.5).alias("p50"), q(0.95).alias("p95"))
 
 
 def footprint(positions: DataFrame, band: float = 0.5, cell: float = 0.25) -> DataFrame:
@@ -60,44 +61,41 @@ def cohort(positions: DataFrame, labelled: DataFrame, background: int = 20, leas
     return own.unionByName(rest)
 
 
-def review_strata(tracks: DataFrame, incident_tracks: DataFrame, scored: DataFrame, threshold: float) -> DataFrame:
-    """Each track's one stratum, the first that fits: alert with a gap, other alert, near the threshold, rest."""
-    alerts = incident_tracks.join(scored.select("incident_id", "detector"), "incident_id").groupBy("track_id").agg(F.max((F.col("detector") == "gap").cast("int")).alias("gap"), F.count("*").alias("alerts"), F.max("detector").alias("top"))
-    near = scored.join(incident_tracks, "incident_id").where(F.col("score").between(0.8 * threshold, 1.2 * threshold)).select("track_id").distinct().withColumn("near", F.lit(1))
-    rows = tracks.select("track_id").join(alerts, "track_id", "left").join(near, "track_id", "left")
-    stratum = F.when(F.col("gap") == 1, "ais-artifact-candidate").when(F.col("near") == 1, "near-threshold").when(F.col("alerts") > 0, "alert").otherwise("rest")
-    return rows.select("track_id", stratum.alias("stratum"))
-
-
 def review_pools(tracks: DataFrame, incident_tracks: DataFrame, findings: DataFrame, matches: DataFrame, errors: DataFrame, threshold: float | None) -> DataFrame:
-    """Each track's one stratum, the first that fits: matched by an external event, artifact (a
-    spoof or a gap with an implied speed), other alert, a model error of 0.8 to 1.2 of the
-    threshold, rest.
+    """track_id, stratum, alert: each track's one stratum, the first that fits, and its highest score.
 
+    In order: matched by an external event, artifact (a spoof, or an incident whose evidence
+    has an implied speed), other alert, a model error of 0.8 to 1.2 of the threshold, rest.
     errors are (mmsi, voyage, error) of scored voyages; without a threshold none is near.
     """
-    speedy = (F.col("detector") == "spoof") | ((F.col("detector") == "gap") & F.col("knots").isNotNull())
+    speedy = (F.col("detector") == "spoof") | F.col("evidence.implied_speed_kn").isNotNull()
     alerts = incident_tracks.select("incident_id", "track_id").join(findings.select("incident_id", speedy.cast("int").alias("artifact"), "score"), "incident_id").groupBy("track_id").agg(F.max("artifact").alias("artifact"), F.max("score").alias("alert"))
     external = matches.where(F.col("track_id").isNotNull() & F.col("status").isin("matched", "ambiguous")).select("track_id").distinct().withColumn("external", F.lit(True))
     near = F.col("error").between(0.8 * threshold, 1.2 * threshold) if threshold is not None else F.lit(False)
     rows = tracks.select("track_id", "mmsi", "voyage").join(errors.select("mmsi", "voyage", "error"), ["mmsi", "voyage"], "left").join(alerts, "track_id", "left").join(external, "track_id", "left")
     stratum = F.when(F.col("external"), "external-event").when(F.col("artifact") == 1, "ais-artifact-candidate").when(F.col("alert").isNotNull(), "alert").when(near, "near-threshold").otherwise("rest")
-    return rows.select("track_id", stratum.alias("stratum"))
+    return rows.select("track_id", stratum.alias("stratum"), "alert")
+
 
+QUEUE_CAPS = {"external-event": 100, "ais-artifact-candidate": 40, "alert": 60, "near-threshold": 44}
+QUEUE_LEAST, REST_LEAST = 220, 40
 
-def review_queue(strata: DataFrame, caps: dict[str, int], seed: str = "queue-v1") -> DataFrame:
-    """A seeded sample of each stratum, with its inclusion probability and place in the queue; the caps are the sampling design."""
+
+def review_queue(pools: DataFrame, caps: dict[str, int] = QUEUE_CAPS, least: int = QUEUE_LEAST, rest: int = REST_LEAST, seed: str = "queue-v1") -> DataFrame:
+    """A sample of each stratum with its inclusion probability and place in the queue; the caps are the sampling design.
+
+    Alerts come by their scores, the others in a seeded order. The rest fills the queue up to
+    least items and has some of its own in any case. The queue's order is seeded anew.
+    """
     digest = F.sha2(F.concat(F.lit(seed), "track_id"), 256)
-    sizes = strata.groupBy("stratum").agg(F.count("*").alias("size"))
-    parts = [strata.where(F.col("stratum") == s).withColumn("digest", digest).orderBy("digest").limit(n) for s, n in sorted(caps.items())]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    cap = F.lit(0)
-    for s, n in caps.items():
-        cap = F.when(F.col("stratum") == s, n).otherwise(cap)
-    every = every.join(F.broadcast(sizes), "stratum").withColumn("probability", F.round(F.least(F.lit(1.0), cap / F.col("size")), 6))
-    return every.withColumn("queue_order", F.row_number().over(W.orderBy("digest"))).select("track_id", "stratum", "probability", "queue_order")
+    place = lambda *by: F.row_number().over(W.partitionBy("stratum").orderBy(*by, "track_id"))
+    sizes = {r["stratum"]: r["n"] for r in pools.groupBy("stratum").agg(F.count("*").alias("n")).collect()}  # five strata
+    taken = {s: min(n, sizes.get(s, 0)) for s, n in caps.items()}
+    taken["rest"] = min(max(least - sum(taken.values()), rest), sizes.get("rest", 0))
+    many = F.create_map(*[F.lit(x) for pair in taken.items() for x in pair])
+    rows = pools.withColumn("digest", digest).withColumn("place", F.when(F.col("stratum") == "alert", place(F.desc("alert"))).otherwise(place("digest"))).where(F.col("place") <= many[F.col("stratum")])
+    rate = F.create_map(*[F.lit(x) for s, n in taken.items() for x in (s, round(n / sizes[s], 6) if sizes.get(s) else 0.0)])
+    return rows.withColumn("queue_order", F.row_number().over(W.orderBy(F.sha2(F.concat(F.lit(seed), "digest"), 256), "track_id"))).select("track_id", "stratum", rate[F.col("stratum")].alias("probability"), "queue_order")
 
 
 def pilot_figures(runs: DataFrame, outages: DataFrame, spans: DataFrame, hours: DataFrame, incidents: DataFrame, now_us: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators import detect, tracks, upkeep
+from tidewatch.operators import anomaly, detect, tracks, upkeep
 
 
 def tail(positions: DataFrame, stored: DataFrame, dirty: DataFrame) -> DataFrame:
@@ -26,13 +26,22 @@ def refreshed_tracks(positions: DataFrame, stored: DataFrame, dirty: DataFrame)
 def refreshed_incidents(positions: DataFrame, stored: DataFrame, dirty: DataFrame, outages: DataFrame | None = None) -> DataFrame:
     """The incident table after the dirty vessels were judged again.
 
-    Gaps, kinematics and dwelling need the vessel alone, but witnesses and the number of a
-    vessel's partners come from all vessels.
+    Gaps, kinematics and dwelling need the vessel alone, witnesses come from all vessels.
+    Meetings are sought among the dirty vessels and those they share a half hour and cell
+    with, which is enough to know how many partners each side of a meeting has.
     """
     own = positions.join(dirty.select("mmsi").distinct(), "mmsi", "left_semi")
-    met = detect.rendezvous(positions)
-    d = dirty.select(F.col("mmsi").alias("d")).distinct()
-    mine = met.join(d, F.col("mmsi") == F.col("d"), "left_semi").union(met.join(d, F.col("counterpart_mmsi") == F.col("d"), "left_semi")).distinct()
+    mine = detect.rendezvous(positions, dirty)
     fresh = detect.gaps(own, outages, positions).unionByName(detect.loiters(own)).unionByName(detect.spoofs(own)).unionByName(mine)
     last = fresh.groupBy("incident_id").agg(F.max_by(F.struct(*detect.COLUMNS[1:]), F.struct("detector", "ts_end_us", "lat", "lon")).alias("i")).select("incident_id", "i.*")
     return upkeep.replaced(stored, last, dirty.select("mmsi").distinct())
+
+
+def refreshed_anomalies(shapes: DataFrame, made: DataFrame, stored: DataFrame, dirty: DataFrame, artifact: str, sha256: str) -> DataFrame:
+    """The incident table after the dirty vessels' voyages were scored again by the pinned model; another file is refused, none is ever fitted here."""
+    model = anomaly.SequenceModel.load(artifact, sha256)
+    d = dirty.select("mmsi").distinct()
+    fresh = anomaly.anomalies(shapes.join(d, "mmsi", "left_semi"), made, model)
+    old = stored.where("detector = 'anomaly'").join(d, "mmsi", "left_semi").select("incident_id")
+    kept = stored.join(old.unionByName(fresh.select("incident_id")).distinct(), "incident_id", "left_anti")
+    return kept.unionByName(fresh.select(*stored.columns))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidewatch.operators.overlap import overlapping
+
 
 def merged(rows: DataFrame, key: str = "key") -> DataFrame:
     """(key, start_us, end_us) with overlapping and touching intervals of a key made one."""
@@ -34,7 +36,7 @@ def observed(runs: DataFrame, outages: DataFrame, now_us: int) -> DataFrame:
 
 
 def overlap_hours(tracks: DataFrame, spans: DataFrame) -> DataFrame:
-    """Hours of each track inside the observed spans; spans are a collector's few intervals."""
-    part = F.greatest(F.lit(0), F.least("end_us", "span_end") - F.greatest("start_us", "span_start"))
-    s = F.broadcast(spans.select(F.col("start_us").alias("span_start"), F.col("end_us").alias("span_end")))
-    return tracks.join(s, (F.col("start_us") < F.col("span_end")) & (F.col("end_us") > F.col("span_start"))).groupBy("mmsi", "track_id").agg(F.round(F.sum(part) / F.lit(3.6e9), 6).alias("observed_hours"))
+    """Hours of each track inside the observed spans."""
+    part = F.greatest(F.lit(0), F.least("end_us", "to_us") - F.greatest("start_us", "from_us"))
+    met = overlapping(tracks.select("mmsi", "track_id", "start_us", "end_us"), spans.select(F.col("start_us").alias("from_us"), F.col("end_us").alias("to_us")), "start_us", "end_us", "track_id")
+    return met.groupBy("mmsi", "track_id").agg(F.round(F.sum(part) / F.lit(3.6e9), 6).alias("observed_hours"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,51 +10,26 @@ from pyspark.sql import functions as F
 from tidewatch.functions import zones
 from tidewatch.functions.grading import public_id
 from tidewatch.operators import anomaly, detect, downsample, evaluate, fusion, incremental, intervals, matching, publish, tracks, upkeep
-from tidewatch.plans import fixtures, oracles
+from tidewatch.plans import feed_queries, oracles
+from tidewatch.plans.inputs import NOW, deterministic, events, made_tracks, outages, path_matches, runs, written
 from tidewatch.sources import lens
 
 Query = Callable[[SparkSession, str], DataFrame]
 Found = Callable[[SparkSession, str], DataFrame]
-_NOW = oracles._NOW
-MIN_VOYAGES = 4  # fewer can't fit a model
-
-
-def _outages(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(fixtures.OUTAGES, "key string, opened_us long, closed_us long")
-
-
-def _runs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(fixtures.RUNS, "key string, started_us long, stopped_us long, last_message_us long")
-
-
-def _events(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(fixtures.EVENTS, "event_id string, kind string, mmsi string, ts_us long, lat double, lon double")
 
 
 def _kinematic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The findings of the two detectors that need no scan in order."""
+    """The findings of the two detectors that look at a vessel's steps alone."""
     p = lens.positions(spark, sf_dir)
-    return detect.gaps(p, _outages(spark)).unionByName(detect.spoofs(p))
-
-
-def _written(rows: DataFrame) -> DataFrame:
-    """The same rows from files of the checkpoint folder, so that what reads them twice computes them once."""
-    context = rows.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = rows.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return rows.checkpoint()
+    return detect.gaps(p, outages(spark)).unionByName(detect.spoofs(p))
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, anomaly.SequenceModel | None]:
     """The findings of all five detectors, written once, the shapes of voyages and the model, if there are enough to fit one."""
     p = lens.positions(spark, sf_dir)
-    made = _written(tracks.shapes(p))
-    found, model = detect.all_incidents(p, _outages(spark)), None
-    if made.limit(MIN_VOYAGES).count() == MIN_VOYAGES:
-        model = _model(made)
-        found = found.unionByName(anomaly.anomalies(made, tracks.summaries(p), model))
-    return _written(found), made, model
+    made = written(tracks.shapes(p))
+    model = anomaly.fitted(made)
+    return written(detect.all_incidents(p, outages(spark)).unionByName(anomaly.anomalies(made, tracks.summaries(p), model))), made, model
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +37,7 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shown(rows: DataFrame) -> DataFrame:
-    return rows.select(*[F.round(c, 9).alias(c) if c in ("lat", "lon") else F.array_join(c, ",").alias(c) if c == "techniques" else F.col(c) for c in detect.COLUMNS if c not in ("counterpart_mmsi", "region")])
+    return rows.select(*[F.round(c, 9).alias(c) if c in ("lat", "lon") else F.array_join(c, ",").alias(c) if c == "techniques" else F.col(c) for c in detect.COLUMNS if c not in ("counterpart_mmsi", "region", "evidence")])
 
 
 def _threat(rows: DataFrame) -> DataFrame:
@@ -75,70 +49,54 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.fuse(_findings(spark, sf_dir)).orderBy(F.desc("risk"), "mmsi")
 
 
-def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tracks.summaries(lens.positions(spark, sf_dir))
-
-
 def _dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = lens.positions(spark, sf_dir).select("id", "mmsi", F.expr("us div 7200000000").alias("us"))
     return upkeep.new_positions(p.where("id % 4 <> 0"), p.where("id % 4 = 0"))
 
 
-def _stats(spark: SparkSession, sf_dir: str, found: Found = _kinematic) -> DataFrame:
+def _stats(spark: SparkSession, sf_dir: str, found: Found = deterministic) -> DataFrame:
     names = spark.createDataFrame([("gap",), ("spoof",), ("loiter",), ("rendezvous",), ("anomaly",)], "detector string")
     counts = found(spark, sf_dir).groupBy("detector").agg(F.count("*").alias("incidents"), F.count_distinct("mmsi").alias("vessels"))
     return names.join(counts, "detector", "left").fillna(0)
 
 
 def _truth(spark: SparkSession) -> DataFrame:
-    return _events(spark).select(F.col("event_id").alias("truth_id"), "kind", "mmsi", F.col("ts_us").alias("ts_start_us"), F.col("ts_us").alias("ts_end_us"))
+    return events(spark).select(F.col("event_id").alias("truth_id"), "kind", "mmsi", F.col("ts_us").alias("ts_start_us"), F.col("ts_us").alias("ts_end_us"))
 
 
-def _wilson(spark: SparkSession, sf_dir: str, found: Found = _kinematic) -> DataFrame:
+def _wilson(spark: SparkSession, sf_dir: str, found: Found = deterministic) -> DataFrame:
     return evaluate.precision_intervals(found(spark, sf_dir).withColumn("confirmed", F.expr("ts_start_us div 1000000 % 3 = 0")))
 
 
-def _auc(spark: SparkSession, sf_dir: str, found: Found = _kinematic) -> DataFrame:
+def _auc(spark: SparkSession, sf_dir: str, found: Found = deterministic) -> DataFrame:
     rows = found(spark, sf_dir).select("score", (F.col("detector") == "spoof").alias("positive"), (F.lit(1.0) + F.expr("ts_start_us div 1000000 % 4")).alias("weight"))
     return evaluate.weighted_auc(rows, "score", "positive", "weight")
 
 
-def _attributed(spark: SparkSession, sf_dir: str, found: Found = _kinematic) -> DataFrame:
-    return matching.incident_tracks(found(spark, sf_dir), _tracks(spark, sf_dir))
-
-
-def _strata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _kinematic(spark, sf_dir)
-    return evaluate.review_strata(_tracks(spark, sf_dir), matching.incident_tracks(found, _tracks(spark, sf_dir)).select("incident_id", "track_id"), found, 0.7)
-
-
-def _model(shapes: DataFrame) -> anomaly.SequenceModel:
-    return anomaly.calibrated(shapes, anomaly.SequenceModel().fit(anomaly.training_sample(shapes, "sequence")))
+def _attributed(spark: SparkSession, sf_dir: str, found: Found = deterministic) -> DataFrame:
+    return matching.incident_tracks(found(spark, sf_dir), made_tracks(spark, sf_dir))
 
 
 def _anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = tracks.shapes(lens.positions(spark, sf_dir))
-    return _shown(anomaly.anomalies(made, _tracks(spark, sf_dir), _model(made)))
+    made = written(tracks.shapes(lens.positions(spark, sf_dir)))
+    return _shown(anomaly.anomalies(made, made_tracks(spark, sf_dir), anomaly.fitted(made)))
 
 
 def _baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = tracks.shapes(lens.positions(spark, sf_dir))
+    made = written(tracks.shapes(lens.positions(spark, sf_dir)))
     x = anomaly.training_sample(made, "features")
+    if len(x) < anomaly.MIN_VOYAGES:
+        return made.where(F.lit(False)).select("mmsi", "voyage", "start_us", F.lit(0.0).alias("pca_error"), F.lit(0.0).alias("forest_error"))
     pca = anomaly.scored(made, anomaly.Components(x), "features").withColumnRenamed("error", "pca_error")
     forest = anomaly.scored(made, anomaly.Forest(x), "features").withColumnRenamed("error", "forest_error")
     return pca.join(forest.drop("start_us"), ["mmsi", "voyage"])
 
 
-def _path_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = lens.positions(spark, sf_dir)
-    return matching.event_matches_by_path(_events(spark), tracks.summaries(p), p, intervals.observed(_runs(spark), _outages(spark), _NOW))
-
-
 def _pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, made, model = _judged(spark, sf_dir)
-    made_tracks = _tracks(spark, sf_dir)
+    every = made_tracks(spark, sf_dir)
     errors = anomaly.scored(made, model) if model else made.select("mmsi", "voyage", F.lit(None).cast("double").alias("error"))
-    return evaluate.review_pools(made_tracks, matching.incident_tracks(found, made_tracks), found, _path_matches(spark, sf_dir), errors, model and model.threshold)
+    return evaluate.review_pools(every, matching.incident_tracks(found, every), found, path_matches(spark, sf_dir), errors, model and model.threshold)
 
 
 _CUT = lens.EPOCH_US + 20 * 3_600_000_000
@@ -152,33 +110,26 @@ def _refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("track_id", "mmsi", "voyage", "start_us", "end_us", "point_count")
 
 
-def _refreshed_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = lens.positions(spark, sf_dir)
-    before = p.where(F.col("us") < _CUT)
-    dirty = upkeep.dirty_backlog(p, tracks.summaries(before))
-    return _shown(incremental.refreshed_incidents(p, detect.all_incidents(before, _outages(spark)), dirty, _outages(spark)))
-
-
-def _pilot(spark: SparkSession, sf_dir: str, found: Found = _kinematic) -> DataFrame:
-    spans = intervals.observed(_runs(spark), _outages(spark), _NOW)
-    return evaluate.pilot_figures(_runs(spark), _outages(spark), spans, intervals.overlap_hours(_tracks(spark, sf_dir), spans), found(spark, sf_dir), _NOW)
+def _pilot(spark: SparkSession, sf_dir: str, found: Found = deterministic) -> DataFrame:
+    spans = intervals.observed(runs(spark), outages(spark), NOW)
+    return evaluate.pilot_figures(runs(spark), outages(spark), spans, intervals.overlap_hours(made_tracks(spark, sf_dir), spans), found(spark, sf_dir), NOW)
 
 
 def _external(spark: SparkSession, sf_dir: str, found: Found) -> DataFrame:
     rows = found(spark, sf_dir)
-    return evaluate.external_rates(rows, matching.corroborated(rows, _events(spark)))
+    return evaluate.external_rates(rows, matching.corroborated(rows, events(spark)))
 
 
 def _readers(found: Found) -> dict[str, Query]:
     """The queries that read findings, by the source of these."""
     return {
-        "public_incidents": lambda s, d: publish.public_incidents(found(s, d), _NOW),
+        "public_incidents": lambda s, d: publish.public_incidents(found(s, d), NOW),
         "incident_track_attribution": lambda s, d: _attributed(s, d, found),
-        "corroborated_incidents": lambda s, d: matching.corroborated(found(s, d), _events(s)).select("incident_id"),
+        "corroborated_incidents": lambda s, d: matching.corroborated(found(s, d), events(s)).select("incident_id"),
         "pilot_figures": lambda s, d: _pilot(s, d, found),
         "external_agreement": lambda s, d: _external(s, d, found),
         "incident_topk": lambda s, d: fusion.ranked(found(s, d), 50).select("incident_id", "score"),
-        "score_drift": lambda s, d: evaluate.drift(found(s, d)),
+        "score_drift": lambda s, d: evaluate.drift(found(s, d), lens.vessels(s, d)),
         "detector_pr": lambda s, d: evaluate.detector_scores(found(s, d), _truth(s)),
         "wilson_precision": lambda s, d: _wilson(s, d, found),
         "roc_auc": lambda s, d: _auc(s, d, found),
@@ -196,41 +147,39 @@ def queries() -> dict[str, Query]:
         "position_reports": lambda s, d: pos(s, d).select("id", "mmsi", "us", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), F.round("sog", 6).alias("sog")),
         "haversine_steps": lambda s, d: tracks.steps(pos(s, d)).where("prev_us IS NOT NULL").select("id", "mmsi", "us", "seconds", F.round("km", 6).alias("km"), F.round("knots", 4).alias("knots")),
         "voyage_segments": lambda s, d: tracks.voyages(pos(s, d)).select("id", "mmsi", "us", "voyage"),
-        "track_summary": lambda s, d: _tracks(s, d).select("track_id", "mmsi", "voyage", "start_us", "end_us", "point_count", F.round("distance_km", 6).alias("distance_km"), F.round("max_implied_kn", 4).alias("max_implied_kn"), F.round("start_lat", 9).alias("start_lat"), F.round("end_lon", 9).alias("end_lon"), F.round("mean_sog", 6).alias("mean_sog")),
+        "track_summary": lambda s, d: made_tracks(s, d).select("track_id", "mmsi", "voyage", "start_us", "end_us", "point_count", F.round("distance_km", 6).alias("distance_km"), F.round("max_implied_kn", 4).alias("max_implied_kn"), F.round("start_lat", 9).alias("start_lat"), F.round("end_lon", 9).alias("end_lon"), F.round("mean_sog", 6).alias("mean_sog")),
         "track_shapes": lambda s, d: tracks.shapes(pos(s, d)),
         "polyline_simplify": lambda s, d: tracks.polylines(pos(s, d)),
-        "gap_coverage": lambda s, d: detect.coverage(detect.gap_segments(pos(s, d), _outages(s)), pos(s, d)).select("id", "mmsi", "witnessed", "witnesses", F.round("support", 6).alias("support"), "verdict"),
-        "gap_incidents": lambda s, d: _shown(detect.gaps(pos(s, d), _outages(s))),
+        "gap_coverage": lambda s, d: detect.coverage(detect.gap_segments(pos(s, d), outages(s)), pos(s, d)).select("id", "mmsi", "witnessed", "witnesses", F.round("support", 6).alias("support"), "verdict"),
+        "gap_incidents": lambda s, d: _shown(detect.gaps(pos(s, d), outages(s))),
         "spoof_incidents": lambda s, d: _shown(detect.spoofs(pos(s, d))),
         "loiter_incidents": lambda s, d: _shown(detect.loiters(pos(s, d))),
         "rendezvous_candidates": lambda s, d: detect.meeting_candidates(pos(s, d)),
         "rendezvous_incidents": lambda s, d: _shown(detect.rendezvous(pos(s, d))),
+        "near_moments": lambda s, d: detect.near_moments(pos(s, d)).select("a", "b", "k", "us", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), F.round("km", 9).alias("km")),
         "partner_degree": lambda s, d: detect.partner_degree(detect.meetings(pos(s, d))),
         "anomaly_incidents": _anomalies,
         "anomaly_baselines": _baselines,
-        "track_lines": lambda s, d: publish.lines(tracks.voyages(pos(s, d))),
         "zone_attribution": lambda s, d: pos(s, d).select("id", zones.zone_of(F.col("lat"), F.col("lon")).alias("zone_id"), zones.in_kind(F.col("lat"), F.col("lon"), "port").alias("in_port")),
         "witness_index": lambda s, d: detect.witness_index(pos(s, d)),
         "footprint_profile": lambda s, d: evaluate.footprint(pos(s, d)),
-        "observed_intervals": lambda s, d: intervals.observed(_runs(s), _outages(s), _NOW),
-        "observed_vessel_hours": lambda s, d: intervals.overlap_hours(_tracks(s, d), intervals.observed(_runs(s), _outages(s), _NOW)),
-        "event_track_match_by_path": _path_matches,
-        "event_track_match": lambda s, d: matching.event_matches(_events(s), _tracks(s, d)),
+        "observed_intervals": lambda s, d: intervals.observed(runs(s), outages(s), NOW),
+        "observed_vessel_hours": lambda s, d: intervals.overlap_hours(made_tracks(s, d), intervals.observed(runs(s), outages(s), NOW)),
+        "event_track_match": lambda s, d: matching.event_matches(events(s), made_tracks(s, d)),
         "position_dedup": _dedup,
         "vessel_dimension": lambda s, d: upkeep.vessel_dimension(pos(s, d)),
-        "dirty_backlog": lambda s, d: upkeep.dirty_backlog(pos(s, d), _tracks(s, d).where("voyage < 6")),
+        "dirty_backlog": lambda s, d: upkeep.dirty_backlog(pos(s, d), made_tracks(s, d).where("voyage < 6")),
         "incremental_tracks": _refreshed,
-        "incremental_incidents": _refreshed_incidents,
         "retention": lambda s, d: upkeep.pruned(pos(s, d), lens.EPOCH_US + 43_200_000_000, days=0).select("id"),
         "downsample_positions": lambda s, d: downsample.downsampled(pos(s, d), seconds=1800.0, turn=120.0, speed=5.0).select("id", "mmsi"),
         "vessel_threat_kinematic": lambda s, d: _threat(_kinematic(s, d)),
+        "vessel_threat_deterministic": lambda s, d: _threat(deterministic(s, d)),
         "vessel_threat_rollup": flagship,
-        "cohort_select": lambda s, d: evaluate.cohort(pos(s, d), _events(s).where("mmsi IS NOT NULL").select("mmsi"), 20, 6),
-        "review_strata": _strata,
+        "cohort_select": lambda s, d: evaluate.cohort(pos(s, d), events(s).where("mmsi IS NOT NULL").select("mmsi"), 20, 6),
         "review_pools": _pools,
-        "review_queue": lambda s, d: evaluate.review_queue(_written(_pools(s, d)), {"external-event": 100, "ais-artifact-candidate": 60, "near-threshold": 60, "alert": 100, "rest": 40}),
-    } | _readers(_kinematic) | {f"{name}_all": query for name, query in _readers(_findings).items()}
+        "review_queue": lambda s, d: evaluate.review_queue(written(_pools(s, d))),
+    } | feed_queries.queries() | _readers(deterministic) | {f"{name}_all": query for name, query in _readers(_findings).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracles.ORACLES)
+    return oracles.ORACLES | feed_queries.oracle_sql()

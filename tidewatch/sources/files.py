@@ -47,7 +47,7 @@ def zipped_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
                     inner = [n for n in z.namelist() if n.lower().endswith(".csv")]
                     if len(inner) != 1:
                         raise ValueError(f"a ZIP must hold one CSV, not {len(inner)}")
-                    with z.open(inner[0]) as f:
+                    with z.open(inner[0]) as f:  # unpacked as it is read
                         for part in pd.read_csv(f, dtype=str, chunksize=100_000, encoding="utf-8-sig"):
                             part.columns = [c.strip().lower() for c in part.columns]
                             yield part.reindex(columns=names)
@@ -55,6 +55,20 @@ def zipped_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
 
 
+def filtered(raw: DataFrame, south: float, west: float, north: float, east: float, mmsi: list[str] | None = None) -> DataFrame:
+    """The rows of a report file inside a box, of some vessels if given; rows whose place can't be read go."""
+    lat, lon = (parsing.number(F.col(c)) for c in ("lat", "lon"))
+    rows = raw.where(lat.between(south, north) & lon.between(west, east))
+    return rows if mmsi is None else rows.where(F.trim("mmsi").isin(*mmsi))
+
+
+def digest(lines: DataFrame, value: str = "value") -> str:
+    """A SHA-256 over the sorted SHA-256 of all lines, in two levels, so that no task holds a whole file."""
+    line = lines.select(F.sha2(value, 256).alias("h"))
+    parts = line.groupBy(F.substring("h", 1, 3).alias("k")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"))
+    return parts.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), ""), 256)).first()[0]
+
+
 def within(rows: DataFrame, south: float, west: float, north: float, east: float) -> DataFrame:
     return rows.where(F.col("lat").between(south, north) & F.col("lon").between(west, east))
 

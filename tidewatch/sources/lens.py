@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.functions import parsing
+
 EPOCH_US = 1_704_067_200_000_000
 SPEEDUP = 24
 
@@ -52,3 +54,14 @@ positions AS (
          CAST((event_id * 37) % 360 AS DOUBLE) AS heading, CAST(event_id % 4 AS VARCHAR) AS nav_status, 'aisstream' AS source, 'singapore' AS region
   FROM placed)
 """
+
+
+def vessels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mmsi, name, ship_type, flag of every vessel with a position; type codes follow from the user's number."""
+    rows = positions(spark, sf_dir).select("mmsi").distinct().withColumn("user", F.substring("mmsi", 4, 6).cast("long"))
+    code = (F.lit(28) + (F.col("user") * 7) % 65).cast("string")
+    return rows.select("mmsi", F.concat(F.lit("VESSEL "), F.col("user").cast("string")).alias("name"), parsing.ship_type(code).alias("ship_type"), parsing.flag(F.col("mmsi")).alias("flag"))
+
+
+VESSELS_SQL = """vessels AS (SELECT mmsi, 'VESSEL ' || u AS name, CASE WHEN c = 30 THEN 'fishing' WHEN c BETWEEN 31 AND 39 THEN 'special' WHEN c BETWEEN 60 AND 69 THEN 'passenger' WHEN c BETWEEN 70 AND 79 THEN 'cargo' WHEN c BETWEEN 80 AND 89 THEN 'tanker' WHEN c = 52 THEN 'tug' ELSE 'other' END AS ship_type, 'SG' AS flag
+  FROM (SELECT mmsi, u, 28 + (u * 7) % 65 AS c FROM (SELECT DISTINCT mmsi, CAST(substring(mmsi, 4, 6) AS BIGINT) AS u FROM positions)))"""

@@ -7,11 +7,13 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewatch.functions import parsing
 from tidewatch.operators.downsample import accepted
 
+HOUR_US = 3_600_000_000
 _REPORT = "struct<Sog:double,Cog:double,TrueHeading:double,NavigationalStatus:string>"
 MESSAGE = f"""MessageType string, MetaData struct<MMSI:bigint,ShipName:string,latitude:double,longitude:double,time_utc:string>,
 Message struct<PositionReport:{_REPORT},StandardClassBPositionReport:{_REPORT},
@@ -62,9 +64,13 @@ def start(stream: DataFrame, upkeep: Callable[[DataFrame, int], None], checkpoin
 
 
 def outages(messages: DataFrame, silence_s: int = 90) -> DataFrame:
-    """(key, opened_us, closed_us): silences of a feed beyond silence_s, opened when the feed should have spoken."""
-    from pyspark.sql import Window as W
-
-    before = F.lag("us").over(W.partitionBy("key").orderBy("us"))
-    rows = messages.select("key", "us").distinct().withColumn("before", before)
-    return rows.where(F.col("us") - F.col("before") > silence_s * 1_000_000).select("key", (F.col("before") + silence_s * 1_000_000).alias("opened_us"), F.col("us").alias("closed_us"))
+    """(key, opened_us, closed_us): silences of a feed beyond silence_s, opened when the feed should have spoken.
+
+    A feed's messages are ordered hour by hour, and only each hour's first and last one meet in one place.
+    """
+    rows = messages.select("key", "us").distinct().withColumn("hour", F.floor(F.col("us") / HOUR_US))
+    inside = rows.withColumn("before", F.lag("us").over(W.partitionBy("key", "hour").orderBy("us"))).where("before IS NOT NULL")
+    ends = rows.groupBy("key", "hour").agg(F.min("us").alias("us"), F.max("us").alias("last"))
+    across = ends.withColumn("before", F.lag("last").over(W.partitionBy("key").orderBy("hour"))).where("before IS NOT NULL")
+    every = inside.select("key", "us", "before").unionByName(across.select("key", "us", "before"))
+    return every.where(F.col("us") - F.col("before") > silence_s * 1_000_000).select("key", (F.col("before") + silence_s * 1_000_000).alias("opened_us"), F.col("us").alias("closed_us"))
