@@ -20,13 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidewatch.llm.tables import cut, table
+from tidewatch.llm.tables import cut, hot, table
 from tidewatch.llm.text import digest, line_keys, mix
 
 MIN_CHARS = 40
 MIN_DOCS = 5
 SHARD_KEYS = 250_000
 BROADCAST_BYTES = 32 << 20
+ROUTE_ROWS = 1_000_000
 _LEVELS = 40
 
 
@@ -186,13 +187,12 @@ def _by_broadcast(docs: DataFrame, packed: DataFrame, shards: int, min_chars: in
     return docs.mapInArrow(rewrite, _out(schema))
 
 
-def _by_routing(docs: DataFrame, packed: DataFrame, shards: int, min_chars: int) -> DataFrame:
+def _by_routing(docs: DataFrame, packed: DataFrame, shards: int, min_chars: int, route_rows: int = ROUTE_ROWS) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = {(i, digest(k)) for i, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True) if i is not None for k in line_keys(t or "") if _long(k, min_chars)}
             both = np.frombuffer(b"".join(k for _, k in found), np.int64).reshape(-1, 2)
-            salt = np.array([i for i, _ in found], np.int64) % 16
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array((both[:, 0] % shards).astype(np.int32)), pa.array(salt.astype(np.int32))], ["doc_id", "h", "print", "shard", "salt"])
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array((both[:, 0] % shards).astype(np.int32))], ["doc_id", "h", "print", "shard"])
 
     def answer(key: tuple, rows: pd.DataFrame, arrays: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(arrays):
@@ -200,8 +200,10 @@ def _by_routing(docs: DataFrame, packed: DataFrame, shards: int, min_chars: int)
         held = probe(unpack(arrays.iloc[0]), rows["h"].to_numpy().view(np.uint64), rows["print"].to_numpy().view(np.uint64))
         return rows.loc[(held != _NONE) & (held != rows["doc_id"].to_numpy()), ["doc_id", "h", "print"]]
 
-    probes = docs.select("doc_id", "text").mapInArrow(ask, "doc_id long, h long, print long, shard int, salt int")
-    held = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    probes = cut(docs.select("doc_id", "text").mapInArrow(ask, "doc_id long, h long, print long, shard int"))
+    parts = F.broadcast(hot(probes, "shard", route_rows))  # the shard of a very common line is copied to as many tasks as its probes need
+    probes = probes.join(parts, "shard", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), "_parts"), F.lit(0)).cast("int")).drop("_parts")
+    held = packed.join(parts, "shard", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     gone = probes.groupBy("shard", "salt").cogroup(held.groupBy("shard", "salt")).applyInPandas(answer, "doc_id long, h long, print long")
     lost = gone.groupBy("doc_id").agg(F.collect_list(F.struct("h", "print")).alias("_lost"))
     schema = docs.schema
