@@ -27,6 +27,7 @@ SPACE = "▁"
 _NONE = np.int32(1 << 30)
 _SLOTS = 1 << 20
 KNOWN = 400_000
+PROBES = ("The cat sat, twice.", "  two  blanks ", "ＡＢ ﬁ ½ é e\u0301", "tab\tand\nline", "日本語 text 123")
 
 
 def default_model() -> str:
@@ -268,6 +269,20 @@ def _stray(part: bytes) -> str:
     return out
 
 
+@lru_cache(maxsize=4)
+def supported(model_file: str) -> tuple[tuple[str, float, str], ...]:
+    """The vocabulary of a model that merges pairs, adds one blank in front and changes nothing else in a text; others are refused."""
+    import sentencepiece
+
+    vocab, library = vocabulary(model_file), sentencepiece.SentencePieceProcessor(model_file=model_file)
+    pieces = Pieces(vocab)
+    for probe in PROBES:
+        (own,) = [found for _, _, found, _ in encoded(pa.array([probe], pa.string()), pieces)]
+        if own.tolist() != library.encode(probe):
+            raise ValueError(f"{model_file} normalises texts or isn't a model of merges")
+    return tuple(vocab)
+
+
 @lru_cache(maxsize=2)
 def _tables(vocab: tuple) -> Pieces:
     return Pieces(list(vocab))
@@ -293,7 +308,7 @@ def encode(docs: DataFrame, model_file: str | None = None, text: str = "text", i
     A null or empty text has no ids. Every row is encoded alone, so repeated rows come out
     alike; a column that clashes with the name of the result is replaced.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(tuple(vocabulary(model_file or default_model())))
+    sent = docs.sparkSession.sparkContext.broadcast(supported(model_file or default_model()))
     schema = StructType([f for f in docs.schema.fields if f.name != ids] + [StructField(ids, ArrayType(IntegerType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,7 +325,7 @@ def encode(docs: DataFrame, model_file: str | None = None, text: str = "text", i
 
 def decode(rows: DataFrame, model_file: str | None = None, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """All columns of rows and the text of ids; null ids or no ids give an empty text."""
-    sent = rows.sparkSession.sparkContext.broadcast(tuple(vocabulary(model_file or default_model())))
+    sent = rows.sparkSession.sparkContext.broadcast(supported(model_file or default_model()))
     schema = StructType([f for f in rows.schema.fields if f.name != decoded] + [StructField(decoded, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,7 +341,7 @@ def decode(rows: DataFrame, model_file: str | None = None, ids: str = "ids", dec
 
 def round_trip(docs: DataFrame, model_file: str | None = None) -> DataFrame:
     """All columns of docs, n_tokens, ids_sha256 and decoded_sha256: encode and decode in one pass over the texts."""
-    sent = docs.sparkSession.sparkContext.broadcast(tuple(vocabulary(model_file or default_model())))
+    sent = docs.sparkSession.sparkContext.broadcast(supported(model_file or default_model()))
     new = {"n_tokens": LongType(), "ids_sha256": StringType(), "decoded_sha256": StringType()}
     schema = StructType([f for f in docs.schema.fields if f.name not in new] + [StructField(k, v) for k, v in new.items()])
 
