@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat_format, decontaminate, line_dedup, ngram_join, piece_bpe, quality, sharding, tables, topk, toxicity, url_filter
+from tidewatch.llm import chat_format, decontaminate, fitting, line_dedup, ngram_join, piece_bpe, quality, sharding, tables, topk, toxicity, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -431,6 +431,15 @@ def test_piece_bpe_equals_the_library(spark, library):
     assert piece_bpe.encode(docs.limit(0)).count() == 0
 
 
+def test_only_models_that_change_nothing_are_taken(tmp_path, monkeypatch):
+    assert len(piece_bpe.supported(piece_bpe.default_model())) == len(piece_bpe.vocabulary(piece_bpe.default_model()))
+    piece_bpe.supported.cache_clear()
+    monkeypatch.setattr(piece_bpe, "_prepared", lambda column: column)  # as if the model put no blank in front
+    with pytest.raises(ValueError):
+        piece_bpe.supported(piece_bpe.default_model())
+    piece_bpe.supported.cache_clear()
+
+
 def test_decoding_of_any_ids(library):
     pieces, rng = piece_bpe.Pieces(piece_bpe.vocabulary(piece_bpe.default_model())), random.Random(9)
     for _ in range(3000):
@@ -484,6 +493,38 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(vectors.limit(0)).count() == 0 and topk.top_k(vectors.where("vec_id = 0")).count() == 0
 
 
+# samples -------------------------------------------------------------------------------
+
+
+def test_training_samples_are_bounded_in_rows_and_bytes(spark):
+    docs = _docs(spark, [(k, "w" * (10 + k)) for k in range(200)] + [(7, "again " * 3)] * 300 + [(8, "x" * 5000)] + [(9, None), (None, "n")])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)] + [(5, None)], "doc_id long, quality int")
+    take = lambda **limits: fitting.sample(docs, labels, "quality", F.lit(True), **limits).collect()
+    every = take(most=1000)
+    assert len(every) == len({r["doc_id"] for r in every}) == 200 and {r["doc_id"]: r["y"] for r in every} == {k: k % 2 for k in range(200)}
+    few = take(most=1000, most_bytes=4000)
+    assert 0 < len(few) < 200 and sum(len(r["text"]) for r in few) <= 4000 and take(most=1000, most_bytes=4000) == few
+    assert 20 < len(take(most=60)) < 120
+    machine = quality.train(docs, labels, F.lit(True))
+    rows = quality.score(docs.limit(50), machine).collect()
+    data = ["".join(r["text"] or "") for r in rows]
+    index, value, starts = quality.features(*(lambda d: (d[0], d[1]))(flat_texts(data)))
+    for r, a, b in zip(rows, starts[:-1], starts[1:], strict=True):  # every pair of features, one by one
+        x = machine._standard(index[a:b], value[a:b]).astype(float)
+        v = machine.v[index[a:b]].astype(float) * x[:, None]
+        pairs = sum(float(v[i] @ v[j]) for i in range(len(v)) for j in range(i + 1, len(v)))
+        z = machine.bias + float(machine.w[index[a:b]] @ x) + pairs
+        assert abs(r["score"] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-4
+
+
+def flat_texts(texts):
+    import pyarrow as pa
+
+    from tidewatch.llm.text import flat
+
+    return flat(pa.array(texts, pa.string()))
+
+
 # 10 ------------------------------------------------------------------------------------
 
 
