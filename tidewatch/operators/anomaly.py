@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.grading import anomaly_score
 from tidewatch.operators.detect import incidents
 
-MAX_TRAIN = 10_000
+MAX_TRAIN = 2_000
 MIN_VOYAGES = 4  # fewer can't fit a model
 
 

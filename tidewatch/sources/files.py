@@ -29,10 +29,10 @@ def positions(raw: DataFrame, region: str) -> DataFrame:
 
 
 def vessels(raw: DataFrame) -> DataFrame:
-    """The vessel dimension, identity from the earliest row of a vessel."""
+    """The vessel dimension, identity from a vessel's first row in the order of the file."""
     field = lambda c: F.col(c) if c in raw.columns else F.lit(None).cast("string")
-    rows = raw.select(parsing.text(field("mmsi")).alias("mmsi"), parsing.timestamp(field("basedatetime")).alias("ts"), parsing.text(field("vesselname")).alias("name"), parsing.text(field("callsign")).alias("call_sign"), parsing.ship_type(field("vesseltype")).alias("ship_type"), parsing.number(field("length")).alias("length"), parsing.number(field("width")).alias("width"))
-    one = rows.where("mmsi IS NOT NULL AND ts IS NOT NULL").groupBy("mmsi").agg(F.min_by(F.struct("name", "call_sign", "ship_type", "length", "width"), "ts").alias("v"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    rows = raw.select(F.monotonically_increasing_id().alias("row"), parsing.text(field("mmsi")).alias("mmsi"), parsing.timestamp(field("basedatetime")).alias("ts"), parsing.text(field("vesselname")).alias("name"), parsing.text(field("callsign")).alias("call_sign"), parsing.ship_type(field("vesseltype")).alias("ship_type"), parsing.number(field("length")).alias("length"), parsing.number(field("width")).alias("width"))
+    one = rows.where("mmsi IS NOT NULL AND ts IS NOT NULL").groupBy("mmsi").agg(F.min_by(F.struct("name", "call_sign", "ship_type", "length", "width"), "row").alias("v"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
     return one.select("mmsi", "v.*", parsing.flag(F.col("mmsi")).alias("flag"), "first_seen", "last_seen")
 
 
