@@ -178,7 +178,8 @@ def pieces(positions: DataFrame, radius_km: float = 2) -> DataFrame:
 
 
 def loiters(positions: DataFrame, radius_km: float = 2, minutes: float = 60) -> DataFrame:
-    """Incidents of dwelling. The greedy scan depends on order, so the reports of one piece of a vessel's path meet in a group."""
+    """Incidents of dwelling. The greedy scan depends on order, so the reports of one piece of a vessel's path meet in a
+    group; pieces that don't last long enough hold no span and aren't scanned."""
     cols = ["mmsi", "ts_start_us", "ts_end_us", "lat", "lon", "knots", "points", "region"]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -189,6 +190,8 @@ def loiters(positions: DataFrame, radius_km: float = 2, minutes: float = 60) ->
         return pd.DataFrame([(rows["mmsi"].iloc[0], at[a], at[b], y, x, v, b - a + 1, rows["region"].iloc[a]) for a, b, y, x, v, _ in spans], columns=cols)
 
     cut = pieces(positions.select("id", "mmsi", "us", "lat", "lon", "sog", "region"), radius_km)
+    whole = W.partitionBy("mmsi", "piece")
+    cut = cut.withColumn("lasts", F.max("us").over(whole) - F.min("us").over(whole)).where(F.col("lasts") >= minutes * 60e6).drop("lasts")
     found = cut.groupBy("mmsi", "piece").applyInPandas(run, "mmsi string, ts_start_us long, ts_end_us long, lat double, lon double, knots double, points long, region string")
     minutes_ = (F.col("ts_end_us") - F.col("ts_start_us")) / F.lit(60e6)
     zone = zones.zone_of(F.col("lat"), F.col("lon"))
