@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidewatch.llm import chat_format, decontaminate, line_dedup, ngram_join, piece_bpe, quality, sharding, topk, toxicity, url_filter
+from tidewatch.llm import chat_format, decontaminate, exact_dedup, line_dedup, ngram_join, piece_bpe, quality, sharding, topk, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op8_piece_bpe": piece_bpe.op8_piece_bpe,
         "op9_topk": topk.op9_topk,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op12_exact_dedup": exact_dedup.op12_exact_dedup,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict:
         "op5_ngram_join": ngram_join.OP5_SQL,
         "op7_line_dedup": line_dedup.OP7_SQL,
         "op9_topk": topk.OP9_SQL,
+        "op12_exact_dedup": exact_dedup.OP12_SQL,
     }
