@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidewatch.llm import chat_format, decontaminate, exact_dedup, line_dedup, ngram_join, piece_bpe, quality, sharding, topk, toxicity, url_filter
+from tidewatch.llm import chat_format, decontaminate, exact_dedup, line_dedup, ngram_join, piece_bpe, quality, sharding, spelling, topk, toxicity, url_filter, whitening
 
 
 def queries() -> dict:
@@ -19,7 +19,9 @@ def queries() -> dict:
         "op8_piece_bpe": piece_bpe.op8_piece_bpe,
         "op9_topk": topk.op9_topk,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_spelling_variants": spelling.op11_spelling_variants,
         "op12_exact_dedup": exact_dedup.op12_exact_dedup,
+        "op13_whitening": whitening.op13_whitening,
         "pipeline": corpus_pipeline.run,
     }
 
