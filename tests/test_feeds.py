@@ -97,12 +97,22 @@ def test_only_the_pinned_model_scores(spark, tmp_path):
     assert "speed" in anomaly.scored_points(frame([*points, (12, "5", "80", None, "fast")]), model).first()["problem"]
 
 
-@pytest.mark.parametrize("bad", [{"raw": 1}, {"a": "Bearer abc.def"}, {"a": ["/home/me/x"]}, {"a": "my-secret-value"}, {"a": "sk-12345678"}, {"a": "CREATE TABLE t"}, {"a": "my word"}])
+@pytest.mark.parametrize("bad", [
+    {"evidence": 1}, {"name": {"api_key": 1}}, {"name": "jdbc:postgresql://db/x"}, {"name": ["s3a://bucket/x"]}, {"name": "ftp://me:pw@host/"}, {"name": "spark.hadoop.fs.s3a.access.key=1"}, {"name": "see checkpoint/state"},
+    {"name": "part-00000-11111111-2222-3333-4444-555555555555.parquet"}, {"name": "at /tmp/x"}, {"name": "at a.b.C.run(C.java:12)"}, {"name": 'File "x.py", line 3'}, {"name": "my word"}, {"value": float("nan")},
+])
 def test_private_things_are_refused(bad):
     with pytest.raises(ValueError):
         publish.checked(bad, secrets=("my word",))
 
 
+def test_public_things_pass():
+    good = {"name": "Gulf / lease, at sea (v1.2)", "lat": 1.23456, "score": 0.123456, "geometry": {"coordinates": [[103.12345, 1.0]]}, "zone": None}
+    assert publish.checked(good, ("secret",)) == good | {"lat": 1.2346}
+    with pytest.raises(TypeError):
+        publish.checked({"name": {1, 2}})
+
+
 def test_books_after_a_restart(spark):
     runs = spark.createDataFrame([("k", 0, 10, 9), ("k", 20, None, 25), ("k", 40, None, None)], "key string, started_us long, stopped_us long, last_message_us long")
     assert sorted((r["opened_us"], r["closed_us"]) for r in ledger.bridged(runs).collect()) == [(10, 20), (25, 40)]

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import geo, grading, parsing, zones
-from tidewatch.operators import anomaly, detect, downsample, evaluate, fusion, intervals, matching, publish, tracks, upkeep
+from tidewatch.operators import anomaly, detect, downsample, dwelling, evaluate, fusion, intervals, matching, ordered, publish, tracks, upkeep
 from tidewatch.sources import files
 from tidewatch.streaming import collector
 
@@ -114,10 +114,65 @@ def test_spoof_and_no_time_no_speed(spark):
 def test_dwell_spans_are_greedy():
     us, lat = np.arange(14) * 10.0 * MIN, np.zeros(14)
     lon = np.array([0, 0.5] + [1.0] * 8 + [2.0] * 4)
-    (span,) = detect.dwell_spans(us, lat, lon, np.full(14, 1.0), lambda a, b: False)
+    (span,) = dwelling.dwell_spans(us, lat, lon, np.full(14, 1.0), lambda a, b: False)
     assert span[:2] == (2, 9) and span[4] == 1.0
-    assert not detect.dwell_spans(us, lat, lon, np.full(14, 0.4), lambda a, b: False)
-    assert detect.dwell_spans(us, lat, lon, np.full(14, 1.0), lambda a, b: True)[0][5]
+    assert not dwelling.dwell_spans(us, lat, lon, np.full(14, 0.4), lambda a, b: False)
+    assert dwelling.dwell_spans(us, lat, lon, np.full(14, 1.0), lambda a, b: True)[0][5]
+
+
+def _scan(us, lat, lon, sog, radius_km=2.0, minutes=60.0, slow=(0.5, 2.0)):
+    """(first, last) of spans, report by report."""
+    out, i, n = [], 0, len(us)
+    while i < n:
+        j = i + 1
+        while j < n and float(dwelling.km_between(lat[i], lon[i], lat[j], lon[j])) <= radius_km:
+            j += 1
+        own = [v for v in sog[i:j] if not np.isnan(v)]
+        mean = round(float(np.mean(own)), 9) if own else 0.0
+        if j - i >= 2 and us[j - 1] - us[i] >= minutes * 60e6 and slow[0] <= mean <= slow[1]:
+            out.append((i, j - 1))
+            i = j
+        else:
+            i += 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_dwelling_equals_a_plain_scan(seed):
+    rng = np.random.default_rng(seed)
+    n = 700
+    step = rng.choice([0.0, 0.0003, 0.004, 0.05], n, p=[0.4, 0.4, 0.17, 0.03]) * (1 + seed % 2)
+    turn = rng.uniform(0, 2 * np.pi, n)
+    lat, lon = [0.2, 60.0, -33.0][seed % 3] + np.cumsum(step * np.cos(turn)), np.cumsum(step * np.sin(turn)) + (179.9 if seed == 4 else 20)
+    us, sog = np.cumsum(rng.integers(1, 12, n)) * MIN, np.where(rng.random(n) < 0.1, np.nan, rng.uniform(0, 2.5, n))
+    cuts = np.sort(rng.choice(np.arange(1, n), 5, replace=False)).tolist()
+    end = np.repeat([*cuts, n], np.diff([0, *cuts, n]))
+    got = [s[:2] for s in dwelling.dwell_spans(us, lat, lon, sog, lambda a, b: False, end=end)]
+    want = [(a + i, a + j) for a, b in zip([0, *cuts], [*cuts, n], strict=True) for i, j in _scan(us[a:b], lat[a:b], lon[a:b], sog[a:b])]
+    assert got == want and want
+
+
+def test_a_moored_vessel_is_scanned_fast():
+    import time
+
+    n = 64_000
+    rng = np.random.default_rng(3)
+    lat, lon, us = 5 + rng.uniform(-1e-3, 1e-3, n), 80 + rng.uniform(-1e-3, 1e-3, n), np.arange(n) * 45_000_000
+    began = time.time()
+    assert dwelling.dwell_spans(us, lat, lon, np.zeros(n), lambda a, b: False) == []
+    assert len(dwelling.dwell_spans(us, lat, lon, np.ones(n), lambda a, b: False)) == 1
+    assert time.time() - began < 4
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 100])
+def test_paths_stay_whole_across_batches(size):
+    keys = np.repeat(["a", "a", "b", "c", "c"], [1, 9, 4, 1, 20])
+    rows = pd.DataFrame({"mmsi": keys, "piece": np.repeat([0, 1, 0, 0, 1], [1, 9, 4, 1, 20]), "k": range(35)})
+    frames = list(dwelling.whole_paths((rows.iloc[i : i + size] for i in range(0, 35, size)), ["mmsi", "piece"], 6))
+    assert pd.concat(frames)["k"].tolist() == list(range(35)) and len(frames) > 1 - (size == 100)
+    seen = [set(zip(f["mmsi"], f["piece"], strict=True)) for f in frames]
+    assert sum(map(len, seen)) == 5
+    assert dwelling.path_ends([rows["mmsi"].to_numpy(), rows["piece"].to_numpy()]).tolist() == [1] + [10] * 9 + [14] * 4 + [15] + [35] * 20
 
 
 def _meeting(a, b, range_km, speed_kn, minutes, step_min):
@@ -127,7 +182,7 @@ def _meeting(a, b, range_km, speed_kn, minutes, step_min):
         return None
     grid = np.arange(lo, hi + 1, step_min * 60e6)
     x, y = ({c: np.interp(grid, p["us"], p[c]) for c in ("lat", "lon", "sog")} for p in (a, b))
-    away = detect._km(x["lat"], x["lon"], y["lat"], y["lon"])
+    away = dwelling.km_between(x["lat"], x["lon"], y["lat"], y["lon"])
     good = np.concatenate([[False], (x["sog"] <= speed_kn) & (y["sog"] <= speed_kn) & (away <= range_km), [False]])
     starts, ends = np.flatnonzero(~good[:-1] & good[1:]), np.flatnonzero(good[:-1] & ~good[1:])
     if not len(starts):
@@ -185,7 +240,7 @@ def test_pieces_change_no_dwelling(spark):
         rows.append(("1", t, lat, 80.0, float(rng.uniform(0.3, 2.2))))
     p = _reports(spark, rows)
     us, la, lo, sog = (np.array(x, float) for x in zip(*[(T0 + int(t * MIN), a, o, s) for _, t, a, o, s in rows], strict=True))
-    want = [(int(us[i]), int(us[j])) for i, j, *_ in detect.dwell_spans(us, la, lo, sog, lambda a, b: False)]
+    want = [(int(us[i]), int(us[j])) for i, j, *_ in dwelling.dwell_spans(us, la, lo, sog, lambda a, b: False)]
     got = sorted((r["ts_start_us"], r["ts_end_us"]) for r in detect.loiters(p).collect())
     assert want and got == want and detect.pieces(p).select("piece").distinct().count() > 3
 
@@ -220,16 +275,49 @@ def test_upkeep(spark):
     assert sorted((r["incident_id"], r["score"]) for r in upkeep.replaced(stored, fresh, spark.createDataFrame([("1",)], "mmsi string")).collect()) == [("a", 0.9), ("c", 0.3)]
 
 
-def test_weighted_auc(spark):
-    rng = np.random.default_rng(1)
-    s, y, w = np.round(rng.random(60), 1), rng.random(60) < 0.4, rng.integers(1, 4, 60).astype(float)
-    d = spark.createDataFrame([(float(a), bool(b), float(c)) for a, b, c in zip(s, y, w, strict=True)], "score double, y boolean, w double")
+def _auc(s, y, w):
+    """ROC AUC and average precision from all pairs and a plain sweep."""
     wins = sum(w[i] * w[j] * (1.0 if s[i] > s[j] else 0.5 if s[i] == s[j] else 0.0) for i in np.flatnonzero(y) for j in np.flatnonzero(~y))
+    steps = sum(w[y & (s == t)].sum() * w[y & (s >= t)].sum() / w[s >= t].sum() for t in np.unique(s) if w[y & (s == t)].sum())
+    return wins / (w[y].sum() * w[~y].sum()), steps / w[y].sum()
+
+
+@pytest.mark.parametrize("places", [1, 17])
+def test_weighted_auc(spark, places):
+    rng = np.random.default_rng(1)
+    s, y, w = np.round(rng.random(60), places), rng.random(60) < 0.4, rng.integers(1, 4, 60).astype(float)
+    d = spark.createDataFrame([(float(a), bool(b), float(c)) for a, b, c in zip(s, y, w, strict=True)] + [(None, True, 1.0), (0.5, None, 1.0)], "score double, y boolean, w double")
     (r,) = evaluate.weighted_auc(d, "score", "y", "w").collect()
-    assert abs(r["roc_auc"] - wins / (w[y].sum() * w[~y].sum())) < 1e-6
+    assert np.allclose([r["roc_auc"], r["average_precision"]], _auc(s, y, w), atol=1e-6)
     assert evaluate.weighted_auc(d.where("y"), "score", "y", "w").first()["roc_auc"] is None
 
 
+def test_scores_that_differ_in_the_fifth_place_are_told_apart(spark):
+    d = spark.createDataFrame([(0.50001, True, 1.0), (0.50002, False, 1.0), (0.50003, True, 1.0), (0.50004, False, 1.0)], "score double, y boolean, w double")
+    assert evaluate.weighted_auc(d, "score", "y", "w").first()["roc_auc"] == 0.25
+
+
+def test_running_sums_cross_partitions(spark):
+    rng = np.random.default_rng(4)
+    v = rng.permutation(500)
+    d = spark.createDataFrame([(int(x), int(x) % 7) for x in v], "x long, y long")
+    got = {r["x"]: (r["before"], r["place"]) for r in ordered.numbered(ordered.running(d, ["x"], {"before": F.col("y")}, 9), "x").collect()}
+    assert got == {x: (sum(k % 7 for k in range(x)), x + 1) for x in range(500)}
+    assert ordered.running(d.limit(0), ["x"], {"before": F.col("y")}).count() == 0
+
+
+def test_quantiles_equal_percentile(spark):
+    rng = np.random.default_rng(5)
+    rows = [("a", float(x)) for x in rng.integers(0, 9, 300)] + [("b", float(x)) for x in rng.normal(size=37)] + [("c", 1.5), ("d", None), (None, 2.0), (None, 4.0), ("e", float("nan")), ("e", 1.0), ("e", 0.0), ("=", 3.0)]
+    d = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    shares = {"q0": 0.0, "q1": 0.37, "q2": 0.5, "q3": 0.99, "q4": 1.0}
+    text = lambda rows: sorted(str(tuple(r)) for r in rows)
+    for by in (["g"], []):
+        plain = d.where("v IS NOT NULL").groupBy(*by).agg(F.count("*").alias("n"), *[F.percentile("v", F.lit(q)).alias(k) for k, q in shares.items()])
+        assert text(ordered.quantiles(d, "v", shares, by).collect()) == text(plain.collect())
+    assert ordered.quantiles(d.limit(0), "v", shares).count() == 0
+
+
 def test_fusion(spark):
     p = _reports(spark, [("1", 0, 1.2, 103.6, 9), ("1", 130, 1.2, 103.9, 9), ("1", 130.4, 3.0, 103.9, 9)])
     (r,) = fusion.fuse(detect.all_incidents(p)).collect()

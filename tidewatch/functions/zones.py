@@ -12,15 +12,15 @@ def _box(south: float, north: float, west: float, east: float) -> list[tuple[flo
     return [(south, west), (south, east), (north, east), (north, west)]
 
 
-# zone_id, kind, sensitive, ring of (lat, lon), in registry order.
+# zone_id, kind, sensitive, ring of (lat, lon), name, in registry order.
 ZONES = [
-    ("singapore-strait", "chokepoint", True, _box(1.10, 1.30, 103.55, 104.10)),
-    ("malacca-strait", "chokepoint", True, [(1.20, 102.20), (1.20, 103.60), (3.20, 100.60), (3.20, 101.90)]),
-    ("singapore-anchorages", "port", False, _box(1.18, 1.28, 103.70, 104.00)),
-    ("phillip-channel", "chokepoint", True, _box(1.13, 1.22, 103.72, 103.92)),
-    ("south-china-sea", "protected", True, _box(4.0, 16.0, 109.0, 118.0)),
-    ("us-la-longbeach", "port", False, _box(33.55, 33.80, -118.35, -118.05)),
-    ("us-gulf-lease", "protected", True, _box(27.0, 29.5, -94.0, -89.0)),
+    ("singapore-strait", "chokepoint", True, _box(1.10, 1.30, 103.55, 104.10), "Singapore Strait"),
+    ("malacca-strait", "chokepoint", True, [(1.20, 102.20), (1.20, 103.60), (3.20, 100.60), (3.20, 101.90)], "Strait of Malacca (approaches)"),
+    ("singapore-anchorages", "port", False, _box(1.18, 1.28, 103.70, 104.00), "Singapore Port Anchorages"),
+    ("phillip-channel", "chokepoint", True, _box(1.13, 1.22, 103.72, 103.92), "Phillip Channel"),
+    ("south-china-sea", "protected", True, _box(4.0, 16.0, 109.0, 118.0), "South China Sea (central)"),
+    ("us-la-longbeach", "port", False, _box(33.55, 33.80, -118.35, -118.05), "Los Angeles / Long Beach Approaches"),
+    ("us-gulf-lease", "protected", True, _box(27.0, 29.5, -94.0, -89.0), "Gulf of Mexico (offshore lease blocks)"),
 ]
 PRIORITY = sorted(range(len(ZONES)), key=lambda k: (not ZONES[k][2], k))
 
@@ -45,8 +45,8 @@ def in_kind(lat: Column, lon: Column, kind: str) -> Column:
 
 
 def name_of(zone_id: Column) -> Column:
-    """A zone's readable name: its id in words, each with a capital."""
-    return F.initcap(F.replace(zone_id, F.lit("-"), F.lit(" ")))
+    """A zone's readable name; null outside the registry."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for z in ZONES for x in (z[0], z[4])]), zone_id)
 
 
 def is_sensitive(zone_id: Column) -> Column:
@@ -54,5 +54,5 @@ def is_sensitive(zone_id: Column) -> Column:
 
 
 def table(spark: SparkSession) -> DataFrame:
-    rows = [(z[0], z[1], int(z[2]), [list(p) for p in z[3]]) for z in ZONES]
-    return spark.createDataFrame(rows, "zone_id string, kind string, sensitive int, polygon array<array<double>>")
+    rows = [(z[0], z[4], z[1], int(z[2]), [list(p) for p in z[3]]) for z in ZONES]
+    return spark.createDataFrame(rows, "zone_id string, name string, kind string, sensitive int, polygon array<array<double>>")

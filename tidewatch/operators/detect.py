@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,12 +13,14 @@ from pyspark.sql import Window as W
 from tidewatch.functions import zones
 from tidewatch.functions.geo import EARTH_KM, haversine_km, short_way, to_180
 from tidewatch.functions.grading import clip1, grade, severity
+from tidewatch.operators import dwelling
 from tidewatch.operators.overlap import overlapping
 from tidewatch.operators.tracks import by_time, steps
 
 HOUR_US, BIN_US = 3_600_000_000, 1_800_000_000
 CELL = 0.25
 SAMPLES = 12
+# Names, kinds, techniques and thresholds of findings, below and in the detectors, are those of the data model.
 COLUMNS = ("incident_id", "mmsi", "detector", "incident_type", "score", "severity", "reliability", "confidence", "ts_start_us", "ts_end_us", "lat", "lon", "zone_id", "counterpart_mmsi", "techniques", "minutes", "km", "knots", "region", "evidence")
 #: What findings rest on; a detector fills its own fields.
 EVIDENCE = {
@@ -118,48 +122,6 @@ def spoofs(positions: DataFrame, ceiling_kn: float = 60) -> DataFrame:
 # -- loitering --------------------------------------------------------------------------
 
 
-def _km(lat1, lon1, lat2, lon2) -> np.ndarray:
-    a, b = np.radians(lat1), np.radians(lat2)
-    h = np.sin((b - a) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(np.radians(lon2 - lon1) / 2) ** 2
-    return 2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1, h)))
-
-
-def _reach(lat: np.ndarray, lon: np.ndarray, i: int, radius_km: float) -> int:
-    """The first report after i that is out of i's reach, looking ahead in widening steps."""
-    ahead, n = 32, len(lat)
-    while True:
-        away = _km(lat[i], lon[i], lat[i : i + ahead], lon[i : i + ahead]) > radius_km
-        if away.any():
-            return i + int(np.argmax(away))
-        if i + ahead >= n:
-            return n
-        ahead *= 4
-
-
-def dwell_spans(us, lat, lon, sog, port, radius_km: float = 2, minutes: float = 60, slow: tuple[float, float] = (0.5, 2.0)) -> list[tuple]:
-    """(first, last, lat, lon, mean speed, in port) of spans around an anchor report, found greedily.
-
-    port tells whether a centre lies in a port; a port's span is passed over whole, and
-    returned marked; a span that fails advances the anchor by one report.
-    """
-    out, i, n = [], 0, len(us)
-    leaves = np.append(_km(lat[:-1], lon[:-1], lat[1:], lon[1:]) > radius_km, True)
-    while i < n:
-        if leaves[i]:  # the next report is out of reach already
-            i += 1
-            continue
-        j = _reach(lat, lon, i, radius_km)
-        known = sog[i:j][~np.isnan(sog[i:j])]
-        mean = round(float(known.mean()), 9) if len(known) else 0.0
-        if j - i >= 2 and us[j - 1] - us[i] >= minutes * 60e6 and slow[0] <= mean <= slow[1]:
-            centre = round(float(lat[i:j].mean()), 11), round(float(lon[i:j].mean()), 11)
-            out.append((i, j - 1, *centre, mean, port(*centre)))
-            i = j
-        else:
-            i += 1
-    return out
-
-
 def in_port(lat: float, lon: float) -> bool:
     def holds(ring: list[tuple[float, float]]) -> bool:
         odd = False
@@ -178,21 +140,19 @@ def pieces(positions: DataFrame, radius_km: float = 2) -> DataFrame:
 
 
 def loiters(positions: DataFrame, radius_km: float = 2, minutes: float = 60) -> DataFrame:
-    """Incidents of dwelling. The greedy scan depends on order, so the reports of one piece of a vessel's path meet in a
-    group; pieces that don't last long enough hold no span and aren't scanned."""
+    """Incidents of dwelling. The greedy scan depends on order, so a vessel's reports meet sorted in a task, where the
+    pieces of many paths are scanned at once; time grows with the reports, also of vessels that never leave."""
     cols = ["mmsi", "ts_start_us", "ts_end_us", "lat", "lon", "knots", "points", "region"]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["us", "id"])
-        us, lat, lon, sog = (rows[c].to_numpy(float) for c in ("us", "lat", "lon", "sog"))
-        spans = [s for s in dwell_spans(us, lat, lon, sog, in_port, radius_km, minutes) if not s[5]]
-        at = rows["us"].to_numpy()
-        return pd.DataFrame([(rows["mmsi"].iloc[0], at[a], at[b], y, x, v, b - a + 1, rows["region"].iloc[a]) for a, b, y, x, v, _ in spans], columns=cols)
-
-    cut = pieces(positions.select("id", "mmsi", "us", "lat", "lon", "sog", "region"), radius_km)
-    whole = W.partitionBy("mmsi", "piece")
-    cut = cut.withColumn("lasts", F.max("us").over(whole) - F.min("us").over(whole)).where(F.col("lasts") >= minutes * 60e6).drop("lasts")
-    found = cut.groupBy("mmsi", "piece").applyInPandas(run, "mmsi string, ts_start_us long, ts_end_us long, lat double, lon double, knots double, points long, region string")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in dwelling.whole_paths(batches, ["mmsi", "piece"]):
+            us, (lat, lon, sog) = rows["us"].to_numpy(), (rows[c].to_numpy(float) for c in ("lat", "lon", "sog"))
+            end = dwelling.path_ends([rows["mmsi"].to_numpy(), rows["piece"].to_numpy()])
+            spans = [s for s in dwelling.dwell_spans(us, lat, lon, sog, in_port, radius_km, minutes, end=end) if not s[5]]
+            yield pd.DataFrame([(rows["mmsi"].iat[a], us[a], us[b], y, x, v, b - a + 1, rows["region"].iat[a]) for a, b, y, x, v, _ in spans], columns=cols)
+
+    cut = pieces(positions.select("id", "mmsi", "us", "lat", "lon", "sog", "region"), radius_km).sortWithinPartitions("mmsi", "us", "id")
+    found = cut.select("mmsi", "piece", "us", "lat", "lon", "sog", "region").mapInPandas(run, "mmsi string, ts_start_us long, ts_end_us long, lat double, lon double, knots double, points long, region string")
     minutes_ = (F.col("ts_end_us") - F.col("ts_start_us")) / F.lit(60e6)
     zone = zones.zone_of(F.col("lat"), F.col("lon"))
     extra = F.when(zones.is_sensitive(zone), 0.2).otherwise(0.0)

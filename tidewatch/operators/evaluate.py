@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidewatch.functions.grading import wilson
+from tidewatch.operators import ordered
 
 
 def detector_scores(incidents: DataFrame, truth: DataFrame, tolerance_us: int = 1_800_000_000) -> DataFrame:
@@ -20,15 +21,20 @@ def detector_scores(incidents: DataFrame, truth: DataFrame, tolerance_us: int =
 
 
 def weighted_auc(rows: DataFrame, score: str, positive: str, weight: str) -> DataFrame:
-    """One row: weighted ROC AUC (ties half) and average precision (a step sum); null where a class is empty.
+    """One row: exact weighted ROC AUC (ties half) and average precision (a step sum); null where a class is empty.
 
-    Scores count to four places, so that at most some ten thousand weights are ordered in one place, never rows.
+    Rows without a score, class or weight don't count. Weights are added up per distinct score, the scores are dealt to
+    range partitions, and running sums over all of them come from the partitions' totals.
     """
-    by_score = rows.withColumn(score, F.round(score, 4)).groupBy(score).agg(F.sum(F.when(F.col(positive), F.col(weight)).otherwise(0.0)).alias("p"), F.sum(F.when(~F.col(positive), F.col(weight)).otherwise(0.0)).alias("n"))
-    up, down = W.orderBy(score).rowsBetween(W.unboundedPreceding, -1), W.orderBy(F.desc(score))
-    swept = by_score.withColumns({"below": F.coalesce(F.sum("n").over(up), F.lit(0.0)), "tp": F.sum("p").over(down), "fp": F.sum("n").over(down)})
-    total = swept.agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"), F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("wins"), F.sum(F.when(F.col("tp") > 0, F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)).alias("steps"))
+    w, y = F.col(weight).cast("double"), F.col(positive)
+    good = rows.where(F.col(score).isNotNull() & y.isNotNull() & w.isNotNull())
+    by_score = good.groupBy(F.col(score).alias("_score")).agg(F.sum(F.when(y, w).otherwise(0.0)).alias("p"), F.sum(F.when(~y, w).otherwise(0.0)).alias("n"))
+    swept = ordered.running(by_score, ["_score"], {"p_below": F.col("p"), "n_below": F.col("n")})
+    whole = good.agg(F.coalesce(F.sum(F.when(y, w)), F.lit(0.0)).alias("pos"), F.coalesce(F.sum(F.when(~y, w)), F.lit(0.0)).alias("neg"))
+    tp, fp = F.col("pos") - F.col("p_below"), F.col("neg") - F.col("n_below")
+    sums = swept.crossJoin(F.broadcast(whole)).agg(F.sum(F.col("p") * (F.col("n_below") + F.col("n") / 2)).alias("wins"), F.sum(F.when(F.col("p") > 0, F.col("p") * tp / (tp + fp)).otherwise(0.0)).alias("steps"))
     both = (F.col("pos") > 0) & (F.col("neg") > 0)
+    total = whole.crossJoin(sums)  # single rows
     return total.select(F.round(F.when(both, F.col("wins") / (F.col("pos") * F.col("neg"))), 6).alias("roc_auc"), F.round(F.when(both, F.col("steps") / F.col("pos")), 6).alias("average_precision"))
 
 
@@ -42,9 +48,9 @@ def precision_intervals(reviews: DataFrame, least: int = 5) -> DataFrame:
 def drift(incidents: DataFrame, vessels: DataFrame) -> DataFrame:
     """Median and 95th percentile of scores by day and type of vessel."""
     day = F.floor(F.col("ts_start_us") / F.lit(86_400_000_000)).alias("day")
-    q = lambda p: F.round(F.percentile("score", F.lit(p)), 6)
     rows = incidents.join(vessels.select("mmsi", "ship_type"), "mmsi", "left").withColumn("vessel_type", F.coalesce("ship_type", F.lit("unknown")))
-    return rows.groupBy(day, "vessel_type").agg(F.count("*").alias("n"), q(0.5).alias("p50"), q(0.95).alias("p95"))
+    found = ordered.quantiles(rows.select(day, "vessel_type", "score"), "score", {"p50": 0.5, "p95": 0.95}, ["day", "vessel_type"])
+    return found.select("day", "vessel_type", "n", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 def footprint(positions: DataFrame, band: float = 0.5, cell: float = 0.25) -> DataFrame:
@@ -87,15 +93,18 @@ def review_queue(pools: DataFrame, caps: dict[str, int] = QUEUE_CAPS, least: int
     Alerts come by their scores, the others in a seeded order. The rest fills the queue up to
     least items and has some of its own in any case. The queue's order is seeded anew.
     """
-    digest = F.sha2(F.concat(F.lit(seed), "track_id"), 256)
-    place = lambda *by: F.row_number().over(W.partitionBy("stratum").orderBy(*by, "track_id"))
+    rows = pools.withColumn("digest", F.sha2(F.concat(F.lit(seed), "track_id"), 256))
     sizes = {r["stratum"]: r["n"] for r in pools.groupBy("stratum").agg(F.count("*").alias("n")).collect()}  # five strata
     taken = {s: min(n, sizes.get(s, 0)) for s, n in caps.items()}
     taken["rest"] = min(max(least - sum(taken.values()), rest), sizes.get("rest", 0))
-    many = F.create_map(*[F.lit(x) for pair in taken.items() for x in pair])
-    rows = pools.withColumn("digest", digest).withColumn("place", F.when(F.col("stratum") == "alert", place(F.desc("alert"))).otherwise(place("digest"))).where(F.col("place") <= many[F.col("stratum")])
+    chosen = None
+    for s, n in sorted(taken.items()):  # the first n of a stratum: every task hands on n rows at most
+        order = [F.desc("alert"), "track_id"] if s == "alert" else ["digest", "track_id"]
+        part = rows.where(F.col("stratum") == s).orderBy(*order).limit(n)
+        chosen = part if chosen is None else chosen.unionByName(part)
     rate = F.create_map(*[F.lit(x) for s, n in taken.items() for x in (s, round(n / sizes[s], 6) if sizes.get(s) else 0.0)])
-    return rows.withColumn("queue_order", F.row_number().over(W.orderBy(F.sha2(F.concat(F.lit(seed), "digest"), 256), "track_id"))).select("track_id", "stratum", rate[F.col("stratum")].alias("probability"), "queue_order")
+    place = F.row_number().over(W.orderBy(F.sha2(F.concat(F.lit(seed), "digest"), 256), "track_id"))  # of the sample, whose size the design fixes
+    return chosen.withColumn("queue_order", place).select("track_id", "stratum", rate[F.col("stratum")].alias("probability"), "queue_order")
 
 
 def pilot_figures(runs: DataFrame, outages: DataFrame, spans: DataFrame, hours: DataFrame, incidents: DataFrame, now_us: int) -> DataFrame:

@@ -133,8 +133,7 @@ def _truth(s: SparkSession, d: str) -> DataFrame:
 
 Query = Callable[[SparkSession, str], DataFrame]
 _PUB = "strftime(make_timestamp(ts_start_us), '%Y-%m-%dT%H:%M:%S.%f')"
-_NAME = lambda z: "(SELECT string_agg(upper(w[1]) || w[2:], ' ' ORDER BY i) FROM (SELECT unnest(string_split(" + z + ", '-')) AS w, generate_subscripts(string_split(" + z + ", '-'), 1) AS i))"
-_NAMES = "names AS (SELECT * FROM (VALUES " + ", ".join(f"('{z[0]}', '{z[0].replace('-', ' ').title()}', '{z[1]}')" for z in zones.ZONES) + ") v(zone_id, zone_name, kind))"
+_NAMES = "names AS (SELECT * FROM (VALUES " + ", ".join(f"('{z[0]}', '{z[4]}', '{z[1]}')" for z in zones.ZONES) + ") v(zone_id, zone_name, kind))"
 _ATT = """att AS (SELECT incident_id, track_id FROM (SELECT incident_id, track_id, row_number() OVER (PARTITION BY incident_id ORDER BY least(end_us, ts_end_us) - greatest(start_us, ts_start_us) DESC, track_id DESC) AS k
   FROM found JOIN tracks ON tracks.mmsi = found.mmsi AND start_us <= ts_end_us AND end_us >= ts_start_us) WHERE k = 1)"""
 _KM = oracles._km
@@ -168,7 +167,7 @@ turned AS (SELECT f.mmsi, f.voyage, i, cos(a) * x - sin(a) * y AS u, sin(a) * x
 moves AS (SELECT mmsi, voyage, i - 1 AS spot, u - lag(u) OVER w AS dx, v - lag(v) OVER w AS dy FROM turned WINDOW w AS (PARTITION BY mmsi, voyage ORDER BY i))"""
 _COORDS = lambda inner: "'[' || string_agg('[' || lon_ || ',' || lat_ || ']', ',' ORDER BY " + inner + ") || ']'"
 _RING = lambda ring: ",".join(f"[{float(x)},{float(y)}]" for y, x in [*ring, ring[0]])
-_ZONES = ", ".join("('" + z[0] + "', '" + f'{{"type":"Feature","geometry":{{"type":"Polygon","coordinates":[[{_RING(z[3])}]]}},"properties":{{"zone_id":"{z[0]}","name":"{z[0].replace("-", " ").title()}","kind":"{z[1]}","sensitive":{str(z[2]).lower()}}}}}' + "')" for z in zones.ZONES)
+_ZONES = ", ".join("('" + z[0] + "', '" + f'{{"type":"Feature","geometry":{{"type":"Polygon","coordinates":[[{_RING(z[3])}]]}},"properties":{{"zone_id":"{z[0]}","name":"{z[4]}","kind":"{z[1]}","sensitive":{str(z[2]).lower()}}}}}' + "')" for z in zones.ZONES)
 
 #: name: (query, SQL)
 TABLE: dict[str, tuple[Query, str]] = {

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.operators import detect, intervals, matching, tracks
 from tidewatch.plans import fixtures
 from tidewatch.sources import lens
+from tidewatch.sources.shared import place, written
+
+__all__ = ["DAY", "NOW", "deterministic", "events", "labels", "made_tracks", "outages", "path_matches", "place", "reasons", "reviews", "runs", "spans", "written"]
 
 NOW = 1_704_175_200_000_000
 DAY = 86_400_000_000
@@ -45,8 +45,8 @@ def made_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deterministic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The findings of the four detectors that need no fitted model, one for each id."""
-    return detect.all_incidents(lens.positions(spark, sf_dir), outages(spark))
+    """The findings of the four detectors that need no fitted model, one for each id, written once for all that read them."""
+    return written(detect.all_incidents(lens.positions(spark, sf_dir), outages(spark)))
 
 
 def path_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,29 +65,3 @@ def reviews(made: DataFrame) -> DataFrame:
     })
     again = first.where("h IN (1, 2)").withColumns({"review_id": F.concat(F.lit("queue-v1-rereview:"), "track_id"), "reviewer_id": F.lit("primary-rereview"), "label": F.when(F.col("h") == 1, F.col("label")).otherwise("normal"), "reviewed_us": F.lit(NOW)})
     return first.unionByName(again).withColumn("label", F.when(F.col("reviewed_us").isNotNull(), F.col("label"))).drop("h")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. Only a session on this one machine may do without and gets one of its own."""
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not named and context._jsc.sc().getCheckpointDir().isDefined():
-        named = context._jsc.sc().getCheckpointDir().get()
-    if not named and not context.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        context.setCheckpointDir(named)
-    return named
-
-
-def place(spark: SparkSession) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/tables/{uuid4().hex}"
-
-
-def written(rows: DataFrame) -> DataFrame:
-    """The same rows from a table in the shared folder, so that what reads them twice computes them once."""
-    path = place(rows.sparkSession)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
