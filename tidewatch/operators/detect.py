@@ -16,6 +16,7 @@ from tidewatch.functions.grading import clip1, grade, severity
 from tidewatch.operators import dwelling
 from tidewatch.operators.overlap import overlapping
 from tidewatch.operators.tracks import by_time, steps
+from tidewatch.sources.shared import counted, written
 
 HOUR_US, BIN_US = 3_600_000_000, 1_800_000_000
 CELL = 0.25
@@ -66,23 +67,43 @@ def witness_index(positions: DataFrame) -> DataFrame:
     return positions.select(F.floor(F.col("lat") / CELL).alias("cell_lat"), F.floor(F.col("lon") / CELL).alias("cell_lon"), F.floor(F.col("us") / HOUR_US).alias("hour"), "mmsi").distinct()
 
 
+def vessel_numbers(positions: DataFrame) -> DataFrame:
+    """(mmsi, number): every vessel's number, written once. Vessels first heard near each other have numbers near each other, so
+    that those of one cell share few words of 64 bits."""
+    cells = [F.floor(F.col(c) / CELL).alias(c) for c in ("lat", "lon")]
+    homes = positions.groupBy("mmsi").agg(F.min(F.struct("us", *cells)).alias("home")).select("mmsi", F.col("home.lat").alias("y"), F.col("home.lon").alias("x"))
+    parts = int(positions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(homes.repartitionByRange(parts, "y", "x", "mmsi").sortWithinPartitions("y", "x", "mmsi").select("mmsi", F.monotonically_increasing_id().alias("number")))
+
+
+def witness_words(positions: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(cell_lat, cell_lon, hour, word, bits): who was heard in each cell and hour, 64 vessels a row."""
+    rows = positions.select("mmsi", F.floor(F.col("lat") / CELL).alias("cell_lat"), F.floor(F.col("lon") / CELL).alias("cell_lon"), F.floor(F.col("us") / HOUR_US).alias("hour")).join(numbers, "mmsi")
+    return rows.groupBy("cell_lat", "cell_lon", "hour", F.expr("number div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(number % 64 as int))")).alias("bits"))
+
+
 def coverage(segments: DataFrame, positions: DataFrame) -> DataFrame:
     """segments with support, witnessed, witnesses, ends and verdict: who else was heard along the silent corridor.
 
     Twelve points along the straight line, all hours touched; a point counts with two other
-    vessels. Points meet the witness index by cell and hour; distinct vessels are counted
-    per point in two steps, so a busy cell is summed before it is shuffled.
+    vessels. Points meet bitmaps of vessels by cell and hour; the bitmaps of a corridor are united by OR and its vessels are
+    counted in the bits, so that what is shuffled doesn't grow with the traffic in a cell.
     """
-    keyed = segments.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES - 1))))
+    numbers = counted(vessel_numbers(positions))
+    keyed = segments.join(numbers.withColumnRenamed("number", "own"), "mmsi").withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES - 1))))
     f = F.col("sample") / F.lit(float(SAMPLES - 1))
     keyed = keyed.withColumns({
         "cell_lat": F.floor((F.col("prev_lat") + (F.col("lat") - F.col("prev_lat")) * f) / CELL), "cell_lon": F.floor((F.col("prev_lon") + (F.col("lon") - F.col("prev_lon")) * f) / CELL),
         "hour": F.explode(F.sequence(F.floor(F.col("prev_us") / HOUR_US), F.floor(F.col("us") / HOUR_US))),
-    }).select("id", F.col("mmsi").alias("own"), "sample", "cell_lat", "cell_lon", "hour")
-    met = keyed.join(witness_index(positions), ["cell_lat", "cell_lon", "hour"]).where("mmsi <> own").select("id", "sample", "mmsi").distinct()
-    points = met.groupBy("id", "sample").agg(F.count("*").alias("n")).groupBy("id").agg(F.sum((F.col("n") >= 2).cast("int")).alias("witnessed"), F.sum(((F.col("n") >= 2) & F.col("sample").isin(0, SAMPLES - 1)).cast("int")).alias("ends"))
-    others = met.select("id", "mmsi").distinct().groupBy("id").agg(F.count("*").alias("witnesses"))
-    rows = segments.join(points, "id", "left").join(others, "id", "left").fillna(0, ["witnessed", "witnesses", "ends"])
+    }).groupBy("id", "own", "cell_lat", "cell_lon", "hour").agg(F.bit_or(F.expr("shiftleft(1, sample)")).alias("samples"))
+    met = keyed.join(witness_words(positions, numbers), ["cell_lat", "cell_lon", "hour"])
+    others = F.expr("bits & ~if(word = own div 64, shiftleft(1L, cast(own % 64 as int)), 0L)")
+    met = met.withColumn("bits", others)
+    united = met.groupBy("id", "word").agg(F.bit_or("bits").alias("every"), *[F.bit_or(F.when(F.col("samples").bitwiseAND(1 << k) != 0, F.col("bits"))).alias(f"at{k}") for k in range(SAMPLES)])
+    heard = united.groupBy("id").agg(F.sum(F.bit_count("every")).cast("long").alias("witnesses"), *[F.sum(F.coalesce(F.bit_count(f"at{k}"), F.lit(0))).alias(f"at{k}") for k in range(SAMPLES)])
+    enough = lambda ks: sum((F.when(F.col(f"at{k}") >= 2, 1).otherwise(0) for k in ks), F.lit(0)).cast("long")
+    points = heard.select("id", "witnesses", enough(range(SAMPLES)).alias("witnessed"), enough((0, SAMPLES - 1)).alias("ends"))
+    rows = segments.join(points, "id", "left").fillna(0, ["witnessed", "witnesses", "ends"])
     rows = rows.withColumn("support", F.col("witnessed") / F.lit(float(SAMPLES)))
     return rows.withColumn("verdict", F.when(F.col("support") >= 0.75, "vessel-attributed").when(F.col("support") >= 0.25, "partial").otherwise("coverage-explained"))
 
@@ -226,7 +247,7 @@ def near_moments(positions: DataFrame, range_km: float = 0.5, speed_kn: float =
     vessel's whole path never travels. With focus (mmsi), only pairs of these vessels and
     of the vessels that they share a half hour with are kept.
     """
-    legs, step = slow_legs(positions, speed_kn), int(step_min * 60_000_000)
+    legs, step = written(slow_legs(positions, speed_kn)), int(step_min * 60_000_000)
     shared = _shared_bins(positions, legs, range_km, transit_kn)
     if focus is not None:
         wanted = focus.select("mmsi").distinct()
@@ -256,7 +277,7 @@ def meetings(positions: DataFrame, range_km: float = 0.5, speed_kn: float = 1.0,
     runs = moments.withColumn("island", island).groupBy("a", "b", "island").agg(F.count("*").alias("n"), F.min("us").alias("ts_start_us"), F.max("us").alias("ts_end_us"), F.avg("lat").alias("lat"), east.alias("lon"), F.min("km").alias("km"), F.first("region").alias("region"))
     best = runs.groupBy("a", "b").agg(F.max_by(F.struct("n", "ts_start_us", "ts_end_us", "lat", "lon", "km", "region"), F.struct(F.col("n"), -F.col("ts_start_us"))).alias("r")).select("a", "b", "r.*")
     best = best.withColumns({"minutes": (F.col("n") - 1) * F.lit(float(step_min)), "lon": to_180(F.col("lon"))}).where((F.col("minutes") >= minutes) & ~zones.in_kind(F.col("lat"), F.col("lon"), "port"))
-    found = best.select("a", "b", "ts_start_us", "ts_end_us", "lat", "lon", "minutes", "km", "region")
+    found = written(best.select("a", "b", "ts_start_us", "ts_end_us", "lat", "lon", "minutes", "km", "region"))
     busy = partner_degree(found).where(F.col("degree") > partners).select("mmsi")
     return found.join(busy.withColumnRenamed("mmsi", "a"), "a", "left_anti").join(busy.withColumnRenamed("mmsi", "b"), "b", "left_anti")
 

@@ -8,7 +8,9 @@ from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+BROADCAST_ROWS = 1_000_000
 _scopes: list[list[str]] = []
 
 
@@ -41,6 +43,11 @@ def written(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def counted(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of a few bytes a row: to be broadcast up to most rows, and joined by shuffle beyond."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
