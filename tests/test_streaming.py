@@ -5,7 +5,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.streaming import outages
+from tidewatch.operators import detect, tracks
+from tidewatch.sources.store import Spec, Store
+from tidewatch.streaming import durable, outages
 
 S = 1_000_000
 
@@ -72,3 +74,125 @@ def test_a_silent_feed_opens_one_outage_and_a_report_closes_it(spark, tmp_path):
         assert ledger == {("a", 104 * S): 150 * S, ("a", 153 * S): 200 * S, ("b", 103 * S): None}
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass") if before is None else spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+# durable batches ------------------------------------------------------------------------
+
+T0, MIN = 1_704_067_200_000_000, 60_000_000
+POSITIONS = "id long, mmsi string, us long, lat double, lon double, sog double, heading double, nav_status string, source string, region string"
+
+
+def _reports(spark, n, first=0):
+    """Some vessels on their ways, with silences, jumps, dwelling and a meeting."""
+    rows = []
+    for k in range(first, first + n):
+        for v in range(8):
+            if v == 3 and k % 24 > 7:
+                continue
+            far = 0.3 if v == 2 and k % 9 == 8 else 0.01 * k if v == 3 else 0.0
+            moved = 0.0 if v in (4, 5) and k % 20 > 3 else 0.004 * (k % 20)
+            rows.append((k * 8 + v, f"v{v}", T0 + k * 10 * MIN, 5.0 + (0 if v in (4, 5) else v) + moved + far, 80.0 + (0.001 if v == 5 else 0.0), 1.0 if v == 6 else 0.5 if v in (4, 5) and k % 20 > 3 else 8.0, 0.0, "0", "aisstream", "sg"))
+    return spark.createDataFrame(rows, POSITIONS)
+
+
+def _identities(batch):
+    return batch.groupBy("mmsi").agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.max(F.concat(F.lit("ship "), "mmsi")).alias("name"))
+
+
+def _store(spark, path):
+    p = _reports(spark, 1)
+    return durable.opened(spark, str(path), p, tracks.summaries(p), detect.all_incidents(p), _identities(p))
+
+
+def _spoofs(positions, dirty, _):
+    return detect.spoofs(positions.join(dirty, "mmsi", "left_semi"))
+
+
+FULL = [("flush", durable.flush(_identities)), ("tracks", durable.retrack), ("incidents", durable.rejudge()), ("scores", durable.settle())]
+PHASES = [("flush", durable.flush(_identities)), ("tracks", durable.retrack), ("incidents", durable.rejudge(judge=_spoofs)), ("scores", durable.settle())]
+
+
+def _tables(store):
+    cut = lambda v: round(v, 9) if isinstance(v, float) else v
+    return {name: sorted(str([cut(v) for v in r]) for r in store.read(name).collect()) for name in store.specs}
+
+
+@pytest.fixture(scope="module")
+def batches(spark):
+    every = _reports(spark, 60)
+    return [every.where("id < 240"), every.where("id >= 200")]
+
+
+@pytest.fixture(scope="module")
+def clean(spark, batches, tmp_path_factory):
+    store = _store(spark, tmp_path_factory.mktemp("clean"))
+    for number, batch in enumerate(batches):
+        assert durable.processed(store, batch, number, PHASES) == 4
+    return store
+
+
+def test_stored_tables_equal_a_full_build(spark, batches, tmp_path):
+    p, clean = _reports(spark, 60), _store(spark, tmp_path)
+    for number, batch in enumerate(batches):
+        assert durable.processed(clean, batch, number, FULL) == 4
+    ids = lambda rows, c: sorted(r[c] for r in rows.collect())
+    assert ids(clean.read("positions"), "id") == ids(p, "id") and clean.read("dirty").count() == 0
+    got, want = clean.read("tracks"), tracks.summaries(p)
+    assert sorted((r["track_id"], r["voyage"], r["point_count"]) for r in got.collect()) == sorted((r["track_id"], r["voyage"], r["point_count"]) for r in want.collect())
+    found = detect.all_incidents(p)
+    assert {r["detector"] for r in found.select("detector").distinct().collect()} >= {"gap", "spoof", "loiter"}
+    assert sorted((r["incident_id"], r["score"]) for r in clean.read("incidents").collect()) == sorted((r["incident_id"], r["score"]) for r in found.collect())
+    assert clean.read("vessels").where("name LIKE 'ship v%'").count() == 8
+
+
+@pytest.mark.parametrize(("phase", "late"), [(0, True), (1, False), (2, True), (3, False)])
+def test_a_killed_phase_is_replayed_to_the_same_tables(spark, batches, clean, tmp_path, phase, late):
+    store = _store(spark, tmp_path)
+    durable.processed(store, batches[0], 0, PHASES)
+
+    def broken(at, batch):
+        if late:
+            PHASES[phase][1](at, batch)  # everything is staged, nothing committed
+        raise OSError("killed")
+
+    failing = [*PHASES[:phase], (PHASES[phase][0], broken), *PHASES[phase + 1 :]]
+    with pytest.raises(OSError):
+        durable.processed(store, batches[1], 1, failing)
+    again = _store(spark, tmp_path)  # as after a restart: everything comes from the shared folder
+    assert durable.processed(again, batches[1], 1, PHASES) == 4 - phase
+    assert durable.processed(again, batches[1], 1, PHASES) == 0
+    assert _tables(again) == _tables(clean)
+    before = _tables(again)
+    assert again.vacuum() > 0 and again.vacuum() == 0 and _tables(again) == before
+
+
+def test_a_stream_goes_through_the_phases(spark, batches, clean, tmp_path):
+    store = _store(spark, tmp_path / "store")
+    for number, batch in enumerate(batches):
+        batch.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(POSITIONS).parquet(str(tmp_path / "in"))
+        query = stream.writeStream.foreachBatch(durable.lane(store, PHASES)).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert store.state().done == dict.fromkeys(("flush", "tracks", "incidents", "scores"), number)
+    assert _tables(store) == _tables(clean)
+
+
+def test_only_touched_parts_are_written_and_windows_need_no_exchange(spark, clean, tmp_path):
+    store = Store(spark, str(tmp_path), {"positions": Spec(spark.createDataFrame([], POSITIONS).schema, ("mmsi", "us"), time="us")}, parts=3, buckets=2)
+    rows = _reports(spark, 400)  # some days
+    store.commit({"positions": store.replace("positions", rows)}, "flush", 0)
+    first = store.state().places["positions"]
+    assert len({k.split("/")[0] for k in first}) >= 3 and len(store.read("positions").inputFiles()) <= 2 * len(first)
+    one = rows.where(f"mmsi = 'v1' AND us < {T0 + 60 * MIN}").withColumn("us", F.col("us") + 1)
+    store.commit({"positions": store.replace("positions", one)}, "flush", 1)
+    second = store.state().places["positions"]
+    assert set(first) == set(second) and sum(first[k] != second[k] for k in first) == 1
+    assert store.read("positions").count() == rows.count() + one.count()
+    key = next(iter(store.keys("positions", one)))
+    assert 0 < len(store.read("positions", [key]).inputFiles()) <= 2
+    plan = tracks.steps(store.read("positions"))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "Exchange" not in plan
+    pruned = store.read("positions").where(f"day = {key[0]}")
+    assert len(pruned.inputFiles()) < len(store.read("positions").inputFiles())
+    store.commit({"positions": store.replace("positions", one.limit(0), store.read("positions", [key]))}, "prune", 2)
+    assert store.read("positions", [key]).count() == 0 and f"day={key[0]}/part={key[1]}" not in store.state().places["positions"]

@@ -23,8 +23,8 @@ def refreshed_tracks(positions: DataFrame, stored: DataFrame, dirty: DataFrame)
     return stored.join(fresh.select("track_id"), "track_id", "left_anti").select(*stored.columns).unionByName(fresh.select(*stored.columns))
 
 
-def refreshed_incidents(positions: DataFrame, stored: DataFrame, dirty: DataFrame, outages: DataFrame | None = None) -> DataFrame:
-    """The incident table after the dirty vessels were judged again.
+def judged_again(positions: DataFrame, dirty: DataFrame, outages: DataFrame | None = None) -> DataFrame:
+    """The findings on dirty vessels, one for each id.
 
     Gaps, kinematics and dwelling need the vessel alone, witnesses come from all vessels.
     Meetings are sought among the dirty vessels and those they share a half hour and cell
@@ -33,8 +33,12 @@ def refreshed_incidents(positions: DataFrame, stored: DataFrame, dirty: DataFram
     own = positions.join(dirty.select("mmsi").distinct(), "mmsi", "left_semi")
     mine = detect.rendezvous(positions, dirty)
     fresh = detect.gaps(own, outages, positions).unionByName(detect.loiters(own)).unionByName(detect.spoofs(own)).unionByName(mine)
-    last = fresh.groupBy("incident_id").agg(F.max_by(F.struct(*detect.COLUMNS[1:]), F.struct("detector", "ts_end_us", "lat", "lon")).alias("i")).select("incident_id", "i.*")
-    return upkeep.replaced(stored, last, dirty.select("mmsi").distinct())
+    return fresh.groupBy("incident_id").agg(F.max_by(F.struct(*detect.COLUMNS[1:]), F.struct("detector", "ts_end_us", "lat", "lon")).alias("i")).select("incident_id", "i.*")
+
+
+def refreshed_incidents(positions: DataFrame, stored: DataFrame, dirty: DataFrame, outages: DataFrame | None = None) -> DataFrame:
+    """The incident table after the dirty vessels were judged again."""
+    return upkeep.replaced(stored, judged_again(positions, dirty, outages), dirty.select("mmsi").distinct())
 
 
 def refreshed_anomalies(shapes: DataFrame, made: DataFrame, stored: DataFrame, dirty: DataFrame, artifact: str, sha256: str) -> DataFrame:
