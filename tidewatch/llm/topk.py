@@ -14,6 +14,7 @@ task returns at most k rows a query, and a last aggregation merges them.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidewatch.llm.tables import cut, table
+from tidewatch.llm.tables import cut, sized, table
 
 K = 5
 EVERY = 50
@@ -30,14 +31,15 @@ SHARD_ROWS = 2_048
 SLICE_BYTES = 1 << 25
 SEED_ROWS = 1_024
 PROBE = 8
-_EXACT, _NONE = float(1 << 53), -(1 << 62)
+_WIDEST = 10**38 - 1
+_DOUBLE, _LONG, _NONE = float(1 << 53), float(1 << 61), -(1 << 62)
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """vec_id and components floor(scale * x) of the vectors in which all are finite, row by row.
 
     Vectors that are null or empty, or hold a null, NaN or infinite component, and rows
-    with a null vec_id take no part. Rows that repeat a vec_id all stay.
+    with a null vec_id take no part. Components are cut at the ends of a long. Rows that repeat a vec_id all stay.
     """
     x = F.transform("embedding", lambda v: v.cast("double"))
     whole = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
@@ -46,26 +48,27 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
 
 
 class Search:
-    """The k best vectors so far of each query of one number of dimensions; work counts component products."""
+    """The k best vectors so far of each query of one number of dimensions, by the slots of the queries' rows; work counts component products."""
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
-        self.ids, self.q, self.k, self.work = ids, q, k, 0
-        self.none = q.dtype.type(_NONE)
-        self.score = np.full((len(ids), k), self.none)
-        self.held = np.full((len(ids), k), np.iinfo(np.int64).max)
-        self.least = np.full(len(ids), self.none)  # no worse vector than this is among the best
+    def __init__(self, slots: np.ndarray, q: np.ndarray, k: int):
+        self.slots, self.q, self.k, self.work = slots, q, k, 0
+        self.none = -(1 << 200) if q.dtype == object else q.dtype.type(_NONE)
+        self.score = np.full((len(slots), k), self.none, q.dtype)
+        self.held = np.full((len(slots), k), np.iinfo(np.int64).max)
+        self.least = np.full(len(slots), self.none, q.dtype)  # no worse vector than this is among the best
 
     def seed(self, rows: int = SEED_ROWS) -> Search:
         """Starts from the k-th best among some of the queries, which are candidates themselves."""
-        if len(self.ids) > self.k:
-            some = np.arange(min(rows, len(self.ids)))
+        if len(self.slots) > self.k:
+            some = np.arange(min(rows, len(self.slots)))
             score = self.q @ self.q[some].T
-            score[self.ids[:, None] == self.ids[some][None, :]] = self.none
+            score[some, some] = self.none
             if len(some) > self.k:
-                self.least = np.partition(score, -self.k, axis=1)[:, -self.k]
+                self.least = (np.sort(score, axis=1) if score.dtype == object else np.partition(score, -self.k, axis=1))[:, -self.k]
         return self
 
-    def shard(self, ids: np.ndarray, x: np.ndarray) -> None:
+    def shard(self, slots: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        """Looks through a shard of vectors x with the slots of their rows and their vec_ids."""
         high, low = x.max(axis=0), x.min(axis=0)
         spread = np.abs(self.q) * (high - low)
         base = np.minimum(self.q * high, self.q * low).sum(axis=1)
@@ -74,13 +77,13 @@ class Search:
         light = (bound < self.least[:, None]).sum(axis=1)
         columns = np.ascontiguousarray(x.T)
         for i in np.flatnonzero(light < x.shape[1]).tolist():
-            self._query(i, ids, columns, order[i], int(light[i]), np.maximum(self.q[i] * high, self.q[i] * low))
+            self._query(i, slots, ids, columns, order[i], int(light[i]), np.maximum(self.q[i] * high, self.q[i] * low))
 
-    def _query(self, i: int, ids: np.ndarray, columns: np.ndarray, order: np.ndarray, light: int, most: np.ndarray) -> None:
+    def _query(self, i: int, slots: np.ndarray, ids: np.ndarray, columns: np.ndarray, order: np.ndarray, light: int, most: np.ndarray) -> None:
         q, least = self.q[i], self.least[i]
         essential = order[light:]
         score = q[essential] @ columns[essential]
-        alive = np.flatnonzero((score + most[order[:light]].sum() >= least) & (ids != self.ids[i]))
+        alive = np.flatnonzero((score + most[order[:light]].sum() >= least) & (slots != self.slots[i]))
         score = score[alive]
         self.work += len(essential) * len(ids)
         for j in range(light, 0, -PROBE):
@@ -92,55 +95,58 @@ class Search:
             if not len(alive):
                 return
         score, held = np.concatenate([self.score[i], score]), np.concatenate([self.held[i], ids[alive]])
-        top = np.lexsort((held, -score))[: self.k]
+        top = sorted(range(len(held)), key=lambda t: (-score[t], held[t]))[: self.k] if score.dtype == object else np.lexsort((held, -score))[: self.k]
         self.score[i], self.held[i] = score[top], held[top]
         self.least[i] = max(self.least[i], self.score[i, -1])
 
     def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, vector, score) of what is held."""
+        """(query's slot, vector, score) of what is held."""
         i, j = np.nonzero(self.score > self.none)
-        return self.ids[i], self.held[i, j], self.score[i, j].astype(np.int64)
+        return self.slots[i], self.held[i, j], self.score[i, j]
 
 
-def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(dimensions, ids, components) of a batch's vectors, by number of dimensions."""
-    ids, lists = batch["vec_id"].to_numpy(), batch["q"]
+def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(dimensions, slots, ids, components) of a batch's vectors, by number of dimensions."""
+    slots, ids, lists = batch["slot"].to_numpy(), batch["vec_id"].to_numpy(), batch["q"]
     dims = lists.value_lengths().to_numpy()
     values, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(dims)])
     for d in np.unique(dims).tolist():
         mine = np.flatnonzero(dims == d)
-        yield d, ids[mine], values[ends[mine][:, None] + np.arange(d)]
+        yield d, slots[mine], ids[mine], values[ends[mine][:, None] + np.arange(d)]
 
 
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, shard_rows: int = SHARD_ROWS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: the k vectors with the largest integer inner product with each query.
 
-    Queries are the rows whose vec_id is divisible by every, candidates all rows with another
-    vec_id and the same number of dimensions; ties go to the smaller vec_id; with fewer than
-    k candidates all are returned. Rows that repeat a vec_id are candidates one by one, and
-    as queries they share one ranking. Rows that quantised() leaves out, and an empty
-    table, return nothing.
+    Queries are the rows whose vec_id is divisible by every, candidates all other rows with
+    the same number of dimensions; ties go to the smaller vec_id; with fewer than k candidates
+    all are returned. Rows that repeat a vec_id are queries and candidates one by one: each
+    has its own ranking, in which the other is a candidate. Very large components are
+    multiplied as Python's integers; a score beyond a long is ranked as it is and returned as
+    null. Rows that quantised() leaves out, and an empty table, return nothing.
     """
     rows = cut(quantised(vectors, scale).withColumn("slot", F.monotonically_increasing_id()))
     asked = rows.where(F.col("vec_id") % every == 0)
     n, wide = asked.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(1))).first()
     large = rows.agg(F.coalesce(F.max(F.aggregate("q", F.lit(0.0), lambda m, v: F.greatest(m, F.abs(v.cast("double"))))), F.lit(0.0))).first()[0]
-    kind = np.float64 if large * large * wide < _EXACT else np.int64  # doubles are exact up to 2^53
+    most = large * large * wide
+    kind = np.float64 if most < _DOUBLE else np.int64 if most < _LONG else object  # doubles are exact up to 2^53
     slices = max(1, -(-n * wide * 8 // slice_bytes))
     parts = [_slice(rows, asked.where(F.pmod(F.xxhash64("slot"), F.lit(slices)) == s), k, shard_rows, kind) for s in range(slices)]
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    order = W.partitionBy("slot").orderBy(F.desc("score"), "vec_id")
+    found = found.join(sized(asked.select("slot", F.col("vec_id").alias("query_id"))), "slot")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.expr("try_cast(score AS long)").alias("score"))
 
 
 def _slice(rows: DataFrame, asked: DataFrame, k: int, shard_rows: int, kind: type) -> DataFrame:
     queries: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for batch in asked.select("vec_id", "q").toArrow().to_batches():
-        for d, ids, q in _matrices(batch):
-            before = queries.get(d, (ids[:0], q[:0].astype(kind)))
-            queries[d] = np.concatenate([before[0], ids]), np.concatenate([before[1], q.astype(kind)])
+    for batch in asked.select("slot", "vec_id", "q").toArrow().to_batches():
+        for d, slots, _, q in _matrices(batch):
+            before = queries.get(d, (slots[:0], q[:0].astype(kind)))
+            queries[d] = np.concatenate([before[0], slots]), np.concatenate([before[1], q.astype(kind)])
     sent = rows.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,20 +157,22 @@ def _slice(rows: DataFrame, asked: DataFrame, k: int, shard_rows: int, kind: typ
             if d not in searches:
                 searches[d] = Search(*sent.value[d], k).seed()
             parts = waiting.pop(d)
-            searches[d].shard(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+            searches[d].shard(*(np.concatenate([p[k] for p in parts]) for k in range(3)))
 
         for batch in batches:
-            for d, ids, x in _matrices(batch):
+            for d, slots, ids, x in _matrices(batch):
                 if d in sent.value:
-                    waiting.setdefault(d, []).append((ids, x.astype(kind)))
+                    waiting.setdefault(d, []).append((slots, ids, x.astype(kind)))
                     if sum(len(p[0]) for p in waiting[d]) >= shard_rows:
                         search(d)
         for d in list(waiting):
             search(d)
         for s in searches.values():
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in s.best()], ["query_id", "vec_id", "score"])
+            slots, ids, score = s.best()
+            score = pa.array([Decimal(max(-_WIDEST, min(_WIDEST, v))) for v in score.tolist()], pa.decimal128(38)) if kind is object else pa.array(score.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(ids), score], ["slot", "vec_id", "score"])
 
-    found = cut(rows.select("vec_id", "q").mapInArrow(run, "query_id long, vec_id long, score long"))
+    found = cut(rows.select("slot", "vec_id", "q").mapInArrow(run, f"slot long, vec_id long, score {'decimal(38,0)' if kind is object else 'long'}"))
     sent.unpersist()
     return found
 
@@ -174,10 +182,10 @@ def op9_topk(spark, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
-      FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+s AS (SELECT a.r, a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 50 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
