@@ -69,36 +69,21 @@ def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "reje
     return rows.withColumns(done).drop("_c", "_r", "_cr", "_rr")
 
 
-def replies_swapped(turns: DataFrame) -> DataFrame:
-    """Preference pairs from plain conversations: each conversation is chosen; rejected is the
-    same with its last assistant reply replaced by that of the neighbour conv_id xor 1.
-
-    Conversations without an assistant turn, or whose neighbour is missing or has none,
-    make no pair.
-    """
-    held = conversations(turns).where(F.col("conv_id").isNotNull())
-    last = F.array_max(F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: F.element_at("turns", i)["role"] == TRAINED))
-    held = held.withColumn("last", last).where(F.col("last").isNotNull())
-    reply = held.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.element_at("turns", F.col("last"))["text"].alias("reply"))
-    swapped = F.transform("turns", lambda t, i: F.struct(t["role"].alias("role"), F.when(i + 1 == F.col("last"), F.col("reply")).otherwise(t["text"]).alias("text")))
-    return held.join(reply, "conv_id").select("conv_id", F.col("turns").alias("chosen"), swapped.alias("rejected"))
-
-
 def replies_borrowed(turns: DataFrame) -> DataFrame:
-    """Preference pairs of all conversations: each is chosen; rejected is the same with its last
+    """Preference pairs of all plain conversations: each is chosen; rejected is the same with its last
     assistant reply replaced by that of the neighbour conv_id xor 1 or, where that is missing or
     has none, of the next conversation with a reply (of the last: the one before) in the order
-    of a hash within buckets of about RING conversations.
+    of a digest within buckets of about RING conversations.
 
     Without a reply of one's own or any donor, rejected ends before the last reply: its
     completion is empty.
     """
     held = conversations(turns)
     held = held.withColumn("last", F.array_max(F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: F.element_at("turns", i)["role"] == TRAINED)))
-    held = held.withColumns({"own": F.element_at("turns", F.col("last"))["text"], "h": F.xxhash64("conv_id")})
+    held = held.withColumns({"own": F.element_at("turns", F.col("last"))["text"], "h": F.md5(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).cast("binary"))})
     near = held.where("conv_id IS NOT NULL AND last IS NOT NULL").select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("own").alias("near"))
     buckets = max(1, turns.select("conv_id").distinct().count() // RING)
-    ring = W.partitionBy(F.pmod("h", F.lit(buckets)), F.col("last").isNotNull()).orderBy("h", "conv_id")
+    ring = W.partitionBy(F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(buckets)), F.col("last").isNotNull()).orderBy("h", "conv_id")
     held = held.withColumn("far", F.coalesce(F.lead("own").over(ring), F.lag("own").over(ring))).join(near, "conv_id", "left")
     reply = F.coalesce("near", "far")
     swapped = F.transform("turns", lambda t, i: F.struct(t["role"].alias("role"), F.when(i + 1 == F.col("last"), reply).otherwise(t["text"]).alias("text")))
@@ -106,39 +91,32 @@ def replies_borrowed(turns: DataFrame) -> DataFrame:
     return held.select("conv_id", F.col("turns").alias("chosen"), ended.alias("rejected"))
 
 
-def _op1(spark, sf_dir: str, pairs) -> DataFrame:
-    done = format_pairs(pairs(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
-    written = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
-    return done.select("conv_id", "n_prompt_turns", "prompt", "chosen", written("chosen_spans").alias("chosen_mask"), "rejected", written("rejected_spans").alias("rejected_mask"))
-
-
 def op1_preference_format(spark, sf_dir: str) -> DataFrame:
-    """The pairs that OP1_SQL makes: conversations whose neighbour has a reply."""
-    return _op1(spark, sf_dir, replies_swapped)
-
-
-def op1_preference_format_all(spark, sf_dir: str) -> DataFrame:
     """One row for every conversation."""
-    return _op1(spark, sf_dir, replies_borrowed)
+    done = format_pairs(replies_borrowed(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+    written = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
+    return done.select("conv_id", "n_prompt_turns", "prompt", "chosen", written("chosen_spans").alias("chosen_mask"), "rejected", written("rejected_spans").alias("rejected_mask"))
 
 
-OP1_SQL = """
-WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+OP1_SQL = f"""
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
 o AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM t),
-last AS (SELECT conv_id, max(i) AS i FROM o WHERE role = 'assistant' GROUP BY conv_id),
-swap AS (SELECT l.conv_id, l.i, o.text FROM last l JOIN last n ON n.conv_id = xor(l.conv_id, 1) JOIN o ON o.conv_id = n.conv_id AND o.i = n.i),
-both_ AS (SELECT o.conv_id, o.i, o.role, o.text AS c, CASE WHEN o.i = s.i THEN s.text ELSE o.text END AS r FROM o JOIN swap s ON s.conv_id = o.conv_id),
-pre AS (SELECT conv_id, coalesce(min(i) FILTER (WHERE c <> r) - 1, count(*)) AS n FROM both_ GROUP BY conv_id),
+last AS (SELECT conv_id, max(i) FILTER (WHERE role = 'assistant') AS i, md5(coalesce(CAST(conv_id AS VARCHAR), '')) AS h FROM o GROUP BY conv_id),
+own AS (SELECT l.*, o.text AS own, CAST('0x' || l.h[1:8] AS BIGINT) % greatest(1, (SELECT count(*) FROM last) // {RING}) AS bucket FROM last l LEFT JOIN o ON o.conv_id IS NOT DISTINCT FROM l.conv_id AND o.i = l.i),
+far AS (SELECT *, coalesce(lead(own) OVER w, lag(own) OVER w) AS far FROM own WINDOW w AS (PARTITION BY bucket, i IS NOT NULL ORDER BY h, conv_id)),
+swap AS (SELECT f.conv_id, f.i, coalesce(n.own, f.far) AS reply FROM far f LEFT JOIN own n ON n.conv_id = xor(f.conv_id, 1) AND n.i IS NOT NULL),
+both_ AS (SELECT o.conv_id, o.i, o.role, o.text AS c, CASE WHEN s.i IS NULL OR o.i < s.i THEN o.text WHEN reply IS NULL THEN NULL WHEN o.i = s.i THEN reply ELSE o.text END AS r FROM o JOIN swap s ON s.conv_id IS NOT DISTINCT FROM o.conv_id),
+pre AS (SELECT conv_id, coalesce(min(i) FILTER (WHERE r IS NULL OR c <> r) - 1, count(*)) AS n FROM both_ GROUP BY conv_id),
 pieces AS (SELECT b.conv_id, b.i, b.role, p.n, length(b.role) + 5 AS head, length(c) + 7 AS nc, length(r) + 7 AS nr,
                   '<|' || role || '|>' || chr(10) || c || '<|end|>' || chr(10) AS pc, '<|' || role || '|>' || chr(10) || r || '<|end|>' || chr(10) AS pr
-           FROM both_ b JOIN pre p USING (conv_id)),
+           FROM both_ b JOIN pre p ON p.conv_id IS NOT DISTINCT FROM b.conv_id),
 placed AS (SELECT *, coalesce(sum(head + nc + 1) FILTER (WHERE i > n) OVER w, 0) AS ac, coalesce(sum(head + nr + 1) FILTER (WHERE i > n) OVER w, 0) AS ar
        FROM pieces WINDOW w AS (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT conv_id, CAST(max(n) AS INTEGER) AS n_prompt_turns,
        coalesce(string_agg(pc, '' ORDER BY i) FILTER (WHERE i <= n), '') AS prompt,
        coalesce(string_agg(pc, '' ORDER BY i) FILTER (WHERE i > n), '') AS chosen,
        coalesce(string_agg((ac + head) || '-' || (ac + head + nc), ',' ORDER BY i) FILTER (WHERE i > n AND role = 'assistant'), '') AS chosen_mask,
-       coalesce(string_agg(pr, '' ORDER BY i) FILTER (WHERE i > n), '') AS rejected,
-       coalesce(string_agg((ar + head) || '-' || (ar + head + nr), ',' ORDER BY i) FILTER (WHERE i > n AND role = 'assistant'), '') AS rejected_mask
+       coalesce(string_agg(pr, '' ORDER BY i) FILTER (WHERE i > n AND pr IS NOT NULL), '') AS rejected,
+       coalesce(string_agg((ar + head) || '-' || (ar + head + nr), ',' ORDER BY i) FILTER (WHERE i > n AND role = 'assistant' AND nr IS NOT NULL), '') AS rejected_mask
 FROM placed GROUP BY conv_id
 """

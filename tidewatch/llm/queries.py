@@ -9,7 +9,6 @@ from tidewatch.llm import chat_format, decontaminate, exact_dedup, line_dedup, n
 def queries() -> dict:
     return {
         "op1_preference_format": chat_format.op1_preference_format,
-        "op1_preference_format_all": chat_format.op1_preference_format_all,
         "op2_decontamination": decontaminate.op2_decontamination,
         "op3_quality": quality.op3_quality,
         "op4_url_filter": url_filter.op4_url_filter,
