@@ -32,6 +32,7 @@ MAX_TRAIN = 3_000
 EPOCHS = 6
 THRESHOLD = 0.7
 CHUNK = 1 << 19
+SLICE = 4_096  # windows that are scored at once
 _GRAMS = (3, 4, 5)
 _MARK = np.uint64(0x9E3779B97F4A7C15)
 
@@ -169,13 +170,24 @@ class Network:
         return g, dx[:-1]
 
     def logits(self, batch: Batch) -> np.ndarray:
-        x, out = self.inputs(batch.word, batch.gram, batch.starts), np.empty(len(batch.windows), np.float32)
-        whole = batch.windows[:, -1] >= 0
+        """Of all windows, SLICE at a time; where there are more, each slice takes the vectors of its own words alone."""
+        out, whole, several = np.empty(len(batch.windows), np.float32), batch.windows[:, -1] >= 0, len(batch.windows) > SLICE
+        x = None if several else self.inputs(batch.word, batch.gram, batch.starts)
         for rows in (np.flatnonzero(whole), np.flatnonzero(~whole)):
-            if len(rows):
-                out[rows] = self.run(x, batch.windows[rows])
+            for k in range(0, len(rows), SLICE):
+                part = batch.windows[rows[k : k + SLICE]]
+                out[rows[k : k + SLICE]] = self.run(*self.own_words(batch, part)) if several else self.run(x, part)
         return out
 
+    def own_words(self, batch: Batch, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The vectors of the words in windows, and the windows by these words' numbers."""
+        used, inverse = np.unique(np.append(-1, windows.ravel()), return_inverse=True)
+        used, renamed = used[1:], (inverse[1:] - 1).reshape(windows.shape).astype(np.int32)
+        many = np.diff(batch.starts)[used]
+        begin = np.concatenate([[0], np.cumsum(many)])
+        grams = batch.gram[np.repeat(batch.starts[used] - begin[:-1], many) + np.arange(begin[-1])]
+        return self.inputs(batch.word[used], grams, begin), renamed
+
     def score(self, batch: Batch) -> np.ndarray:
         if len(batch.first) < 2:
             return np.zeros(0)
