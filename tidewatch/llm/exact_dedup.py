@@ -32,13 +32,20 @@ def repeated_keys(rows: DataFrame, key: Column, bits: int = BITS) -> DataFrame:
     return cut(slots.groupBy(F.bitmap_bucket_number("slot").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("marks")))
 
 
-def marked(rows: DataFrame, key: Column, marks: DataFrame, bits: int = BITS) -> DataFrame:
+def bit_table(rows: DataFrame, key: Column, bits: int = BITS) -> DataFrame:
+    """(block, marks): a bitmap of the slots that any row's key falls into."""
+    slots = rows.select(_slot(key, bits).alias("slot"))
+    return cut(slots.groupBy(F.bitmap_bucket_number("slot").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("marks")))
+
+
+def marked(rows: DataFrame, key: Column, marks: DataFrame, bits: int = BITS, live: str = "live") -> DataFrame:
     """The rows whose key's slot is marked have a column live of true, the others of false."""
-    placed = rows.withColumn("_slot", _slot(key, bits)).withColumn("block", F.bitmap_bucket_number("_slot")).withColumn("_bit", F.bitmap_bit_position("_slot"))
-    one = F.expr("cast(conv(hex(substring(marks, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int)")
+    placed = rows.withColumn("_slot", _slot(key, bits)).withColumn("_block", F.bitmap_bucket_number("_slot")).withColumn("_bit", F.bitmap_bit_position("_slot"))
+    one = F.expr("cast(conv(hex(substring(_marks, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int)")
     set_ = F.expr("cast(_bit % 8 as int)")
-    out = placed.join(F.broadcast(marks), "block", "left").withColumn("live", F.coalesce(F.getbit(one, set_) == 1, F.lit(False)))
-    return out.drop("block", "marks", "_slot", "_bit")
+    held = F.broadcast(marks.select(F.col("block").alias("_block"), F.col("marks").alias("_marks")))
+    out = placed.join(held, "_block", "left").withColumn(live, F.coalesce(F.getbit(one, set_) == 1, F.lit(False)))
+    return out.drop("_block", "_marks", "_slot", "_bit")
 
 
 def exact_duplicates(docs: DataFrame, carry: Sequence[str] = (), digests: bool = False, prefix: int = PREFIX, bits: int = BITS) -> DataFrame:

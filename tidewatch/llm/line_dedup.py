@@ -4,8 +4,9 @@ The keys of long lines are counted over all documents. Keys found in enough docu
 go, shard by shard, into a minimal perfect hash whose slots index compact arrays of
 fingerprints, counts and last holders. Documents then probe those arrays; lines are
 never joined. Where all arrays together stay under ``BROADCAST_BYTES`` they are sent to
-the executors; above that, probes (never texts) travel to the shard that holds their
-array and only the hits come back.
+the executors; above that, probes travel to the shard that holds their array, and the hits
+meet the texts by doc_id. Of the texts only those travel that lose a line: a bit table of fixed
+size tells the others.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from tidewatch.llm.exact_dedup import bit_table, marked
 from tidewatch.llm.tables import cut, hot, table
 from tidewatch.llm.text import digest, line_keys, mix
 
@@ -205,7 +207,8 @@ def _by_routing(docs: DataFrame, packed: DataFrame, shards: int, min_chars: int,
     probes = probes.join(parts, "shard", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), "_parts"), F.lit(0)).cast("int")).drop("_parts")
     held = packed.join(parts, "shard", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     gone = probes.groupBy("shard", "salt").cogroup(held.groupBy("shard", "salt")).applyInPandas(answer, "doc_id long, h long, print long")
-    lost = gone.groupBy("doc_id").agg(F.collect_list(F.struct("h", "print")).alias("_lost"))
+    lost = cut(gone.groupBy("doc_id").agg(F.collect_set(F.struct("h", "print")).alias("_lost")))
+    marks = bit_table(lost, F.col("doc_id"))  # documents that lose nothing are told by it and stay where they lie
     schema = docs.schema
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +219,10 @@ def _by_routing(docs: DataFrame, packed: DataFrame, shards: int, min_chars: int,
                 out.append(_rewrite(text, doc_id, last, min_chars))
             yield _with(batch.drop_columns(["_lost"]), out)
 
-    return docs.join(lost, "doc_id", "left").select(*docs.columns, "_lost").mapInArrow(rewrite, _out(schema))
+    told = marked(docs, F.col("doc_id"), marks, live="_live")
+    losing = told.where(F.col("_live") & F.col("doc_id").isNotNull()).join(lost, "doc_id", "left").select(*docs.columns, "_lost")
+    whole = told.where(~F.col("_live") | F.col("doc_id").isNull()).select(*docs.columns, F.lit(None).cast(lost.schema["_lost"].dataType).alias("_lost"))
+    return losing.unionByName(whole).mapInArrow(rewrite, _out(schema))
 
 
 def _out(schema: StructType) -> StructType:
