@@ -45,8 +45,8 @@ def test_conversations_order_and_repeats(spark):
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     (one,) = chat_format.conversations(turns).collect()
     assert [(t["role"], t["text"]) for t in one["turns"]] == [("system", "s"), ("user", ""), ("assistant", "b")]
-    assert chat_format.format_pairs(chat_format.replies_swapped(turns)).count() == 0
-    assert chat_format.format_pairs(chat_format.replies_swapped(turns.limit(0))).count() == 0
+    assert chat_format.format_pairs(chat_format.replies_borrowed(turns)).count() == 1
+    assert chat_format.format_pairs(chat_format.replies_borrowed(turns.limit(0))).count() == 0
 
 
 def test_every_conversation_makes_a_pair(spark):
@@ -150,7 +150,7 @@ def test_quality_without_labels(spark):
 # 4 -------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("limits", [{}, {"map_rules": 0}, {"map_rules": 0, "broadcast_rules": 0}])
+@pytest.mark.parametrize("limits", [{}, {"shapes": 0}, {"shapes": 0, "broadcast_rules": 0}])
 def test_url_rules_equal_brute_force(spark, limits):
     rng = random.Random(2)
     hosts = ["example.org", "a.b.example.ORG", "org", "x.com", "badexample.org", "de.com", "com", "", "a..org", "org.", ".".join("abcdefghij")]
@@ -457,8 +457,23 @@ def _inner(x, y):
 
 def test_top_k_keeps_rows_that_repeat_a_vec_id(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.5, 0.0]), (3, [0.1, 5e9])]
+    frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ranked = lambda rows: sorted(str((r["query_id"], r["rank"], r["vec_id"], r["score"])) for r in topk.top_k(frame(rows)).collect())
+    assert ranked(rows) == sorted(map(str, [(0, 1, 1, 65536), (0, 2, 1, 32768), (0, 3, 3, 6400)]))
+    rows = [(50, [1.0]), (50, [1.0])] + [(k, [k / 100]) for k in range(1, 12)]
+    best = [(50, 1, 50, 65536)] + [(50, r, v, 256 * (256 * v // 100)) for r, v in zip((2, 3, 4, 5), (11, 10, 9, 8), strict=True)]
+    assert ranked(rows) == sorted(map(str, best * 2))  # each of two equal query rows has the other and four more
+
+
+def test_top_k_of_very_large_components(spark):
+    rows = [(0, [3e9, 1.0]), (1, [4e9, 0.0]), (2, [-4e9, 2.0]), (3, [0.0, 1.0]), (4, [1e6, 0.0]), (100, [0.0, 0.5])]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
-    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == [(0, 1, 1, 65536), (0, 2, 1, 32768), (0, 3, 3, 6400)]
+    q = {k: [floor(256 * x) for x in v] for k, v in rows}
+    want = []
+    for a in (0, 100):
+        best = sorted((-sum(x * y for x, y in zip(q[a], q[b], strict=True)), b) for b in q if b != a)[:5]
+        want += [(a, k + 1, b, -s if abs(s) < 1 << 63 else None) for k, (s, b) in enumerate(best)]
+    assert sorted(((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got), key=str) == sorted(want, key=str) and None in [w[3] for w in want]
 
 
 def test_max_score_passes_over_what_cannot_compete():
@@ -467,7 +482,7 @@ def test_max_score_passes_over_what_cannot_compete():
     for kind in (np.float64, np.int64):
         search = topk.Search(np.arange(20), x[:20].astype(kind), 5).seed()
         for k in range(0, len(x), 500):
-            search.shard(np.arange(k, k + 500), x[k : k + 500].astype(kind))
+            search.shard(np.arange(k, k + 500), np.arange(k, k + 500), x[k : k + 500].astype(kind))
         score = x[:20] @ x.T
         score[np.arange(20), np.arange(20)] = -(10**9)
         want = [sorted(zip(-row, range(4000), strict=True))[:5] for row in score]
@@ -482,15 +497,16 @@ def test_top_k_equals_brute_force(spark):
     vectors = spark.createDataFrame(rows + bad + rows[:3], "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
     every = rows + rows[:3]
     want = {}
-    for a in {a for a, _ in every if a % 50 == 0}:
-        pairs = sorted((-_inner(x, y), b) for i, x in every if i == a for b, y in every if b != a)[:5]
-        want[a] = [(k + 1, b, -s) for k, (s, b) in enumerate(pairs)]
+    for i, (a, x) in enumerate(every):
+        if a % 50 == 0:
+            pairs = sorted((-_inner(x, y), b) for j, (b, y) in enumerate(every) if j != i)[:5]
+            want[a] = sorted([*want.get(a, []), *((k + 1, b, -s) for k, (s, b) in enumerate(pairs))])
     for limits in ({}, {"shard_rows": 7, "slice_bytes": 300}):
         got = {}
         for r in topk.top_k(vectors, **limits).collect():
             got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
         assert {k: sorted(v) for k, v in got.items()} == want
-    assert topk.top_k(vectors.limit(0)).count() == 0 and topk.top_k(vectors.where("vec_id = 0")).count() == 0
+    assert topk.top_k(vectors.limit(0)).count() == 0 and topk.top_k(vectors.where("vec_id = 100")).count() == 0
 
 
 # samples -------------------------------------------------------------------------------
