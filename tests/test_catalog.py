@@ -40,19 +40,24 @@ def test_fitted_models_agree_with_their_definition(spark):
     """Model queries against a direct computation on the driver: every voyage scored, the 99th percentile, what lies beyond."""
     import numpy as np
 
-    from tidewatch.operators import anomaly, tracks
+    from tidewatch.operators import anomaly, tracks, training
     from tidewatch.sources import lens
 
-    shapes = tracks.shapes(lens.positions(spark, SF)).toPandas().sort_values(["mmsi", "voyage"])
+    made = tracks.shapes(lens.positions(spark, SF))
+    shapes = made.toPandas().sort_values(["mmsi", "voyage"])
     x = np.array([[list(step) for step in v] for v in shapes["sequence"]], float)
-    model = anomaly.SequenceModel().fit(x)
+    shards = {s: training.shard_of(own) for s, own in training.sharded(made).toPandas().groupby("shard")}
+    model = training.descend(lambda f, *given: training.together({s: f(own, *given) for s, own in shards.items()}))
     errors = model.errors(x).round(12)
     want = {f"{m}" for m, e in zip(shapes["mmsi"] + "-" + (shapes["start_us"] // 1_000_000).astype(str), errors, strict=True) if e > np.percentile(errors, 99)}
     got = catalog.queries()["anomaly_incidents"](spark, SF).toPandas()
     assert {i.removeprefix("anomaly-") for i in got["incident_id"]} == want
     f = np.array([list(v) for v in shapes["features"]], float)
     both = catalog.queries()["anomaly_baselines"](spark, SF).toPandas().sort_values(["mmsi", "voyage"])
-    assert np.allclose(both["pca_error"], anomaly.Components(f).errors(f), atol=1e-9) and np.allclose(both["forest_error"], anomaly.Forest(f).errors(f), atol=1e-9)
+    mean, scale = f.mean(axis=0), f.std(axis=0) + 1e-6
+    axes = np.linalg.svd((f - mean) / scale, full_matrices=False)[2][:8]
+    assert np.allclose(both["pca_error"], anomaly.Components(mean, scale, axes).errors(f), atol=1e-9)
+    assert np.allclose(both["forest_error"], training.forest(made).errors(f), atol=1e-9)
 
 
 def test_shapes_and_lines_agree_with_plain_loops(spark):

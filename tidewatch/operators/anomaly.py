@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.grading import anomaly_score
 from tidewatch.operators.detect import incidents
+from tidewatch.operators.ordered import quantiles
 
 MAX_TRAIN = 2_000
 MIN_VOYAGES = 4  # fewer can't fit a model
@@ -149,35 +150,38 @@ class SequenceModel:
         return cls(int(z["hidden"]), 0, {k[2:]: z[k] for k in z.files if k.startswith("p_")}, z["mean"], z["scale"], float(z["threshold"]), float(z["val_loss"]))
 
 
+@dataclass
 class Components:
     """Reconstruction error from the leading principal components of standardised features."""
 
-    def __init__(self, x: np.ndarray, k: int = 8):
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-        z = (x - self.mean) / self.scale
-        self.axes = np.linalg.svd(z, full_matrices=False)[2][: min(k, x.shape[1], len(x) - 1)]
+    mean: np.ndarray
+    scale: np.ndarray
+    axes: np.ndarray
 
     def errors(self, x: np.ndarray) -> np.ndarray:
         z = (x - self.mean) / self.scale
         return ((z - z @ self.axes.T @ self.axes) ** 2).mean(axis=1)
 
 
+@dataclass
 class Forest:
     """Isolation by random splits; the score is higher where few splits are needed."""
 
-    def __init__(self, x: np.ndarray, trees: int = 300, sample: int = 256, seed: int = 0):
-        rng = np.random.default_rng(seed)
-        self.size = min(sample, len(x))
-        self.trees = [self._grow(x[rng.choice(len(x), self.size, replace=False)], rng, int(np.ceil(np.log2(max(2, self.size))))) for _ in range(trees)]
+    trees: list
+    size: int
 
-    def _grow(self, x: np.ndarray, rng, depth: int):
+    @classmethod
+    def grow(cls, x: np.ndarray, rng, depth: int):
+        """A tree over the rows of x: their number, or (column, threshold, left, right)."""
+        if depth == 0 or len(x) <= 1:
+            return len(x)
         low, high = x.min(axis=0), x.max(axis=0)
         wide = np.flatnonzero(high > low)
-        if depth == 0 or len(x) <= 1 or not len(wide):
+        if not len(wide):
             return len(x)
         c = int(rng.choice(wide))
         at = rng.uniform(low[c], high[c])
-        return c, at, self._grow(x[x[:, c] < at], rng, depth - 1), self._grow(x[x[:, c] >= at], rng, depth - 1)
+        return c, at, cls.grow(x[x[:, c] < at], rng, depth - 1), cls.grow(x[x[:, c] >= at], rng, depth - 1)
 
     @staticmethod
     def _rest(n: int) -> float:
@@ -197,18 +201,13 @@ class Forest:
         return 2 ** (-total / len(self.trees) / max(1e-9, self._rest(self.size)))
 
 
-def training_sample(shapes: DataFrame, column: str, most: int = MAX_TRAIN) -> np.ndarray:
-    """At most about most voyages, drawn by a hash of their key."""
-    n = shapes.count()
-    rows = shapes if n <= most else shapes.where(F.pmod(F.xxhash64("mmsi", "voyage"), F.lit(1 << 30)) < int(most / n * (1 << 30)))
-    return np.array([r[0] for r in rows.orderBy("mmsi", "voyage").select(column).collect()], float)
-
+def fitted(shapes: DataFrame, most: int | None = MAX_TRAIN, epochs: int = 300) -> SequenceModel | None:
+    """A model fitted in the executors on about most voyages, its threshold from the errors of all; none where there are fewer than MIN_VOYAGES."""
+    from tidewatch.operators import training
 
-def fitted(shapes: DataFrame, most: int = MAX_TRAIN, epochs: int = 300) -> SequenceModel | None:
-    """A model fitted on a bounded sample, its threshold from the errors of all voyages; none where there are fewer than MIN_VOYAGES."""
     if shapes.limit(MIN_VOYAGES).count() < MIN_VOYAGES:
         return None
-    return calibrated(shapes, SequenceModel().fit(training_sample(shapes, "sequence", most), epochs))
+    return calibrated(shapes, training.fitted_in_tasks(training.drawn(shapes, most), epochs=epochs))
 
 
 def scored(shapes: DataFrame, model, column: str = "sequence") -> DataFrame:
@@ -225,7 +224,7 @@ def scored(shapes: DataFrame, model, column: str = "sequence") -> DataFrame:
 
 def calibrated(shapes: DataFrame, model: SequenceModel, percentile: float = 99.0) -> SequenceModel:
     """The model with its threshold at that percentile of the errors of all voyages, fitted on or not."""
-    model.threshold = float(scored(shapes, model).agg(F.percentile("error", F.lit(percentile / 100))).first()[0])
+    model.threshold = float(quantiles(scored(shapes, model), "error", {"q": percentile / 100}).first()["q"])
     return model
 
 

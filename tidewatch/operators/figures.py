@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.operators.ordered import quantiles
+
 
 def label_versions(events: DataFrame) -> DataFrame:
     """Per source: how many labels, and when the last one was retrieved."""
@@ -26,8 +28,9 @@ def recent_counts(incidents: DataFrame, now_us: int, hours: int = 24) -> DataFra
 
 def score_levels(incidents: DataFrame, now_us: int, hours: int = 24) -> DataFrame:
     """One row: median and 95th percentile of all scores and of the last hours'; null where there are none."""
-    recent = F.when(F.col("ts_start_us") >= now_us - hours * 3_600_000_000, F.col("score"))
-    return incidents.agg(*[F.round(F.percentile(c, F.lit(q)), 6).alias(f"{n}_{k}") for n, c in (("all", F.col("score")), ("recent", recent)) for k, q in (("p50", 0.5), ("p95", 0.95))])
+    names = F.when(F.col("ts_start_us") >= now_us - hours * 3_600_000_000, F.array(F.lit("all"), F.lit("recent"))).otherwise(F.array(F.lit("all")))
+    found = quantiles(incidents.select(F.explode(names).alias("g"), "score"), "score", {"p50": 0.5, "p95": 0.95}, ["g"])
+    return found.agg(*[F.round(F.max(F.when(F.col("g") == n, F.col(k))), 6).alias(f"{n}_{k}") for n in ("all", "recent") for k in ("p50", "p95")])
 
 
 def verdict_counts(gaps: DataFrame) -> DataFrame:

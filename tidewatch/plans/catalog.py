@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import zones
 from tidewatch.functions.grading import public_id
-from tidewatch.operators import anomaly, detect, downsample, evaluate, fusion, incremental, intervals, matching, publish, tracks, upkeep
+from tidewatch.operators import anomaly, detect, downsample, evaluate, fusion, incremental, intervals, matching, publish, tracks, training, upkeep
 from tidewatch.plans import feed_queries, oracles
 from tidewatch.plans.inputs import NOW, deterministic, events, made_tracks, outages, path_matches, runs, written
 from tidewatch.sources import lens
@@ -84,14 +84,20 @@ def _anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = written(tracks.shapes(lens.positions(spark, sf_dir)))
-    x = anomaly.training_sample(made, "features")
-    if len(x) < anomaly.MIN_VOYAGES:
+    if made.limit(anomaly.MIN_VOYAGES).count() < anomaly.MIN_VOYAGES:
         return made.where(F.lit(False)).select("mmsi", "voyage", "start_us", F.lit(0.0).alias("pca_error"), F.lit(0.0).alias("forest_error"))
-    pca = anomaly.scored(made, anomaly.Components(x), "features").withColumnRenamed("error", "pca_error")
-    forest = anomaly.scored(made, anomaly.Forest(x), "features").withColumnRenamed("error", "forest_error")
+    pca = anomaly.scored(made, training.components(made), "features").withColumnRenamed("error", "pca_error")
+    forest = anomaly.scored(made, training.forest(made), "features").withColumnRenamed("error", "forest_error")
     return pca.join(forest.drop("start_us"), ["mmsi", "voyage"])
 
 
+def _capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voyages that imply impossible speeds are what models of two sizes, each with three seeds, are to find."""
+    p = lens.positions(spark, sf_dir)
+    labels = tracks.summaries(p).select("mmsi", "voyage", (F.col("max_implied_kn") > 60).alias("anomalous"))
+    return training.capacity(written(tracks.shapes(p)), labels, (4, 8), (0, 1, 2), most=600, epochs=60)
+
+
 def _pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, made, model = _judged(spark, sf_dir)
     every = made_tracks(spark, sf_dir)
@@ -160,6 +166,7 @@ def queries() -> dict[str, Query]:
         "partner_degree": lambda s, d: detect.partner_degree(detect.meetings(pos(s, d))),
         "anomaly_incidents": _anomalies,
         "anomaly_baselines": _baselines,
+        "capacity_sweep": _capacity,
         "zone_attribution": lambda s, d: pos(s, d).select("id", zones.zone_of(F.col("lat"), F.col("lon")).alias("zone_id"), zones.in_kind(F.col("lat"), F.col("lon"), "port").alias("in_port")),
         "witness_index": lambda s, d: detect.witness_index(pos(s, d)),
         "footprint_profile": lambda s, d: evaluate.footprint(pos(s, d)),
