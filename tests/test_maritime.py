@@ -337,6 +337,30 @@ def _message(kind, mmsi, second, heading=10.0, sog=5.0, lat=1.2):
     return json.dumps({"MessageType": kind, "MetaData": {"MMSI": mmsi, "ShipName": "", "latitude": lat, "longitude": 103.7, "time_utc": f"2024-01-01 12:00:{second:02d}.000000000 +0000 UTC"}, "Message": body})
 
 
+def test_downsampling_in_parts_equals_one_pass(spark):
+    rng = np.random.default_rng(9)
+    rows, k = [], 0
+    for v in range(4):
+        us = T0
+        for _ in range(400):
+            us += int(rng.choice([0, 5, 20, 44, 45, 90, 4000])) * 1_000_000
+            rows.append((k, f"v{v}", us, None if rng.random() < 0.1 else float(rng.choice([0, 10, 19, 30, 350])), None if rng.random() < 0.1 else float(rng.choice([1.0, 2.5, 3.5])), str(int(rng.random() < 0.05))))
+            k += 1
+    d = spark.createDataFrame(rows, "id long, mmsi string, us long, heading double, sog double, nav_status string")
+    for limits in ({}, {"seconds": 100.0, "turn": 30.0}):
+        want = []
+        for v in range(4):
+            own = pd.DataFrame([r for r in rows if r[1] == f"v{v}"], columns=["id", "mmsi", "us", "heading", "sog", "nav_status"]).sort_values(["us", "id"])
+            want += own["id"][downsample.accepted(own, None, **limits)[0]].tolist()
+        assert sorted(r["id"] for r in downsample.downsampled(d.repartition(5), **limits).collect()) == sorted(want)
+
+
+def test_a_track_that_an_incident_names_stays(spark):
+    made = spark.createDataFrame([("1", "1:a", 0, 10), ("1", "1:b", 20, 30)], "mmsi string, track_id string, start_us long, end_us long")
+    found = spark.createDataFrame([("i", "1", 2, 4, "1:z"), ("j", "1", 21, 22, None), ("k", "1", 5, 6, "")], "incident_id string, mmsi string, ts_start_us long, ts_end_us long, track_id string")
+    assert {r["incident_id"]: (r["track_id"], r["overlap_us"]) for r in matching.incident_tracks(found, made).collect()} == {"i": ("1:z", None), "j": ("1:b", 1), "k": ("1:a", 1)}
+
+
 def test_stream_is_parsed_and_downsampled(spark, tmp_path):
     (tmp_path / "in").mkdir()
     first = [_message("PositionReport", 563000001, s, heading=511.0) for s in (0, 10, 50)] + [_message("ShipStaticData", 563000001, 0), _message("PositionReport", 563000002, 0, lat=99.0), "no json"]
@@ -426,6 +450,21 @@ def test_publishing(spark, tmp_path):
     assert publish.write(rows, str(tmp_path / "x.json"), ("name",)) > 0 and json.loads((tmp_path / "x.json").read_text()) == [{"name": "a", "lat": 1.2346}]
     with pytest.raises(ValueError):
         publish.checked({"api_key": 1})
+    shown = spark.createDataFrame([("x", 0.5, None, 2.0)], "id string, score double, lat double, lon double")
+    feature = spark.createDataFrame([(json.dumps({"type": "Feature", "geometry": {"type": "LineString", "coordinates": [[1.0, 2.0]]}}),)], "feature string")
+    one = lambda **v: spark.createDataFrame([tuple(v.values())], list(v))
+    runs = spark.createDataFrame([(1, 0.5), (9, 0.75)], "created_us long, precision double")
+    made = publish.documents(one(mode="live", last_report_us=1), one(vessels=1, tracks=2, incidents=3, incidents_by_detector={"gap": 3}), feature, shown, runs, {"sha256": "ab", "threshold": 0.1, "parameters": 804}, 7)
+    sizes = publish.snapshot(spark, made, str(tmp_path / "public"))
+    read = {n: json.loads((tmp_path / "public" / f"{n}.json").read_text()) for n in sizes}
+    assert sorted(read) == ["evaluations", "incidents", "model", "stats", "status", "tracks"] and all(len((tmp_path / "public" / f"{n}.json").read_bytes()) == v for n, v in sizes.items())
+    assert read["evaluations"]["evaluation"]["precision"] == 0.75 and read["stats"]["incidents_by_detector"] == {"gap": 3} and read["incidents"]["incidents"][0]["lat"] is None
+    assert publish.snapshot(spark, made, str(tmp_path / "public")) == sizes  # over what stands there
+    assert publish.documents(one(mode="live"), one(vessels=1), feature, shown, runs.limit(0), {}, 7)["evaluations"]["evaluation"] == {"status": "collecting"}
+    for worse in (made | {"model": {"sha256": "ab"}}, made | {"stats": made["stats"] | {"incidents_by_detector": {"s3://bucket": 1}}}):
+        with pytest.raises(ValueError):
+            publish.snapshot(spark, worse, str(tmp_path / "other"))
+    assert not (tmp_path / "other").exists()  # nothing is written unless all is right
     with pytest.raises(ValueError):
         publish.write(rows, str(tmp_path / "y.json"), ("other",))
     p = _reports(spark, [("1", k, 1 + k / 1000, 103, 9) for k in range(40)])

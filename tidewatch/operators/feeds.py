@@ -9,7 +9,7 @@ from tidewatch.functions import zones
 from tidewatch.functions.grading import credibility, outage_category, public_id
 
 #: Evidence that may be published; everything else stays inside.
-PUBLIC_EVIDENCE = ("duration_minutes", "gap_minutes", "displacement_km", "implied_speed_kn")
+PUBLIC_EVIDENCE = ("duration_minutes", "gap_minutes", "displacement_km", "distance_km", "implied_speed_kn", "partner_count", "point_count")
 TITLES = {"gap": "Dark vessel", "spoof": "Implausible track", "loiter": "Loitering vessel", "rendezvous": "Possible transfer at sea", "anomaly": "Unusual voyage"}
 
 
@@ -108,6 +108,28 @@ def status(runs: DataFrame, outages: DataFrame, spans: DataFrame, now_us: int) -
     )
 
 
+def stats(positions: DataFrame, tracks: DataFrame, incidents: DataFrame, runs: DataFrame, outages: DataFrame, spans: DataFrame, vessel_hours: DataFrame, events: DataFrame, reviews: DataFrame, incident_tracks: DataFrame, now_us: int) -> DataFrame:
+    """One row: sizes of the tables, observed time and alert rate, outages, labels by source, and how many tracks and alerts are reviewed.
+
+    A reviewed alert is a track with a finished primary review that some incident belongs to.
+    """
+    hour, now = F.lit(3.6e9), F.lit(now_us)
+    count = lambda rows, name: rows.agg(F.count("*").alias(name))
+    tally = lambda rows, key, name: rows.groupBy(key).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, "n")))).alias(name))  # noqa: E731  as many as there are detectors or sources
+    done = reviews.where((F.col("reviewer_id") == "primary") & F.col("reviewed_us").isNotNull())
+    length = F.greatest(F.lit(0), F.coalesce("closed_us", now) - F.col("opened_us"))
+    one = positions.agg(F.count("*").alias("accepted_reports"), F.count_distinct("mmsi").alias("vessels"))
+    for part in (
+        count(tracks, "tracks"), count(incidents, "incidents"), tally(incidents, "detector", "incidents_by_detector"), runs.agg(F.greatest(F.lit(0), F.count("*") - 1).alias("reconnects")),
+        outages.agg(F.count("*").alias("outages"), F.round(F.coalesce(F.sum(length), F.lit(0)) / hour, 4).alias("outage_hours")), spans.agg(F.round(F.coalesce(F.sum(F.col("end_us") - F.col("start_us")), F.lit(0)) / hour, 4).alias("observed_hours")),
+        vessel_hours.agg(F.round(F.coalesce(F.sum("observed_hours"), F.lit(0.0)), 4).alias("observed_vessel_hours")), tally(events, "source", "labels_by_source"), count(done, "reviewed"),
+        count(done.select("track_id").distinct().join(incident_tracks.select("track_id"), "track_id", "left_semi"), "reviewed_alerts"),
+    ):
+        one = one.crossJoin(part)  # single rows
+    rate = F.when(F.col("observed_vessel_hours") > 0, F.round(F.col("incidents") * 100 / F.col("observed_vessel_hours"), 4))
+    return one.withColumn("alerts_per_100_vessel_hours", rate)
+
+
 def incident_states(incidents: DataFrame, incident_tracks: DataFrame, matches: DataFrame, events: DataFrame, reviews: DataFrame, now_us: int, delay_minutes: int = 15, limit: int = 200) -> DataFrame:
     """The latest incidents, under public ids, with what is known of each: reviewed, unresolved, corroborated or candidate.
 
@@ -121,7 +143,8 @@ def incident_states(incidents: DataFrame, incident_tracks: DataFrame, matches: D
     rows = latest.join(borne, "track_id", "left").join(label, "track_id", "left")
     borne_out = F.coalesce((F.col("official") == 1) | F.array_contains("types", F.col("detector")), F.lit(False))
     state = F.when(F.col("label") == "uncertain", "unresolved").when(F.col("label").isNotNull(), "reviewed").when(borne_out, "corroborated").otherwise("candidate")
-    shown = [F.col(f"evidence.{c}").alias(c) for c in PUBLIC_EVIDENCE]
+    held = set(incidents.schema["evidence"].dataType.names)
+    shown = [(F.col(f"evidence.{c}") if c in held else F.lit(None)).cast("double").alias(c) for c in PUBLIC_EVIDENCE]
     return rows.select(public_id(F.col("incident_id")).alias("public_incident_id"), "detector", F.col("incident_type").alias("type"), F.round("score", 4).alias("score"), F.col("reliability").alias("reliability_grade"), "ts_start_us", state.alias("status"), *shown)
 
 

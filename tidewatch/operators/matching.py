@@ -26,12 +26,21 @@ def _around(rows: DataFrame, lat: str, km: float) -> DataFrame:
 
 
 def incident_tracks(incidents: DataFrame, tracks: DataFrame) -> DataFrame:
-    """(incident_id, track_id, overlap_us): the track of the vessel that overlaps an incident longest; ties to the larger id."""
+    """(incident_id, track_id, overlap_us): the track of the vessel that overlaps an incident longest; ties to the larger id.
+
+    An incident that has a track_id of its own keeps it, whether or not there is such a track; its overlap is null then.
+    """
     t = tracks.select("mmsi", "track_id", "start_us", "end_us")
+    known = None
+    if "track_id" in incidents.columns:
+        has = F.coalesce(F.col("track_id") != "", F.lit(False))
+        known = incidents.where(has).select("incident_id", "track_id", F.lit(None).cast("long").alias("overlap_us"))
+        incidents = incidents.where(~has)
     rows = incidents.select("incident_id", "mmsi", "ts_start_us", "ts_end_us").join(t, "mmsi").where("start_us <= ts_end_us AND end_us >= ts_start_us")
     overlap = F.least("end_us", "ts_end_us") - F.greatest("start_us", "ts_start_us")
     best = rows.withColumn("overlap_us", overlap).groupBy("incident_id").agg(F.max(F.struct("overlap_us", "track_id")).alias("m"))
-    return best.select("incident_id", "m.track_id", "m.overlap_us")
+    found = best.select("incident_id", "m.track_id", "m.overlap_us")
+    return found if known is None else known.unionByName(found)
 
 
 def event_matches(events: DataFrame, tracks: DataFrame, hours: int = 24, km: float = 25, ratio: float = 2.0) -> DataFrame:

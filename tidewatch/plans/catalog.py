@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import zones
 from tidewatch.functions.grading import public_id
 from tidewatch.operators import anomaly, detect, downsample, evaluate, fusion, incremental, intervals, matching, publish, tracks, training, upkeep
-from tidewatch.plans import feed_queries, oracles
+from tidewatch.plans import feed_queries, ledgers, oracles
 from tidewatch.plans.inputs import NOW, deterministic, events, made_tracks, outages, path_matches, runs, written
 from tidewatch.sources import lens
 
@@ -145,7 +145,7 @@ def _readers(found: Found) -> dict[str, Query]:
 
 
 def queries() -> dict[str, Query]:
-    """Every query. Those that read findings exist twice: over the two detectors that their SQL
+    """Every query. Those that read findings exist twice: over the four detectors that their SQL
     can follow, and, named NAME_all, over all five.
     """
     pos = lens.positions
@@ -170,7 +170,6 @@ def queries() -> dict[str, Query]:
         "zone_attribution": lambda s, d: pos(s, d).select("id", zones.zone_of(F.col("lat"), F.col("lon")).alias("zone_id"), zones.in_kind(F.col("lat"), F.col("lon"), "port").alias("in_port")),
         "witness_index": lambda s, d: detect.witness_index(pos(s, d)),
         "footprint_profile": lambda s, d: evaluate.footprint(pos(s, d)),
-        "observed_intervals": lambda s, d: intervals.observed(runs(s), outages(s), NOW),
         "observed_vessel_hours": lambda s, d: intervals.overlap_hours(made_tracks(s, d), intervals.observed(runs(s), outages(s), NOW)),
         "event_track_match": lambda s, d: matching.event_matches(events(s), made_tracks(s, d)),
         "position_dedup": _dedup,
@@ -185,8 +184,8 @@ def queries() -> dict[str, Query]:
         "cohort_select": lambda s, d: evaluate.cohort(pos(s, d), events(s).where("mmsi IS NOT NULL").select("mmsi"), 20, 6),
         "review_pools": _pools,
         "review_queue": lambda s, d: evaluate.review_queue(written(_pools(s, d))),
-    } | feed_queries.queries() | _readers(deterministic) | {f"{name}_all": query for name, query in _readers(_findings).items()}
+    } | feed_queries.queries() | {name: query for name, (query, _) in ledgers.TABLE.items()} | _readers(deterministic) | {f"{name}_all": query for name, query in _readers(_findings).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.ORACLES | feed_queries.oracle_sql()
+    return oracles.ORACLES | feed_queries.oracle_sql() | {name: sql for name, (_, sql) in ledgers.TABLE.items()}

@@ -48,12 +48,6 @@ def _strata(s: SparkSession, d: str) -> DataFrame:
     return evaluate.review_pools(made, matching.incident_tracks(found, made), found, inputs.path_matches(s, d), errors, 2.0).select("track_id", "stratum")
 
 
-def _imported(s: SparkSession, d: str) -> DataFrame:
-    stored = inputs.labels(s).where("event_id IN ('e1', 'e6')").withColumns({"event_id": F.concat(F.lit("watch:"), "event_id"), "retrieved_us": F.lit(0).cast("long")})
-    fresh = inputs.labels(s).unionByName(inputs.labels(s).where("event_id = 'e2'").withColumn("event_id", F.lit(None).cast("string")))
-    return labels.imported(stored, fresh, "watch", lens.EPOCH_US, NOW, BOX, NOW).select("event_id", "source", "source_confidence", "event_type", "mmsi", "ts_us", "retrieved_us")
-
-
 def _verdicts(s: SparkSession, d: str) -> DataFrame:
     g = detect.coverage(detect.gap_segments(lens.positions(s, d), inputs.outages(s)), lens.positions(s, d))
     sensitive = zones.is_sensitive(zones.zone_of(F.col("prev_lat"), F.col("prev_lon")))
@@ -154,7 +148,7 @@ _ALL = (oracles.STEPS, oracles.VOYAGES, oracles.TRACKS, oracles.SILENT, oracles.
 _ALL_O = (oracles.STEPS, oracles.VOYAGES, oracles.TRACKS, oracles.SILENT.replace("outages(", "outages_(").replace("FROM outages o", "FROM outages_ o"), oracles.COVERED, oracles.FOUND, oracles._OBSERVED)
 _with = oracles._with
 _TITLE = "CASE detector " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in feeds.TITLES.items()) + " ELSE incident_type END"
-_PUBLIC = "CASE detector WHEN 'loiter' THEN minutes WHEN 'rendezvous' THEN minutes END AS duration_minutes, CASE WHEN detector = 'gap' THEN minutes END AS gap_minutes, CASE WHEN detector = 'gap' THEN km END AS displacement_km, CASE WHEN detector IN ('gap', 'spoof') THEN knots END AS implied_speed_kn"
+_PUBLIC = "CASE detector WHEN 'loiter' THEN minutes WHEN 'rendezvous' THEN minutes END AS duration_minutes, CASE WHEN detector = 'gap' THEN minutes END AS gap_minutes, CASE WHEN detector = 'gap' THEN km END AS displacement_km, CASE WHEN detector IN ('gap', 'spoof') THEN knots END AS implied_speed_kn, NULL::DOUBLE AS distance_km, NULL::DOUBLE AS partner_count, NULL::DOUBLE AS point_count"
 _DOWN = oracles.ORACLES["downsample_positions"].replace(">= 1800", ">= 45").replace(">= 120", ">= 20").replace(">= 5)", ">= 2)")
 _SHAPES = """pts AS (SELECT mmsi, voyage, us, lat, lon, id, lag(us) OVER w AS p_us, lag(lat) OVER w AS p_lat, lag(lon) OVER w AS p_lon FROM voyages WINDOW w AS (PARTITION BY mmsi, voyage ORDER BY us, id)),
 long_ AS (SELECT mmsi, voyage, min(us) AS u0, max(us) AS u1, arg_min(lat, (us, id)) AS lat0, arg_min(lon, (us, id)) AS lon0 FROM voyages GROUP BY mmsi, voyage HAVING count(*) >= 6),
@@ -166,8 +160,8 @@ ends_ AS (SELECT mmsi, voyage, -atan2(arg_max(y, i), arg_max(x, i)) AS a FROM fl
 turned AS (SELECT f.mmsi, f.voyage, i, cos(a) * x - sin(a) * y AS u, sin(a) * x + cos(a) * y AS v FROM flat_ f JOIN ends_ USING (mmsi, voyage)),
 moves AS (SELECT mmsi, voyage, i - 1 AS spot, u - lag(u) OVER w AS dx, v - lag(v) OVER w AS dy FROM turned WINDOW w AS (PARTITION BY mmsi, voyage ORDER BY i))"""
 _COORDS = lambda inner: "'[' || string_agg('[' || lon_ || ',' || lat_ || ']', ',' ORDER BY " + inner + ") || ']'"
-_RING = lambda ring: ",".join(f"[{float(x)},{float(y)}]" for y, x in [*ring, ring[0]])
-_ZONES = ", ".join("('" + z[0] + "', '" + f'{{"type":"Feature","geometry":{{"type":"Polygon","coordinates":[[{_RING(z[3])}]]}},"properties":{{"zone_id":"{z[0]}","name":"{z[4]}","kind":"{z[1]}","sensitive":{str(z[2]).lower()}}}}}' + "')" for z in zones.ZONES)
+
+REVIEWS, ATTRIBUTED = _REVIEWS, _ATT
 
 #: name: (query, SQL)
 TABLE: dict[str, tuple[Query, str]] = {
@@ -207,19 +201,12 @@ TABLE: dict[str, tuple[Query, str]] = {
         _with() + f"""SELECT mmsi, CAST(count(*) AS INTEGER) AS points, '{{"type":"Feature","geometry":{{"type":"LineString","coordinates":' || {_COORDS('us, id')} || '}},"properties":{{"mmsi":"' || mmsi || '","points":' || count(*) || '}}}}' AS feature
           FROM (SELECT mmsi, us, id, CAST(round(lon, 6) AS VARCHAR) AS lon_, CAST(round(lat, 6) AS VARCHAR) AS lat_ FROM positions WHERE mmsi = '563000003') GROUP BY mmsi""",
     ),
-    "zone_features": (lambda s, d: feeds.zone_features(zones.table(s)), f"SELECT * FROM (VALUES {_ZONES}) v(zone_id, feature)"),
     "track_lines": (
         lambda s, d: publish.lines(tracks.voyages(lens.positions(s, d)), 20),
         _with(*oracles._BASE) + f"""SELECT mmsi, voyage, '{{"type":"Feature","geometry":{{"type":"LineString","coordinates":' || {_COORDS('i')} || '}}}}' AS feature FROM (
           SELECT v.mmsi, v.voyage, s.i, CAST(floor(v.lon * 10000 + 0.5) / 10000.0::DOUBLE AS VARCHAR) AS lon_, CAST(floor(v.lat * 10000 + 0.5) / 10000.0::DOUBLE AS VARCHAR) AS lat_ FROM (SELECT mmsi, voyage, lat, lon, row_number() OVER (PARTITION BY mmsi, voyage ORDER BY us, id) - 1 AS spot, count(*) OVER (PARTITION BY mmsi, voyage) AS n FROM voyages) v
           JOIN range(20) s(i) ON v.spot = CASE WHEN v.n <= 20 THEN s.i ELSE s.i * (v.n - 1) // 19 END WHERE v.n >= 2) GROUP BY mmsi, voyage""",
     ),
-    "snapshot_status": (
-        lambda s, d: feeds.status(inputs.runs(s), inputs.reasons(s), inputs.spans(s), NOW),
-        f"""WITH {oracles._OBSERVED}, why(key, opened_us, closed_us, reason) AS (VALUES {oracles._values(fixtures.REASONS)}), o AS (SELECT * FROM why WHERE closed_us IS NULL ORDER BY opened_us DESC LIMIT 1), r AS (SELECT max(last_message_us) AS last_us, min(started_us) AS since, count(*) AS n FROM runs)
-          SELECT CASE WHEN ({NOW} - last_us) / 6e7 < 10 THEN 'live' WHEN ({NOW} - last_us) / 6e7 <= 30 THEN 'delayed' ELSE 'collector offline' END AS mode, last_us AS last_report_us, (SELECT round(sum(end_us - start_us) / 3.6e9, 4) FROM observed) AS observed_hours,
-            round(({NOW} - since) / 3.6e9, 4) AS calendar_hours, (SELECT CASE WHEN reason LIKE '%offline%' THEN 'collector-offline' WHEN reason LIKE '%timeout%' OR reason LIKE '%connection%' THEN 'source-connectivity' ELSE 'other' END FROM o) AS outage_category, (SELECT round(({NOW} - opened_us) / 6e7, 1) FROM o) AS outage_minutes, n AS run_count FROM r""",
-    ),
     "incident_states": (
         _states,
         _with(*_ALL_O, oracles._EVENTS, _PATHS, _LABELS, _REVIEWS, _ATT) + f""", latest AS (SELECT f.*, a.track_id FROM (SELECT * FROM found WHERE ts_end_us <= {NOW} - 900000000 ORDER BY ts_start_us DESC, score DESC, incident_id LIMIT 200) f LEFT JOIN att a USING (incident_id)),
@@ -238,19 +225,10 @@ TABLE: dict[str, tuple[Query, str]] = {
     ),
     # labels and reviews
     "event_track_match_by_path": (inputs.path_matches, _with(*oracles._BASE, oracles._OBSERVED, oracles._EVENTS, _PATHS) + "SELECT * FROM matches"),
-    "label_import": (
-        _imported,
-        f"""WITH {_LABELS}, stored AS (SELECT * REPLACE ('watch:' || event_id AS event_id, 0 AS retrieved_us) FROM labels_ WHERE event_id IN ('e1', 'e6')), fresh AS (SELECT * REPLACE ('watch:' || event_id AS event_id, 'watch' AS source, 'silver' AS source_confidence, {NOW} AS retrieved_us) FROM labels_ WHERE ts_us BETWEEN {lens.EPOCH_US} AND {NOW} AND lat BETWEEN {BOX[0]} AND {BOX[2]} AND lon BETWEEN {BOX[1]} AND {BOX[3]})
-          SELECT event_id, source, source_confidence, event_type, mmsi, ts_us, retrieved_us FROM (SELECT * FROM fresh UNION ALL SELECT * FROM stored WHERE event_id NOT IN (SELECT event_id FROM fresh))""",
-    ),
-    "events_in_dates": (lambda s, d: labels.in_dates(inputs.events(s), "2024-01-01", "2024-01-02").select("event_id", "ts_us"), f"WITH {oracles._EVENTS} SELECT event_id, ts_us FROM ext WHERE CAST(make_timestamp(ts_us) AS DATE) >= DATE '2024-01-01' AND CAST(make_timestamp(ts_us) AS DATE) < DATE '2024-01-02'"),
-    "named_vessels": (lambda s, d: labels.named_vessels(inputs.labels(s)), f"WITH {_LABELS} SELECT DISTINCT m AS mmsi FROM (SELECT mmsi AS m FROM labels_ UNION ALL SELECT counterpart_mmsi FROM labels_) WHERE m IS NOT NULL"),
     "request_window": (
         lambda s, d: labels.request_window(lens.positions(s, d)).select("first_date", "until_date", *[_r(c) for c in ("min_lat", "max_lat", "min_lon", "max_lon")]),
         _with() + "SELECT CAST(CAST(make_timestamp(min(us)) AS DATE) AS VARCHAR) AS first_date, CAST(CAST(make_timestamp(max(us)) AS DATE) + 1 AS VARCHAR) AS until_date, round(min(lat) - 0.05, 9) AS min_lat, round(max(lat) + 0.05, 9) AS max_lat, round(min(lon) - 0.05, 9) AS min_lon, round(max(lon) + 0.05, 9) AS max_lon FROM positions",
     ),
-    "covered_events": (lambda s, d: labels.covered_events(inputs.events(s), inputs.spans(s)).select("event_id"), f"WITH {oracles._OBSERVED}, {oracles._EVENTS} SELECT event_id FROM ext WHERE EXISTS (SELECT 1 FROM observed o WHERE ext.ts_us <= o.end_us AND ext.ts_us >= o.start_us)"),
-    "undecided_events": (lambda s, d: labels.undecided(inputs.events(s), inputs.path_matches(s, d).where("event_id <> 'e6'")), "SELECT 'e6' AS event_id"),
     "trap_breaches": (
         lambda s, d: labels.trap_breaches(deterministic(s, d), s.createDataFrame(fixtures.TRAPS, "kind string, mmsi string")),
         _with(*_ALL) + f", traps(kind, mmsi) AS (VALUES {oracles._values(fixtures.TRAPS)}) SELECT count(*) AS breaches FROM found WHERE detector = 'gap' AND mmsi IN (SELECT mmsi FROM traps)",
@@ -301,7 +279,6 @@ TABLE: dict[str, tuple[Query, str]] = {
           FROM moves m JOIN tracks t ON t.mmsi = m.mmsi AND t.voyage = m.voyage WHERE spot >= 0 WINDOW w AS (PARTITION BY m.mmsi, m.voyage ORDER BY spot)""",
     ),
     # figures
-    "label_versions": (lambda s, d: figures.label_versions(inputs.labels(s)), f"WITH {_LABELS} SELECT source, count(*) AS n, max(retrieved_us) AS cutoff_us FROM labels_ GROUP BY 1"),
     "data_snapshot": (
         lambda s, d: figures.data_snapshot(lens.positions(s, d), made_tracks(s, d), deterministic(s, d), inputs.spans(s)),
         _with(*_ALL_O) + "SELECT count(*) AS positions, count(DISTINCT mmsi) AS vessels, min(us) AS min_us, max(us) AS max_us, (SELECT count(*) FROM tracks) AS tracks, (SELECT count(*) FROM found) AS incidents, (SELECT round(sum(end_us - start_us) / 3.6e9, 6) FROM observed) AS observed_hours FROM positions",
@@ -317,15 +294,7 @@ TABLE: dict[str, tuple[Query, str]] = {
             0.35 + CASE WHEN sens THEN 0.15 ELSE 0.0 END AS base, CASE WHEN sens THEN 0.1 ELSE 0.0 END AS bonus FROM (SELECT *, {oracles._sensitive(oracles._zone('prev_lat', 'prev_lon'))} AS sens FROM verdicts)))
           SELECT verdict, count(*) AS n, """ + ", ".join(f"count(*) FILTER (WHERE {c} = '{x}') AS {c}_{x.lower()}" for c in ("before", "after") for x in "BCDEF") + " FROM g GROUP BY verdict",
     ),
-    "seed_means": (
-        lambda s, d: figures.over_seeds(s.createDataFrame(fixtures.SEEDS, "metric string, value double")),
-        "SELECT metric, round(avg(v), 3) AS mean, round(stddev_pop(v), 3) AS spread, min(v) AS least, count(v) AS n FROM (SELECT metric, CASE WHEN isnan(value) THEN NULL ELSE value END AS v FROM (VALUES " + ", ".join(f"('{m}', '{v}'::DOUBLE)" for m, v in fixtures.SEEDS) + ") x(metric, value)) GROUP BY 1",
-    ),
     # books and upkeep
-    "bridged_runs": (
-        lambda s, d: ledger.bridged(inputs.runs(s)),
-        f"WITH runs(key, started_us, stopped_us, last_message_us) AS (VALUES {oracles._values(fixtures.RUNS)}) SELECT key, before AS opened_us, started_us AS closed_us FROM (SELECT *, lag(coalesce(stopped_us, last_message_us, started_us)) OVER (PARTITION BY key ORDER BY started_us) AS before FROM runs) WHERE before < started_us",
-    ),
     "feed_outages": (
         lambda s, d: collector.outages(lens.positions(s, d).select(F.col("region").alias("key"), "us"), 60),
         _with() + "SELECT key, before + 60000000 AS opened_us, us AS closed_us FROM (SELECT key, us, lag(us) OVER (PARTITION BY key ORDER BY us) AS before FROM (SELECT DISTINCT region AS key, us FROM positions)) WHERE us - before > 60000000",

@@ -130,7 +130,6 @@ ORACLES = {
     "zone_attribution": _with() + f"SELECT id, {_zone('lat', 'lon')} AS zone_id, {' OR '.join(_inside(z[3], 'lat', 'lon') for z in zones.ZONES if z[1] == 'port')} AS in_port FROM positions",
     "witness_index": _with() + "SELECT DISTINCT CAST(floor(lat / 0.25) AS BIGINT) AS cell_lat, CAST(floor(lon / 0.25) AS BIGINT) AS cell_lon, us // 3600000000 AS hour, mmsi FROM positions",
     "footprint_profile": _with() + "SELECT b * 0.5::DOUBLE AS lat_from, count(DISTINCT mmsi) AS vessels, count(DISTINCT c) AS cells FROM (SELECT CAST(floor(lat / 0.5) AS BIGINT) AS b, mmsi, (floor(lat / 0.25), floor(lon / 0.25)) AS c FROM positions) GROUP BY b",
-    "observed_intervals": f"WITH {_OBSERVED} SELECT key, start_us, end_us FROM observed",
     "observed_vessel_hours": _with(*_BASE, _OBSERVED) + "SELECT t.mmsi, track_id, round(sum(greatest(0, least(t.end_us, o.end_us) - greatest(t.start_us, o.start_us))) / 3.6e9, 6) AS observed_hours FROM tracks t JOIN observed o ON t.start_us < o.end_us AND t.end_us > o.start_us GROUP BY t.mmsi, track_id",
     "incident_track_attribution": _with(STEPS, VOYAGES, TRACKS, SILENT, COVERED, FOUND) + """SELECT incident_id, track_id, overlap_us FROM (SELECT incident_id, track_id, least(end_us, ts_end_us) - greatest(start_us, ts_start_us) AS overlap_us,
         row_number() OVER (PARTITION BY incident_id ORDER BY least(end_us, ts_end_us) - greatest(start_us, ts_start_us) DESC, track_id DESC) AS k

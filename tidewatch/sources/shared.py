@@ -53,6 +53,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """Writes a small file in one step: beside its place first, then renamed over what stands there."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    final, draft = fs_path(path), fs_path(f"{path}.{uuid4().hex}.tmp")
+    fs = final.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(draft, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    if not fs.rename(draft, final):  # some stores don't rename onto a file
+        fs.delete(final, False)
+        if not fs.rename(draft, final):
+            raise OSError(f"{path} couldn't be put in its place")
+
+
 def removed(spark: SparkSession, *paths: str) -> None:
     """Deletes folders of tables, wherever Spark's file systems reach; a missing one is no error."""
     for path in paths:
