@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidewatch.llm.tables import table
+from tidewatch.llm.tables import cut, table
 
 TRAINED = "assistant"
 END = "<|end|>"
@@ -78,19 +78,26 @@ def replies_borrowed(turns: DataFrame) -> DataFrame:
     Without a reply of one's own or any donor, rejected ends before the last reply: its
     completion is empty.
     """
-    held = conversations(turns)
-    held = held.withColumn("last", F.array_max(F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: F.element_at("turns", i)["role"] == TRAINED)))
-    held = held.withColumns({"own": F.element_at("turns", F.col("last"))["text"], "h": F.md5(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).cast("binary"))})
-    near = held.where("conv_id IS NOT NULL AND last IS NOT NULL").select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("own").alias("near"))
-    buckets = max(1, turns.select("conv_id").distinct().count() // RING)
-    ring = W.partitionBy(F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(buckets)), F.col("last").isNotNull()).orderBy("h", "conv_id")
-    held = held.withColumn("far", F.coalesce(F.lead("own").over(ring), F.lag("own").over(ring))).join(near, "conv_id", "left")
-    reply = F.coalesce("near", "far")
-    swapped = F.transform("turns", lambda t, i: F.struct(t["role"].alias("role"), F.when(i + 1 == F.col("last"), reply).otherwise(t["text"]).alias("text")))
-    ended = F.when(F.col("last").isNull(), F.col("turns")).when(reply.isNull(), F.slice("turns", F.lit(1), F.col("last") - 1)).otherwise(swapped)
+    reply = donors(turns)
+    alone = F.broadcast(reply.where("conv_id IS NULL").agg(F.max("reply").alias("_null")))  # a null key meets nothing in a join
+    held = conversations(turns).withColumn("last", F.array_max(F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: F.element_at("turns", i)["role"] == TRAINED)))
+    held = held.join(reply, "conv_id", "left").crossJoin(alone).withColumn("reply", F.when(F.col("conv_id").isNull(), F.col("_null")).otherwise(F.col("reply")))
+    swapped = F.transform("turns", lambda t, i: F.struct(t["role"].alias("role"), F.when(i + 1 == F.col("last"), F.col("reply")).otherwise(t["text"]).alias("text")))
+    ended = F.when(F.col("last").isNull(), F.col("turns")).when(F.col("reply").isNull(), F.slice("turns", F.lit(1), F.col("last") - 1)).otherwise(swapped)
     return held.select("conv_id", F.col("turns").alias("chosen"), ended.alias("rejected"))
 
 
+def donors(turns: DataFrame) -> DataFrame:
+    """(conv_id, reply): what each conversation's last reply is replaced by. Only last replies travel, one a conversation."""
+    last = F.max(F.when(F.col("role") == TRAINED, F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))))
+    own = cut(turns.groupBy("conv_id").agg(last.alias("m")).select("conv_id", F.col("m.text").alias("own"), F.md5(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).cast("binary")).alias("h")))
+    buckets = max(1, own.count() // RING)
+    ring = W.partitionBy(F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(buckets)), F.col("own").isNotNull()).orderBy("h", "conv_id")
+    near = own.where("conv_id IS NOT NULL AND own IS NOT NULL").select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("own").alias("near"))
+    far = own.withColumn("far", F.coalesce(F.lead("own").over(ring), F.lag("own").over(ring)))
+    return far.join(near, "conv_id", "left").select("conv_id", F.coalesce("near", "far").alias("reply"))
+
+
 def op1_preference_format(spark, sf_dir: str) -> DataFrame:
     """One row for every conversation."""
     done = format_pairs(replies_borrowed(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
