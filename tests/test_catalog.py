@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from tidewatch.plans import catalog, feed_queries, inputs
+from tidewatch.plans import catalog, feed_queries, inputs, ledgers
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no fixture tables")
@@ -27,7 +27,7 @@ def test_query_equals_sql(spark, name, findings, monkeypatch):
     import duckdb
 
     if name not in WHOLE:
-        for module in (catalog, feed_queries):
+        for module in (catalog, feed_queries, ledgers):
             monkeypatch.setattr(module, "deterministic", lambda s, d: findings)
     db = duckdb.connect()
     db.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")

@@ -196,3 +196,34 @@ def test_only_touched_parts_are_written_and_windows_need_no_exchange(spark, clea
     assert len(pruned.inputFiles()) < len(store.read("positions").inputFiles())
     store.commit({"positions": store.replace("positions", one.limit(0), store.read("positions", [key]))}, "prune", 2)
     assert store.read("positions", [key]).count() == 0 and f"day={key[0]}/part={key[1]}" not in store.state().places["positions"]
+
+
+# the stored meeting index ---------------------------------------------------------------
+
+
+def test_meetings_from_the_index_equal_the_full_build(spark, tmp_path):
+    from tidewatch.operators import meeting_index
+
+    rows = []
+    for k in range(120):  # pairs that lie together for a while, on several days; v9 stays away
+        for v in range(10):
+            still = 20 < k % 40 < 33 and v != 9
+            rows.append((k * 10 + v, f"v{v}", T0 + k * 40 * MIN, 5.0 + (v // 2 if still else v) * 0.3 + (0.001 * (v % 2) if still else 0.01 * (k % 20)), 80.0, 0.3 if still else 8.0, 0.0, "0", "aisstream", "sg"))
+    p = spark.createDataFrame(rows, POSITIONS)
+    early = p.where(f"us < {T0 + 2400 * MIN} OR mmsi <> 'v3'")
+    store = Store(spark, str(tmp_path), meeting_index.specs(spark), parts=2, buckets=2)
+    store.commit(meeting_index.refreshed(store, early, early.select("mmsi").distinct()), "index", 0)
+    before = store.state().places["legs"]
+    dirty = spark.createDataFrame([("v3",)], "mmsi string")
+    store.commit(meeting_index.refreshed(store, p.where("mmsi = 'v3'"), dirty), "index", 1)
+    after = store.state().places["legs"]
+    assert any(before.get(k) == v for k, v in after.items())  # parts without v3 stay as they are
+    every = lambda rows: sorted(str((r["a"], r["b"], r["k"], r["us"], round(r["lat"], 9), round(r["km"], 9))) for r in rows.collect())
+    want = every(detect.near_moments(p, focus=dirty))
+    assert want and every(meeting_index.moments(store, dirty)) == want
+    found = lambda rows: sorted((r["incident_id"], r["score"]) for r in rows.collect())
+    assert found(meeting_index.rendezvous(store, dirty)) == found(detect.rendezvous(p, dirty)) != []
+    cells = store.read("cells")
+    asked = cells.join(dirty, "mmsi", "left_semi").where(f"day = {T0 // 86_400_000_000}")
+    plan = meeting_index.met(cells, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and len(cells.where(f"day = {T0 // 86_400_000_000}").inputFiles()) < len(cells.inputFiles())

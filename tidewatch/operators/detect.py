@@ -186,7 +186,7 @@ def loiters(positions: DataFrame, radius_km: float = 2, minutes: float = 60) ->
 # -- meetings ---------------------------------------------------------------------------
 
 
-def _under_way(positions: DataFrame, transit_kn: float) -> DataFrame:
+def under_way(positions: DataFrame, transit_kn: float) -> DataFrame:
     """Vessels of at least two reports that were seen under way, with the ends of their paths."""
     order = F.struct("us", "id")
     rows = positions.groupBy("mmsi").agg(F.max(F.coalesce("sog", F.lit(0.0))).alias("top"), F.count("*").alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.min_by("region", order).alias("region"))
@@ -212,24 +212,40 @@ def _at(c: str, us: Column) -> Column:
     return F.col(f"prev_{c}") + (F.col(c) - F.col(f"prev_{c}")) * ((us - F.col("prev_us")) / (F.col("us") - F.col("prev_us")))
 
 
-def _shared_bins(positions: DataFrame, legs: DataFrame, range_km: float, transit_kn: float) -> DataFrame:
-    """(a, b, bin): the half hours in which two vessels may have been slow and near.
+def leg_cells(legs: DataFrame, range_km: float) -> DataFrame:
+    """(mmsi, bin, cy, cx, s, n): the cells that the slow parts of a vessel's legs touch in each half hour, widened by the range, and their latitudes.
 
-    The slow part of each leg is boxed per half hour, widened by the range and dealt to the
-    cells it touches, all around the globe near a pole and on both sides of the 180th
-    meridian. Vessels meet where they share a half hour and a cell.
+    Cells go all around the globe near a pole and lie on both sides of the 180th meridian.
     """
-    moving = _under_way(positions, transit_kn).select("mmsi")
     lo, hi = F.greatest("slow_from", F.col("bin") * BIN_US), F.least("slow_to", (F.col("bin") + 1) * BIN_US)
     box = {f"{f}_{c}": (F.least if f == "min" else F.greatest)(_at(c, lo), _at(c, hi)) for c in ("lat", "lon") for f in ("min", "max")}
-    pad = float(np.degrees(range_km / EARTH_KM)) * 1.01
+    pad = _pad(range_km)
     pole = F.greatest(F.abs("min_lat"), F.abs("max_lat")) + pad
     wide = F.lit(pad) / F.cos(F.radians(pole))
     around = int(360 / CELL)
     columns = F.when((pole >= 89) | (F.col("max_lon") - F.col("min_lon") + 2 * wide >= 360), F.sequence(F.lit(0).cast("long"), F.lit(around - 1).cast("long"))).otherwise(F.sequence(F.floor((F.col("min_lon") - wide) / CELL), F.floor((F.col("max_lon") + wide) / CELL)))
-    cells = legs.join(moving, "mmsi", "left_semi").withColumns(box).withColumn("cy", F.explode(F.sequence(F.floor((F.col("min_lat") - pad) / CELL), F.floor((F.col("max_lat") + pad) / CELL)))).withColumn("cx", F.explode(columns))
-    cells = cells.groupBy("mmsi", "bin", "cy", F.pmod("cx", F.lit(around)).alias("cx")).agg(F.min("min_lat").alias("s"), F.max("max_lat").alias("n"))
-    left, right = cells.alias("l"), cells.alias("r")
+    cells = legs.withColumns(box).withColumn("cy", F.explode(F.sequence(F.floor((F.col("min_lat") - pad) / CELL), F.floor((F.col("max_lat") + pad) / CELL)))).withColumn("cx", F.explode(columns))
+    return cells.groupBy("mmsi", "bin", "cy", F.pmod("cx", F.lit(around)).alias("cx")).agg(F.min("min_lat").alias("s"), F.max("max_lat").alias("n"))
+
+
+def _pad(range_km: float) -> float:
+    return float(np.degrees(range_km / EARTH_KM)) * 1.01
+
+
+def shared_bins(some: DataFrame, others: DataFrame, range_km: float, *same: str) -> DataFrame:
+    """(a, b, bin), a before b: the half hours in which a vessel of some and one of others share a cell and latitudes; same names further columns to be equal."""
+    left, right, pad = some.alias("l"), others.alias("r"), _pad(range_km)
+    on = F.col("l.mmsi") != F.col("r.mmsi")
+    for c in ("bin", "cy", "cx", *same):
+        on = on & (F.col(f"l.{c}") == F.col(f"r.{c}"))
+    near = (F.col("l.s") - 2 * pad <= F.col("r.n")) & (F.col("r.s") - 2 * pad <= F.col("l.n"))
+    return left.join(right, on & near).select(F.least("l.mmsi", "r.mmsi").alias("a"), F.greatest("l.mmsi", "r.mmsi").alias("b"), F.col("l.bin").alias("bin")).distinct()
+
+
+def _shared_bins(positions: DataFrame, legs: DataFrame, range_km: float, transit_kn: float) -> DataFrame:
+    """The half hours in which two vessels that were seen under way may have been slow and near, each pair once."""
+    cells = leg_cells(legs.join(under_way(positions, transit_kn).select("mmsi"), "mmsi", "left_semi"), range_km)
+    left, right, pad = cells.alias("l"), cells.alias("r"), _pad(range_km)
     near = (F.col("l.s") - 2 * pad <= F.col("r.n")) & (F.col("r.s") - 2 * pad <= F.col("l.n"))
     return left.join(right, (F.col("l.bin") == F.col("r.bin")) & (F.col("l.cy") == F.col("r.cy")) & (F.col("l.cx") == F.col("r.cx")) & (F.col("l.mmsi") < F.col("r.mmsi")) & near).select(F.col("l.mmsi").alias("a"), F.col("r.mmsi").alias("b"), F.col("l.bin").alias("bin")).distinct()
 
@@ -247,14 +263,19 @@ def near_moments(positions: DataFrame, range_km: float = 0.5, speed_kn: float =
     vessel's whole path never travels. With focus (mmsi), only pairs of these vessels and
     of the vessels that they share a half hour with are kept.
     """
-    legs, step = written(slow_legs(positions, speed_kn)), int(step_min * 60_000_000)
+    legs = written(slow_legs(positions, speed_kn))
     shared = _shared_bins(positions, legs, range_km, transit_kn)
     if focus is not None:
         wanted = focus.select("mmsi").distinct()
         near = shared.join(wanted.withColumnRenamed("mmsi", "a"), "a", "left_semi").select(F.col("b").alias("mmsi")).union(shared.join(wanted.withColumnRenamed("mmsi", "b"), "b", "left_semi").select("a"))
         hood = wanted.union(near).distinct()
         shared = shared.join(hood.withColumnRenamed("mmsi", "a"), "a", "left_semi").unionByName(shared.join(hood.withColumnRenamed("mmsi", "b"), "b", "left_semi")).distinct()
-    ends = _under_way(positions, transit_kn)
+    return moments_of(shared, legs, under_way(positions, transit_kn), range_km, speed_kn, minutes, step_min)
+
+
+def moments_of(shared: DataFrame, legs: DataFrame, ends: DataFrame, range_km: float = 0.5, speed_kn: float = 1.0, minutes: float = 30, step_min: float = 5) -> DataFrame:
+    """The near moments of pairs (a, b, bin) from slow_legs() and under_way() of their vessels."""
+    step = int(step_min * 60_000_000)
     side = lambda k: ends.select(F.col("mmsi").alias(k), F.col("first_us").alias(f"{k}0"), F.col("last_us").alias(f"{k}1"), *([F.col("region")] if k == "a" else []))
     rows = shared.join(side("a"), "a").join(side("b"), "b").withColumns({"t0": F.greatest("a0", "b0"), "t1": F.least("a1", "b1")}).where(F.col("t1") - F.col("t0") >= minutes * 60e6)
     first, last = F.greatest(F.col("bin") * BIN_US, F.col("t0")), F.least((F.col("bin") + 1) * BIN_US - 1, F.col("t1"))
@@ -268,10 +289,10 @@ def near_moments(positions: DataFrame, range_km: float = 0.5, speed_kn: float =
     return rows.withColumn("km", away).where(F.col("km") <= range_km).select("a", "b", "k", F.col("t").alias("us"), F.col("a_lat").alias("lat"), F.col("a_lon").alias("lon"), "km", "region")
 
 
-def meetings(positions: DataFrame, range_km: float = 0.5, speed_kn: float = 1.0, minutes: float = 30, partners: int = 2, step_min: float = 5, focus: DataFrame | None = None) -> DataFrame:
+def meetings(positions: DataFrame | None, range_km: float = 0.5, speed_kn: float = 1.0, minutes: float = 30, partners: int = 2, step_min: float = 5, focus: DataFrame | None = None, moments: DataFrame | None = None) -> DataFrame:
     """(a, b, ts_start_us, ts_end_us, lat, lon, minutes, km, region): a pair's longest run of near moments, the first of equal ones,
-    if it lasts long enough and not in a port, for vessels with few partners."""
-    moments = near_moments(positions, range_km, speed_kn, minutes, step_min, focus=focus)
+    if it lasts long enough and not in a port, for vessels with few partners; moments may be given instead of positions."""
+    moments = near_moments(positions, range_km, speed_kn, minutes, step_min, focus=focus) if moments is None else moments
     island = F.col("k") - F.row_number().over(W.partitionBy("a", "b").orderBy("k"))
     east = F.when(F.max("lon") - F.min("lon") > 180, F.avg(F.when(F.col("lon") < 0, F.col("lon") + 360).otherwise(F.col("lon")))).otherwise(F.avg("lon"))
     runs = moments.withColumn("island", island).groupBy("a", "b", "island").agg(F.count("*").alias("n"), F.min("us").alias("ts_start_us"), F.max("us").alias("ts_end_us"), F.avg("lat").alias("lat"), east.alias("lon"), F.min("km").alias("km"), F.first("region").alias("region"))
@@ -286,9 +307,9 @@ def partner_degree(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("mmsi")).groupBy("mmsi").agg(F.count("*").alias("degree"))
 
 
-def rendezvous(positions: DataFrame, focus: DataFrame | None = None) -> DataFrame:
+def rendezvous(positions: DataFrame | None, focus: DataFrame | None = None, moments: DataFrame | None = None) -> DataFrame:
     """Incidents of meetings, one for each side. With focus (mmsi), those of these vessels; their partners' degrees stay exact."""
-    found = meetings(positions, focus=focus).withColumn("side", F.explode(F.array(F.struct(F.col("a").alias("mmsi"), F.col("b").alias("other")), F.struct(F.col("b").alias("mmsi"), F.col("a").alias("other")))))
+    found = meetings(positions, focus=focus, moments=moments).withColumn("side", F.explode(F.array(F.struct(F.col("a").alias("mmsi"), F.col("b").alias("other")), F.struct(F.col("b").alias("mmsi"), F.col("a").alias("other")))))
     if focus is not None:
         own = focus.select("mmsi").distinct()
         found = found.join(own.withColumnRenamed("mmsi", "a"), "a", "left_semi").unionByName(found.join(own.withColumnRenamed("mmsi", "b"), "b", "left_semi")).distinct()
