@@ -32,5 +32,6 @@ def oracle_sql() -> dict:
         "op5_ngram_join": ngram_join.OP5_SQL,
         "op7_line_dedup": line_dedup.OP7_SQL,
         "op9_topk": topk.OP9_SQL,
+        "op11_spelling_variants": spelling.OP11_SQL,
         "op12_exact_dedup": exact_dedup.OP12_SQL,
     }

