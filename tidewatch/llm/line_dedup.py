@@ -11,7 +11,6 @@ size tells the others.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-from uuid import uuid4
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.sources.shared import shared_folder, written
+
 BROADCAST_ROWS = 1_000_000
 BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
 HOT_ROWS = 20_000  # rows of one key that a task takes before the key is salted
@@ -28,25 +27,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. Only a session on this one machine may do without and gets one of its own."""
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not named and context._jsc.sc().getCheckpointDir().isDefined():
-        named = context._jsc.sc().getCheckpointDir().get()
-    if not named and not context.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        context.setCheckpointDir(named)
-    return named
-
-
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows from a table written once in the cluster's shared folder."""
-    path = f"{shared_folder(df.sparkSession)}/tables/{uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The same rows from a table written once in the cluster's shared folder; sources.shared.scope removes such tables."""
+    return written(df)
 
 
 def pinned(df: DataFrame) -> DataFrame:
