@@ -235,5 +235,5 @@ best AS (SELECT word, count(*) AS n_near, max(n) AS top FROM pairs GROUP BY word
 firsts AS (SELECT b.word, b.n_near, b.top, min(p.other) AS form FROM best b JOIN pairs p ON p.word = b.word AND p.n = b.top GROUP BY ALL),
 forms AS (SELECT w.word, w.n, coalesce(f.n_near, 0) AS n_near, CASE WHEN f.top >= 10 * w.n THEN f.form END AS form, CASE WHEN f.top >= 10 * w.n THEN f.top END AS form_n FROM words w LEFT JOIN firsts f ON f.word = w.word),
 walk AS (SELECT word, word AS at, form AS next FROM forms UNION ALL SELECT w.word, w.next, f.form FROM walk w JOIN forms f ON f.word = w.next)
-SELECT f.word, f.n, f.n_near, f.form, f.form_n, w.at AS root FROM forms f JOIN walk w ON w.word = f.word AND w.next IS NULL
+SELECT f.word, f.n, f.n_near, f.form, CAST(f.form_n AS DOUBLE) AS form_n, w.at AS root FROM forms f JOIN walk w ON w.word = f.word AND w.next IS NULL
 """
