@@ -63,15 +63,12 @@ def test_partitions_are_replaced_and_cleared(spark, tmp_path):
     assert read() == [2, 3]
 
 
-def test_phases_go_on_where_they_stopped():
-    seen = []
-
-    def fail():
-        raise ValueError("x")
-
-    with pytest.raises(RuntimeError, match="after 1 of 3"):
-        rebuild.phases(7, 0, [lambda: seen.append(1), fail, lambda: seen.append(3)])
-    assert rebuild.phases(7, 1, [lambda: seen.append(1), lambda: seen.append(2), lambda: seen.append(3)]) == 3 and seen == [1, 2, 3]
+def test_cleared_partitions_have_escaped_names(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([("a/b c%", "x:1", 1), ("a/b c%", "y", 2), ("z", "y", 3)], "region string, detector string, v int")
+    rebuild.replace_partitions(rows, path, "region", "detector")
+    rebuild.clear_partitions(rows.where("v = 2"), path, "region", "detector", region="a/b c%")
+    assert sorted(r["v"] for r in spark.read.schema(rows.schema).parquet(path).collect()) == [2, 3]
 
 
 def test_only_the_pinned_model_scores(spark, tmp_path):

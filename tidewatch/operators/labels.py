@@ -16,6 +16,7 @@ DETECTABLE = ("gap", "rendezvous", "loiter")
 
 def raw_imo(raw: Column) -> Column:
     """The IMO number in a raw JSON report, under any of the names that sources use."""
+    # Names of fields in the sources' messages.
     paths = ("$.imo", "$.IMO", "$.imoNumber", "$.ImoNumber", "$.MetaData.IMO", "$.MetaData.imo")
     return F.coalesce(*[F.nullif(F.get_json_object(raw, p), F.lit("")) for p in paths])
 

@@ -1,11 +1,11 @@
-"""Clearing and building parts of stored tables anew, and phases of a refresh that can be run again."""
+"""Clearing and building parts of stored tables anew."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 
+from tidewatch.sources.shared import removed
+
 
 def replace_partitions(rows: DataFrame, path: str, *keys: str) -> None:
     """Writes rows to a table partitioned by keys; of the stored partitions only those that rows have are replaced."""
@@ -13,7 +13,8 @@ def replace_partitions(rows: DataFrame, path: str, *keys: str) -> None:
 
 
 def clear_partitions(rows: DataFrame, path: str, *keys: str, **values: str) -> None:
-    """Replaces the partitions of values, empty ones included: the table's other rows are written again beside it, then moved in.
+    """Replaces the partitions of values, also those for which rows have nothing: new partitions are written first, then
+    stored ones that weren't replaced are removed. A failure between leaves old rows, never none; run it again then.
 
     Use it where a rebuild may find nothing at all; replace_partitions would leave the old rows.
     """
@@ -21,21 +22,7 @@ def clear_partitions(rows: DataFrame, path: str, *keys: str, **values: str) -> N
     stale = spark.read.parquet(path)
     for name, value in values.items():
         stale = stale.where(stale[name] == value)
-    gone = stale.select(*keys).distinct().join(rows.select(*keys).distinct(), list(keys), "left_anti")
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    for r in gone.collect():  # partitions, not rows
-        place = hadoop.Path("/".join([path, *(f"{k}={r[k]}" for k in keys)]))
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    gone = stale.select(*keys).distinct().join(rows.select(*keys).distinct(), list(keys), "left_anti").collect()  # partitions, not rows
     replace_partitions(rows, path, *keys)
-
-
-def phases(batch_id: int, done: int, steps: list[Callable[[], None]]) -> int:
-    """Runs the steps of a refresh (tracks, incidents, scores) that batch has not yet done, in order; each must be safe
-    to run again. done counts the steps finished before; the number finished now is returned, also after a failure."""
-    for step in steps[done:]:
-        try:
-            step()
-        except Exception as error:
-            raise RuntimeError(f"batch {batch_id} stopped after {done} of {len(steps)} phases") from error
-        done += 1
-    return done
+    folder = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString  # escapes as the writer does
+    removed(spark, *["/".join([path, *(folder(k, None if r[k] is None else str(r[k])) for k in keys)]) for r in gone])

@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import zones
-from tidewatch.operators import feeds, figures, intervals, labels, matching, tracks
+from tidewatch.operators import detect, feeds, figures, intervals, labels, matching, tracks
 from tidewatch.plans import oracles
-from tidewatch.plans.feed_queries import ATTRIBUTED, REVIEWS
-from tidewatch.plans.inputs import NOW, deterministic, reviews, written
+from tidewatch.plans.feed_queries import ATTRIBUTED, CUT, REVIEWS
+from tidewatch.plans.inputs import NOW, deterministic, place, reviews, written
 from tidewatch.sources import lens
-from tidewatch.streaming import collector, ledger
+from tidewatch.streaming import collector, durable, ledger
 
 RUN_US, SILENCE_S, EVERY = 3 * 3_600_000_000, 90, 97
 BOX = (1.1, 103.0, 4.0, 104.0)
@@ -80,6 +80,17 @@ def _stats(s: SparkSession, d: str) -> DataFrame:
     return row.select("accepted_reports", "vessels", "tracks", "incidents", flat("incidents_by_detector"), "reconnects", "outages", "outage_hours", "observed_hours", "observed_vessel_hours", flat("labels_by_source"), "reviewed", "reviewed_alerts", "alerts_per_100_vessel_hours")
 
 
+def _stored(s: SparkSession, d: str) -> DataFrame:
+    """Tracks from the keyed store after two micro-batches that overlap, the second of them sent twice."""
+    p = lens.positions(s, d)
+    known = lambda batch: batch.groupBy("mmsi").agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.max("nav_status").alias("status"))
+    store = durable.opened(s, place(s), p, tracks.summaries(p), detect.spoofs(p), known(p))
+    phases = [("flush", durable.flush(known)), ("tracks", durable.retrack), ("scores", durable.settle())]
+    for number, batch in ((0, p.where(F.col("us") < CUT)), (1, p.where(F.col("us") >= CUT - _H)), (1, p.where(F.col("us") >= CUT - _H))):
+        durable.processed(store, batch, number, phases)
+    return store.read("tracks").select("track_id", "mmsi", "voyage", "start_us", "end_us", "point_count")
+
+
 def _zones(s: SparkSession, d: str) -> DataFrame:
     """Zones as GeoJSON, with the number of reports in each."""
     held = lens.positions(s, d).select(F.explode(zones.zones_of(F.col("lat"), F.col("lon"))).alias("zone_id")).groupBy("zone_id").agg(F.count("*").alias("reports"))
@@ -121,6 +132,10 @@ TABLE = {
             (SELECT string_agg(source || '=' || n, ',' ORDER BY source) FROM (SELECT source, count(*) AS n FROM told GROUP BY 1)) AS labels_by_source, (SELECT count(*) FROM done) AS reviewed, (SELECT count(DISTINCT track_id) FROM done WHERE track_id IN (SELECT track_id FROM att)) AS reviewed_alerts,
             round((SELECT count(*) FROM found) * 100 / (SELECT hours FROM vh), 4) AS alerts_per_100_vessel_hours FROM positions""",
     ),
+    "stored_tracks": (
+        _stored,
+        _with(oracles.STEPS, oracles.VOYAGES, oracles.TRACKS) + "SELECT track_id, mmsi, voyage, start_us, end_us, (SELECT count(DISTINCT us) FROM voyages v WHERE v.mmsi = t.mmsi AND v.voyage = t.voyage) AS point_count FROM tracks t",
+    ),
     "label_import": (
         _imported,
         _with(_TOLD) + f""", stored AS (SELECT * REPLACE ('watch:' || event_id AS event_id, 0 AS retrieved_us) FROM told WHERE k % 2 = 0), fresh AS (SELECT * REPLACE ('watch:' || event_id AS event_id, 'watch' AS source, 'silver' AS source_confidence, {NOW} AS retrieved_us) FROM told WHERE k % 4 <> 1 AND ts_us BETWEEN {lens.EPOCH_US} AND {NOW} AND lat BETWEEN {BOX[0]} AND {BOX[2]} AND lon BETWEEN {BOX[1]} AND {BOX[3]})
