@@ -125,3 +125,14 @@ def test_files_are_filtered_and_digested(spark):
     assert files.filtered(raw, 0, 0, 3, 3, ["1"]).count() == 1 and files.filtered(raw, 0, 0, 3, 3).count() == 2
     lines = spark.createDataFrame([("a",), ("b",)], "value string")
     assert files.digest(lines) == files.digest(lines.orderBy(F.desc("value"))) != files.digest(lines.limit(1))
+
+
+def test_identities_come_from_the_first_file_by_name(spark, tmp_path):
+    head = "MMSI,BaseDateTime,LAT,LON,VesselName"
+    line = lambda m, k, name: f"{m},2024-01-01T00:{k // 60:02d}:{k % 60:02d},1.0,2.0,{name}"
+    (tmp_path / "a.csv").write_text("\n".join([head, line("1", 0, "FIRST"), line("2", 0, "TWO")]))
+    (tmp_path / "b.csv").write_text("\n".join([head, *[line("1", k, "LATER") for k in range(900)]]))  # larger, so read first
+    got = {r["mmsi"]: r["name"] for r in files.vessels(files.report_csv(spark, str(tmp_path))).collect()}
+    assert got == {"1": "FIRST", "2": "TWO"}
+    plain = spark.createDataFrame([("3", "2024-01-01T00:00:00", "X"), ("3", "2024-01-01T00:00:01", "Y")], "mmsi string, basedatetime string, vesselname string").coalesce(1)
+    assert files.vessels(plain).first()["name"] == "X"

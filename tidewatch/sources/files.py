@@ -7,7 +7,8 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import parsing
@@ -28,10 +29,20 @@ def positions(raw: DataFrame, region: str) -> DataFrame:
     return rows.where("mmsi IS NOT NULL AND ts IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL").withColumn("us", F.unix_micros("ts"))
 
 
+def _origin(raw: DataFrame) -> list[Column]:
+    """Where a row of a file source stands: file and block; nothing for other frames."""
+    where = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start")]
+    try:
+        raw.select(*where)
+    except AnalysisException:
+        return []
+    return where
+
+
 def vessels(raw: DataFrame) -> DataFrame:
-    """The vessel dimension, identity from a vessel's first row in the order of the file."""
+    """The vessel dimension, identity from a vessel's first row in the order of files by name and of rows in a file."""
     field = lambda c: F.col(c) if c in raw.columns else F.lit(None).cast("string")
-    rows = raw.select(F.monotonically_increasing_id().alias("row"), parsing.text(field("mmsi")).alias("mmsi"), parsing.timestamp(field("basedatetime")).alias("ts"), parsing.text(field("vesselname")).alias("name"), parsing.text(field("callsign")).alias("call_sign"), parsing.ship_type(field("vesseltype")).alias("ship_type"), parsing.number(field("length")).alias("length"), parsing.number(field("width")).alias("width"))
+    rows = raw.select(F.struct(*_origin(raw), F.monotonically_increasing_id()).alias("row"), parsing.text(field("mmsi")).alias("mmsi"), parsing.timestamp(field("basedatetime")).alias("ts"), parsing.text(field("vesselname")).alias("name"), parsing.text(field("callsign")).alias("call_sign"), parsing.ship_type(field("vesseltype")).alias("ship_type"), parsing.number(field("length")).alias("length"), parsing.number(field("width")).alias("width"))
     one = rows.where("mmsi IS NOT NULL AND ts IS NOT NULL").groupBy("mmsi").agg(F.min_by(F.struct("name", "call_sign", "ship_type", "length", "width"), "row").alias("v"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
     return one.select("mmsi", "v.*", parsing.flag(F.col("mmsi")).alias("flag"), "first_seen", "last_seen")
 
