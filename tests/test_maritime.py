@@ -219,6 +219,30 @@ def test_meetings_equal_all_pairs(spark):
     assert pick(focused) == pick(every) and len(pick(focused)) == len(focused)
 
 
+def test_a_crowd_is_judged_by_a_few_neighbours(spark, monkeypatch):
+    """40 vessels at one place, 30 in a port, two pairs apart, one of them at a port's edge, and a vessel that leaps across the globe while slow: the meetings of all pairs, from a part of them."""
+    rng = np.random.default_rng(7)
+    home = {f"c{k:02d}": (5.0, 80.0) for k in range(40)} | {f"p{k:02d}": (1.23, 103.85) for k in range(30)} | {"q0": (6.0, 80.0), "q1": (6.0, 80.0), "r0": (1.1801, 103.85), "r1": (1.1799, 103.85), "z": (7.0, 80.0)}
+    rows = []
+    for v, (lat, lon) in home.items():
+        for k in range(12):
+            far = (-60.0, -170.0) if v == "z" and k == 6 else (2.0, 0.0) if v[0] == "p" and k == int(v[1:]) % 11 else (0.0, 0.0)
+            rows.append((v, 9.0 * k + float(rng.uniform(0, 5)), lat + far[0] + rng.normal(0, 0.0003), lon + far[1] + rng.normal(0, 0.0003), 5 if k == 3 else 0.3))
+    p = _reports(spark, rows)
+    paths = {m: {c: g.sort_values("us")[c].to_numpy(float) for c in ("us", "lat", "lon", "sog")} for m, g in p.toPandas().groupby("mmsi")}
+    want = {(a, b): _meeting(paths[a], paths[b], 0.5, 1.0, 30, 5) for a in paths for b in paths if a < b}
+    want = {k: v[4] for k, v in want.items() if v and not detect.in_port(v[2], v[3])}
+    degree = pd.Series([x for k in want for x in k]).value_counts()
+    judged, plain = [], detect.moments_of
+    monkeypatch.setattr(detect, "moments_of", lambda shared, *rest: judged.append(shared.select("a", "b").distinct().count()) or plain(shared, *rest))
+    few = {k: v for k, v in want.items() if degree[k[0]] <= 2 and degree[k[1]] <= 2}
+    assert len(few) >= 1 and degree["c00"] > 30
+    assert {(r["a"], r["b"]): r["minutes"] for r in detect.meetings(p).collect()} == few
+    assert sum(judged) < 1_100 < len(home) * (len(home) - 1) // 2
+    q = spark.createDataFrame([("q1",)], "mmsi string")
+    assert {(r["a"], r["b"]) for r in detect.meetings(p, focus=q).collect()} == {k for k in few if "q1" in k}
+
+
 @pytest.mark.parametrize("lon", [179.9995, -179.9995, 20.0])
 def test_meetings_across_the_meridian(spark, lon):
     other = {179.9995: -179.9995, -179.9995: 179.9995, 20.0: 20.001}[lon]
