@@ -136,3 +136,13 @@ def test_identities_come_from_the_first_file_by_name(spark, tmp_path):
     assert got == {"1": "FIRST", "2": "TWO"}
     plain = spark.createDataFrame([("3", "2024-01-01T00:00:00", "X"), ("3", "2024-01-01T00:00:01", "Y")], "mmsi string, basedatetime string, vesselname string").coalesce(1)
     assert files.vessels(plain).first()["name"] == "X"
+
+
+def test_without_an_open_outage_there_is_no_category(spark):
+    runs = spark.createDataFrame([("a", 0, None, 60_000_000)], "key string, started_us long, stopped_us long, last_message_us long")
+    spans = spark.createDataFrame([("a", 0, 60_000_000)], "key string, start_us long, end_us long")
+    book = lambda *rows: spark.createDataFrame(rows, "key string, opened_us long, closed_us long, reason string")
+    said = lambda outages: feeds.status(runs, outages, spans, 120_000_000).first()
+    assert said(book(("a", 1, 2, "websocket timeout")))["outage_category"] is None
+    one = said(book(("a", 60_000_000, None, None)))
+    assert one["outage_category"] == "coverage-unavailable" and one["outage_minutes"] == 1.0
