@@ -146,3 +146,16 @@ def test_without_an_open_outage_there_is_no_category(spark):
     assert said(book(("a", 1, 2, "websocket timeout")))["outage_category"] is None
     one = said(book(("a", 60_000_000, None, None)))
     assert one["outage_category"] == "coverage-unavailable" and one["outage_minutes"] == 1.0
+
+
+def test_what_is_decided_needs_no_tracks(spark, monkeypatch):
+    """Every event in observed time has a match or an unmatched row: the ids are the same without looking for tracks."""
+    from tidewatch.operators import matching
+    from tidewatch.plans import catalog, inputs, ledgers
+
+    sf = "/root/testdata/sf0.001"
+    told, p = ledgers.events(spark, sf), inputs.lens.positions(spark, sf)
+    matches = matching.event_matches(labels.covered_events(told, ledgers.spans(spark, sf)), tracks.summaries(p))
+    want = {r["event_id"] for r in labels.undecided(told, matches).collect()}
+    monkeypatch.setattr(matching, "event_matches", lambda *_: pytest.fail("tracks were sought"))
+    assert {r["event_id"] for r in catalog.queries()["undecided_events"](spark, sf).collect()} == want
