@@ -106,6 +106,27 @@ def test_coverage_verdicts(spark):
         assert r["verdict"] == verdict and (r["witnesses"] == 4) == (verdict == "vessel-attributed")
 
 
+def test_silences_of_one_corridor_are_looked_at_once(spark, monkeypatch):
+    """15 vessels fall silent along one way, some are heard on it by their own report alone; counts equal a plain loop over all vessels."""
+    rows = [(f"s{v:02d}", t, 5.1 + x + 0.001 * v, 80.1, 9) for v in range(15) for t, x in ((1, 0.0), (205, 1.6))]
+    rows += [("s03", 100 + 60 * 24, 5.6, 80.1, 9)] + [(f"w{v}", t, 5.1 + 0.4 * v, 80.1, 9) for v in range(4) for t in (30, 61, 130)]
+    p = _reports(spark, rows)
+    tables, plain = [], detect.written
+    monkeypatch.setattr(detect, "written", lambda rows: tables.append(plain(rows)) or tables[-1])
+    got = {r["id"]: (r["witnesses"], r["witnessed"], r["ends"]) for r in detect.coverage(detect.gap_segments(p), p).collect()}
+    heard = {(r["mmsi"], np.floor(r["lat"] / 0.25), np.floor(r["lon"] / 0.25), r["us"] // 3_600_000_000) for r in p.collect()}
+    want, ways = {}, set()
+    for r in detect.gap_segments(p).collect():
+        hours = range(r["prev_us"] // 3_600_000_000, r["us"] // 3_600_000_000 + 1)
+        cells = [tuple(np.floor((r[f"prev_{c}"] + (r[c] - r[f"prev_{c}"]) * (k / 11)) / 0.25) for c in ("lat", "lon")) for k in range(12)]
+        each = [{m for m, y, x, h in heard if (y, x) == c and h in hours and m != r["mmsi"]} for c in cells]
+        enough = [len(e) >= 2 for e in each]
+        want[r["id"]] = (len(set().union(*each)), sum(enough), enough[0] + enough[11])
+        ways.add((frozenset(cells), hours[0], hours[-1]))
+    assert got == want and len(want) >= 15
+    assert [t.count() for t in tables if t.columns[-1] == "corridor"] == [len(ways)] and len(ways) < len(want)
+
+
 def test_spoof_and_no_time_no_speed(spark):
     p = _reports(spark, [("1", 0, 0, 0, 9), ("1", 0.5, 1, 0, 9), ("1", 0.5, 2, 0, 9), ("1", 600, 2.1, 0, 9)])
     assert [(r["incident_type"], r["reliability"]) for r in detect.spoofs(p).collect()] == [("duplicate identity", "B")]
