@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tidewatch.operators import anomaly, training
+from tidewatch.operators import anomaly, training, tracks
 
 SCHEMA = "mmsi string, voyage long, start_us long, features array<double>, sequence array<array<double>>"
 
@@ -92,3 +92,16 @@ def test_the_sweep_equals_a_loop(spark, shapes):
         assert r["runs"] == 2 and r["parameters"] == model.parameters
         known = pd.Series(cross).dropna()
         assert np.allclose([r["within_mean"], r["within_sd"]], [np.mean(within), np.std(within)]) and np.allclose([r["cross_mean"], r["cross_sd"], r["cross_min"]], [known.mean(), known.std(ddof=0), known.min()])
+
+
+def test_rows_with_arrays_come_in_small_batches(spark):
+    """Whatever a session had set, voyages reach a worker by the thousand; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    seen = lambda: max(r["n"] for r in spark.range(2_500).coalesce(1).mapInPandas(lambda batches: (pd.DataFrame({"n": [len(b)]}) for b in batches), "n long").collect())
+    p = spark.createDataFrame([], "id long, mmsi string, us long, lat double, lon double, sog double")
+    for set_, most in (("10000", 1_000), ("0", 1_000), ("200", 200)):
+        for made in (tracks.shapes, tracks.polylines):
+            spark.conf.set(name, set_)
+            made(p)
+            assert seen() == most
+    spark.conf.unset(name)
