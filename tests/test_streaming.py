@@ -227,3 +227,23 @@ def test_meetings_from_the_index_equal_the_full_build(spark, tmp_path):
     asked = cells.join(dirty, "mmsi", "left_semi").where(f"day = {T0 // 86_400_000_000}")
     plan = meeting_index.met(cells, asked)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(day" in plan and len(cells.where(f"day = {T0 // 86_400_000_000}").inputFiles()) < len(cells.inputFiles())
+
+
+def test_new_reports_are_found_once_a_batch(spark, tmp_path, monkeypatch):
+    """The reports that a batch brings are staged, and mark vessels as dirty, from one computation."""
+    from tidewatch.operators import upkeep
+
+    p = spark.createDataFrame([(k, f"v{k % 2}", T0 + k * 10 * MIN, 5.0, 80.0, 8.0, 0.0, "0", "aisstream", "sg") for k in range(20)], POSITIONS)
+    known = lambda batch: batch.groupBy("mmsi").agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.max("nav_status").alias("status"))
+    store = durable.opened(spark, str(tmp_path / "store"), p, tracks.summaries(p), detect.spoofs(p), known(p))
+    plain, log = upkeep.new_positions, str(tmp_path / "log")
+
+    def noted(batches):
+        with open(log, "a") as f:
+            f.write("once\n")
+        yield from batches
+
+    monkeypatch.setattr(upkeep, "new_positions", lambda *given: (lambda rows: rows.coalesce(1).mapInPandas(noted, rows.schema))(plain(*given)))
+    durable.processed(store, p, 0, [("flush", durable.flush(known))])
+    assert store.read("positions").count() == 20 and store.read("dirty").count() == 2
+    assert open(log).read().count("once") == 1
