@@ -264,6 +264,17 @@ def test_a_crowd_is_judged_by_a_few_neighbours(spark, monkeypatch):
     assert {(r["a"], r["b"]) for r in detect.meetings(p, focus=q).collect()} == {k for k in few if "q1" in k}
 
 
+def test_times_of_a_pair_are_counted_out_after_its_legs_are_there(spark):
+    """Two vessels side by side for three hours, but for one report: their runs span half hours, and grid times travel in none of the joins."""
+    p = _reports(spark, [(v, 9.0 * k + d, 5.0 + (0.1 if v == "v1" and k == 12 else 0.0), 80.0 + d / 1e5, 4 if k == 0 else 0.3) for v, d in (("v0", 0.0), ("v1", 2.0)) for k in range(22)])
+    met = detect.near_moments(p)
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(sequence(k0") < plan.index("Join")
+    ks = np.array(sorted(r["k"] for r in met.collect()))
+    runs = np.split(ks, np.flatnonzero(np.diff(ks) > 1) + 1)
+    assert len(runs) == 2 and [r["minutes"] for r in detect.meetings(p).collect()] == [5.0 * (max(len(r) for r in runs) - 1)]
+
+
 @pytest.mark.parametrize("lon", [179.9995, -179.9995, 20.0])
 def test_meetings_across_the_meridian(spark, lon):
     other = {179.9995: -179.9995, -179.9995: 179.9995, 20.0: 20.001}[lon]

@@ -27,6 +27,14 @@ def test_a_scope_ends_with_a_failure_too(spark):
     assert not os.path.exists(path)
 
 
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    held = lambda: {f for d in folders for _, _, files in os.walk(d) for f in files if f.startswith("shuffle_")}
+    before, was = held(), spark.conf.get(shared.SHUFFLE_CLEANUP)
+    shared.written(spark.range(10_000).repartition(3, "id"))
+    assert held() <= before and spark.conf.get(shared.SHUFFLE_CLEANUP) == was
+
+
 def test_files_are_put_over_what_stands_there(spark, tmp_path):
     for data in (b"one", b"two"):
         shared.put(spark, str(tmp_path / "x.json"), data)
