@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.plans import catalog, feed_queries, inputs, ledgers
 
@@ -36,6 +37,23 @@ def test_query_equals_sql(spark, name, findings, monkeypatch):
     assert _plain(got) == _plain(want)
 
 
+def test_shapes_are_gone_once_voyages_are_scored(spark, monkeypatch):
+    from tidewatch.sources import shared
+
+    held = lambda: [x for s in shared._scopes for x in s if shared.exists(spark, x)]
+    before = []
+
+    def detectors(p, outages):
+        before.append(len(held()))
+        return catalog.detect.spoofs(p)
+
+    monkeypatch.setattr(catalog.detect, "all_incidents", detectors)
+    with shared.scope(spark):
+        found, errors, model = catalog._judged(spark, SF)
+        assert before == [1] and len(held()) == 2  # errors, then findings too
+        assert errors.where(F.col("error") > model.threshold).count() == found.where("detector = 'anomaly'").count() > 0
+
+
 def test_fitted_models_agree_with_their_definition(spark):
     """Model queries against a direct computation on the driver: every voyage scored, the 99th percentile, what lies beyond."""
     import numpy as np

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import geo, grading, parsing, zones
 from tidewatch.operators import anomaly, detect, downsample, dwelling, evaluate, fusion, intervals, matching, ordered, publish, tracks, upkeep
-from tidewatch.sources import files
+from tidewatch.sources import files, shared
 from tidewatch.streaming import collector
 
 T0 = 1_704_067_200_000_000
@@ -374,6 +374,23 @@ def test_quantiles_equal_percentile(spark):
     assert ordered.quantiles(d.limit(0), "v", shares).count() == 0
 
 
+def test_detectors_leave_only_their_findings(spark):
+    p = _reports(spark, [("1", 0, 1.2, 103.6, 9), ("1", 130, 1.2, 103.9, 9), ("1", 130.4, 3.0, 103.9, 9)])
+    with shared.scope(spark):
+        found = detect.all_incidents(p)
+        left = [x for x in shared._scopes[-1] if shared.exists(spark, x)]
+        assert len(left) == 4 and found.count() == 2
+
+
+def test_few_events_are_broadcast_to_reports_and_tracks(spark):
+    p = _reports(spark, [(str(v), 20 * k, 1.3, 103.8, 5) for v in (1, 2) for k in range(8)])
+    e = spark.createDataFrame([("named", "spoof", "1", T0 + 5 * MIN, 1.3, 103.8), ("free", "spoof", None, T0 + 5 * MIN, 1.3, 103.8)], "event_id string, kind string, mmsi string, ts_us long, lat double, lon double")
+    seen = spark.createDataFrame([(T0 - 600 * MIN, T0 + 600 * MIN)], "start_us long, end_us long")
+    made = matching.event_matches_by_path(e, tracks.summaries(p), p, seen)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Hint=(strategy=broadcast)") >= 3
+    assert {(r["event_id"], r["track_id"][0], r["status"]) for r in made.collect()} == {("named", "1", "matched"), ("free", "1", "ambiguous"), ("free", "2", "ambiguous")}
+
+
 def test_fusion(spark):
     p = _reports(spark, [("1", 0, 1.2, 103.6, 9), ("1", 130, 1.2, 103.9, 9), ("1", 130.4, 3.0, 103.9, 9)])
     (r,) = fusion.fuse(detect.all_incidents(p)).collect()

@@ -27,6 +27,20 @@ def test_a_scope_ends_with_a_failure_too(spark):
     assert not os.path.exists(path)
 
 
+def test_what_is_written_on_the_way_to_a_settled_table_is_removed(spark):
+    way = []
+
+    def make():
+        way.append(shared.written(spark.range(7)))
+        return way[0].where("id > 2")
+
+    with shared.scope(spark):
+        kept = shared.settled(spark, make)
+        assert kept.count() == 4 and not os.path.exists(way[0].inputFiles()[0].removeprefix("file://"))
+        path = kept.inputFiles()[0].removeprefix("file://")
+    assert not os.path.exists(path)
+
+
 def test_a_written_table_leaves_no_shuffle_files(spark):
     folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
     held = lambda: {f for d in folders for _, _, files in os.walk(d) for f in files if f.startswith("shuffle_")}
