@@ -73,6 +73,17 @@ def test_segmentation_splits_only_beyond_an_hour(spark):
     assert rows["1", 0]["track_id"].startswith("1:2024-01-01T00:00:00")
 
 
+def test_shapes_of_many_reports_are_written_in_slices(spark, monkeypatch):
+    p = _reports(spark, [(f"v{j}", 5.0 * k, 1.0 + k / 100, 103.0 + j / 10, 9) for j in range(9) for k in range(8)])
+    rows = lambda made: sorted((r["mmsi"], r["voyage"], r["start_us"], tuple(map(tuple, r["sequence"]))) for r in made.collect())
+    taken, plain = [], tracks.shapes
+    monkeypatch.setattr(tracks, "shapes", lambda part: taken.append(part.count()) or plain(part))
+    monkeypatch.setattr(tracks, "SLICE_REPORTS", 30)
+    made = tracks.stored_shapes(p, "mmsi", "voyage", "start_us", "sequence")
+    assert len(taken) == 3 and sum(taken) == 72 and max(taken) < 72
+    assert rows(made) == rows(plain(p)) and made.columns == ["mmsi", "voyage", "start_us", "sequence"]
+
+
 def test_shapes_ignore_heading():
     t = np.arange(12) * 300e6
     east = tracks.shape(t, np.zeros(12), np.linspace(0, 0.2, 12), np.full(12, 9.0), 16)
@@ -93,6 +104,7 @@ def test_gap_needs_time_distance_and_no_outage(spark):
     none = spark.createDataFrame([(T0 + 120 * MIN, None)], "opened_us long, closed_us long")
     over = spark.createDataFrame([(T0 + 110 * MIN, None)], "opened_us long, closed_us long")
     assert detect.gap_segments(p, none).count() == 1 and detect.gap_segments(p, over).count() == 0
+    assert "Window" not in detect.gap_segments(p, over)._jdf.queryExecution().optimizedPlan().toString()  # reports are sorted once, before
     (g,) = detect.gaps(p).collect()
     assert g["zone_id"] == "singapore-strait" and g["lat"] == 1.2 and g["lon"] == 103.6 and g["incident_id"] == f"gap-1-{T0 // 10**6}"
 
@@ -264,6 +276,20 @@ def test_a_crowd_is_judged_by_a_few_neighbours(spark, monkeypatch):
     assert {(r["a"], r["b"]) for r in detect.meetings(p, focus=q).collect()} == {k for k in few if "q1" in k}
 
 
+def test_many_legs_are_looked_at_in_slices_of_half_hours(spark, monkeypatch):
+    """A crowd, a pair apart, and a run over many half hours: the same meetings from slices, of which each holds a part of the half hours."""
+    at = {f"c{k:02d}": 80.0 for k in range(12)} | {"q0": 82.0, "q1": 82.0}
+    p = _reports(spark, [(v, 9.0 * k + j % 5, 5.0 + j / 1e5, lon, 5 if k == 0 else 0.3) for j, (v, lon) in enumerate(at.items()) for k in range(22)])
+    cols = ("a", "b", "ts_start_us", "ts_end_us", "minutes", "km", "region")
+    found = lambda: sorted(tuple(r[c] for c in cols) + (round(r["lat"], 9), round(r["lon"], 9)) for r in detect._enough_meetings(p, 0.5, 1.0, 30, 2, 5).collect())
+    whole = found()
+    bins, plain = [], detect.moments_of
+    monkeypatch.setattr(detect, "moments_of", lambda shared, legs, *rest: bins.append({r["bin"] for r in legs.select("bin").distinct().collect()}) or plain(shared, legs, *rest))
+    monkeypatch.setattr(detect, "SLICE_LEGS", 100)
+    assert found() == whole and ("q0", "q1") in {r[:2] for r in whole}
+    assert len(bins) > 3 and max(map(len, bins)) <= len(set.union(*bins)) // 2
+
+
 def test_times_of_a_pair_are_counted_out_after_its_legs_are_there(spark):
     """Two vessels side by side for three hours, but for one report: their runs span half hours, and grid times travel in none of the joins."""
     p = _reports(spark, [(v, 9.0 * k + d, 5.0 + (0.1 if v == "v1" and k == 12 else 0.0), 80.0 + d / 1e5, 4 if k == 0 else 0.3) for v, d in (("v0", 0.0), ("v1", 2.0)) for k in range(22)])

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.sources import shared
 
@@ -41,6 +42,21 @@ def test_what_is_written_on_the_way_to_a_settled_table_is_removed(spark):
     assert not os.path.exists(path)
 
 
+def test_slices_are_written_one_after_the_other(spark):
+    assert [shared.slices(n, 10) for n in (0, 10, 11, 40, 10_000)] == [1, 1, 2, 4, shared.MOST_SLICES]
+    rows, seen = spark.range(20), []
+
+    def make(part):
+        seen.append(sorted(r["id"] for r in part(rows).collect()))
+        return part(rows).groupBy("id").count()
+
+    with shared.scope(spark):
+        made = shared.sliced(3, F.col("id"), make)
+        assert seen == [list(range(k, 20, 3)) for k in range(3)] and len(shared._scopes[-1]) == 3
+        assert sorted(r["id"] for r in made.collect()) == list(range(20))
+        assert shared.sliced(1, F.col("id"), lambda part: part(rows)) is rows and len(shared._scopes[-1]) == 3
+
+
 def test_a_written_table_leaves_no_shuffle_files(spark):
     folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
     held = lambda: {f for d in folders for _, _, files in os.walk(d) for f in files if f.startswith("shuffle_")}
