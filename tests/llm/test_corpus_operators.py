@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.llm import chat_format, decontaminate, fitting, line_dedup, ngram_join, piece_bpe, quality, sharding, tables, topk, toxicity, url_filter
+from tidewatch.sources import shared
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -255,6 +256,34 @@ def test_every_ngram_is_counted(spark):
     assert len(grams) == 96
 
 
+def test_passes_and_parts_change_nothing(spark, monkeypatch):
+    for name, value in (("PASS_BYTES", 100), ("MOST_PASSES", 2), ("TASKS_BYTES", 60_000), ("BLOCK_NODES", 32), ("RUN_PAIRS", 50), ("BLOCK_GRAMS", 500)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = _corpus(3, 6)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(_docs(spark, rows)).collect()}
+    assert got == _components(rows)
+
+
+def test_copies_are_not_sent(spark):
+    """Of equal sets one text is read for the product, and few tables stay."""
+    text = " ".join(f"w{k}" for k in range(100))
+    docs = _docs(spark, [(k, text) for k in range(30)] + [(None, "a b c d e f")]).repartition(5)
+    nodes = ngram_join._distinct(ngram_join.members(docs))[0]
+    kept = spark.sparkContext.broadcast(ngram_join._filter_bits(nodes))
+    grams, _ = ngram_join.frequent(docs, 4, kept=kept)
+    packed = ngram_join.incidence(docs, (grams, grams[:0].view("u1")), 4, 75, kept=kept)
+    assert len(grams) == 0 and packed.agg(F.sum(F.length("grams"))).first()[0] == 8 * (96 - 72 + 1)
+    with shared.scope(spark):
+        ngram_join.near_duplicates(docs)
+        assert sum(shared.exists(spark, path) for path in shared._scopes[-1]) <= 5
+
+
+def test_prefixes_fill_all_blocks(spark):
+    docs = _docs(spark, [(k, " ".join(f"w{k}x{j}" for j in range(300))) for k in range(20)])
+    sizes = {r["block"]: len(r["grams"]) for r in ngram_join.incidence(docs.coalesce(1), (np.zeros(0, "u8"), np.zeros(0, "u1")), 8, 75).collect()}
+    assert len(sizes) == 8 and max(sizes.values()) < 2 * min(sizes.values())
+
+
 def test_components_of_long_chains(spark):
     rows = [(k, k + 1) for k in range(40)] + [(100, 101), (103, 101), (7, 7)]
     got = {r["node"]: r["root"] for r in ngram_join.components(spark.createDataFrame(rows, "a long, b long")).collect()}
