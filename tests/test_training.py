@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.operators import anomaly, training, tracks
 
@@ -40,6 +41,27 @@ def test_any_partitioning_fits_the_same_model(shapes, plain, parts):
     assert all((model.p[k] == plain.p[k]).all() for k in plain.p) and model.val_loss == plain.val_loss and (model.scale == plain.scale).all()
 
 
+def test_every_voyage_is_fitted_on(shapes, monkeypatch):
+    """More voyages than a sample once held, in batches of shards: each takes part, and in the same model as by plain loops."""
+    made = shapes.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(29)))).withColumn("mmsi", F.concat("mmsi", F.lit("-"), "copy")).drop("copy")
+    seen, over_all = [], training.descend
+
+    def noted(over, **settings):
+        seen.append((over(training._counts)[:2].tolist(), settings["batches"]))
+        return over_all(over, **settings)
+
+    monkeypatch.setattr(training, "descend", noted)
+    for name, value in (("SHARD_VOYAGES", 60), ("BATCH_SHARDS", 16), ("LOOK", 50)):
+        monkeypatch.setattr(training, name, value)
+    anomaly.fitted(made, epochs=1)
+    ((steps, apart), batches), = seen
+    assert steps / 15 + apart == 2_700 and batches == 2
+    shards = {s: training.shard_of(own) for s, own in training.sharded(made, 45).toPandas().groupby("shard")}
+    plain = over_all(lambda f, *given, batch=None: training.together({s: f(own, *given) for s, own in shards.items() if batch in (None, s % 2)}), epochs=6, batches=2)
+    model = training.fitted_in_tasks(made.repartition(5), epochs=6)
+    assert all(np.allclose(model.p[k], plain.p[k], atol=1e-6) for k in plain.p) and abs(model.val_loss - plain.val_loss) < 1e-6
+
+
 def test_few_voyages_are_enough(shapes):
     assert training.fitted_in_tasks(shapes.where("mmsi < '003'"), epochs=3).parameters == 804
 
