@@ -301,6 +301,19 @@ def test_times_of_a_pair_are_counted_out_after_its_legs_are_there(spark):
     assert len(runs) == 2 and [r["minutes"] for r in detect.meetings(p).collect()] == [5.0 * (max(len(r) for r in runs) - 1)]
 
 
+def test_near_moments_by_slices_are_the_same(spark, monkeypatch):
+    """Slices of the half hours give the moments of all at once; their own tables are gone when the next one begins."""
+    rows = [(f"v{v:02d}", 9.0 * k + v % 4, 5.0 + v % 3 / 2e3, 80.0 + v / 1e5, 4 if k == 0 else 0.3) for v in range(12) for k in range(12)]
+    p = _reports(spark, rows)
+    found = lambda: sorted((r["a"], r["b"], r["k"], r["us"], r["lat"], r["lon"], r["km"]) for r in detect.near_moments(p).collect())
+    whole, looked, plain = found(), [], detect.moments_of
+    monkeypatch.setattr(detect, "moments_of", lambda shared, legs, *rest: looked.append({r["bin"] for r in legs.select("bin").distinct().collect()}) or plain(shared, legs, *rest))
+    monkeypatch.setattr(detect, "SLICE_PAIRS", 100)
+    with shared.scope(spark):
+        assert found() == whole and len(whole) > 500
+    assert len(looked) > 2 and not looked[0] & looked[1]
+
+
 @pytest.mark.parametrize("lon", [179.9995, -179.9995, 20.0])
 def test_meetings_across_the_meridian(spark, lon):
     other = {179.9995: -179.9995, -179.9995: 179.9995, 20.0: 20.001}[lon]
